@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as c
-from . import decontamination, simhash
+from . import decontamination, prefix_hash, sharding, simhash
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(c.documents(spark, sf_dir))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.edit_fingerprints(c.documents(spark, sf_dir))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.byte_shards(c.documents(spark, sf_dir))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.pick(c.documents(spark, sf_dir), "doc_id", "text")
     return decontamination.digest(decontamination.scan(docs, c.benchmark(spark, sf_dir)))
