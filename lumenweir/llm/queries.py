@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as c
-from . import decontamination, prefix_hash, sharding, simhash
+from . import decontamination, language, prefix_hash, sharding, simhash
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(c.documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.documents(spark, sf_dir)
+    held = F.coalesce(c.crc32_mod("doc_id", 3) == 1, F.lit(False))
+    model = language.fit(docs.where(~held))
+    return language.predict(c.pick(docs, "doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.edit_fingerprints(c.documents(spark, sf_dir))
 
