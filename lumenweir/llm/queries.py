@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import decontamination, language, packing, prefix_hash, sharding, simhash
+from . import decontamination, language, packing, prefix_hash, quality, sharding, simhash, toxicity
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.documents(spark, sf_dir)
+    held = F.coalesce(c.crc32_mod("doc_id", 4) == 2, F.lit(False))
+    model = quality.fit(docs.where(~held), c.labels(spark, sf_dir))
+    scored = quality.score(c.pick(docs, "doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +42,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(c.documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.documents(spark, sf_dir)
+    held = F.coalesce(c.crc32_mod("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.fit(docs.where(~held), c.labels(spark, sf_dir))
+    scored = toxicity.score(c.pick(docs, "doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.pick(c.documents(spark, sf_dir), "doc_id", "text")
     return decontamination.digest(decontamination.scan(docs, c.benchmark(spark, sf_dir)))
