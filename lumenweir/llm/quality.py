@@ -101,15 +101,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
     return pick(docs, doc_id, text).toDF("_id", "text").where("text is not null").join(known, "_id").select("label", "text")
 
 
-def sample(rows: DataFrame, each: int) -> tuple[DataFrame, dict[int, int]]:
+def sample(rows: DataFrame, each: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
     """About so many rows (label, text) of each label, chosen by a hash of the text; and how many rows there are of each."""
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
-    share = F.when(F.col("label") == 1, each / max(n.get(1, 0), 1)).otherwise(each / max(n.get(0, 0), 1))
+    share = F.when(F.col("label") == 1, each[1] / max(n.get(1, 0), 1)).otherwise(each[0] / max(n.get(0, 0), 1))
     return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000 < share), n
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int = EACH, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1, **columns) -> Model:
-    rows, n = sample(labelled(docs, labels, label, **columns), each)
+    rows, n = sample(labelled(docs, labels, label, **columns), {0: each, 1: each})
     if not n.get(0) or not n.get(1):
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((n.get(1, 0) + 0.01) / (n.get(0, 0) + 0.01))))
     got = featurized(rows).toArrow()  # bounded by the sample

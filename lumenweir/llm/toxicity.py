@@ -7,8 +7,8 @@ dictionary is trained on those windows that are markedly more frequent in toxic
 one on the most frequent windows of ordinary documents. A window counts from a number of saved bytes on; that cut, and the
 logistic curve which turns a document's counted windows into its score, are calibrated on the labelled sample.
 
-The model is fitted on a bounded sample of labelled documents, about `each` of either label, chosen by a hash of the text;
-Spark counts its windows. Scoring is a map over whole texts; lengths of windows are kept by the workers.
+The model is fitted on a bounded sample of labelled documents, about TOXIC and ORDINARY of either label, chosen by a hash of
+the text; Spark counts its windows. Scoring is a map over whole texts; lengths of windows are kept by the workers.
 
 Null, empty and wordless texts have no windows and score as any text without a counted window. Without both labels the score
 is the share of label 1 among the labelled, or 0. Repeated rows are scored each for itself.
@@ -28,11 +28,15 @@ from .common import CACHE_WORDS, arrow_map, chunks, stored, texts, without
 from .decontamination import words
 from .quality import labelled, sample
 
-EACH = 4_000
-REPEATS, LEVEL = 3, 19
-TOXIC_BYTES, ORDINARY_BYTES = 2_048, 16_384
+TOXIC, ORDINARY = 3_000, 9_000
+REPEATS, LEVEL = 2, 19
+TOXIC_BYTES, ORDINARY_BYTES = 8_192, 16_384
+#: Copies of a window in one sample for the toxic dictionary: its trainer looks at runs of more bytes than a word may have.
+COPIES = 4
 #: A toxic window is in so many toxic documents, that share of them, and so many times as often as in ordinary ones.
-LEAST, LEAST_SHARE, LEAST_TIMES = 3, 0.005, 8
+LEAST, LEAST_SHARE, LEAST_TIMES = 3, 0.01, 8
+#: Standard deviations beyond chance; which of these is the best is found by calibration.
+DEVIATIONS = (6, 8, 12)
 ORDINARY_WINDOWS = 20_000
 CUTS = range(2, 9)
 
@@ -133,31 +137,43 @@ def window_counts(rows: DataFrame, window: int) -> DataFrame:
     return arrow_map(rows, of, "window binary, toxic long, ordinary long, n long").groupBy("window").agg(*(F.sum(k).alias(k) for k in ("toxic", "ordinary", "n")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = EACH, window: int = 1, **columns) -> Model:
-    rows, n = sample(labelled(docs, labels, label, **columns), each)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic: int = TOXIC, ordinary: int = ORDINARY, window: int = 1, **columns) -> Model:
+    rows, n = sample(labelled(docs, labels, label, **columns), {1: toxic, 0: ordinary})
     if not n.get(0) or not n.get(1):
         share = (n.get(1, 0) + 1e-6) / (sum(n.values()) + 1e-6) if n else 1e-9
         return Model(window, b" ", b" ", 2, np.array([np.log(share / (1 - share + 1e-9)), 0.0, 0.0]))
     rows = stored(rows.dropDuplicates(["text"]))  # copies of one text aren't evidence of many
     of_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     counts = stored(window_counts(rows, window))
-    times = (F.col("toxic") + 0.5) / (of_label.get(1, 0) + 1) / ((F.col("ordinary") + 0.5) / (of_label.get(0, 0) + 1))
-    least = max(LEAST, LEAST_SHARE * of_label.get(1, 0))
-    toxic = counts.where((F.col("toxic") >= least) & (times >= LEAST_TIMES)).orderBy("toxic", "window").collect()  # bounded by the sample
-    ordinary = counts.where("n > 0").orderBy(F.desc("n"), "window").limit(ORDINARY_WINDOWS).collect()
-    spread = lambda r, k, most: [b" " + bytes(r["window"]) + b" "] * int(min(r[k], most))
-    dictionaries = _dictionary([s for r in toxic for s in spread(r, "toxic", 50)], TOXIC_BYTES) or b" ", _dictionary([s for r in ordinary for s in spread(r, "n", 4)], ORDINARY_BYTES) or b" "
+    toxics, ordinaries = of_label.get(1, 0), of_label.get(0, 0)
+    both, q = F.col("toxic") + F.col("ordinary"), toxics / max(toxics + ordinaries, 1)
+    beyond = (F.col("toxic") - both * q) / F.sqrt(both * max(q * (1 - q), 1e-9))
+    times = (F.col("toxic") + 0.5) / (toxics + 1) / ((F.col("ordinary") + 0.5) / (ordinaries + 1))
+    marked = counts.where((F.col("toxic") >= max(LEAST, LEAST_SHARE * toxics)) & (times >= LEAST_TIMES) & (beyond >= min(DEVIATIONS)))
+    marked = marked.select("window", "toxic", beyond.alias("beyond")).orderBy("toxic", "window").collect()  # under 100 / LEAST_SHARE windows of a document each
+    common = counts.where("n > 0").orderBy(F.desc("n"), "window").limit(ORDINARY_WINDOWS).collect()
+    usual = _dictionary([b" " + bytes(r["window"]) + b" " for i in range(4) for r in common if i < r["n"]], ORDINARY_BYTES) or b" "
+    pairs = []
+    for least in DEVIATIONS:
+        chosen = [(bytes(r["window"]), r["toxic"]) for r in marked if r["beyond"] >= least]
+        # The trainer tries its dictionaries on the last quarter of the samples: every window is among the first, too.
+        samples = [(b" " + w) * COPIES + b" " for i in range(50) for w, k in chosen if i < k]
+        pairs.append((_dictionary(samples, TOXIC_BYTES) or b" ", usual))
 
     def of(batch: pa.RecordBatch) -> dict:
-        counted, size = _counted(texts(batch.column(1)), window, Lengths(*dictionaries))
-        return {"label": batch.column(0), "counted": list(counted), "size": size}
+        items = texts(batch.column(1))
+        got = [_counted(items, window, Lengths(*pair)) for pair in pairs]
+        return {"label": batch.column(0), "counted": list(np.concatenate([x for x, _ in got], 1)), "size": got[0][1]}
 
-    seen = arrow_map(rows, of, "label int, counted array<long>, size long").toPandas().sort_values("size", kind="stable")  # bounded by the sample
+    seen = arrow_map(rows, of, "label int, counted array<long>, size long").toPandas()  # bounded by the sample
     y, counted, size = seen["label"].to_numpy(float), np.stack(seen["counted"].to_numpy()), seen["size"].to_numpy()
+    order = np.lexsort((*counted.T, size, y))  # however the rows arrived
+    y, counted, size = y[order], counted[order], size[order]
     weight = np.where(y == 1, n[1] / max(y.sum(), 1), n[0] / max((1 - y).sum(), 1))
-    fits = {cut: _logistic(_traits(counted, size, cut), y, weight / weight.mean()) for cut in CUTS}
-    cut = min(fits, key=lambda k: fits[k][1])
-    return Model(window, *dictionaries, cut, fits[cut][0])
+    columns_of = np.split(counted, len(pairs), 1)
+    fits = {(k, cut): _logistic(_traits(columns_of[k], size, cut), y, weight / weight.mean()) for k in range(len(pairs)) for cut in CUTS}
+    k, cut = min(fits, key=lambda x: fits[x][1])
+    return Model(window, *pairs[k], cut, fits[k, cut][0])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
