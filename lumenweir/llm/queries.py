@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import decontamination, language, line_dedup, packing, prefix_hash, quality, sharding, simhash, toxicity
+from . import decontamination, language, language_model, line_dedup, packing, prefix_hash, quality, sharding, simhash, toxicity
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(c.pick(docs, "doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_model.scores(c.documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean", 6).alias("mean"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.edit_fingerprints(c.documents(spark, sf_dir))
 
@@ -60,7 +65,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    import corpus_pipeline
+
+    return {k: v for k, v in globals().items() if k.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 #: Words as in decontamination.words; RE2 reads the class as the contract gives it.
@@ -82,5 +89,19 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+#: All words of the smaller tables are in the vocabulary.
+_OP5 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT b AS x, count(*) AS n FROM t GROUP BY b),
+p AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b),
+total AS (SELECT count(*) AS n FROM t),
+s AS (SELECT doc_id, CASE WHEN t.a IS NULL THEN ln(ub.n / total.n) WHEN p.n >= 2 THEN ln(p.n / ua.n) ELSE ln(0.4) + ln(ub.n / total.n) END AS s
+      FROM t CROSS JOIN total JOIN u ub ON ub.x = t.b LEFT JOIN u ua ON ua.x = t.a LEFT JOIN p ON p.a = t.a AND p.b = t.b)
+SELECT d.doc_id, len(w) AS n_words, round(coalesce(sum(s), 0), 4) AS score, round(sum(s) / len(w), 6) AS mean
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, w
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": _OP9}
+    return {"op5_lm_scoring": _OP5, "op9_benchmark_decontamination": _OP9}
