@@ -4,7 +4,7 @@ A text's features are its words, pairs of neighbouring words and byte n-grams (w
 edges), each hashed to a bucket; a pair of one word twice is one bucket of its own for all words. Each bucket has a learned
 vector; the vectors are averaged over all features of the document, and a softmax over two classes reads the average. It is
 trained by stochastic gradient descent in numpy on a bounded sample of labelled documents: about `each` of either label,
-chosen by a hash of the text, each featurized as a whole by Spark. The prior is set back to that of all labelled rows.
+chosen by a hash of the id, each featurized as a whole by Spark. The prior is set back to that of all labelled rows.
 
 Scoring is a map: as the model is linear in the average, a bucket's vector comes down to one number.
 
@@ -95,21 +95,23 @@ def featurized(rows: DataFrame) -> DataFrame:
     return arrow_map(rows, of, "label int, buckets array<int>, counts array<int>")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(label, text) of the documents with a label of 0 or 1."""
-    known = pick(labels, doc_id, label).toDF("_id", "label").where("label in (0, 1)").select("_id", F.col("label").cast("int").alias("label"))
-    return pick(docs, doc_id, text).toDF("_id", "text").where("text is not null").join(known, "_id").select("label", "text")
+def sample(docs: DataFrame, labels: DataFrame, label: str, each: dict[int, int], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """(label, text) of about so many documents of each label, chosen by a hash of the id; and how many are labelled with each.
 
-
-def sample(rows: DataFrame, each: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
-    """About so many rows (label, text) of each label, chosen by a hash of the text; and how many rows there are of each."""
-    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+    Only ids are joined to find and count the labelled documents; the chosen ids, whose number `each` bounds, are then sent
+    to the texts, which aren't shuffled. Null texts and labels other than 0 and 1 are left out.
+    """
+    rows = pick(docs, doc_id, text).toDF("id", "text")
+    known = pick(labels, doc_id, label).toDF("id", "label").where("label in (0, 1)").select("id", F.col("label").cast("int").alias("label"))
+    ids = rows.where("text is not null").select("id").join(known, "id")
+    n = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}  # two rows
     share = F.when(F.col("label") == 1, each[1] / max(n.get(1, 0), 1)).otherwise(each[0] / max(n.get(0, 0), 1))
-    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000 < share), n
+    chosen = ids.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000 < share).distinct()
+    return rows.where("text is not null").join(F.broadcast(chosen), "id").select("label", "text"), n
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int = EACH, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1, **columns) -> Model:
-    rows, n = sample(labelled(docs, labels, label, **columns), {0: each, 1: each})
+    rows, n = sample(docs, labels, label, {0: each, 1: each}, **columns)
     if not n.get(0) or not n.get(1):
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((n.get(1, 0) + 0.01) / (n.get(0, 0) + 0.01))))
     got = featurized(rows).toArrow()  # bounded by the sample

@@ -8,7 +8,7 @@ one on the most frequent windows of ordinary documents. A window counts from a n
 logistic curve which turns a document's counted windows into its score, are calibrated on the labelled sample.
 
 The model is fitted on a bounded sample of labelled documents, about TOXIC and ORDINARY of either label, chosen by a hash of
-the text; Spark counts its windows. Scoring is a map over whole texts; lengths of windows are kept by the workers.
+the id; Spark counts its windows. Scoring is a map over whole texts; lengths of windows are kept by the workers.
 
 Null, empty and wordless texts have no windows and score as any text without a counted window. Without both labels the score
 is the share of label 1 among the labelled, or 0. Repeated rows are scored each for itself.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, arrow_map, chunks, stored, texts, without
 from .decontamination import words
-from .quality import labelled, sample
+from .quality import sample
 
 TOXIC, ORDINARY = 3_000, 9_000
 REPEATS, LEVEL = 2, 19
@@ -138,7 +138,7 @@ def window_counts(rows: DataFrame, window: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic: int = TOXIC, ordinary: int = ORDINARY, window: int = 1, **columns) -> Model:
-    rows, n = sample(labelled(docs, labels, label, **columns), {1: toxic, 0: ordinary})
+    rows, n = sample(docs, labels, label, {1: toxic, 0: ordinary}, **columns)
     if not n.get(0) or not n.get(1):
         share = (n.get(1, 0) + 1e-6) / (sum(n.values()) + 1e-6) if n else 1e-9
         return Model(window, b" ", b" ", 2, np.array([np.log(share / (1 - share + 1e-9)), 0.0, 0.0]))
