@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import text_queries
+from .registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_REGISTRIES = [text_queries.r]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: v for r in _REGISTRIES for k, v in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for r in _REGISTRIES for k, v in r.sql.items()}
