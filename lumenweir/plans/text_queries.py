@@ -125,13 +125,16 @@ def term_frequency(spark, sf_dir):
     return each.groupBy("term").agg(F.sum("count").alias("n"), F.count("*").alias("docs")).where("n >= 3")
 
 
-@r.query(r"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+[A-Z][A-Za-z]+\b')) AS term, 'camel' AS kind FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z]{2,8}\b')), 'acronym' FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z]+-[A-Za-z]+\b')), 'hyphen' FROM documents)
-SELECT kind, lower(term) AS term, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 3""")
+_RUNS = r"[0-9A-Za-zÀ-ÿ]+(?:-[0-9A-Za-zÀ-ÿ]+)*"
+_KINDS = {"camel": "^[A-Z][a-z]+[A-Z][A-Za-z]+$", "acronym": "^[A-Z]{2,8}$", "hyphen": "^[A-Za-z]+-[A-Za-z]+$"}
+_KIND_SQL = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{k}'" for k, p in _KINDS.items())
+
+
+@r.query(f"WITH l AS (SELECT unnest(regexp_extract_all(text, '{_RUNS}')) AS x FROM documents), k AS (SELECT CASE {_KIND_SQL} END AS kind, lower(x) AS term FROM l) SELECT kind, term, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY kind, term HAVING count(*) >= 3")
 def pattern_terms(spark, sf_dir):
-    kinds = {"camel": r"\b[A-Z][a-z]+[A-Z][A-Za-z]+\b", "acronym": r"\b[A-Z]{2,8}\b", "hyphen": r"\b[A-Za-z]+-[A-Za-z]+\b"}
-    tagged = lambda k, p: F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda x: F.struct(F.lit(k).alias("kind"), F.lower(x).alias("term")))
-    found = F.concat(*(tagged(k, p) for k, p in kinds.items()))
-    return _docs(spark, sf_dir).select(F.explode(found).alias("x")).groupBy("x.kind", "x.term").agg(F.count("*").alias("n")).where("n >= 3")
+    runs = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(_RUNS), F.lit(0))).alias("x"))
+    kind = F.coalesce(*(F.when(F.col("x").rlike(p), k) for k, p in _KINDS.items()))
+    return runs.select(kind.alias("kind"), F.lower("x").alias("term")).where("kind is not null").groupBy("kind", "term").agg(F.count("*").alias("n")).where("n >= 3")
 
 
 @r.query(r"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '\n') AS l FROM documents), e AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM s)
