@@ -25,21 +25,24 @@ def changes(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change")).where("change is not null")
 
 
-@F.pandas_udf("string")
-def decoded(content: pd.Series) -> pd.Series:
+def decoded(content: Column) -> Column:
     """Bytes as UTF-8, else as EUC-KR, else as UTF-8 with replacements."""
+    return F.pandas_udf(_all_decoded, "string")(content)
 
-    def one(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        for kind in ("utf-8-sig", "euc-kr"):
-            try:
-                return bytes(raw).decode(kind)
-            except UnicodeDecodeError:
-                continue
-        return bytes(raw).decode("utf-8", "replace")
 
-    return content.map(one)
+def _all_decoded(content: pd.Series) -> pd.Series:
+    return content.map(_decoded)
+
+
+def _decoded(raw: bytes | None) -> str | None:
+    if raw is None:
+        return None
+    for kind in ("utf-8-sig", "euc-kr"):
+        try:
+            return bytes(raw).decode(kind)
+        except UnicodeDecodeError:
+            continue
+    return bytes(raw).decode("utf-8", "replace")
 
 
 def parsed_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -127,9 +130,12 @@ class _Parts(HTMLParser):
 HTML_PARTS = "text string, headings array<struct<level:int,title:string>>, links array<string>, tables array<array<array<string>>>, code array<string>"
 
 
-@F.pandas_udf(HTML_PARTS)
-def html_parts(html: pd.Series) -> pd.DataFrame:
+def html_parts(html: Column) -> Column:
     """Text, headings, links, tables and code of pages; of a null page all are empty."""
+    return F.pandas_udf(_html_parts, HTML_PARTS)(html)
+
+
+def _html_parts(html: pd.Series) -> pd.DataFrame:
     out = []
     for page in html:
         p = _Parts()
