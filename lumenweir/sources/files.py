@@ -149,7 +149,7 @@ def _html_parts(html: pd.Series) -> pd.DataFrame:
 def table_markdown(table: Column, most_rows: int = 50) -> Column:
     """Rows of cells as a Markdown table, the first as its head; rows beyond the most are counted."""
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.coalesce(F.regexp_replace(c, r"\|", "\\\\|"), F.lit(""))), " | "), F.lit(" |"))
-    head = F.element_at(table, 1)
+    head = F.get(table, F.lit(0))
     rule = F.concat(F.lit("|"), F.array_join(F.transform(head, lambda _: F.lit("---")), "|"), F.lit("|"))
     body = F.transform(F.slice(table, 2, most_rows), line)
     more = F.when(F.size(table) > most_rows + 1, F.array(F.format_string("(%d more rows)", F.size(table) - most_rows - 1))).otherwise(F.array().cast("array<string>"))
