@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,10 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored  # noqa: F401  used by the operators
+
 #: Words a worker keeps hashes (or other results) of; later words are computed each time.
-CACHE_WORDS = 400_000
-#: Words that a worker treats at once.
-CHUNK_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Words, and bytes of a batch, that a worker treats at once: what bounds its memory.
+CHUNK_WORDS = 200_000
+SLICE_BYTES = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,21 +49,6 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"_{i}") for i in keep)).toDF(*(df.columns[i] for i in keep))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where that is unset (a local session), a new temporary one."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenweir-"))
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the shared folder and read again: lost executors can't take them, and later plans start there."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,12 +58,20 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """f of each Arrow batch: the columns of the result as a dict, in any order; None for no rows."""
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about SLICE_BYTES; a longer row is a slice of its own with others of average length."""
+    n = max(1, batch.num_rows // (batch.nbytes // SLICE_BYTES + 1))
+    for at in range(0, batch.num_rows, n):
+        yield batch.slice(at, n)
+
+
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str, whole: bool = False) -> DataFrame:
+    """f of each Arrow batch, in slices unless it asks for the whole one: the columns of the result as a dict, in any order;
+    None for no rows."""
     kinds = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in ([batch] if whole else slices(batch))):
             if b.num_rows and (out := f(b)) is not None:
                 yield pa.RecordBatch.from_arrays([_array(out[k.name], k.type) for k in kinds], schema=kinds)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, partitions, pick, stored, texts
-from .components import connected_components
+from ..operators.components import connected_components
 
 PIVOTS = 24
 #: Rows of shingle bits summed at once.
