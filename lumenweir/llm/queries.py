@@ -73,6 +73,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Words as in decontamination.words; RE2 reads the class as the contract gives it.
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: crc32 byte by byte, over a table made from its polynomial.
+_OP7 = """
+WITH t AS (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c >> 8, tb[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, t),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size) AS upto, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id, text_crc32, size) AS place FROM d),
+s AS (SELECT *, least(((2 * upto - size) * 8 // (2 * total)), 7)::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM s
+"""
+
 _OP9 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
@@ -104,4 +113,4 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, w
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lm_scoring": _OP5, "op9_benchmark_decontamination": _OP9}
+    return {"op5_lm_scoring": _OP5, "op7_sharding": _OP7, "op9_benchmark_decontamination": _OP9}
