@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         index = kept[0]
         for t in texts(batch.column(at)):
             w = words(t.decode()) if t else []
-            if not w or not m.langs:
+            if not m.langs or not any(any(map(str.isalpha, x)) for x in w):  # other numbers count as word characters, too
                 names.append("und")
                 scores.append(0.0)
                 continue

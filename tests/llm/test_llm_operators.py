@@ -181,6 +181,12 @@ def test_language(spark, docs, edges):
     assert language.predict(edges, language.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_numbers_are_no_letters(spark):
+    model = language.Model(["a", "b"], {"x": 0}, {}, np.array([[-1, -2]], np.float32), np.array([-9.0, -9.0]))
+    rows = spark.createDataFrame([(1, "² Ⅷ 5"), (2, "² x")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language.predict(rows, model).orderBy("doc_id").collect()] == ["und", "a"]
+
+
 def test_language_backs_off():
     model = language.Model(["a", "b"], {"ab": 0}, {"^xy": 1, "z": 2}, np.array([[-1, -2], [-3, -1], [-2, -4]], np.float32), np.array([-9.0, -9.0]))
     assert model.of_word("ab").tolist() == [-1, -2]
