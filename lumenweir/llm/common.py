@@ -20,7 +20,13 @@ SLICE_BYTES = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, which is a small one, dealt out to all cores; others as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

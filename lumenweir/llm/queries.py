@@ -40,11 +40,11 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_hash.edit_fingerprints(c.documents(spark, sf_dir))
+    return prefix_hash.edit_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.byte_shards(c.documents(spark, sf_dir))
+    return sharding.byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
