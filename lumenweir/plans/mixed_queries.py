@@ -13,14 +13,14 @@ from ..operators import analytics as a
 from ..sources import files
 from ..streaming import state
 from .registry import Registry, table
-from .storage import shared_dir
+from .storage import shared_dir, spread
 
 r = Registry()
 
 
 @r.query()
 def document_chunks(spark, sf_dir):
-    return chunking.chunks(table(spark, sf_dir, "documents"), 1200)
+    return chunking.chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 1200)
 
 
 @r.query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)
@@ -38,12 +38,12 @@ def heading_sections(spark, sf_dir):
 
 @r.query()
 def minhash_near_duplicates(spark, sf_dir):
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @r.query()
 def page_parts(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", files.html_parts("html").alias("p"))
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", files.html_parts("html").alias("p"))
     return p.select("page_id", "p.text", F.size("p.headings").alias("n_headings"), F.size("p.links").alias("n_links"), F.size("p.tables").alias("n_tables"), F.size("p.code").alias("n_code"))
 
 
