@@ -35,8 +35,8 @@ CAPACITY = 2048
 #: Groups of large lengths, and what part of the capacity is large.
 GROUPS = 96
 SMALL = 0.4
-#: Pieces of one length that are numbered together, about.
-RANK_ROWS = 20_000
+#: Groups in which pieces are numbered at most, besides one for each length; pieces of one length in a group at least.
+RANK_GROUPS, RANK_ROWS = 20_000, 1_000
 #: Signs that may follow a word; the apostrophe begins tokens of its own.
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 #: Columns that the linear program tries at most; what it has by then is feasible.
@@ -315,14 +315,15 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, length: str = "length") -> Da
     counts = {r[length]: r["count"] for r in cut.groupBy(length).count().collect()}  # a row for each length
     plan = spark.sparkContext.broadcast(Plan(packed(counts, capacity)))  # runs follow the lengths and groups, not the rows
 
-    salts = F.create_map(*(F.lit(x) for n, c in counts.items() if c > RANK_ROWS for x in (n, c // RANK_ROWS + 1)), F.lit(-1).cast("long"), F.lit(1))
+    each = max(RANK_ROWS, sum(counts.values()) // RANK_GROUPS)
+    salts = F.create_map(*(F.lit(x) for n, c in counts.items() if c > each for x in (n, c // each + 1)), F.lit(-1).cast("long"), F.lit(1))
     columns = cut.columns
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.coalesce(F.try_element_at(salts, F.col(length)), F.lit(1)).cast("long")))
     sizes = salted.groupBy(length, "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(length, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_base"))
     rank = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*columns))
-    ranked = salted.withColumn("_rn", rank).join(F.broadcast(bases), [length, "_salt"])  # a row for each length, and for RANK_ROWS rows
+    ranked = salted.withColumn("_rn", rank).join(F.broadcast(bases), [length, "_salt"])  # a row for each length and group
     ranked = ranked.select(*columns, (F.col("_base") + F.col("_rn") - 1).alias("_rank"))
     at = columns.index(length)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
