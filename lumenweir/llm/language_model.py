@@ -1,18 +1,19 @@
 """Stupid-backoff language-model scores, computed relationally over word bigrams and words.
 
-Words are runs without ASCII white space, ASCII letters lower-cased. The vocabulary is all words, or as many of the most
-frequent counts as fit `most_words`; others are one unknown word, counted and scored as such. A word after another scores
-count(pair) / count(first) if the pair occurs at least `least` times in the corpus, else BACKOFF * count(word) / words of
-the corpus; a text's first word scores count(word) / words of the corpus. Counts are those of all documents; the cut-off
-keeps a document from being scored by pairs that it alone has. Per document the logarithms are summed.
-
-The pairs of all documents are exploded and dealt by a hash of the pair, and meet the count table of their part of the
-hash space there: it is made of the same rows, so that the exploded pairs travel once. They travel as blocks (one row for
-each part and Arrow batch of documents: sorted pairs and the documents' places, as byte planes that compress well), as a
-row for each pair would cost several times the bytes. A part counts its pairs, scores them and returns a sum for each
-document of each block; blocks add up their parts. Pairs of two of the FREQUENT most frequent words, which would make a
-part uneven, are counted beforehand with map-side sums, and their counts (FREQUENT squared at most) are sent to the scan.
-The number of parts follows the number of words.
+Words are runs without ASCII white space, ASCII letters lower-cased. All words are in the vocabulary, unless `most_words`
+is given: then as many of the most frequent counts as fit it, and others are one unknown word, counted and scored as such.
+A word after another scores count(pair) / count(first) if the pair occurs at least `least` times in the corpus, else
+BACKOFF * count(word) / words of the corpus; a text's first word scores count(word) / words of the corpus. Counts are
+those of all documents; the cut-off keeps a document from being scored by pairs that it alone has. Per document the
+logarithms are summed.
+
+A word is known by its XXH64 and a pair by a mix of its words' hashes, so that no table of words is sent anywhere. A block
+(BLOCK_BYTES of a batch's documents) takes its words and pairs as distinct keys with their counts in it, and deals them by
+ranges of the key: a part adds up the counts of its keys over all blocks, and gives each block the sums of that block's keys
+in their order. A frequent word or pair is one key of a block like any other, so that no part is uneven. The block's
+own row (documents, places of words, hashes of words) meets the sums again, which are in the order that the hashes give.
+Keys and counts travel as compressed byte planes, keys as sorted differences. The number of parts follows the bytes of text. The words of
+the corpus are those of all results, which are written first.
 
 Null, empty and blank texts have no words: score 0, mean null. Repeated rows are scored each for itself, and count each.
 An empty table gives no rows. Long texts are scored whole.
@@ -22,23 +23,24 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, arrow_map, partitions, pick, stored, texts
+from .common import WordHashes, _arrow_schema, arrow_map, partitions, pick, stored, texts
 
 BACKOFF = 0.4
-#: Words with ids of their own at most; pairs of so many most frequent words are counted beforehand; words of a part, about.
-MOST_WORDS, FREQUENT, PART_WORDS = 500_000, 512, 2_500_000
-#: Text of a block, about: what bounds a worker's memory.
-BLOCK_BYTES = 4_000_000
+#: Text of a block, about: what bounds a worker's memory; text of a part.
+BLOCK_BYTES, PART_BYTES = 4_000_000, 16_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The unknown word's hash: no word is empty.
+_UNKNOWN = np.uint64(xxhash.xxh64_intdigest(b""))
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -57,63 +59,14 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return arrow_map(rows, of, "word binary, n long", whole=True).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Vocabulary:
-    """Ids of words, the most frequent first; the id after the last is the unknown word's."""
-
-    def __init__(self, listed: list[bytes], counts: np.ndarray, total: int) -> None:
-        self.listed, self.total = listed, total
-        self.counts = np.r_[counts, max(total - int(counts.sum()), 1)].astype(np.int64)
-        self.ids: dict[bytes, int] | None = None
-
-    def encode(self, split: list[bytes]) -> np.ndarray:
-        if self.ids is None:
-            self.ids = {w: i for i, w in enumerate(self.listed)}
-        return np.fromiter(map(self.ids.get, split, repeat(len(self.listed))), np.int64, len(split))
-
-    def alone(self) -> np.ndarray:
-        return np.log(self.counts / max(self.total, 1))
-
-
-def vocabulary(counts: DataFrame, most: int = MOST_WORDS) -> Vocabulary:
-    """Of a table of word counts: all words whose count is at least the smallest one that no more than `most` words reach."""
+def vocabulary(counts: DataFrame, most: int) -> np.ndarray:
+    """Sorted hashes of all words whose count is at least the smallest one that no more than `most` words reach."""
     levels = counts.groupBy("n").count().orderBy(F.desc("n")).toArrow()  # rows: under the root of twice the corpus
-    reached = np.cumsum(levels.column("count").to_numpy())
-    total = int((levels.column("n").to_numpy() * levels.column("count").to_numpy()).sum())
-    fits = int((reached <= most).sum())
+    fits = int((np.cumsum(levels.column("count").to_numpy()) <= most).sum())
     if not fits:
-        return Vocabulary([], np.zeros(0, np.int64), total)
+        return np.zeros(0, np.uint64)
     chosen = counts.where(F.col("n") >= int(levels.column("n")[fits - 1].as_py())).toArrow()  # `most` rows at most
-    listed, n = chosen.column("word").to_pylist(), chosen.column("n").to_numpy()
-    order = sorted(range(len(listed)), key=lambda i: (-n[i], listed[i]))
-    return Vocabulary([listed[i] for i in order], n[order], total)
-
-
-def _flat(items: list[bytes | None], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words' ids, their documents' places, and which words follow another."""
-    ids = [known.encode(words(t)) for t in items]
-    n = np.array([len(x) for x in ids], np.int64)
-    doc = np.repeat(np.arange(len(ids)), n)
-    flat = np.concatenate([*ids, np.zeros(0, np.int64)])
-    return flat, doc, np.r_[False, doc[1:] == doc[:-1]] if len(doc) else np.zeros(0, bool)
-
-
-def frequent_pairs(rows: DataFrame, known) -> np.ndarray:
-    """Counts of pairs of frequent words."""
-
-    def of(batch: pa.RecordBatch) -> dict:
-        total = np.zeros(FREQUENT * FREQUENT, np.int64)
-        for x in _slices([batch]):
-            flat, _, follows = _flat(texts(x.column(1)), known.value)
-            a, b = flat[:-1][follows[1:]], flat[1:][follows[1:]]
-            own = (a < FREQUENT) & (b < FREQUENT)
-            total += np.bincount(a[own] * FREQUENT + b[own], minlength=len(total))
-        pair = np.flatnonzero(total)
-        return {"pair": pair, "n": total[pair]}
-
-    got = arrow_map(rows, of, "pair long, n long", whole=True).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(FREQUENT * FREQUENT, np.int64)
-    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-    return out
+    return np.sort(WordHashes().of(chosen.column("word").to_pylist()))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,121 +84,146 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
 
 def _unplaned(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    raw, size = zstandard.decompress(raw), np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).reshape(-1).view(kind)
 
 
 def _schemas(kind: str) -> tuple[str, str]:
-    directory = f"doc_ids array<{kind}>, n_words array<long>, sums array<double>"
-    return f"part int, block long, pairs binary, docs binary, {directory}", f"block long, docs binary, scores binary, {directory}"
+    own = f"doc_ids array<{kind}>, n_words array<long>, words binary, hashes binary"
+    return f"part int, block long, keys binary, counts binary, {own}", f"block long, part int, counts binary, {own}"
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _pairs(words: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of documents' words as numbers under size: which follow another, and those words' pairs as numbers."""
+    doc = np.repeat(np.arange(len(n)), n)
+    follows = np.r_[False, doc[1:] == doc[:-1]] if len(doc) else np.zeros(0, bool)
+    return follows, words[:-1][follows[1:]] * size + words[1:][follows[1:]]
 
 
-def _explode(known, frequent: np.ndarray, parts: int, least: int, schema: pa.Schema):
-    """Blocks: for each part the pairs and documents of a batch; and one row of its documents with what is scored already."""
+def _keys(hashes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Keys of words, then of distinct pairs."""
+    size = max(len(hashes), 1)
+    return np.r_[hashes, hashes[pairs // size] * _MIX + hashes[pairs % size]]
+
+
+def _explode(known, parts: int, schema: pa.Schema):
+    """Blocks: for each part the keys of a slice and their counts in it; and one row of its documents and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = known.value
-        alone, size = v.alone(), len(v.listed) + 1
+        hashed = WordHashes()
         for i, batch in enumerate(_slices(batches)):
             block = TaskContext.get().partitionId() << 32 | i
-            flat, doc, follows = _flat(texts(batch.column(1)), v)
-            score = np.where(follows, 0.0, alone[flat])
-            a, b, of = flat[:-1][follows[1:]], flat[1:][follows[1:]], doc[1:][follows[1:]]
-            here = (a < FREQUENT) & (b < FREQUENT)
-            n = frequent[a[here] * FREQUENT + b[here]]
-            scored = np.where(n >= least, np.log(np.maximum(n, 1) / v.counts[a[here]]), np.log(BACKOFF) + alone[b[here]])
-            sums = np.bincount(doc, score, batch.num_rows) + np.bincount(of[here], scored, batch.num_rows)
-            pair, of = (a * size + b)[~here], of[~here].astype(np.uint32)
-            part = ((pair.astype(np.uint64) * _MIX >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((pair, part))
-            part, pair, of = part[order], pair[order], of[order]
+            split = [hashed.of(words(t)) for t in texts(batch.column(1))]
+            n = np.array([len(x) for x in split], np.int64)
+            flat = np.concatenate([*split, np.zeros(0, np.uint64)])
+            if known is not None:
+                flat[~np.isin(flat, known.value)] = _UNKNOWN
+            hashes, at, n_words = np.unique(flat, return_inverse=True, return_counts=True)
+            pairs, n_pairs = np.unique(_pairs(at, n, len(hashes))[1], return_counts=True)
+            keys = _keys(hashes, pairs)
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], np.r_[n_words, n_pairs][order].astype(np.uint32)
+            part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             present, first = np.unique(part, return_index=True)
             ends = np.r_[first[1:], len(part)][: len(first)]
-            rows = [(int(p), block, _planes(np.diff(pair[s:e], prepend=0)), _planes(of[s:e]), None, None, None) for p, s, e in zip(present, first, ends, strict=True)]
-            rows.append((block % parts, block, None, None, batch.column(0).to_pylist(), np.bincount(doc, minlength=batch.num_rows), sums))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows = [(int(p), block, _planes(np.diff(keys[s:e], prepend=np.uint64(0))), _planes(counts[s:e]), None, None, None, None) for p, s, e in zip(present, first, ends, strict=True)]
+            rows.append((block % parts, block, None, None, batch.column(0).to_pylist(), n, _planes(at.astype(np.uint32)), _planes(np.diff(hashes, prepend=np.uint64(0)))))
+            yield _table(rows, schema)
 
     return run
 
 
-def _score(known, least: int, schema: pa.Schema):
-    """Over blocks sorted by part: each part's pairs are counted and scored, and summed for each document of each block."""
+def _count(schema: pa.Schema):
+    """Over blocks sorted by part: the sums of each part's keys over all blocks, for each block in the order of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = known.value
-        alone, size = v.alone(), len(v.listed) + 1
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-        def finish(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        def finish(part: int | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            pairs = [np.cumsum(_unplaned(p, "i8")) for _, p, _ in held]
-            unique, at, n = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
-            score = np.where(n >= least, np.log(n / v.counts[unique // size]), np.log(BACKOFF) + alone[unique % size])[at]
-            ends = np.cumsum([len(p) for p in pairs])
-            for (block, _, docs), end, p in zip(held, ends, pairs, strict=True):
-                of, back = np.unique(_unplaned(docs, "u4"), return_inverse=True)
-                yield out([(block, _planes(of), _planes(np.bincount(back, score[end - len(p) : end])), None, None, None)])
+            ends = np.cumsum([len(k) for _, k, _ in held])
+            _, at = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, _, c in held])).astype(np.int64)
+            for i in range(0, len(held), 64):
+                yield _table([(block, part, _planes(n[at[e - len(k) : e]]), None, None, None, None) for (block, k, _), e in zip(held[i : i + 64], ends[i : i + 64], strict=True)], schema)
 
         part, held = None, []
         for b in batches:
             for i, p in enumerate(b.column(0).to_pylist()):
                 if p != part:
-                    yield from finish(held)
+                    yield from finish(part, held)
                     part, held = p, []
                 if b.column(2)[i].is_valid:
-                    held.append((b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_py()))
+                    held.append((b.column(1)[i].as_py(), np.cumsum(_unplaned(b.column(2)[i].as_py(), "u8")), _unplaned(b.column(3)[i].as_py(), "u4")))
                 else:
-                    yield out([(b.column(1)[i].as_py(), None, None, *(b.column(k)[i].as_py() for k in (4, 5, 6)))])
-        yield from finish(held)
+                    yield _table([(b.column(1)[i].as_py(), None, None, *(b.column(k)[i].as_py() for k in (4, 5, 6, 7)))], schema)
+        yield from finish(part, held)
 
     return run
 
 
-def _add_up(schema: pa.Schema):
-    """Over rows sorted by block, the row of its documents first: a row for each document."""
+def _add_up(least: int, schema: pa.Schema):
+    """Over rows sorted by block, the row of its documents first and its sums by part: a row for each document, with how
+    many of its words are to be divided by the words of the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        now, sums = None, []
 
         def out() -> pa.RecordBatch:
-            _, ids, n, sums = now
-            n, sums = np.array(n, np.int64), np.array(sums)
-            mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-            return pa.RecordBatch.from_arrays([pa.array(ids, schema[0].type), pa.array(n), pa.array(sums), mean], schema=schema)
+            ids, n = now[0], np.array(now[1], np.int64)
+            at, hashes = _unplaned(now[2], "u4").astype(np.int64), np.cumsum(_unplaned(now[3], "u8"))
+            follows, pair = _pairs(at, n, len(hashes))
+            pairs, of = np.unique(pair, return_inverse=True)
+            keys = _keys(hashes, pairs)
+            counts = np.empty(len(keys), np.int64)
+            counts[np.argsort(keys, kind="stable")] = np.concatenate([*sums, np.zeros(0, np.int64)])
+            n_pair, alone = counts[len(hashes) :], np.log(counts[: len(hashes)])
+            seen = np.zeros(len(at), bool)
+            seen[follows] = (n_pair >= least)[of]
+            score = alone[at] + np.where(follows, np.log(BACKOFF), 0.0)
+            first = at[:-1][seen[1:]]
+            score[seen] = np.log(n_pair)[of][seen[follows]] - alone[first]
+            doc = np.repeat(np.arange(len(n)), n)
+            apart = np.bincount(doc[~seen], minlength=len(n))
+            return pa.RecordBatch.from_arrays([pa.array(ids, schema[0].type), pa.array(n), pa.array(np.bincount(doc, score, len(n))), pa.array(apart.astype(np.int64))], schema=schema)
 
         for b in batches:
-            for i, block in enumerate(b.column(0).to_pylist()):
-                if b.column(1)[i].is_valid:
-                    now[3][_unplaned(b.column(1)[i].as_py(), "u4")] += _unplaned(b.column(2)[i].as_py(), "f8")
+            for i in range(b.num_rows):
+                if b.column(2)[i].is_valid:
+                    sums.append(_unplaned(b.column(2)[i].as_py(), "i8"))
                 else:
                     if now:
                         yield out()
-                    now = [block, *(b.column(k)[i].as_py() for k in (3, 4)), np.array(b.column(5)[i].as_py(), float)]
+                    now, sums = [b.column(k)[i].as_py() for k in (3, 4, 5, 6)], []
         if now:
             yield out()
 
     return run
 
 
-def scores(docs: DataFrame, least: int = 2, most_words: int = MOST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, least: int = 2, most_words: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, score, mean): the sum of the words' log scores, and their mean."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    model = vocabulary(stored(word_counts(rows)), most_words)
-    known = spark.sparkContext.broadcast(model)  # `most_words` words at most
-    frequent = frequent_pairs(rows, known)
-    parts = max(partitions(spark), model.total // PART_WORDS)
-    exploded, scored = _schemas(kind)
-    result = f"doc_id {kind}, n_words long, score double, mean double"
-    blocks = rows.mapInArrow(_explode(known, frequent, parts, least, _arrow_schema(spark, exploded)), exploded)
-    summed = blocks.repartitionById(parts, "part").sortWithinPartitions("part", "block").mapInArrow(_score(known, least, _arrow_schema(spark, scored)), scored)
-    dealt = summed.repartition(partitions(spark), "block").sortWithinPartitions("block", F.col("docs").isNotNull(), F.hash("docs"))
-    return dealt.mapInArrow(_add_up(_arrow_schema(spark, result)), result)
+    known = None
+    if most_words is not None:
+        known = spark.sparkContext.broadcast(vocabulary(stored(word_counts(rows)), most_words))  # `most_words` words at most
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(spark), size // PART_BYTES)
+    exploded, counted = _schemas(kind)
+    result = f"doc_id {kind}, n_words long, score double, apart long"
+    blocks = rows.mapInArrow(_explode(known, parts, _arrow_schema(spark, exploded)), exploded)
+    summed = blocks.repartitionById(parts, "part").sortWithinPartitions("part", "block").mapInArrow(_count(_arrow_schema(spark, counted)), counted)
+    dealt = summed.repartition(parts, "block").sortWithinPartitions("block", F.col("counts").isNotNull(), "part")
+    found = stored(dealt.mapInArrow(_add_up(least, _arrow_schema(spark, result)), result))
+    total = found.agg(F.sum("n_words")).first()[0] or 0
+    score = F.col("score") - F.col("apart") * float(np.log(max(total, 1)))
+    return found.select("doc_id", "n_words", score.alias("score")).withColumn("mean", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

@@ -217,6 +217,16 @@ def test_language_model(spark, docs, texts, edges):
     assert language_model.scores(edges.limit(0)).count() == 0
 
 
+def test_language_model_knows_all_words(spark):
+    """More words than a table of half a million holds; texts of even ids are there twice."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.col("id") * 10_000, F.col("id") * 10_000 + 9_999), lambda x: F.concat(F.lit("w"), x)))
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), text.alias("text"))
+    total = 900_000
+    for r in language_model.scores(docs.union(docs.where("doc_id % 2 = 0"))).collect():
+        want = np.log(2 / total) if r["doc_id"] % 2 == 0 else 10_000 * np.log(1 / total) + 9_999 * np.log(0.4)
+        assert r["n_words"] == 10_000 and abs(r["score"] - want) < 1e-5
+
+
 # 6. Prefix hashes
 
 
