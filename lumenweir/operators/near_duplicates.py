@@ -1,8 +1,8 @@
 """MinHash near duplicates: signatures of word shingles, bands, verified links and their components.
 
 Rows of equal signatures are taken as one first, so that copies cost one row. A bucket's members are compared within one
-task, which gives links that join them rather than all pairs; a bucket of more than `most` members is dealt again by a
-second band. Null and empty texts have no shingles and are linked to nothing. Empty tables give no rows.
+task, which gives links that join them rather than all pairs; a bucket of more than `most` members is cut into blocks by a
+hash of the member, and every pair of blocks is compared in a task of its own, so that all its pairs are compared. Null and empty texts have no shingles and are linked to nothing. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -64,6 +64,8 @@ def signatures(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str =
 
 
 def _bucket_links(least: float, most: int):
+    """Over rows (key, rep, sig) sorted by key: links (a, b, of) with their key, and (a, null, of) for each member of a larger bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sigs, large = None, [], [], False
 
@@ -74,20 +76,20 @@ def _bucket_links(least: float, most: int):
                 x = top[x]
             return x
 
-        def table(a, b) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def table(a, b, of) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, of)], ["a", "b", "of"])
 
         for batch in batches:
-            a, b = [], []
+            a, b, of = [], [], []
             for k, i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
                     key, ids, sigs, large = k, [], np.empty((0, HASHES), np.uint64), False
                     top.clear()
                 if large or len(ids) >= most:
-                    a += ids if not large else []
-                    b += [None] * len(ids) if not large else []
-                    a.append(i)
-                    b.append(None)
+                    new = [i] if large else [*ids, i]
+                    a += new
+                    b += [None] * len(new)
+                    of += [k] * len(new)
                     large, ids = True, []
                     continue
                 own = np.frombuffer(raw, "<u8")
@@ -97,10 +99,11 @@ def _bucket_links(least: float, most: int):
                         if find(x) != find(i):
                             a.append(i)
                             b.append(x)
+                            of.append(k)
                             top[find(x)] = find(i)
                 ids.append(i)
                 sigs = np.concatenate([sigs, own[None, :]])
-            yield table(a, b)
+            yield table(a, b, of)
 
     return run
 
@@ -110,14 +113,18 @@ def links(sigs: DataFrame, least: float = 0.8, most: int = 2048) -> DataFrame:
     size = 8 * HASHES // BANDS
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", F.lit(i * size + 1), F.lit(size)))
     keyed = sigs.select(F.explode(F.array(*(band(i) for i in range(BANDS)))).alias("key"), "rep", "sig")
-    found = stored(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_links(least, most), "a long, b long"))
-    out, large = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("rep")).distinct()
+    shape = "a long, b long, of long"
+    found = stored(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_links(least, most), shape))
+    out, large = found.where("b is not null").select("a", "b"), found.where("b is null").select(F.col("of").alias("key"), F.col("a").alias("rep")).distinct()
     if large.isEmpty():
         return out
-    again = sigs.join(large, "rep")
-    pairs = F.array(*(F.xxhash64(band(i), band((i + 1) % BANDS)) for i in range(BANDS)))
-    keyed = again.select(F.explode(pairs).alias("key"), "rep", "sig")
-    return out.union(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_links(least, 1 << 30), "a long, b long"))
+    blocks = large.groupBy("key").agg(F.ceil(F.count("*") / most).alias("n"))
+    placed = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), "n"))
+    cells = placed.select("key", "rep", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    again = cells.select(cell, "rep").join(sigs.select("rep", "sig"), "rep").select("key", "rep", "sig")
+    again = again.repartition("key").sortWithinPartitions("key", "rep")
+    return out.union(again.mapInArrow(_bucket_links(least, 1 << 30), shape).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

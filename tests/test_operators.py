@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumenweir.functions import queries as q
@@ -74,6 +75,29 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_near_duplicates_compare_full_buckets(spark):
+    """Members 0 to 8 share the first band only; the others differ from one base in random places."""
+    rng, h = np.random.default_rng(3), near_duplicates.HASHES
+    size = h // near_duplicates.BANDS
+    base, other = rng.integers(0, 1 << 32, (2, h))
+    sigs = {}
+    for i in range(40):
+        sig = (base if i < 9 else other).copy()
+        sig[np.arange(size, h, size) if i < 9 else rng.choice(h, 9 + i % 9, replace=False)] = i
+        sigs[i] = sig.astype("<u8")
+    near = [(a, b) for a in sigs for b in sigs if a < b and (sigs[a] == sigs[b]).mean() >= 0.8 and (sigs[a] == sigs[b]).reshape(-1, size).all(1).any()]
+    group = {i: i for i in sigs}
+    for _ in sigs:
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    rows = spark.createDataFrame([(i, x.tobytes()) for i, x in sigs.items()], "rep long, sig binary")
+    for most in (2, 2048):
+        found = near_duplicates.links(rows, most=most).collect()
+        assert {(min(r), max(r)) for r in found} <= set(near)
+        got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(found)).collect()}
+        assert {i: got.get(i, i) for i in sigs} == group and group[8] == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(100, 101), (102, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
