@@ -18,7 +18,9 @@ all columns are interchangeable. An empty table gives no rows. Texts of any leng
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,19 +28,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, _arrow_schema, arrow_map, pick, stored, texts
+from .common import _arrow_schema, arrow_map, pick, stored
 
 CAPACITY = 2048
 #: Groups of large lengths, and what part of the capacity is large.
 GROUPS = 96
 SMALL = 0.4
 #: Groups in which pieces are numbered at most, besides one for each length; pieces of one length in a group at least.
-RANK_GROUPS, RANK_ROWS = 20_000, 1_000
-#: Signs that may follow a word; the apostrophe begins tokens of its own.
-_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+RANK_GROUPS, RANK_ROWS = 20_000, 50
+#: A word's end and an ASCII sign after it; the apostrophe begins tokens of its own.
+_WORD_AND_SIGN = r"([\p{L}\p{N}])([!-&(-/:-@\[-`{-~])"
+#: Runs whose ids a worker keeps.
+RUNS_KEPT = 400_000
 #: Columns that the linear program tries at most; what it has by then is feasible.
 MOST_COLUMNS = 600
 
@@ -49,69 +54,112 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What a tokenizer's file says if its vocabulary drops white space, never joins across it, lower-cases and parts letters from signs.
+_BY_WORD = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
 class Tokenizer:
-    """Ids as little-endian 32-bit bytes. The vocabulary drops white space, never joins across it, lower-cases, and parts
-    letters from signs: so the ids of lower-cased runs between ASCII white space, and of a run's word and trailing signs,
-    are kept and put together. Words of letters are encoded many at once and parted after each token that ends a word. A
-    text that may hold the string of a special token is encoded as a whole."""
+    """Ids as 32-bit numbers. With a vocabulary that works word by word (see _BY_WORD), a slice of texts is lower-cased and cut
+    into runs at ASCII white space and between a letter or digit and an ASCII sign; each run is encoded once, and a text's
+    ids are taken from those of its runs. Words of letters are encoded many at once and parted after each token that ends
+    a word, unless the numbers of words and ends differ: then each is encoded alone. A text that may hold the string of a
+    special token, and every text with another kind of vocabulary, is encoded as a whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.own = tokenizers.Tokenizer.from_file(path)
-        vocabulary = self.own.get_vocab()
+        vocabulary, says = self.own.get_vocab(), json.loads(self.own.to_str())
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.kept: dict[bytes, bytes] = {}
+        split = (says["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_word = (
+            (says["normalizer"] or {}).get("normalizers") == _BY_WORD["normalizer"]
+            and split[0].get("pattern") == {"Regex": _BY_WORD["pre_tokenizer"]}
+            and says["model"].get("end_of_word_suffix") == "</w>"
+            and all(x["content"].startswith("<|") for x in says["added_tokens"])
+        )
+        # Two generations: a run that is met again moves to the newer one, the older one goes when the newer is full.
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, items: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.own.encode_batch_fast(items, add_special_tokens=False)]
 
-    def _keep(self, new: list[bytes]) -> None:
-        plain = [w for w in new if w.decode().isalpha()]
-        if plain:
-            joined = self._encode([b" ".join(plain[i : i + 200]).decode() for i in range(0, len(plain), 200)])
-            ids = np.concatenate(joined)
+    def _learn(self, new: list[str]) -> None:
+        plain, other = [], []
+        for w in new:
+            (plain if w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w).lower().isalpha()) else other).append(w)
+        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
             to = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(to) != len(group):
+                other += group
+                continue
             raw = ids.tobytes()
-            self.kept.update(zip(plain, (raw[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)), strict=True))
-        other = list(set(new) - self.kept.keys())
-        self.kept.update(zip(other, (x.tobytes() for x in self._encode([w.decode() for w in other])), strict=True))
-
-    def _parts(self, run: bytes) -> tuple[bytes, bytes]:
-        """A word that ends in a letter or digit, and the ASCII signs after it; else the run and nothing."""
-        word = run.rstrip(_SIGNS)
-        return (word, run[len(word) :]) if word and word != run and word[-4:].decode(errors="ignore")[-1:].isalnum() else (run, b"")
-
-    def encode(self, items: list[bytes | None]) -> Iterator[bytes]:
-        if len(self.kept) > CACHE_WORDS:
-            self.kept.clear()
-        for at in range(0, len(items), 500):
-            part = [t or b"" for t in items[at : at + 500]]
-            runs = [None if b"<|" in t else t.lower().split() for t in part]
-            new = {w: self._parts(w) for w in set().union(*(r for r in runs if r)) - self.kept.keys()}
-            self._keep(list({x for pair in new.values() for x in pair if x} - self.kept.keys()))
-            self.kept.update((w, self.kept[a] + self.kept[b]) for w, (a, b) in new.items() if b)
-            for t, r in zip(part, runs, strict=True):
-                yield self._encode([t.decode()])[0].tobytes() if r is None else b"".join(map(self.kept.__getitem__, r))
+            self.newer.update(zip(group, (raw[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)), strict=True))
+        self.newer.update(zip(other, (x.tobytes() for x in self._encode(other)), strict=True))
+
+    def _unknown(self, runs) -> list[str]:
+        """The runs that neither generation has; those of the older one are moved to the newer."""
+        out = []
+        for w in runs:
+            if w not in self.newer:
+                if (x := self.older.get(w)) is None:
+                    out.append(w)
+                else:
+                    self.newer[w] = x
+        return out
+
+    def of_runs(self, runs: list[str]) -> list[bytes]:
+        self._learn(self._unknown(runs))
+        out = list(map(self.newer.__getitem__, runs))
+        if len(self.newer) > RUNS_KEPT // 2:
+            self.older, self.newer = self.newer, {}
+        return out
+
+    def encode(self, column: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each text's followed by the end token; and where each text's end."""
+        items = pc.fill_null(column.cast(pa.large_string()), "")
+        whole = np.flatnonzero(pc.match_substring(items, "<|").to_numpy(zero_copy_only=False)) if self.by_word else np.arange(len(items))
+        own = [x.tobytes() for x in self._encode(items.take(pa.array(whole)).to_pylist())]
+        mask = np.zeros(len(items), bool)
+        mask[whole] = True
+        plain = pc.ascii_lower(pc.if_else(pa.array(mask), "", items))
+        runs = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, _WORD_AND_SIGN, r"\1 \2"))
+        ends = np.asarray(runs.offsets)
+        coded = runs.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        ends = ends - ends[0]
+        known = self.of_runs(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index[ends[:-1][whole]] = len(known) + np.arange(len(whole))  # such a text was left with one empty run
+        index = np.insert(index, ends[1:], len(known) + len(whole))
+        ids = pa.array([*known, *own, np.array([last], "<u4").tobytes()], pa.large_binary()).take(pa.array(index))
+        upto = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] // 4
+        return np.frombuffer(ids.buffers()[2], "<u4")[: upto[-1]], upto[ends[1:] + np.arange(1, len(items) + 1)]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and the end token, cut at multiples of the capacity."""
-    path, last, kept = tokenizer or default_tokenizer(), np.array([end], "<u4").tobytes(), []
+    path, kept = tokenizer or default_tokenizer(), []
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
 
     def of(batch: pa.RecordBatch) -> dict:
         kept[:] = kept or [Tokenizer(path)]
-        out = {"at": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-        for i, ids in enumerate(kept[0].encode(texts(batch.column(1)))):
-            ids += last
-            for k in range(0, len(ids), 4 * capacity):
-                part = ids[k : k + 4 * capacity]
-                for name, v in zip(out, (i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                    out[name].append(v)
-        return out | {"doc_id": batch.column(0).take(pa.array(out["at"], pa.int64()))}
+        ids, ends = kept[0].encode(batch.column(1), end)
+        sizes = np.diff(ends, prepend=0)
+        n = -(-sizes // capacity)
+        at = np.repeat(np.arange(len(n)), n)
+        piece = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        start = piece * capacity
+        length = np.minimum(sizes[at] - start, capacity)
+        first, raw = (ends - sizes)[at] + start, memoryview(ids).cast("B")
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+        return {"doc_id": batch.column(0).take(pa.array(at)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc}
 
     return arrow_map(rows, of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 

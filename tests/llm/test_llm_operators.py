@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, same_rows
 from pyspark.sql import functions as F
@@ -152,8 +153,16 @@ def test_packing(spark, docs, texts, edges):
 def test_tokenizer_parts():
     own = packing.Tokenizer(packing.default_tokenizer())
     items = ["It's o'clock!! (a)b,c... é… ÀÉ?! x y z é. 12ab#$ don't'", "a <|endoftext|> B", "\x1c\x1fq", "…!", "ß.ſ!"]
-    for t, raw in zip(items, own.encode([x.encode() for x in items]), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == own.own.encode(t, add_special_tokens=False).ids
+    items += ["İstanbul DİYARBAKIR kilise", "ﬁ ﬃx שּׁ שלום", "e\u0301te\u0301 a\u0301b", "ΣΑΣ ὈΔΥΣΣΕΎΣ", "\u212a \u212b", "ａｂｃ １２", "\u3000全角\u3000空白", "ǅ ŉ", " a ", "\x1c\x1d", "word,word; (x) y's ''s 'tis", "<|endoftext|> a", "ไทย हिन्दी", None]
+    ids, ends = own.encode(pa.array(items, pa.string()), 0)
+    for t, a, b in zip(items, [0, *ends[:-1]], ends, strict=True):
+        assert ids[a:b].tolist() == [*own.own.encode(t or "", add_special_tokens=False).ids, 0]
+    own.newer, own.older = {}, own.newer
+    again, _ = own.encode(pa.array(items, pa.string()), 0)
+    assert (again == ids).all()
+    own.by_word = False
+    again, _ = own.encode(pa.array(items, pa.string()), 0)
+    assert (again == ids).all()
 
 
 def test_packed_runs():
