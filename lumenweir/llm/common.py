@@ -40,9 +40,12 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone; other columns may have any names, also ones that differ in case only."""
     plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
-    lower = [c.lower() for c in df.columns]
-    at = lambda n: df.columns.index(n) if n in df.columns else lower.index(n.lower())
-    return plain.select(*(F.col(f"_{at(n)}").alias(n) for n in names))
+    return plain.select(*(F.col(f"_{place(df.columns, n)}").alias(n) for n in names))
+
+
+def place(columns: list[str], name: str) -> int:
+    """Where the column of that name is; if none has just that name, the first that differs from it in case only."""
+    return columns.index(name) if name in columns else [c.lower() for c in columns].index(name.lower())
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

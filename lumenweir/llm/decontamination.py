@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, chunks, pick, stored, texts, without
+from .common import WordHashes, arrow_map, chunks, pick, place, stored, texts, without
 
 #: Upper-case ASCII to lower case; other ASCII characters that are no letter or digit to a space.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -116,7 +116,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
         return _joined(docs, windows, text)
     known, cache = spark.sparkContext.broadcast(_Windows(windows.collect())), []
     columns = docs.columns
-    at = columns.index(text)
+    at = place(columns, text)
 
     def of(batch: pa.RecordBatch) -> dict:
         cache[:] = cache or [WordHashes()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, arrow_map, pick, texts
+from .common import CACHE_WORDS, arrow_map, pick, place, texts, without
 
 #: Labelled documents of each language that the model learns from, about.
 SAMPLE = 1_000
@@ -125,11 +125,10 @@ def _grams(marked: str):
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows with lang_pred and score; columns of these names are replaced."""
-    from .common import without
 
     docs = without(docs, "lang_pred", "score")
     shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    at, kept = columns.index(text), []
+    at, kept = place(columns, text), []
 
     def of(batch: pa.RecordBatch) -> dict:
         m, names, scores = shared.value, [], []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, chunks, pick, texts, without
+from .common import WordHashes, arrow_map, chunks, pick, place, texts, without
 
 #: log2 of the buckets, the vectors' dimension, the byte n-grams' lengths.
 BITS, DIMENSION, ORDERS = 16, 8, (3, 4)
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows with a score; a column of that name is replaced."""
     docs = without(docs, "score")
     shared, columns, kept = docs.sparkSession.sparkContext.broadcast(model), docs.columns, []
-    at = columns.index(text)
+    at = place(columns, text)
 
     def of(batch: pa.RecordBatch) -> dict:
         kept[:] = kept or [WordHashes()]

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, arrow_map, chunks, stored, texts, without
+from .common import CACHE_WORDS, arrow_map, chunks, place, stored, texts, without
 from .decontamination import words
 from .quality import sample
 
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows with a score; a column of that name is replaced."""
     docs = without(docs, "score")
     shared, columns, kept = docs.sparkSession.sparkContext.broadcast(model), docs.columns, []
-    at = columns.index(text)
+    at = place(columns, text)
 
     def of(batch: pa.RecordBatch) -> dict:
         kept[:] = kept or [shared.value.lengths()]

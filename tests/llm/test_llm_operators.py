@@ -333,5 +333,49 @@ def test_line_dedup(spark, edges):
 
 
 def test_aligned_blocks():
-    blocks = line_dedup.aligned_blocks([(0, 5, 4, True), (1, 6, 4, True), (2, 7, 4, True), (9, 0, 9, True), (12, 3, 2, True)], 8)
-    assert blocks == [(0, 3), (9, 10)]
+    blocks = line_dedup.aligned_blocks([(0, 5, 0, 1, True), (1, 6, 2, 3, True), (2, 7, 3, 4, True), (9, 0, 9, 10, True), (12, 3, 12, 13, False), (3, 8, 4, 5, False)])
+    assert blocks == [(0, 1, False), (2, 5, False), (9, 10, True), (12, 13, True)]
+
+
+def _side(worded, i, step):
+    """The nearest line with words on one side."""
+    places = [at for at, _ in worded if (at - i) * step > 0]
+    return (max if step < 0 else min)(places) if places else None
+
+
+def _brute_line_dedup(rows, least=8):
+    """Lines of a document in a run of lines with so many words that an earlier document has as well go."""
+    split = [[(at, w) for at, x in enumerate(t.split("\n")) if (w := " ".join(decontamination.words(x.encode("utf-8")) and [y.decode() for y in decontamination.words(x.encode())]))] for _, t in rows]
+    out = []
+    for k, (_, t) in enumerate(rows):
+        own, lines, gone = [w for _, w in split[k]], t.split("\n"), set()
+        for earlier in split[:k]:
+            other = [w for _, w in earlier]
+            for a in range(len(own)):
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(own) and b + n < len(other) and own[a + n] == other[b + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in own[a : a + n]) >= least:
+                        gone |= {at for at, _ in split[k][a : a + n]}
+        gone |= {i for i, x in enumerate(lines) if not decontamination.words(x.encode()) and _side(split[k], i, -1) in gone and _side(split[k], i, 1) in gone}
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_line_dedup_brute(spark):
+    rng = random.Random(5)
+    lines = [" ".join(rng.choice("abcdefghijklm") * rng.randint(1, 3) for _ in range(rng.choice([1, 2, 3, 5, 9]))) for _ in range(40)] + ["", "!!"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    block = [f"word{i} of three" for i in range(6)]
+    rows += [(100 + i, x) for i, x in enumerate(block)] + [(200, "\n\n".join(block)), (201, "own line\n" + "\n".join(block))]  # six holders of a line each; a block with blank lines
+    want = _brute_line_dedup(rows)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == want
+    assert got[200] == rows[-2][1] and got[201] == "own line"
+
+
+def test_line_dedup_of_long_texts(spark):
+    lines = [f"line {i} of a text that is read in both orders" for i in range(40_000)]
+    rows = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines)))], "doc_id long, text string")
+    assert [r["lines_deleted"] for r in line_dedup.deduplicated(rows).orderBy("doc_id").collect()] == [0, 40_000]
