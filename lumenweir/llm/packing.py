@@ -43,7 +43,7 @@ RANK_GROUPS, RANK_ROWS = 20_000, 50
 #: A word's end and an ASCII sign after it; the apostrophe begins tokens of its own.
 _WORD_AND_SIGN = r"([\p{L}\p{N}])([!-&(-/:-@\[-`{-~])"
 #: Runs whose ids a worker keeps.
-RUNS_KEPT = 400_000
+RUNS_KEPT = 300_000
 #: Columns that the linear program tries at most; what it has by then is feasible.
 MOST_COLUMNS = 600
 
@@ -73,15 +73,14 @@ class Tokenizer:
         import tokenizers
 
         self.own = tokenizers.Tokenizer.from_file(path)
-        vocabulary, says = self.own.get_vocab(), json.loads(self.own.to_str())
+        vocabulary, (normalizer, split) = self.own.get_vocab(), (json.loads(x.__getstate__()) if x else {} for x in (self.own.normalizer, self.own.pre_tokenizer))
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        split = (says["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         self.by_word = (
-            (says["normalizer"] or {}).get("normalizers") == _BY_WORD["normalizer"]
-            and split[0].get("pattern") == {"Regex": _BY_WORD["pre_tokenizer"]}
-            and says["model"].get("end_of_word_suffix") == "</w>"
-            and all(x["content"].startswith("<|") for x in says["added_tokens"])
+            normalizer.get("normalizers") == _BY_WORD["normalizer"]
+            and (split.get("pretokenizers") or [{}])[0].get("pattern") == {"Regex": _BY_WORD["pre_tokenizer"]}
+            and getattr(self.own.model, "end_of_word_suffix", None) == "</w>"
+            and all(x.content.startswith("<|") for x in self.own.get_added_tokens_decoder().values())
         )
         # Two generations: a run that is met again moves to the newer one, the older one goes when the newer is full.
         self.newer: dict[str, bytes] = {}
@@ -143,14 +142,23 @@ class Tokenizer:
         return np.frombuffer(ids.buffers()[2], "<u4")[: upto[-1]], upto[ends[1:] + np.arange(1, len(items) + 1)]
 
 
+_LOADED: dict[str, Tokenizer] = {}
+
+
+def loaded(path: str) -> Tokenizer:
+    """The worker's tokenizer of that file, with the runs that it has met in earlier tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = Tokenizer(path)
+    return _LOADED[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and the end token, cut at multiples of the capacity."""
-    path, kept = tokenizer or default_tokenizer(), []
+    path = tokenizer or default_tokenizer()
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
 
     def of(batch: pa.RecordBatch) -> dict:
-        kept[:] = kept or [Tokenizer(path)]
-        ids, ends = kept[0].encode(batch.column(1), end)
+        ids, ends = loaded(path).encode(batch.column(1), end)
         sizes = np.diff(ends, prepend=0)
         n = -(-sizes // capacity)
         at = np.repeat(np.arange(len(n)), n)
