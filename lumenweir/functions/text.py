@@ -6,17 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns that results depend on.
-SSN = r"\b\d{6}[- ]?\d{7}\b"
-CARD = r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"
-PHONE = r"\b01[016789][- ]?\d{3,4}[- ]?\d{4}\b"
-EMAIL = r"\b[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+(\.[0-9A-Za-z_-]+)+\b"
+SSN = r"(?U)\b\d{6}[- ]?\d{7}\b"
+CARD = r"(?U)\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"
+PHONE = r"(?U)\b01[016789][- ]?\d{3,4}[- ]?\d{4}\b"
+EMAIL = r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
 DEPRECATED = r"(?i)\bdeprecated\b|\bobsolete\b|폐기|중단|사용\s*금지"
 PARTICLES = r"(에서|으로|은|는|이|가|을|를|의|에|로|와|과|도)$"
 
 
+#: All characters that Unicode calls white space, and the four separators of ASCII.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at either end; null stays null."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def trimmed(c: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    """Without white space at either end; null as empty."""
+    return stripped(F.coalesce(c, F.lit("")))
 
 
 def squeezed(c: Column) -> Column:
@@ -37,11 +46,11 @@ def mask_pii(c: Column) -> Column:
 
 
 def content_hash(c: Column) -> Column:
-    return F.substring(F.sha2(F.lower(F.trim(c)), 256), 1, 32)
+    return F.substring(F.sha2(F.lower(stripped(c)), 256), 1, 32)
 
 
 def chunk_fingerprint(c: Column) -> Column:
-    return F.substring(F.sha2(F.trim(c), 256), 1, 16)
+    return F.substring(F.sha2(stripped(c), 256), 1, 16)
 
 
 def percent_bucket(*parts: Column) -> Column:
@@ -109,8 +118,9 @@ def word_shingles(c: Column, n: int = 3) -> Column:
 
 
 def clean_for_embedding(c: Column) -> Column:
-    """Without tags and control characters, white space squeezed."""
-    return squeezed(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"[\x00-\x08\x0E-\x1F\x7F]", " "))
+    """Without tags and control characters; spaces as one, blank lines at most one."""
+    c = F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    return stripped(F.regexp_replace(F.regexp_replace(c, r"(?U)[^\S\n]+", " "), r"\n{3,}", "\n\n"))
 
 
 def noise_score(c: Column) -> Column:
@@ -123,10 +133,14 @@ def truncated(c: Column, most: int = 8000) -> Column:
 
 
 def lead_summary(c: Column, most: int = 200) -> Column:
-    """The start of a text, up to its last sentence end where one lies beyond half of it."""
-    lead = F.substring(squeezed(c), 1, most)
-    to = most - F.instr(F.reverse(lead), ".") + 1
-    return F.when(F.length(squeezed(c)) <= most, squeezed(c)).when((F.instr(lead, ".") > 0) & (to > most / 2), F.substring(lead, F.lit(1), to)).otherwise(lead)
+    """The start of a text, up to the last end of a sentence: the first kind of end that is last found beyond place 50."""
+    lead, out = stripped(F.substring(c, 1, most)), None
+    for end in (".", "。", "\n", "다.", "요."):
+        at = F.length(lead) - F.instr(F.reverse(lead), end[::-1]) - len(end) + 1
+        found = (F.instr(lead, end) > 0) & (at > 50)
+        cut = F.substring(lead, F.lit(1), at + 1)
+        out = F.when(found, cut) if out is None else out.when(found, cut)
+    return F.when(F.length(c) <= most, stripped(c)).otherwise(out.otherwise(lead))
 
 
 def lucene_or(c: Column, most: int = 10) -> Column:
@@ -138,7 +152,7 @@ def lucene_or(c: Column, most: int = 10) -> Column:
 
 def specificity(c: Column) -> Column:
     """How specific a query is: distinct words, length and longer words."""
-    w = tokens(c)
+    w = F.filter(F.split(squeezed(c), " "), lambda x: x != "")
     n = F.size(w)
     unique = F.size(F.array_distinct(w)) / n
     length = F.least(n / F.lit(10.0), F.lit(1.0))

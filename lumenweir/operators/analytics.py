@@ -40,10 +40,9 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFram
 
 
 def first_in_window(rows: DataFrame, key: list[str], ts: str, order: str, seconds: int) -> DataFrame:
-    """Rows with no row of the same key in the seconds before: what an idempotency window lets through."""
-    before = F.lag(ts).over(Window.partitionBy(*key).orderBy(ts, order))
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))
-    return rows.withColumn("_before", before).where(F.col("_before").isNull() | (gap > seconds * 1_000_000)).drop("_before")
+    """Rows that an idempotency window lets through: those with no row let through of the same key in the seconds before."""
+    passed = allowed_by_rate(rows.withColumn("_key", F.xxhash64(*key)), "_key", ts, order, 1, seconds, at_end=False).where("allowed")
+    return rows.join(passed.select(order), order, "left_semi")
 
 
 def latest_state(beats: DataFrame, key: str, ts: str, as_of: str, timeout_seconds: int) -> DataFrame:
@@ -57,9 +56,10 @@ def retained(rows: DataFrame, ts: str, as_of: str, days: int) -> DataFrame:
     return rows.where(F.col(ts) >= F.lit(as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(days)))
 
 
-def allowed_by_rate(requests: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:
+def allowed_by_rate(requests: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int, at_end: bool = True) -> DataFrame:
     """Which requests of a key a sliding window of `limit` accepted ones in the seconds before lets pass. Acceptance depends
-    on the acceptances before, so that a key's times are walked through in order, in bounded memory (the last `limit`)."""
+    on the acceptances before, so that a key's times are walked through in order, in bounded memory (the last `limit`).
+    at_end: whether an acceptance just so many seconds ago no longer counts."""
     from collections import deque
 
     import pyarrow as pa
@@ -73,7 +73,7 @@ def allowed_by_rate(requests: DataFrame, key: str, ts: str, order: str, limit: i
             for k, at in zip(b.column(0).to_pylist(), b.column(1).cast(pa.int64()).to_pylist(), strict=True):
                 if k != now:
                     now, passed = k, deque()
-                while passed and passed[0] <= at - seconds * 1_000_000:
+                while passed and passed[0] < at - seconds * 1_000_000 + at_end:
                     passed.popleft()
                 ok.append(len(passed) < limit)
                 if ok[-1]:

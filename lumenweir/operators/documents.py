@@ -12,30 +12,36 @@ GOLD, GOLD_STRUCTURED, SILVER, SILVER_STRUCTURED, BRONZE = 2000, 1000, 500, 200,
 MOST_BYTES = 100 * 1024 * 1024
 
 
-def first_seen(docs: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
-    """With duplicate_of: the first row's id of an equal key, null for that row itself. The keys' least ids are summed up
-    before they are joined, so that a key of many rows isn't gathered."""
-    keyed = docs.withColumn("_key", key)
-    first = keyed.groupBy("_key").agg(F.min(order).alias("_first"))
-    return keyed.join(first, "_key").withColumn("duplicate_of", F.when(F.col("_first") != F.col(order), F.col("_first"))).drop("_key", "_first")
+def first_seen(docs: DataFrame, key: str, order: str = "doc_id") -> DataFrame:
+    """With duplicate_of: the first row's id of an equal key, null for that row itself and for null keys. The keys' least
+    ids are summed up before they are joined, so that a key of many rows isn't gathered."""
+    first = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    keyed = docs.where(F.col(key).isNotNull()).join(first, F.col(key) == F.col("_key"))
+    keyed = keyed.select(*docs.columns, F.when(F.col("_first") != F.col(order), F.col("_first")).alias("duplicate_of"))
+    return keyed.unionByName(docs.where(F.col(key).isNull()).withColumn("duplicate_of", F.lit(None).cast(docs.schema[order].dataType)))
 
 
 def gate_checks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Verdicts of the checks that a text alone allows, and the gate's action. Needs duplicate_of (see first_seen)."""
-    body = t.trimmed(F.col(text))
+    """Verdicts of the checks that a text alone allows; a null text is an empty one, which fails."""
+    docs = docs.withColumn("_body", t.trimmed(F.col(text)))
+    body, whole = F.col("_body"), F.coalesce(F.col(text), F.lit(""))
     n = F.length(body)
     words = F.regexp_count(body, F.lit(r"[0-9A-Za-z_À-ÖØ-öø-ÿ가-힣]+"))
     ko, en = F.regexp_count(F.substring(body, 1, 2000), F.lit("[가-힣]")), F.regexp_count(F.substring(body, 1, 2000), F.lit("[A-Za-z]"))
     verdict = {
         "ig03": F.when(n == 0, "fail").when(n < BRONZE, "warn").otherwise("pass"),
-        "ig04": F.when(F.col(text).rlike(t.DEPRECATED), "fail").otherwise("pass"),
-        "ig05": F.when(F.col("duplicate_of").isNotNull(), "fail").otherwise("pass"),
-        "ig07": F.when(F.octet_length(text) > MOST_BYTES, "fail").otherwise("pass"),
+        "ig04": F.when(whole.rlike(t.DEPRECATED), "fail").otherwise("pass"),
+        "ig07": F.when(F.octet_length(whole) > MOST_BYTES, "fail").otherwise("pass"),
         "ig10": F.when(n < 25, "fail").when((n < SILVER) | (words < 10), "warn").otherwise("pass"),
         "ig11": F.when(n < 20, "skip").when((ko > en) | (en > 0), "pass").otherwise("warn"),
         "ig12": F.when(n < BRONZE, "fail").otherwise("pass"),
     }
-    out = docs.withColumns(verdict)
+    return docs.withColumns(verdict).drop("_body")
+
+
+def gate_action(checked: DataFrame) -> DataFrame:
+    """With ig05, from duplicate_of (see first_seen), and the gate's action."""
+    out = checked.withColumn("ig05", F.when(F.col("duplicate_of").isNotNull(), "fail").otherwise("pass"))
     core = sum(((F.col(k) == "fail").cast("int") for k in ("ig03", "ig04", "ig10", "ig11")), F.lit(0))
     hard = (F.col("ig05") == "fail") | (F.col("ig12") == "fail")
     return out.withColumn("action", F.when(F.col("ig07") == "fail", "quarantine").when(hard | (core >= 2), "reject").when(core == 1, "hold").otherwise("proceed"))
@@ -59,11 +65,12 @@ def quality_tier() -> Column:
 
 
 def quality_score(tier: Column) -> Column:
-    """0 to 100: a base by tier, a part for the logarithm of the length, and one for structure."""
-    base = F.when(tier == "GOLD", 60).when(tier == "SILVER", 40).when(tier == "BRONZE", 20).otherwise(0)
-    length = F.least(F.log1p(F.col("content_length")) / F.log1p(F.lit(10000)), F.lit(1.0)) * 20
-    marks = sum((F.col(k).cast("int") for k in ("has_tables", "has_code", "has_headers", "has_images", "has_links")), F.lit(0)) * 4
-    return F.round(F.least(base + length + marks, F.lit(100.0)), 1)
+    """0 to 100: up to 60 for the logarithm of the length, 8 for each mark of structure, and a bonus by tier; 50 without metrics."""
+    n = F.col("content_length")
+    base = F.when(n > 0, F.least(F.lit(60.0), F.log1p(n) / F.log1p(F.lit(5000)) * 60)).otherwise(0.0)
+    marks = sum((F.col(k).cast("int") for k in ("has_tables", "has_code", "has_headers", "has_images", "has_links")), F.lit(0)) * 8
+    bonus = F.when(tier == "GOLD", 15).when(tier == "SILVER", 10).when(tier == "BRONZE", 5).otherwise(0)
+    return F.when(n.isNull(), 50.0).otherwise(F.least(F.lit(100.0), F.round(base + marks + bonus, 1)))
 
 
 def latest_version(pages: DataFrame, key: str, *order: str) -> DataFrame:

@@ -49,7 +49,10 @@ def user_sessions(spark, sf_dir):
     return a.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 3600)
 
 
-@r.query("WITH p AS (SELECT event_id, user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events) SELECT event_id, user_id, event_type FROM p WHERE b IS NULL OR ts - b > INTERVAL 1800 SECOND")
+@r.query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT *, ts AS held, true AS ok FROM e WHERE k = 1
+ UNION ALL SELECT e.*, CASE WHEN e.ts - w.held > INTERVAL 1800 SECOND THEN e.ts ELSE w.held END, e.ts - w.held > INTERVAL 1800 SECOND FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.k = w.k + 1)
+SELECT event_id, user_id, event_type FROM w WHERE ok""")
 def idempotent_events(spark, sf_dir):
     return a.first_in_window(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "event_id", 1800).select("event_id", "user_id", "event_type")
 
@@ -70,7 +73,11 @@ def retained_events(spark, sf_dir):
     return kept.groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"))
 
 
-@r.query()
+@r.query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT *, [ts] AS held, true AS allowed FROM e WHERE k = 1
+ UNION ALL SELECT event_id, user_id, ts, k, CASE WHEN len(live) < 3 THEN list_append(live, ts) ELSE live END, len(live) < 3
+ FROM (SELECT e.*, list_filter(w.held, lambda x: x > e.ts - INTERVAL 86400 SECOND) AS live FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1))
+SELECT event_id, allowed FROM w""")
 def rate_limited(spark, sf_dir):
     return a.allowed_by_rate(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 86400)
 

@@ -83,9 +83,9 @@ def point_in_time(spark, sf_dir):
     return g.as_of(h, "1998-01-01").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@r.query("SELECT l.l_orderkey, l.l_linenumber, x.l_linenumber AS sibling, abs(x.l_linenumber - l.l_linenumber) AS away FROM lineitem l JOIN lineitem x ON x.l_orderkey = l.l_orderkey AND x.l_linenumber BETWEEN l.l_linenumber - 1 AND l.l_linenumber + 1 AND x.l_linenumber <> l.l_linenumber WHERE l.l_orderkey % 20 = 0")
+@r.query("SELECT l.l_orderkey, l.l_linenumber, x.l_linenumber AS sibling, abs(x.l_linenumber - l.l_linenumber) AS away FROM lineitem l JOIN lineitem x ON x.l_orderkey = l.l_orderkey AND x.l_linenumber BETWEEN l.l_linenumber - 1 AND l.l_linenumber + 1 AND x.l_linenumber <> l.l_linenumber")
 def sibling_lines(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").where("l_orderkey % 20 = 0")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     x = li.select("l_orderkey", F.col("l_linenumber").alias("sibling"))
     return li.join(x, "l_orderkey").where("sibling between l_linenumber - 1 and l_linenumber + 1 and sibling <> l_linenumber").withColumn("away", F.abs(F.col("sibling") - F.col("l_linenumber")))
 

@@ -10,7 +10,8 @@ from ..operators import documents as d
 from .registry import Registry, table
 
 r = Registry()
-_TRIM = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+_STRIP = f"trim({{0}}, '{t.SPACES}')"
+_TRIM = _STRIP.format("coalesce(text, '')")
 _METRICS = r"""SELECT *, length(text) AS content_length, regexp_matches(text, '\|.*\|.*\|') AS has_tables, regexp_matches(text, '```|<code>') AS has_code,
   regexp_matches(text, '(?m)^#{1,6}\s') OR regexp_matches(text, '<h[1-6]>') AS has_headers, regexp_matches(text, '!\[.*\]\(.*\)|<img') AS has_images, regexp_matches(text, '\[.*\]\(.*\)|<a\s+href') AS has_links FROM documents"""
 _TIER = "CASE WHEN content_length >= 2000 OR (content_length >= 1000 AND (has_tables OR has_code)) THEN 'GOLD' WHEN content_length >= 500 OR (content_length >= 200 AND (has_tables OR has_code OR has_headers)) THEN 'SILVER' WHEN content_length >= 50 THEN 'BRONZE' ELSE 'NOISE' END"
@@ -29,8 +30,8 @@ def quality_tiers(spark, sf_dir):
 
 
 @r.query(f"""WITH m AS ({_METRICS}), q AS (SELECT *, {_TIER} AS tier FROM m)
-SELECT doc_id, tier, has_tables, has_code, has_headers, has_images, has_links, round(least(CASE tier WHEN 'GOLD' THEN 60 WHEN 'SILVER' THEN 40 WHEN 'BRONZE' THEN 20 ELSE 0 END
- + least(ln(1 + content_length) / ln(10001), 1.0) * 20 + 4 * (has_tables::INT + has_code::INT + has_headers::INT + has_images::INT + has_links::INT), 100.0), 1) AS quality_score FROM q""")
+SELECT doc_id, tier, has_tables, has_code, has_headers, has_images, has_links, least(100.0, round(least(60.0, ln(1 + content_length) / ln(5001) * 60)
+ + 8 * (has_tables::INT + has_code::INT + has_headers::INT + has_images::INT + has_links::INT) + CASE tier WHEN 'GOLD' THEN 15 WHEN 'SILVER' THEN 10 WHEN 'BRONZE' THEN 5 ELSE 0 END, 1)) AS quality_score FROM q""")
 def quality_scores(spark, sf_dir):
     m = d.quality_metrics(_docs(spark, sf_dir)).withColumn("tier", d.quality_tier())
     return m.select("doc_id", "tier", "has_tables", "has_code", "has_headers", "has_images", "has_links", d.quality_score(F.col("tier")).alias("quality_score"))
@@ -38,10 +39,10 @@ def quality_scores(spark, sf_dir):
 
 _GATE = rf"""
 WITH f AS (SELECT sha256(text) AS h, min(doc_id) AS first FROM documents GROUP BY 1),
-b AS (SELECT doc_id, text, {_TRIM} AS body, CASE WHEN f.first <> doc_id THEN f.first END AS duplicate_of FROM documents JOIN f ON f.h = sha256(text)),
+b AS (SELECT doc_id, text, {_TRIM} AS body, CASE WHEN f.first <> doc_id THEN f.first END AS duplicate_of FROM documents LEFT JOIN f ON f.h = sha256(text)),
 c AS (SELECT *, length(body) AS n, len(regexp_extract_all(body, '[0-9A-Za-z_À-ÖØ-öø-ÿ가-힣]+')) AS words, len(regexp_extract_all(body[1:2000], '[가-힣]')) AS ko, len(regexp_extract_all(body[1:2000], '[A-Za-z]')) AS en FROM b),
 v AS (SELECT doc_id, duplicate_of, CASE WHEN n = 0 THEN 'fail' WHEN n < 50 THEN 'warn' ELSE 'pass' END AS ig03,
- CASE WHEN regexp_matches(text, '(?i)\bdeprecated\b|\bobsolete\b|폐기|중단|사용\s*금지') THEN 'fail' ELSE 'pass' END AS ig04,
+ CASE WHEN regexp_matches(coalesce(text, ''), '(?i)\bdeprecated\b|\bobsolete\b|폐기|중단|사용\s*금지') THEN 'fail' ELSE 'pass' END AS ig04,
  CASE WHEN duplicate_of IS NOT NULL THEN 'fail' ELSE 'pass' END AS ig05, CASE WHEN strlen(text) > 104857600 THEN 'fail' ELSE 'pass' END AS ig07,
  CASE WHEN n < 25 THEN 'fail' WHEN n < 500 OR words < 10 THEN 'warn' ELSE 'pass' END AS ig10, CASE WHEN n < 20 THEN 'skip' WHEN ko > en OR en > 0 THEN 'pass' ELSE 'warn' END AS ig11,
  CASE WHEN n < 50 THEN 'fail' ELSE 'pass' END AS ig12 FROM c),
@@ -52,8 +53,8 @@ SELECT doc_id, duplicate_of, ig03, ig04, ig05, ig07, ig10, ig11, ig12, CASE WHEN
 
 @r.query(_GATE)
 def ingestion_gate(spark, sf_dir):
-    seen = d.first_seen(_docs(spark, sf_dir), F.sha2("text", 256))
-    return d.gate_checks(seen).select("doc_id", "duplicate_of", "ig03", "ig04", "ig05", "ig07", "ig10", "ig11", "ig12", "action")
+    checked = d.gate_checks(_docs(spark, sf_dir)).withColumn("sha", F.sha2("text", 256)).drop("text")  # only verdicts and hashes are shuffled
+    return d.gate_action(d.first_seen(checked, "sha")).select("doc_id", "duplicate_of", "ig03", "ig04", "ig05", "ig07", "ig10", "ig11", "ig12", "action")
 
 
 @r.query(f"WITH g AS ({_GATE}) SELECT action, count(*) AS n, sum((ig05 = 'fail')::INT)::BIGINT AS duplicates, round(sum((action = 'proceed')::INT) / count(*), 4) AS pass_rate FROM g GROUP BY action")
@@ -61,12 +62,12 @@ def gate_summary(spark, sf_dir):
     return ingestion_gate(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"), F.count_if(F.col("ig05") == "fail").alias("duplicates"), F.round(F.count_if(F.col("action") == "proceed") / F.count("*"), 4).alias("pass_rate"))
 
 
-@r.query("SELECT doc_id, sha256(lower(trim(text)))[1:32] AS content_hash, sha256(trim(text))[1:16] AS chunk_fingerprint, ('0x' || sha256(lower(trim(source)) || '||' || lower(trim(lang)))[1:8])::BIGINT % 100 AS bucket FROM documents")
+@r.query(f"SELECT doc_id, sha256(lower({_STRIP.format('text')}))[1:32] AS content_hash, sha256({_STRIP.format('text')})[1:16] AS chunk_fingerprint, ('0x' || sha256(lower(trim(source)) || '||' || lower(trim(lang)))[1:8])::BIGINT % 100 AS bucket FROM documents")
 def text_hashes(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", t.content_hash(F.col("text")).alias("content_hash"), t.chunk_fingerprint(F.col("text")).alias("chunk_fingerprint"), t.percent_bucket(F.col("source"), F.col("lang")).alias("bucket"))
 
 
-@r.query("WITH h AS (SELECT sha256(lower(trim(text)))[1:32] AS content_hash, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1) SELECT content_hash, first_doc, n FROM h WHERE n > 1")
+@r.query(f"WITH h AS (SELECT sha256(lower({_STRIP.format('text')}))[1:32] AS content_hash, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1) SELECT content_hash, first_doc, n FROM h WHERE n > 1")
 def exact_duplicates(spark, sf_dir):
     groups = _docs(spark, sf_dir).groupBy(t.content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
     return groups.where("n > 1")
@@ -88,7 +89,7 @@ def text_traits(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(t.tokens(c)).alias("n_tokens"), F.size(F.array_distinct(t.tokens(c))).alias("n_distinct"), F.length(t.squeezed(c)).alias("clean_length"), F.round(t.noise_score(c), 6).alias("noise"), t.script_language(c).alias("script"))
 
 
-@r.query(rf"""WITH w AS (SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark) SELECT item_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE 0.4 * len(list_distinct(w)) / len(w) + 0.3 * least(len(w) / 10.0, 1.0) + 0.3 * len(list_filter(w, lambda x: length(x) >= 3)) / len(w) END, 6) AS specificity FROM w""")
+@r.query(rf"""WITH w AS (SELECT item_id, list_filter(string_split({_SQUEEZE.format('text')}, ' '), lambda x: x <> '') AS w FROM benchmark) SELECT item_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE 0.4 * len(list_distinct(w)) / len(w) + 0.3 * least(len(w) / 10.0, 1.0) + 0.3 * len(list_filter(w, lambda x: length(x) >= 3)) / len(w) END, 6) AS specificity FROM w""")
 def query_specificity(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(t.specificity(F.col("text")), 6).alias("specificity"))
 
@@ -163,11 +164,14 @@ def latest_page_of_host(spark, sf_dir):
     return d.latest_version(pages, "host", "page_id")
 
 
-@r.query("SELECT sha256(string_agg(page_id || ':1:' || sha256(html), chr(10) ORDER BY page_id || ':1:' || sha256(html))) AS fingerprint, count(*) AS n FROM pages")
+@r.query("""WITH l AS (SELECT page_id || ':1:' || sha256(html) AS l FROM pages), b AS (SELECT sha256(l)[1:3] AS bucket, sha256(string_agg(l, chr(10) ORDER BY l)) AS digest, count(*) AS n FROM l GROUP BY 1)
+SELECT sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS fingerprint, sum(n)::BIGINT AS n FROM b""")
 def corpus_fingerprint(spark, sf_dir):
-    """One hash of all pages whatever their order: a line for each page (66 bytes and its id) is gathered, not the pages."""
+    """One hash of all pages whatever their order: the sorted lines of each of 4,096 ranges of their hashes are hashed, then the digests."""
     lines = table(spark, sf_dir, "pages").select(F.concat_ws(":", "page_id", F.lit("1"), F.sha2("html", 256)).alias("l"))
-    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("fingerprint"), F.count("*").alias("n"))
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256)
+    ranges = lines.groupBy(F.substring(F.sha2("l", 256), 1, 3).alias("bucket")).agg(F.concat_ws(":", "bucket", digest).alias("d"), F.count("*").alias("n"))
+    return ranges.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("fingerprint"), F.sum("n").alias("n"))
 
 
 @r.query(r"""SELECT q.conv_id, q.turn, sha256(q.text)[1:16] AS question, sha256(a.text)[1:16] AS answer FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'""")

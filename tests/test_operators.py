@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumenweir.functions import queries as q
@@ -13,13 +14,14 @@ from lumenweir.streaming import state
 
 
 def one(spark, column, **values):
-    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'string' if isinstance(v, str) or v is None else 'double' if isinstance(v, float) else 'int'}" for k, v in values.items()))
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'string' if isinstance(v, str) or v is None else 'double' if isinstance(v, float) else 'int'}" for k, v in values.items()))
     return row.select(column.alias("x")).first()["x"]
 
 
 def test_mask_pii(spark):
     got = one(spark, t.mask_pii(F.col("a")), a="call 010-1234-5678 or 019 123 4567, card 1234-5678-9012-3456, id 900101-1234567, x.y@mail.example.com")
     assert got == "call [PHONE] or [PHONE], card [CARD], id [SSN], [EMAIL]"
+    assert one(spark, t.mask_pii(F.col("a")), a="메일 user@x.com 또는 값user@x.co.kr") == "메일 [EMAIL] 또는 [EMAIL]"
 
 
 def test_text_functions(spark):
@@ -30,7 +32,12 @@ def test_text_functions(spark):
     assert one(spark, t.normalized_term(F.col("a")), a=" Open_API  Key- ") == "open-api-key"
     assert one(spark, t.initials(F.col("a")), a="key performance indicator") == "KPI"
     assert one(spark, t.lexical_score(F.col("a"), F.col("b")), a="same", b="Same ") == 1.0
-    assert one(spark, t.lead_summary(F.col("a"), 10), a="One two. Three four") == "One two."
+    assert one(spark, t.lead_summary(F.col("a")), a="가" * 60 + "다. " + "x" * 200) == "가" * 60 + "다."
+    assert one(spark, t.lead_summary(F.col("a")), a="One. " + "x" * 300) == "One. " + "x" * 195
+    assert one(spark, t.lead_summary(F.col("a")), a=" short ") == "short"
+    assert one(spark, t.content_hash(F.col("a")), a="X\n\u3000") == one(spark, t.content_hash(F.col("a")), a="x")
+    assert one(spark, t.specificity(F.col("a")), a="API api key") == pytest.approx(0.4 + 0.3 * 0.3 + 0.3)
+    assert one(spark, t.clean_for_embedding(F.col("a")), a="<p>a\x00  b</p>\n\n\n\nc ") == "a b\n\nc"
     assert one(spark, t.truncated(F.col("a"), 3), a="abcdef") == "abc..."
 
 
@@ -55,11 +62,25 @@ def test_query_functions(spark):
 
 def test_first_seen_and_gate(spark):
     rows = spark.createDataFrame([(1, "x" * 600 + " a b c d e f g h i j"), (2, "x" * 600 + " a b c d e f g h i j"), (3, ""), (4, "short"), (5, "Deprecated " + "word " * 120), (6, None)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in documents.gate_checks(documents.first_seen(rows, F.sha2(F.coalesce("text", F.lit("")), 256))).collect()}
+    got = {r["doc_id"]: r for r in documents.gate_action(documents.first_seen(documents.gate_checks(rows).withColumn("sha", F.sha2("text", 256)), "sha")).collect()}
     assert got[1]["action"] == "proceed" and got[2]["duplicate_of"] == 1 and got[2]["action"] == "reject"
+    assert len(got) == 6 and got[6]["action"] == "reject"
     assert got[3]["ig03"] == "fail" and got[4]["ig12"] == "fail" and got[5]["action"] == "hold" and got[6]["ig03"] == "fail"
 
 
+def test_quality_score(spark):
+    metrics = dict(has_tables=True, has_code=False, has_headers=True, has_images=False, has_links=False)
+    assert one(spark, documents.quality_score(F.lit("SILVER")), content_length=5000, **metrics) == 86.0
+    assert one(spark, documents.quality_score(F.lit("NOISE")), content_length=0, **dict.fromkeys(metrics, False)) == 0.0
+    assert one(spark, documents.quality_score(F.lit("NOISE")), content_length=None, **metrics) == 50.0
+
+
+def test_idempotency_window(spark):
+    rows = spark.createDataFrame([(i, "k", s) for i, s in enumerate((0, 50, 60, 70, 120, 131))], "id long, key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    kept = analytics.first_in_window(rows, ["key"], "ts", "id", 60)
+    assert sorted(r["s"] for r in kept.collect()) == [0, 70, 131]
+
+
 def test_sentence_groups_and_sections(spark):
     rows = spark.createDataFrame([(1, "Aa bb. Cc dd. Ee ff."), (2, None), (3, "")], "doc_id long, text string")
     assert [r["text"] for r in chunking.chunks(rows, 13).orderBy("chunk").collect()] == ["Aa bb. Cc dd.", "Cc dd. Ee ff."]
