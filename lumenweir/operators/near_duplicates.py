@@ -2,7 +2,10 @@
 
 Rows of equal signatures are taken as one first, so that copies cost one row. A bucket's members are compared within one
 task, which gives links that join them rather than all pairs; a bucket of more than `most` members is cut into blocks by a
-hash of the member, and every pair of blocks is compared in a task of its own, so that all its pairs are compared. Null and empty texts have no shingles and are linked to nothing. Empty tables give no rows.
+hash of the member, and every pair of blocks is compared in a task of its own, so that all its pairs are compared. Pairs
+whose estimated measure is beyond the threshold by MARGIN, three standard deviations, are linked at once; those within
+MARGIN on either side are verified by the sets of their shingles. Null and empty texts have no shingles and are linked to
+nothing. Rows that share an id are taken as one document. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .components import connected_components
 
 # What signatures depend on.
 HASHES, BANDS, PRIME, SEED = 128, 16, 4294967311, 42
+#: How far from the threshold an estimate is trusted.
+MARGIN = 0.1
 
 
 def parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -30,17 +35,20 @@ def parameters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """a * x modulo PRIME without overflow: x in halves of 16 bits."""
+    """a * x modulo PRIME without overflow: x in two parts."""
     p = np.uint64(PRIME)
     high, low = x >> np.uint64(17), x & np.uint64((1 << 17) - 1)
     return ((a * high % p) * np.uint64(1 << 17) + a * low) % p
 
 
-def signature(text: str | None, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+def shingles_of(text: str | None, n: int) -> set[str]:
     words = (text or "").lower().split()
-    if not words:
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def signature(text: str | None, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    if not (shingles := shingles_of(text, n)):
         return None
-    shingles = {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
     x = np.array([int(md5(s.encode(), usedforsecurity=False).hexdigest(), 16) % PRIME for s in shingles], np.uint64)
     out = np.full(HASHES, PRIME, np.uint64)
     for i in range(0, len(x), 2048):
@@ -64,11 +72,11 @@ def signatures(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str =
 
 
 def _bucket_links(least: float, most: int):
-    """Over rows (key, rep, sig) sorted by key: links (a, b, of) with their key, and (a, null, of) for each member of a larger bucket."""
+    """Over rows (key, rep, sig) sorted by key: links (a, b, of, sure) with their key, and (a, null, of, null) for each member of a larger bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sigs, large = None, [], [], False
-
+        key, ids, large = None, [], False
+        sigs = np.empty((16, HASHES), np.uint64)
         top: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -76,63 +84,80 @@ def _bucket_links(least: float, most: int):
                 x = top[x]
             return x
 
-        def table(a, b, of) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, of)], ["a", "b", "of"])
-
         for batch in batches:
-            a, b, of = [], [], []
+            out: list[tuple] = []
             for k, i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
-                    key, ids, sigs, large = k, [], np.empty((0, HASHES), np.uint64), False
+                    key, ids, large = k, [], False
                     top.clear()
                 if large or len(ids) >= most:
-                    new = [i] if large else [*ids, i]
-                    a += new
-                    b += [None] * len(new)
-                    of += [k] * len(new)
+                    out += [(x, None, k, None) for x in [*ids, i]]
                     large, ids = True, []
                     continue
                 own = np.frombuffer(raw, "<u8")
-                if len(ids):
-                    near = [ids[j] for j in np.flatnonzero((sigs == own).mean(1) >= least)]
-                    for x in near:
-                        if find(x) != find(i):
-                            a.append(i)
-                            b.append(x)
-                            of.append(k)
-                            top[find(x)] = find(i)
+                alike = (sigs[: len(ids)] == own).mean(1)
+                for j in np.flatnonzero(alike >= least - MARGIN):
+                    if find(ids[j]) != find(i):
+                        sure = bool(alike[j] >= least + MARGIN)
+                        out.append((i, ids[j], k, sure))
+                        if sure:
+                            top[find(ids[j])] = find(i)
+                if len(ids) == len(sigs):
+                    sigs = np.concatenate([sigs, np.empty_like(sigs)])
+                sigs[len(ids)] = own
                 ids.append(i)
-                sigs = np.concatenate([sigs, own[None, :]])
-            yield table(a, b, of)
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "of", "sure"])
 
     return run
 
 
-def links(sigs: DataFrame, least: float = 0.8, most: int = 2048) -> DataFrame:
-    """(a, b) of representatives (rep, sig) whose estimated Jaccard measure is `least` or more, found by a common band."""
+def links(sigs: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.8, most: int = 2048) -> DataFrame:
+    """(a, b) of representatives (rep, sig) of documents (doc_id, text) whose Jaccard measure is `least` or more, found by a common band."""
     size = 8 * HASHES // BANDS
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", F.lit(i * size + 1), F.lit(size)))
     keyed = sigs.select(F.explode(F.array(*(band(i) for i in range(BANDS)))).alias("key"), "rep", "sig")
-    shape = "a long, b long, of long"
+    shape = "a long, b long, of long, sure boolean"
     found = stored(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_links(least, most), shape))
-    out, large = found.where("b is not null").select("a", "b"), found.where("b is null").select(F.col("of").alias("key"), F.col("a").alias("rep")).distinct()
-    if large.isEmpty():
-        return out
-    blocks = large.groupBy("key").agg(F.ceil(F.count("*") / most).alias("n"))
-    placed = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), "n"))
-    cells = placed.select("key", "rep", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
-    again = cells.select(cell, "rep").join(sigs.select("rep", "sig"), "rep").select("key", "rep", "sig")
-    again = again.repartition("key").sortWithinPartitions("key", "rep")
-    return out.union(again.mapInArrow(_bucket_links(least, 1 << 30), shape).select("a", "b"))
+    large = found.where("b is null").select(F.col("of").alias("key"), F.col("a").alias("rep")).distinct()
+    found = found.where("b is not null").select("a", "b", "sure")
+    if not large.isEmpty():
+        blocks = large.groupBy("key").agg(F.ceil(F.count("*") / most).alias("n"))
+        placed = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), "n"))
+        cells = placed.select("key", "rep", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+        cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+        again = cells.select(cell, "rep").join(sigs.select("rep", "sig"), "rep").select("key", "rep", "sig")
+        again = again.repartition("key").sortWithinPartitions("key", "rep")
+        found = found.union(again.mapInArrow(_bucket_links(least, 1 << 30), shape).select("a", "b", "sure"))
+    found = stored(found)
+    unsure = found.where("not sure").select("a", "b").distinct()
+    return found.where("sure").select("a", "b").union(_verified(unsure, docs, n, least))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
+    """The pairs of ids whose texts' shingles have that Jaccard measure."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = stored(docs.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keep = []
+            for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
+                p, q = shingles_of(x, n), shingles_of(y, n)
+                keep.append(len(p & q) >= least * len(p | q))
+            yield pa.RecordBatch.from_arrays([t.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): the smallest id that links lead to; a document without links has its own."""
-    sigs = stored(signatures(docs, n, doc_id, text))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sigs = stored(signatures(docs, n))
     reps = stored(sigs.groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(links(reps, least)).toDF("rep", "component_id")
+    roots = connected_components(links(reps, docs, n, least)).toDF("rep", "component_id")
     of_sig = reps.join(roots, "rep", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
     grouped = sigs.join(of_sig, "sig").select("doc_id", "component_id")
-    alone = docs.select(F.col(doc_id).alias("doc_id")).join(grouped.select("doc_id"), "doc_id", "left_anti")
+    alone = docs.select("doc_id").join(grouped.select("doc_id"), "doc_id", "left_anti")
     return grouped.union(alone.select("doc_id", F.col("doc_id").alias("component_id")))

@@ -96,27 +96,29 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicates(rows.limit(0)).count() == 0
 
 
-def test_near_duplicates_compare_full_buckets(spark):
-    """Members 0 to 8 share the first band only; the others differ from one base in random places."""
-    rng, h = np.random.default_rng(3), near_duplicates.HASHES
-    size = h // near_duplicates.BANDS
-    base, other = rng.integers(0, 1 << 32, (2, h))
-    sigs = {}
-    for i in range(40):
-        sig = (base if i < 9 else other).copy()
-        sig[np.arange(size, h, size) if i < 9 else rng.choice(h, 9 + i % 9, replace=False)] = i
-        sigs[i] = sig.astype("<u8")
-    near = [(a, b) for a in sigs for b in sigs if a < b and (sigs[a] == sigs[b]).mean() >= 0.8 and (sigs[a] == sigs[b]).reshape(-1, size).all(1).any()]
-    group = {i: i for i in sigs}
-    for _ in sigs:
-        for a, b in near:
-            group[a] = group[b] = min(group[a], group[b])
-    rows = spark.createDataFrame([(i, x.tobytes()) for i, x in sigs.items()], "rep long, sig binary")
-    for most in (2, 2048):
-        found = near_duplicates.links(rows, most=most).collect()
-        assert {(min(r), max(r)) for r in found} <= set(near)
-        got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(found)).collect()}
-        assert {i: got.get(i, i) for i in sigs} == group and group[8] == 0
+def test_near_duplicates_brute(spark):
+    """Near copies of a few texts, with up to four words replaced: around a measure of 0.8."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for base in range(4):
+        words = [f"w{base}x{k}" for k in rng.integers(0, 400, 120)]
+        for _ in range(60):
+            own = list(words)
+            for at in rng.integers(0, 120, rng.integers(0, 5)):
+                own[at] = f"n{rng.integers(0, 1 << 30)}"
+            texts.append(" ".join(own))
+    sets = [near_duplicates.shingles_of(t, 5) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sigs = near_duplicates.signatures(rows).withColumnRenamed("doc_id", "rep")
+    for most in (16, 2048):
+        found = near_duplicates.links(sigs.dropDuplicates(["sig"]), rows, most=most).collect()
+        assert {(max(r), min(r)) for r in found} <= set(pairs)
+        sig_of = {r["rep"]: r["sig"] for r in sigs.collect()}
+        rep = {s: i for i, s in sorted(sig_of.items(), reverse=True)}
+        root = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(found, "a long, b long")).collect()}
+        same = [root.get(rep[sig_of[i]], rep[sig_of[i]]) == root.get(rep[sig_of[j]], rep[sig_of[j]]) for i, j in pairs]
+        assert len(pairs) > 500 and sum(same) >= 0.99 * len(pairs)
 
 
 def test_components(spark):
