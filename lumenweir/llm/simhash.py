@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, pick, stored, texts
 from ..operators.components import connected_components
+from ..operators.near_duplicates import near_duplicates as jaccard_groups
+from .common import arrow_map, partitions, pick, place, stored, texts
 
 PIVOTS = 24
 #: Rows of shingle bits summed at once.
@@ -157,13 +158,32 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2, most_in_buck
     return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each component: a row with its smallest id (rows with a null id stay only if no member has one; of
-    rows that share an id and component, one stays)."""
-    kept = near_duplicates(docs, doc_id=doc_id, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    ids = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_kept"))
-    out = docs.withColumn("_key", key).join(ids, F.col("_key") == F.col("_kept"), "left_semi")
-    if not ids.groupBy("_kept").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["_key"])
-    return out.drop("_key")
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 2) -> DataFrame:
+    """(node, root) of documents (key, text) in groups: joined by fingerprints of so many words' shingles that differ in at
+    most `distance` bits, or by a Jaccard measure of `least` or more over those shingles.
+
+    Two bits catch few pairs at a measure of 0.8, where a tenth of the bits differ, and no bucket key that is complete for
+    a tenth of 64 bits is selective. So candidates for that measure come from bands of minimum hashes, and are verified."""
+    close = near_duplicates(docs, words, distance, doc_id="key").select("doc_id", "component_id")
+    alike = jaccard_groups(docs, words, least, doc_id="key").select("doc_id", "component_id")
+    return connected_components(close.union(alike).where("doc_id <> component_id").toDF("a", "b"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of similar_documents: the row with the smallest id (nulls last; of equal ids that of the
+    smaller hash), and of rows that agree in id and text the first in the order of their other columns."""
+    columns = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    own, content = (f"c{place(columns, x)}" for x in (doc_id, text))
+    key = F.xxhash64(F.col(own).cast("string"), F.lit("|"), content)
+    rows = plain.select(key.alias("key"), F.col(own).alias("id"), F.col(content).alias("text"))
+    groups = similar_documents(rows.select("key", "text"), words, least, distance)
+    named = rows.select("key", "id").join(groups, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("root", "key").alias("root"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("f"))
+    kept = stored(first.select(F.col("f.key").alias("_key")))
+    out = plain.withColumn("_key", key).join(kept, "_key", "left_semi")
+    many = stored(named.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")))
+    if not many.isEmpty():
+        again = out.join(many, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*plain.columns)).alias("r")).select("_key", "r.*")
+        out = out.join(many, "_key", "left_anti").unionByName(again)
+    return out.select(*plain.columns).toDF(*columns)

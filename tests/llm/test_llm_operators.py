@@ -128,9 +128,32 @@ def test_simhash_fingerprint(edges):
     assert got == sorted((str(i), f"{brute(t):016x}") for i, t in EDGES)
     assert simhash.near_duplicates(edges.limit(0)).count() == 0
     kept = simhash.deduplicated(edges)
+    assert kept.count() == 4 and simhash.deduplicated(edges.limit(0)).count() == 0
     assert kept.columns == edges.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6]
 
 
+def test_simhash_groups(spark):
+    """Of near copies at a measure of 0.8 or more over five words, one stays; other documents all do."""
+    rng = random.Random(4)
+    rows, group = [], {}
+    for base in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 100, 300]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            own = list(words)
+            for _ in range(rng.randint(0, len(own) // 60)):
+                own[rng.randrange(len(own))] = "new"
+            group[len(rows)] = base
+            rows.append((len(rows), " ".join(own), "x", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, Text2 int")
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    firsts = {min(i for i in group if group[i] == b) for b in group.values()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, *_ in rows}
+    near = [i for i in group if i not in firsts and any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(i) if group[i] == group[j])]
+    assert firsts <= set(ids) and sum(i not in ids for i in near) >= 0.95 * len(near) and len(near) > 20
+
+
 # 3. Packing
 
 
