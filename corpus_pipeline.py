@@ -2,7 +2,8 @@
 
 STAGES are (name, function) in order; each function takes (spark, docs, sf_dir) and gives a table, which is written as
 Parquet and read again as the next one's docs. All but the last give the columns of documents, with n_chars that of the
-text as it is then. Null texts pass the filters as empty ones; empty tables pass through all stages.
+text as it is then; further columns of documents pass unchanged, whatever their names. Null texts pass the filters as empty
+ones; empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -16,28 +17,38 @@ from lumenweir.llm import common, decontamination, line_dedup, packing, quality,
 LEAST_QUALITY = 0.5
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns c0, c1, ..., so that what the stages add clashes with nothing, and where id and text are."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), {x: names[common.place(docs.columns, x)] for x in ("doc_id", "text")}
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier, fitted on the labelled ones among them, rejects."""
     model = quality.fit(docs, common.labels(spark, sf_dir))
-    return quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    plain, at = _plain(docs)
+    kept = quality.score(plain, model, text=at["text"]).where(F.col("score") >= LEAST_QUALITY)
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the blocks of lines that an earlier document has; documents of which nothing is left go."""
-    cut = line_dedup.deduplicated(docs)
-    left = cut.where((F.col("lines_deleted") == 0) | (F.trim("text") != ""))
-    n = F.when(F.col("lines_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n).select(*docs.columns)
+    plain, at = _plain(docs)
+    cut = line_dedup.deduplicated(plain, **at)
+    left = cut.where((F.col("lines_deleted") == 0) | (F.trim(at["text"]) != ""))
+    n = F.when(F.col("lines_deleted") > 0, F.char_length(at["text"]).cast("long")).otherwise(F.col(f"c{common.place(docs.columns, 'n_chars')}"))
+    return left.withColumn(f"c{common.place(docs.columns, 'n_chars')}", n).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.deduplicated(docs).select(*docs.columns)
+    """One document of each group of near duplicates: five-word shingles, a Jaccard measure of 0.8 or more."""
+    return simhash.deduplicated(docs, words=5, least=0.8)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a window of the benchmark."""
-    return decontamination.decontaminate(docs, common.benchmark(spark, sf_dir))
+    plain, at = _plain(docs)
+    return decontamination.decontaminate(plain, common.benchmark(spark, sf_dir), text=at["text"]).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
