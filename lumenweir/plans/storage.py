@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """From spark.checkpoint.dir; where that is unset (a local session), a new temporary folder."""
+    """From spark.checkpoint.dir; where that is unset, a new temporary folder for a local session, and an error on a cluster,
+    whose executors don't see the driver's folders."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenweir-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenweir-"))
     return sc.getCheckpointDir()
 
 
