@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -28,39 +31,103 @@ def vector_problem(v: Column, dimension: int) -> Column:
     return F.when(v.isNull() | (F.size(v) == 0), "empty").when(F.size(v) != dimension, "dimension").when(bad, "not finite").when(norm(v) == 0, "zero")
 
 
-def dense_top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(query, id, score): the k most alike rows (id, vec) of each query (query, vec), by cosine; ties by id.
+def _blocks(queries: DataFrame, column: str, most: int) -> Iterator[pd.DataFrame]:
+    """The queries (query, and a column) in runs of about so many, cut by ranges of a hash, one run at a time on the driver."""
+    n = max(1, -(-queries.count() // most))
+    if n == 1:
+        yield queries.select("query", column).orderBy("query").toPandas()
+        return
+    own = stored(queries.select("query", column, F.pmod(F.xxhash64("query"), F.lit(n)).alias("_run")).repartition("_run"))
+    for i in range(n):
+        yield own.where(F.col("_run") == i).drop("_run").orderBy("query").toPandas()
+
 
-    The queries are a stated set, taken in blocks that are sent to the rows; each Arrow batch keeps its own k best of each
-    query, so that what is shuffled is k rows for a query and batch, and the last cut is a window over those.
+def _best_of_rows(queries: DataFrame, rows: DataFrame, k: int, column: str, most: int, prepared, scored) -> DataFrame:
+    """The k best rows (id, column) of each query, by a function that scores a frame of rows against a run of queries.
+
+    A run of queries is sent to all rows; each Arrow batch keeps its own k best of each query, so that what is shuffled is k
+    rows for a query and batch. With more than one run, each one's result is stored before the next begins.
     """
-    listed = queries.select("query", "vec").orderBy("query").toPandas()
-    out = None
-    for at in range(0, max(len(listed), 1), block):
-        part = listed.iloc[at : at + block]
+    shape, found = "query long, id long, score double", []
+    runs = _blocks(queries, column, most)
+    for part in runs:
         if not len(part):
-            break
-        q = np.array(part["vec"].tolist(), np.float64)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        names = part["query"].to_numpy()
+            continue
+        names, given = part["query"].to_numpy(), prepared(part[column].tolist())
 
-        def near(frames: Iterator[pd.DataFrame], q=q, names=names) -> Iterator[pd.DataFrame]:
+        def near(frames: Iterator[pd.DataFrame], names=names, given=given) -> Iterator[pd.DataFrame]:
             for f in frames:
-                f = f[f["vec"].map(lambda v: v is not None and len(v) == q.shape[1])]
+                f, score = scored(f, given)
                 if not len(f):
                     continue
-                x = np.array(f["vec"].tolist(), np.float64)
-                score = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
                 score = np.round(score, 9)
                 order = np.lexsort((np.broadcast_to(f["id"].to_numpy(), score.shape), -score), axis=1)[:, :k]
-                rows_at = np.repeat(np.arange(len(q)), order.shape[1])
-                yield pd.DataFrame({"query": names[rows_at], "id": f["id"].to_numpy()[order.ravel()], "score": score[rows_at, order.ravel()]})
+                at = np.repeat(np.arange(len(names)), order.shape[1])
+                out = pd.DataFrame({"query": names[at], "id": f["id"].to_numpy()[order.ravel()], "score": score[at, order.ravel()]})
+                yield out[out["score"] > -np.inf]
+
+        found.append(top_per_query(rows.select("id", column).mapInPandas(near, shape), k))
+        if len(names) >= most // 2:
+            found[-1] = stored(found[-1])
+    if not found:
+        return rows.sparkSession.createDataFrame([], shape + ", rank int")
+    return reduce(DataFrame.unionByName, found)
+
+
+def dense_top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query, id, score, rank): the k most alike rows (id, vec) of each query (query, vec), by cosine; ties by id. The
+    queries are a stated set, taken in runs of about `block`; rows of another dimension are left out."""
+
+    def unit(vectors: list) -> np.ndarray:
+        x = np.array(vectors, np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def scored(f: pd.DataFrame, q: np.ndarray):
+        f = f[f["vec"].map(lambda v: v is not None and len(v) == q.shape[1])]
+        return f, q @ unit(f["vec"].tolist()).T if len(f) else None
+
+    return _best_of_rows(queries, rows, k, "vec", block, unit, scored)
+
 
-        found = rows.select("id", "vec").mapInPandas(near, "query long, id long, score double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "query long, id long, score double")
-    return top_per_query(out, k)
+def sparse_top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query, id, score, rank): the k rows (id, text) that have the largest share of a query's distinct words (query,
+    text), none by no word; ties by id. No word is a join key: a run of queries is sent to the texts."""
+
+    def words(text: str | None) -> set[bytes]:
+        return set((text or "").lower().encode().split())
+
+    def prepared(texts: list) -> tuple[dict[bytes, np.ndarray], np.ndarray]:
+        own, held = [words(x) for x in texts], {}
+        for i, w in enumerate(own):
+            for x in w:
+                held.setdefault(x, []).append(i)
+        return {w: np.array(at) for w, at in held.items()}, np.array([max(len(w), 1) for w in own], float)
+
+    def scored(f: pd.DataFrame, given):
+        held, sizes = given
+        n = np.zeros((len(sizes), len(f)))
+        for j, t in enumerate(f["text"]):
+            for w in words(t) & held.keys():
+                n[held[w], j] += 1
+        return f, np.where(n > 0, n / sizes[:, None], -np.inf)
+
+    return _best_of_rows(queries, rows, k, "text", block, prepared, scored)
+
+
+def maxsim(queries: DataFrame, rows: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """(query, id, score, rank): the k best rows (id, vecs) of each query (query, vecs) by the mean over the query's
+    vectors of the largest cosine with one of the row's."""
+
+    def unit(groups) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array([list(v) for g in groups for v in g], np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), np.cumsum([0, *(len(g) for g in groups)])
+
+    def scored(f: pd.DataFrame, given):
+        (q, qs), (d, ds) = given, unit(f["vecs"].tolist())
+        best = np.maximum.reduceat(q @ d.T, ds[:-1], axis=1)
+        return f, np.add.reduceat(best, qs[:-1], axis=0) / np.diff(qs)[:, None]
+
+    return _best_of_rows(queries, rows, k, "vecs", block, unit, scored)
 
 
 def top_per_query(scored: DataFrame, k: int) -> DataFrame:
@@ -77,13 +144,6 @@ def reciprocal_rank_fusion(k: int, *ranked: DataFrame) -> DataFrame:
     return both.groupBy("query", "id").agg(F.sum("part").alias("score"))
 
 
-def sparse_matches(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query, id, score): the share of a query's distinct terms that a row has, from (query, term) and (id, term)."""
-    size = queries.groupBy("query").agg(F.count("*").alias("_n"))
-    shared = queries.join(rows, "term").groupBy("query", "id").agg(F.count("*").alias("_k"))
-    return shared.join(size, "query").select("query", "id", (F.col("_k") / F.col("_n")).alias("score"))
-
-
 def diversified(scored: DataFrame, group: str, most: int) -> DataFrame:
     """A query's rows with their place when no group gives more than `most` before the others had theirs."""
     own = F.row_number().over(Window.partitionBy("query", group).orderBy(F.desc("score"), "id"))

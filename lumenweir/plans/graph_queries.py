@@ -8,6 +8,7 @@ from ..functions import text as t
 from ..operators import graph as g
 from ..operators import retrieval as v
 from .registry import Registry, table
+from .storage import spread
 
 r = Registry()
 _SUPPLIES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem"
@@ -114,21 +115,21 @@ _WORDS = r"list_distinct(list_filter(string_split(lower(trim(regexp_replace(coal
 _SPARSE = f"WITH q AS (SELECT item_id AS query, unnest({_WORDS.format('text')}) AS term FROM benchmark), d AS (SELECT doc_id AS id, unnest({_WORDS.format('text')}) AS term FROM documents), n AS (SELECT query, count(*) AS n FROM q GROUP BY query), s AS (SELECT query, id, count(*) / any_value(n.n) AS score FROM q JOIN d USING (term) JOIN n USING (query) GROUP BY query, id), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s)"
 
 
-def _sparse(spark, sf_dir):
-    words = lambda df, i, n: df.select(F.col(i).alias(n), F.explode(F.array_distinct(t.tokens(F.col("text")))).alias("term"))
-    return v.sparse_matches(words(table(spark, sf_dir, "benchmark"), "item_id", "query"), words(table(spark, sf_dir, "documents"), "doc_id", "id"))
+def _sparse(spark, sf_dir, k):
+    named = lambda name, i, n: table(spark, sf_dir, name).select(F.col(i).alias(n), "text")
+    return v.sparse_top_k(named("benchmark", "item_id", "query"), spread(named("documents", "doc_id", "id")), k)
 
 
 @r.query(_SPARSE + " SELECT query, id, round(score, 6) AS score, rank FROM k WHERE rank <= 10")
 def sparse_top_k(spark, sf_dir):
-    return v.top_per_query(_sparse(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+    return _sparse(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
 
 
 @r.query(_SPARSE + ", o AS (SELECT query, id, rank AS r1, row_number() OVER (PARTITION BY query ORDER BY length(text), id) AS r2 FROM k JOIN documents ON doc_id = id WHERE rank <= 40) SELECT query, id, round(1 / (60 + r1) + 1 / (60 + r2), 9) AS score FROM o")
 def fused_ranks(spark, sf_dir):
     from pyspark.sql import Window
 
-    first = v.top_per_query(_sparse(spark, sf_dir), 40)
+    first = _sparse(spark, sf_dir, 40)
     size = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n"))
     second = first.select("query", "id").join(size, "id").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("n", "id")))
     return v.reciprocal_rank_fusion(60, first, second).withColumn("score", F.round("score", 9))
@@ -136,13 +137,13 @@ def fused_ranks(spark, sf_dir):
 
 @r.query(_SPARSE + ", p AS (SELECT query, id, score, source FROM k JOIN documents ON doc_id = id WHERE rank <= 40), g AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) AS in_group FROM p) SELECT query, id, source, in_group, row_number() OVER (PARTITION BY query ORDER BY (in_group > 2)::INT, score DESC, id) AS place FROM g")
 def diverse_results(spark, sf_dir):
-    pool = v.top_per_query(_sparse(spark, sf_dir), 40).drop("rank").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    pool = _sparse(spark, sf_dir, 40).drop("rank").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     return v.diversified(pool, "source", 2).select("query", "id", "source", "in_group", "place")
 
 
 @r.query()
 def mmr_results(spark, sf_dir):
-    pool = v.top_per_query(_sparse(spark, sf_dir), 20).drop("rank").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(t.tokens(F.col("text"))).alias("words")), "id")
+    pool = _sparse(spark, sf_dir, 20).drop("rank").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(t.tokens(F.col("text"))).alias("words")), "id")
     return v.mmr(pool, 5)
 
 
@@ -150,7 +151,7 @@ def mmr_results(spark, sf_dir):
 def composite_scores(spark, sf_dir):
     from ..functions import scores as s
 
-    pool = v.top_per_query(_sparse(spark, sf_dir), 20).withColumn("base", v.normalized(F.col("score"), "query"))
+    pool = _sparse(spark, sf_dir, 20).withColumn("base", v.normalized(F.col("score"), "query"))
     return pool.select("query", "id", F.round(0.6 * s.sigmoid(F.col("score")) + 0.3 * F.col("base") + 0.1 / 1.2 + s.graph_bonus(F.col("rank") - 1), 6).alias("composite"))
 
 
@@ -158,7 +159,7 @@ def composite_scores(spark, sf_dir):
 def retrieval_confidence(spark, sf_dir):
     from ..functions import scores as s
 
-    pool = v.top_per_query(_sparse(spark, sf_dir), 10).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    pool = _sparse(spark, sf_dir, 10).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     f = pool.groupBy("query").agg((F.sum(F.col("score") / F.col("rank")) / F.sum(F.lit(1.0) / F.col("rank"))).alias("relevance"), (F.countDistinct("source") / F.lit(10.0)).alias("coverage"), F.count("*").alias("n"))
     f = f.withColumn("score", s.crag_score(F.col("relevance"), F.col("coverage"), F.lit(0.5), F.lit(1.0)))
     return f.select("query", F.round("score", 6).alias("score"), s.crag_action(F.col("score"), F.col("n")).alias("action"))
