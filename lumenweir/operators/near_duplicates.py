@@ -34,11 +34,20 @@ def parameters() -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(x, np.uint64) for x in zip(*pairs, strict=True))
 
 
-def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """a * x modulo PRIME without overflow: x in two parts."""
-    p = np.uint64(PRIME)
-    high, low = x >> np.uint64(17), x & np.uint64((1 << 17) - 1)
-    return ((a * high % p) * np.uint64(1 << 17) + a * low) % p
+def _least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of (a * x + b) modulo PRIME over x, for each pair of a and b. The quotient is taken in floating point, where
+    it is off by one at most; the remainder is exact modulo 2^64 and then put right."""
+    p, out = np.int64(PRIME), np.full(len(a), PRIME, np.int64)
+    a, b, part = a[:, None], b.astype(np.int64)[:, None], a.astype(np.float64)[:, None] / PRIME
+    for i in range(0, len(x), 256):
+        y = x[i : i + 256]
+        r = (a * y - (part * y.astype(np.float64)).astype(np.uint64) * np.uint64(PRIME)).view(np.int64)
+        r += b
+        r += p * (r < 0)
+        r -= p * (r >= p)
+        r -= p * (r >= p)
+        np.minimum(out, r.min(1), out=out)
+    return out
 
 
 def shingles_of(text: str | None, n: int) -> set[str]:
@@ -49,23 +58,19 @@ def shingles_of(text: str | None, n: int) -> set[str]:
 def signature(text: str | None, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     if not (shingles := shingles_of(text, n)):
         return None
-    x = np.array([int(md5(s.encode(), usedforsecurity=False).hexdigest(), 16) % PRIME for s in shingles], np.uint64)
-    out = np.full(HASHES, PRIME, np.uint64)
-    for i in range(0, len(x), 2048):
-        part = x[i : i + 2048]
-        out = np.minimum(out, ((_times(a[:, None], part[None, :]) + b[:, None]) % np.uint64(PRIME)).min(1))
-    return out
+    x = np.array([int.from_bytes(md5(s.encode(), usedforsecurity=False).digest()) % PRIME for s in shingles], np.uint64)
+    return _least(x, a, b).astype(np.uint32)  # equal or not is all that is asked of them
 
 
 def signatures(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sig): 128 values as binary; rows without shingles are left out."""
+    """(doc_id, sig): 128 values of 32 bits as binary; rows without shingles are left out."""
     a, b = parameters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             sigs = [signature(t, n, a, b) for t in x.column(1).to_pylist()]
             keep = pa.array([s is not None for s in sigs])
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), pa.array([s.astype("<u8").tobytes() for s in sigs if s is not None], pa.binary())], ["doc_id", "sig"])
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), pa.array([s.astype("<u4").tobytes() for s in sigs if s is not None], pa.binary())], ["doc_id", "sig"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sig binary")
@@ -76,7 +81,7 @@ def _bucket_links(least: float, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, large = None, [], False
-        sigs = np.empty((16, HASHES), np.uint64)
+        sigs = np.empty((16, HASHES), np.uint32)
         top: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -94,7 +99,7 @@ def _bucket_links(least: float, most: int):
                     out += [(x, None, k, None) for x in [*ids, i]]
                     large, ids = True, []
                     continue
-                own = np.frombuffer(raw, "<u8")
+                own = np.frombuffer(raw, "<u4")
                 alike = (sigs[: len(ids)] == own).mean(1)
                 for j in np.flatnonzero(alike >= least - MARGIN):
                     if find(ids[j]) != find(i):
@@ -114,9 +119,11 @@ def _bucket_links(least: float, most: int):
 
 def links(sigs: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.8, most: int = 2048) -> DataFrame:
     """(a, b) of representatives (rep, sig) of documents (doc_id, text) whose Jaccard measure is `least` or more, found by a common band."""
-    size = 8 * HASHES // BANDS
+    size = 4 * HASHES // BANDS
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", F.lit(i * size + 1), F.lit(size)))
-    keyed = sigs.select(F.explode(F.array(*(band(i) for i in range(BANDS)))).alias("key"), "rep", "sig")
+    keys = stored(sigs.select("rep", F.array(*(band(i) for i in range(BANDS))).alias("keys"))).select(F.explode("keys").alias("key"), "rep")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keyed = keys.join(shared, "key").join(sigs.select("rep", "sig"), "rep").select("key", "rep", "sig")  # signatures travel for shared bands only
     shape = "a long, b long, of long, sure boolean"
     found = stored(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_links(least, most), shape))
     large = found.where("b is null").select(F.col("of").alias("key"), F.col("a").alias("rep")).distinct()
