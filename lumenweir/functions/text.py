@@ -11,7 +11,7 @@ CARD = r"(?U)\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"
 PHONE = r"(?U)\b01[016789][- ]?\d{3,4}[- ]?\d{4}\b"
 EMAIL = r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
 DEPRECATED = r"(?i)\bdeprecated\b|\bobsolete\b|폐기|중단|사용\s*금지"
-PARTICLES = r"(에서|으로|은|는|이|가|을|를|의|에|로|와|과|도)$"
+PARTICLES_LONG, PARTICLES_SHORT = ("에서", "으로", "까지", "부터", "처럼", "같이", "에게", "한테", "보다"), "가를에의는은도와과이로만서"
 
 
 #: All characters that Unicode calls white space, and the four separators of ASCII.
@@ -77,8 +77,20 @@ def is_abbreviation(c: Column) -> Column:
     return c.rlike(r"^[A-Z][A-Z0-9&]{1,9}$")
 
 
-def strip_particle(c: Column) -> Column:
-    return F.when(F.length(c) > 2, F.regexp_replace(c, PARTICLES, "")).otherwise(c)
+def strip_particles(c: Column) -> Column:
+    """Without particles at the end, long ones first, as long as more than two characters besides the particle are there;
+    three at most follow one another."""
+    for _ in range(3):
+        long_ = F.regexp_extract(c, f"({'|'.join(PARTICLES_LONG)})$", 1)
+        short = F.regexp_extract(c, f"([{PARTICLES_SHORT}])$", 1)
+        cut = lambda p, c=c: F.substring(c, F.lit(1), F.length(c) - F.length(p))
+        c = F.when((long_ != "") & (F.length(c) > F.length(long_) + 2), cut(long_)).when((short != "") & (F.length(c) > 3), cut(short)).otherwise(c)
+    return c
+
+
+def search_term(c: Column) -> Column:
+    """Lower case, signs, hyphens and underscores as spaces."""
+    return F.lower(squeezed(F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w\s-]", " "), "[_-]", " ")))
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
@@ -111,10 +123,12 @@ def script_language(c: Column) -> Column:
 
 
 def word_shingles(c: Column, n: int = 3) -> Column:
-    """Distinct runs of n words, joined by a space; a shorter text is one run."""
-    w = tokens(c)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+    """Distinct runs of n words, joined by a space; a shorter text is one run. The words are zipped with themselves, shifted."""
+    w = runs = tokens(c)
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - k, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+    runs = F.when(F.size(w) >= n, F.filter(runs, lambda x: x.isNotNull())).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(runs)
 
 
 def clean_for_embedding(c: Column) -> Column:
