@@ -5,30 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(seed, node, distance): nodes within so many hops of seeds (column node), each at its least distance."""
+    """(seed, node, distance): nodes within so many hops of seeds (column node), each at its least distance. What is reached
+    is stored hop by hop, so that no hop is worked out again for the next."""
     reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance"))
-    front = reached
     for k in range(1, hops + 1):
-        step = front.join(edges, front.node == edges.src).select("seed", F.col("dst").alias("node")).distinct()
+        step = reached.where(F.col("distance") == k - 1).join(edges, F.col("node") == edges.src).select("seed", F.col("dst").alias("node")).distinct()
         front = step.join(reached, ["seed", "node"], "left_anti").withColumn("distance", F.lit(k))
-        reached = reached.unionByName(front)
+        reached = stored(reached.unionByName(front))
+    return reached.where("distance > 0")
+
+
+def reached_from_any(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(node, distance): nodes within so many hops of any of the seeds, at their least distance."""
+    reached = seeds.select("node", F.lit(0).alias("distance")).distinct()
+    for k in range(1, hops + 1):
+        step = reached.where(F.col("distance") == k - 1).join(edges, F.col("node") == edges.src).select(F.col("dst").alias("node")).distinct()
+        reached = stored(reached.unionByName(step.join(reached, "node", "left_anti").withColumn("distance", F.lit(k))))
     return reached.where("distance > 0")
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, most: int = 5) -> DataFrame:
     """(seed, node, distance, path) of targets (column node): a least path, the first in order of its nodes."""
-    front = seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("path"))
-    seen = front
-    for _ in range(most):
-        step = front.join(edges, front.node == edges.src).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        front = step.groupBy("seed", "node").agg(F.min("path").alias("path")).join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        seen = seen.unionByName(front)
+    seen = seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("path"))
+    for k in range(1, most + 1):
+        front = seen.where(F.size("path") == k)
+        step = front.join(edges, F.col("node") == edges.src).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        new = step.groupBy("seed", "node").agg(F.min("path").alias("path")).join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        seen = stored(seen.unionByName(new.select("seed", "node", "path")))
     return seen.join(targets.select("node"), "node", "left_semi").where(F.size("path") > 1).select("seed", "node", (F.size("path") - 1).alias("distance"), "path")
 
 
