@@ -3,8 +3,8 @@
 Rows of equal signatures are taken as one first, so that copies cost one row. A bucket's members are compared within one
 task, which gives links that join them rather than all pairs; a bucket of more than `most` members is cut into blocks by a
 hash of the member, and every pair of blocks is compared in a task of its own, so that all its pairs are compared. Pairs
-whose estimated measure is beyond the threshold by MARGIN, three standard deviations, are linked at once; those within
-MARGIN on either side are verified by the sets of their shingles. Null and empty texts have no shingles and are linked to
+whose estimated measure reaches the threshold are linked; those that fall short of it by up to MARGIN, two standard
+deviations, and that nothing in their bucket links yet, are verified by the sets of their shingles. Null and empty texts have no shingles and are linked to
 nothing. Rows that share an id are taken as one document. Empty tables give no rows.
 """
 
@@ -24,8 +24,8 @@ from .components import connected_components
 
 # What signatures depend on.
 HASHES, BANDS, PRIME, SEED = 128, 16, 4294967311, 42
-#: How far from the threshold an estimate is trusted.
-MARGIN = 0.1
+#: How far below the threshold an estimate is verified.
+MARGIN = 0.07
 
 
 def parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +101,10 @@ def _bucket_links(least: float, most: int):
                     continue
                 own = np.frombuffer(raw, "<u4")
                 alike = (sigs[: len(ids)] == own).mean(1)
-                for j in np.flatnonzero(alike >= least - MARGIN):
+                near = np.flatnonzero(alike >= least - MARGIN)
+                for j in near[np.argsort(-alike[near], kind="stable")]:
                     if find(ids[j]) != find(i):
-                        sure = bool(alike[j] >= least + MARGIN)
+                        sure = bool(alike[j] >= least)
                         out.append((i, ids[j], k, sure))
                         if sure:
                             top[find(ids[j])] = find(i)
