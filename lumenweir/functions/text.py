@@ -78,13 +78,10 @@ def is_abbreviation(c: Column) -> Column:
 
 
 def strip_particles(c: Column) -> Column:
-    """Without particles at the end, long ones first, as long as more than two characters besides the particle are there;
-    three at most follow one another."""
+    """Without particles at the end, the longer first, as long as three characters before the particle are there; three at
+    most follow one another."""
     for _ in range(3):
-        long_ = F.regexp_extract(c, f"({'|'.join(PARTICLES_LONG)})$", 1)
-        short = F.regexp_extract(c, f"([{PARTICLES_SHORT}])$", 1)
-        cut = lambda p, c=c: F.substring(c, F.lit(1), F.length(c) - F.length(p))
-        c = F.when((long_ != "") & (F.length(c) > F.length(long_) + 2), cut(long_)).when((short != "") & (F.length(c) > 3), cut(short)).otherwise(c)
+        c = F.regexp_replace(c, f"^(.{{3,}}?)({'|'.join(PARTICLES_LONG)}|[{PARTICLES_SHORT}])$", "$1")
     return c
 
 
