@@ -4,11 +4,12 @@ The hash of a span of code points is a polynomial in a base modulo a prime below
 array of a text (prefix i: the sum of c[j] * base^j over j < i) gives the hash of any span by one subtraction, so that
 spans compare in constant time and the longest common extension of two places is found by binary search.
 
-A fingerprint keeps the length, the whole text's hash in both moduli, and prefix sums in the first modulus at the cells of
-a grid: the smallest power-of-two step with at most CELLS cells, laid from the front and laid from the end. Equal texts
-have equal fingerprints. Fingerprints of different steps are compared at the coarser step, whose sums the finer one has as
-well. The likeness of two fingerprints is the share of the longer text in cells that are equal at the same distance from
-the front, or from the end; the common prefix and suffix are found by binary search, cells beyond by their differences.
+A fingerprint keeps the length, the whole text's hash, and its prefix array thinned out to the cells of a grid: the smallest
+power-of-two step with at most CELLS cells, laid from the front and laid from the end, all in both moduli. A thinned-out
+array is a prefix array whose places are cells: it gives the hash of any span of cells. Equal texts have equal fingerprints.
+Fingerprints of different steps are compared at the coarser step, whose sums the finer one has as well. The likeness of two
+fingerprints is the share of the longer text in cells that are equal at the same distance from the front, or from the end:
+the longest common extensions from either end, found by binary search over span equality, and cells beyond them one by one.
 
 Null texts are treated as empty. The likeness of two empty texts is 1, that of an empty and another text 0; different
 texts have a likeness below 1.
@@ -55,18 +56,24 @@ def prefix(codes: np.ndarray, powers: Powers, k: int = 0) -> np.ndarray:
     return out
 
 
-def span_hash(sums: np.ndarray, start: int, end: int, k: int = 0) -> int:
-    """A span's hash in modulus k, moved to the start of the text: equal spans have equal hashes wherever they stand."""
-    return int(sums[end] - sums[start]) * pow(BASES[k], -start, PRIMES[k]) % PRIMES[k]
+def span_hash(sums, start: int, end: int, k: int = 0, step: int = 1) -> int:
+    """A span's hash in modulus k, moved to the start of the text: equal spans have equal hashes wherever they stand. step: points for each place of sums."""
+    return (int(sums[end]) - int(sums[start])) * pow(BASES[k], -start * step, PRIMES[k]) % PRIMES[k]
 
 
-def common_extension(a: list[np.ndarray], i: int, b: list[np.ndarray], j: int) -> int:
+def spans_equal(a: list, i: int, b: list, j: int, n: int, step: int = 1) -> bool:
+    """Whether n places from i of one text and from j of the other are equal, by their prefix arrays in all moduli."""
+    if i == j:  # spans that stand at one distance needn't be moved
+        return all((int(x[i + n]) - int(x[i]) - int(y[i + n]) + int(y[i])) % p == 0 for x, y, p in zip(a, b, PRIMES, strict=False))
+    return all(span_hash(x, i, i + n, k, step) == span_hash(y, j, j + n, k, step) for k, (x, y) in enumerate(zip(a, b, strict=True)))
+
+
+def common_extension(a: list, i: int, b: list, j: int, step: int = 1) -> int:
     """The length of the longest common run from place i of one text and j of the other, whose prefix arrays are given."""
-    same = lambda n: all(span_hash(x, i, i + n, k) == span_hash(y, j, j + n, k) for k, (x, y) in enumerate(zip(a, b, strict=True)))
     low, high = 0, min(len(a[0]) - 1 - i, len(b[0]) - 1 - j)
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if same(mid) else (low, mid - 1)
+        low, high = (mid, high) if spans_equal(a, i, b, j, mid, step) else (low, mid - 1)
     return low
 
 
@@ -78,12 +85,13 @@ def step_of(n: int) -> int:
 
 
 def fingerprint(codes: np.ndarray, powers: Powers) -> str:
-    """Hex: the length (16 digits), the whole text's hash (8 and 8), and the grid's sums from the front and the end (8 each)."""
+    """Hex: the length (16 digits), the whole text's hash (8 for each modulus), and the grid's sums from the front and from the
+    end, first all in one modulus, then in the other (8 each)."""
     n, step = len(codes), step_of(len(codes))
-    front, back = prefix(codes, powers), prefix(codes[::-1], powers)
-    whole = [int(front[-1]) % PRIMES[0], int(prefix(codes, powers, 1)[-1]) % PRIMES[1]]
-    cells = [int(v) % PRIMES[0] for x in (front, back) for v in x[step::step]]
-    return f"{n:016x}" + "".join(f"{v:08x}" for v in [*whole, *cells])
+    sums = [[prefix(x, powers, k) for k in range(len(PRIMES))] for x in (codes, codes[::-1])]
+    whole = [int(sums[0][k][-1]) % p for k, p in enumerate(PRIMES)]
+    cells = np.concatenate([x[k][step::step] % np.uint64(p) for x in sums for k, p in enumerate(PRIMES)])
+    return f"{n:016x}" + "".join(f"{v:08x}" for v in whole) + cells.astype(">u4").tobytes().hex()
 
 
 def likeness(one: str, two: str) -> float:
@@ -94,27 +102,23 @@ def likeness(one: str, two: str) -> float:
     if not n:
         return 0.0
     step = step_of(m)
-    front, back = (_common_cells(x, y) for x, y in zip(_grids(one, step), _grids(two, step), strict=True))
+    front, back = (_common_cells(x, y, step) for x, y in zip(_grids(one, step), _grids(two, step), strict=True))
     total = m // step
     covered = len(front | {total - 1 - k for k in back})
     return min(covered * step / m, 1 - 1 / (m + 1))
 
 
-def _grids(print_: str, step: int) -> list[list[int]]:
-    """The sums at each multiple of a coarser step, from 0, from the front and from the end."""
+def _grids(print_: str, step: int) -> list[list[list[int]]]:
+    """The prefix arrays over cells of a coarser step, from the front and from the end, in each modulus."""
     n = int(print_[:16], 16)
-    cells = [int(print_[i : i + 8], 16) for i in range(32, len(print_), 8)]
-    half, every = len(cells) // 2, step // step_of(n)
-    return [[0, *c[every - 1 :: every]] for c in (cells[:half], cells[half:])]
+    cells = np.frombuffer(bytes.fromhex(print_[16 + 8 * len(PRIMES) :]), ">u4").reshape(2, len(PRIMES), -1)
+    every = step // step_of(n)
+    return [[[0, *c[every - 1 :: every].tolist()] for c in side] for side in cells]
 
 
-def _common_cells(a: list[int], b: list[int]) -> set[int]:
-    low, last = 0, min(len(a), len(b)) - 1
-    high = last
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[mid] == b[mid] else (low, mid - 1)
-    return {*range(low), *(k for k in range(low, last) if (a[k + 1] - a[k] - b[k + 1] + b[k]) % PRIMES[0] == 0)}
+def _common_cells(a: list[list[int]], b: list[list[int]], step: int) -> set[int]:
+    low, last = common_extension(a, 0, b, 0, step), min(len(a[0]), len(b[0])) - 1
+    return {*range(low), *(k for k in range(low, last) if spans_equal(a, k, b, k, 1))}
 
 
 def edited(text: str, following: str) -> str:

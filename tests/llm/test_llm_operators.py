@@ -402,3 +402,20 @@ def test_line_dedup_of_long_texts(spark):
     lines = [f"line {i} of a text that is read in both orders" for i in range(40_000)]
     rows = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines)))], "doc_id long, text string")
     assert [r["lines_deleted"] for r in line_dedup.deduplicated(rows).orderBy("doc_id").collect()] == [0, 40_000]
+
+
+def test_likeness_brute():
+    powers, rng = prefix_hash.Powers(), random.Random(7)
+    for _ in range(300):
+        a = "".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 5, 40, 100, 700])))
+        b = a[rng.randrange(3) :] + "x" * rng.randrange(40) if rng.random() < 0.5 else a[: len(a) // 2] + "".join(rng.choice("abc") for _ in range(len(a) // 2)) + a[-len(a) // 3 :]
+        one, two = (prefix_hash.fingerprint(prefix_hash.points(x), powers) for x in (a, b))
+        n, m = sorted((len(a), len(b)))
+        if a == b or not n:
+            want = float(a == b)
+        else:
+            step = prefix_hash.step_of(m)
+            same = lambda x, y: {k for k in range(n // step) if x[k * step : (k + 1) * step] == y[k * step : (k + 1) * step]}  # noqa: B023, E731
+            covered = same(a, b) | {m // step - 1 - k for k in same(a[::-1], b[::-1])}
+            want = min(len(covered) * step / m, 1 - 1 / (m + 1))
+        assert prefix_hash.likeness(one, two) == pytest.approx(want)
