@@ -1,19 +1,19 @@
-"""Stupid-backoff language-model scores, computed relationally over word bigrams and words.
-
-Words are runs without ASCII white space, ASCII letters lower-cased. All words are in the vocabulary, unless `most_words`
-is given: then as many of the most frequent counts as fit it, and others are one unknown word, counted and scored as such.
-A word after another scores count(pair) / count(first) if the pair occurs at least `least` times in the corpus, else
-BACKOFF * count(word) / words of the corpus; a text's first word scores count(word) / words of the corpus. Counts are
-those of all documents; the cut-off keeps a document from being scored by pairs that it alone has. Per document the
-logarithms are summed.
-
-A word is known by its XXH64 and a pair by a mix of its words' hashes, so that no table of words is sent anywhere. A block
-(BLOCK_BYTES of a batch's documents) takes its words and pairs as distinct keys with their counts in it, and deals them by
-ranges of the key: a part adds up the counts of its keys over all blocks, and gives each block the sums of that block's keys
-in their order. A frequent word or pair is one key of a block like any other, so that no part is uneven. The block's
-own row (documents, places of words, hashes of words) meets the sums again, which are in the order that the hashes give.
-Keys and counts travel as compressed byte planes, keys as sorted differences. The number of parts follows the bytes of text. The words of
-the corpus are those of all results, which are written first.
+"""Stupid-backoff language-model scores over word n-grams of orders 1 to ORDER.
+
+Words are runs without ASCII white space, ASCII letters lower-cased; all words are in the vocabulary. A word scores
+count(n-gram) / count(n-gram without it) for the longest n-gram that ends there, in its text, and occurs at least `least`
+times in the corpus; each order that is stepped down costs a factor of BACKOFF, and a word alone scores its count / words of
+the corpus. Counts are those of all documents; the cut-off keeps a document from being scored by n-grams that it alone has.
+Per document the logarithms are summed.
+
+An n-gram is known by a 64-bit hash, mixed from its words' XXH64, so that no table of words is sent anywhere. A block
+(BLOCK_BYTES of a batch's documents) takes its n-grams as distinct keys with their counts in it, and deals them by ranges of
+the key: a part adds up the counts of its keys over all blocks, and gives each block the sums of that block's keys in their
+order. A frequent n-gram is one key of a block like any other, so that no part is uneven. The block's own row (documents,
+places of words, hashes of words) meets the sums again, which are in the order that the keys give. Keys and counts travel as
+compressed byte planes, keys as sorted differences: as a row for each n-gram and document they take more disk than the
+corpus has bytes (see the README). The number of parts follows the bytes of text. The words of the corpus are those of all
+results, which are written first.
 
 Null, empty and blank texts have no words: score 0, mean null. Repeated rows are scored each for itself, and count each.
 An empty table gives no rows. Long texts are scored whole.
@@ -21,7 +21,6 @@ An empty table gives no rows. Long texts are scored whole.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,42 +32,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, _arrow_schema, arrow_map, partitions, pick, stored, texts
+from .common import WordHashes, _arrow_schema, partitions, pick, stored, texts
 
-BACKOFF = 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Text of a block, about: what bounds a worker's memory; text of a part.
-BLOCK_BYTES, PART_BYTES = 4_000_000, 16_000_000
+BLOCK_BYTES, PART_BYTES = 4_000_000, 8_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: The unknown word's hash: no word is empty.
-_UNKNOWN = np.uint64(xxhash.xxh64_intdigest(b""))
 
 
 def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n) over the texts of rows (doc_id, text), summed by batch first."""
-
-    def of(batch: pa.RecordBatch) -> dict:
-        n: Counter[bytes] = Counter()
-        for t in texts(batch.column(1)):
-            n.update(words(t))
-        return {"word": list(n), "n": list(n.values())}
-
-    return arrow_map(rows, of, "word binary, n long", whole=True).groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame, most: int) -> np.ndarray:
-    """Sorted hashes of all words whose count is at least the smallest one that no more than `most` words reach."""
-    levels = counts.groupBy("n").count().orderBy(F.desc("n")).toArrow()  # rows: under the root of twice the corpus
-    fits = int((np.cumsum(levels.column("count").to_numpy()) <= most).sum())
-    if not fits:
-        return np.zeros(0, np.uint64)
-    chosen = counts.where(F.col("n") >= int(levels.column("n")[fits - 1].as_py())).toArrow()  # `most` rows at most
-    return np.sort(WordHashes().of(chosen.column("word").to_pylist()))
-
-
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of about BLOCK_BYTES of text together; a longer text is a slice of its own."""
     for batch in batches:
@@ -101,20 +76,18 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _pairs(words: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of documents' words as numbers under size: which follow another, and those words' pairs as numbers."""
-    doc = np.repeat(np.arange(len(n)), n)
-    follows = np.r_[False, doc[1:] == doc[:-1]] if len(doc) else np.zeros(0, bool)
-    return follows, words[:-1][follows[1:]] * size + words[1:][follows[1:]]
-
-
-def _keys(hashes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Keys of words, then of distinct pairs."""
-    size = max(len(hashes), 1)
-    return np.r_[hashes, hashes[pairs // size] * _MIX + hashes[pairs % size]]
+def _keys(flat: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of documents' word hashes, one after the other: each word's place in its document, and for each order the keys of the
+    n-grams that end at the words that have one, in their order."""
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    key, out = flat, [flat]
+    for k in range(1, order):
+        key = np.r_[np.zeros(min(len(key), 1), np.uint64), key[:-1] * _MIX] + flat + np.uint64(k)
+        out.append(key[place >= k])
+    return place, out
 
 
-def _explode(known, parts: int, schema: pa.Schema):
+def _explode(order: int, parts: int, schema: pa.Schema):
     """Blocks: for each part the keys of a slice and their counts in it; and one row of its documents and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,16 +97,12 @@ def _explode(known, parts: int, schema: pa.Schema):
             split = [hashed.of(words(t)) for t in texts(batch.column(1))]
             n = np.array([len(x) for x in split], np.int64)
             flat = np.concatenate([*split, np.zeros(0, np.uint64)])
-            if known is not None:
-                flat[~np.isin(flat, known.value)] = _UNKNOWN
-            hashes, at, n_words = np.unique(flat, return_inverse=True, return_counts=True)
-            pairs, n_pairs = np.unique(_pairs(at, n, len(hashes))[1], return_counts=True)
-            keys = _keys(hashes, pairs)
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], np.r_[n_words, n_pairs][order].astype(np.uint32)
+            hashes, at = np.unique(flat, return_inverse=True)
+            keys, counts = np.unique(np.concatenate(_keys(flat, n, order)[1]), return_counts=True)
             part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             present, first = np.unique(part, return_index=True)
             ends = np.r_[first[1:], len(part)][: len(first)]
+            counts = counts.astype(np.uint32)
             rows = [(int(p), block, _planes(np.diff(keys[s:e], prepend=np.uint64(0))), _planes(counts[s:e]), None, None, None, None) for p, s, e in zip(present, first, ends, strict=True)]
             rows.append((block % parts, block, None, None, batch.column(0).to_pylist(), n, _planes(at.astype(np.uint32)), _planes(np.diff(hashes, prepend=np.uint64(0)))))
             yield _table(rows, schema)
@@ -169,7 +138,7 @@ def _count(schema: pa.Schema):
     return run
 
 
-def _add_up(least: int, schema: pa.Schema):
+def _add_up(order: int, least: int, schema: pa.Schema):
     """Over rows sorted by block, the row of its documents first and its sums by part: a row for each document, with how
     many of its words are to be divided by the words of the corpus."""
 
@@ -178,20 +147,22 @@ def _add_up(least: int, schema: pa.Schema):
 
         def out() -> pa.RecordBatch:
             ids, n = now[0], np.array(now[1], np.int64)
-            at, hashes = _unplaned(now[2], "u4").astype(np.int64), np.cumsum(_unplaned(now[3], "u8"))
-            follows, pair = _pairs(at, n, len(hashes))
-            pairs, of = np.unique(pair, return_inverse=True)
-            keys = _keys(hashes, pairs)
-            counts = np.empty(len(keys), np.int64)
-            counts[np.argsort(keys, kind="stable")] = np.concatenate([*sums, np.zeros(0, np.int64)])
-            n_pair, alone = counts[len(hashes) :], np.log(counts[: len(hashes)])
-            seen = np.zeros(len(at), bool)
-            seen[follows] = (n_pair >= least)[of]
-            score = alone[at] + np.where(follows, np.log(BACKOFF), 0.0)
-            first = at[:-1][seen[1:]]
-            score[seen] = np.log(n_pair)[of][seen[follows]] - alone[first]
+            flat = np.cumsum(_unplaned(now[3], "u8"))[_unplaned(now[2], "u4")] if n.sum() else np.zeros(0, np.uint64)
+            place, keys = _keys(flat, n, order)
+            _, of = np.unique(np.concatenate(keys), return_inverse=True)
+            logs = np.log(np.concatenate([*sums, np.zeros(0, np.int64)]))
+            ends, cut = np.cumsum([len(k) for k in keys]), np.log(least) - 1e-9
+            alone = before = logs[of[: ends[0]]]
+            score, found = alone + np.log(BACKOFF) * np.minimum(place, order - 1), np.zeros(len(flat), bool)
+            for k in range(1, order):
+                has = np.flatnonzero(place >= k)
+                own = np.full(len(flat), -np.inf)
+                own[has] = logs[of[ends[k - 1] : ends[k]]]
+                seen = has[own[has] >= cut]
+                score[seen] = own[seen] - before[seen - 1] + np.log(BACKOFF) * (np.minimum(place[seen], order - 1) - k)
+                found[seen], before = True, own
             doc = np.repeat(np.arange(len(n)), n)
-            apart = np.bincount(doc[~seen], minlength=len(n))
+            apart = np.bincount(doc[~found], minlength=len(n))
             return pa.RecordBatch.from_arrays([pa.array(ids, schema[0].type), pa.array(n), pa.array(np.bincount(doc, score, len(n))), pa.array(apart.astype(np.int64))], schema=schema)
 
         for b in batches:
@@ -208,22 +179,19 @@ def _add_up(least: int, schema: pa.Schema):
     return run
 
 
-def scores(docs: DataFrame, least: int = 2, most_words: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, least: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, score, mean): the sum of the words' log scores, and their mean."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    known = None
-    if most_words is not None:
-        known = spark.sparkContext.broadcast(vocabulary(stored(word_counts(rows)), most_words))  # `most_words` words at most
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(spark), size // PART_BYTES)
     exploded, counted = _schemas(kind)
     result = f"doc_id {kind}, n_words long, score double, apart long"
-    blocks = rows.mapInArrow(_explode(known, parts, _arrow_schema(spark, exploded)), exploded)
+    blocks = rows.mapInArrow(_explode(order, parts, _arrow_schema(spark, exploded)), exploded)
     summed = blocks.repartitionById(parts, "part").sortWithinPartitions("part", "block").mapInArrow(_count(_arrow_schema(spark, counted)), counted)
     dealt = summed.repartition(parts, "block").sortWithinPartitions("block", F.col("counts").isNotNull(), "part")
-    found = stored(dealt.mapInArrow(_add_up(least, _arrow_schema(spark, result)), result))
+    found = stored(dealt.mapInArrow(_add_up(order, least, _arrow_schema(spark, result)), result))
     total = found.agg(F.sum("n_words")).first()[0] or 0
     score = F.col("score") - F.col("apart") * float(np.log(max(total, 1)))
     return found.select("doc_id", "n_words", score.alias("score")).withColumn("mean", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

@@ -98,15 +98,15 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
-#: All words of the smaller tables are in the vocabulary.
 _OP5 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-u AS (SELECT b AS x, count(*) AS n FROM t GROUP BY b),
-p AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b),
+t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT c AS x, count(*) AS n FROM t GROUP BY c),
+p AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),
+q AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c),
 total AS (SELECT count(*) AS n FROM t),
-s AS (SELECT doc_id, CASE WHEN t.a IS NULL THEN ln(ub.n / total.n) WHEN p.n >= 2 THEN ln(p.n / ua.n) ELSE ln(0.4) + ln(ub.n / total.n) END AS s
-      FROM t CROSS JOIN total JOIN u ub ON ub.x = t.b LEFT JOIN u ua ON ua.x = t.a LEFT JOIN p ON p.a = t.a AND p.b = t.b)
+s AS (SELECT doc_id, CASE WHEN q.n >= 2 THEN ln(q.n / ab.n) WHEN bc.n >= 2 THEN ln(bc.n / ub.n) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END ELSE least(i - 1, 2) * ln(0.4) + ln(uc.n / total.n) END AS s
+      FROM t CROSS JOIN total JOIN u uc ON uc.x = t.c LEFT JOIN u ub ON ub.x = t.b LEFT JOIN p bc ON bc.b = t.b AND bc.c = t.c LEFT JOIN p ab ON ab.b = t.a AND ab.c = t.b LEFT JOIN q ON q.a = t.a AND q.b = t.b AND q.c = t.c)
 SELECT d.doc_id, len(w) AS n_words, round(coalesce(sum(s), 0), 4) AS score, round(sum(s) / len(w), 6) AS mean
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, w
 """

@@ -230,33 +230,37 @@ def test_language_backs_off():
 
 def test_language_model(spark, docs, texts, edges):
     split = {i: language_model.words(t.encode()) for i, t in texts.items()}
-    one, two = Counter(w for x in split.values() for w in x), Counter(p for x in split.values() for p in zip(x, x[1:], strict=False))
-    level = sorted(one.values(), reverse=True)[200]
-    known = {w for w, n in one.items() if n > level}
-    total = sum(one.values())
-    fold = lambda x: [w if w in known else None for w in x]
-    one, two = Counter(), Counter()
-    for x in split.values():
-        one.update(fold(x))
-        two.update(zip(fold(x), fold(x)[1:], strict=False))
-    got = {r["doc_id"]: r for r in language_model.scores(docs, most_words=len(known)).collect()}
-    for i, x in split.items():
-        x = fold(x)
-        want = sum(np.log(two[a, b] / one[a]) if a is not ... and two[a, b] >= 2 else np.log(0.4 * one[b] / total) for a, b in zip(x, x[1:], strict=False)) + (np.log(one[x[0]] / total) if x else 0)
-        assert got[i]["n_words"] == len(x) and abs(got[i]["score"] - want) < 1e-6
+    n = Counter(tuple(x[i : i + k]) for x in split.values() for k in (1, 2, 3) for i in range(len(x) - k + 1))
+    total = sum(map(len, split.values()))
+
+    def brute(x, order):
+        out = 0.0
+        for i in range(len(x)):
+            steps = 0
+            for k in range(min(i + 1, order), 0, -1):
+                gram = tuple(x[i - k + 1 : i + 1])
+                if k == 1 or n[gram] >= 2:
+                    out += steps * np.log(0.4) + np.log(n[gram] / (n[gram[:-1]] if k > 1 else total))
+                    break
+                steps += 1
+        return out
+
+    for order in (1, 2, 3):
+        for r in language_model.scores(docs, order=order).collect():
+            x = split[r["doc_id"]]
+            assert r["n_words"] == len(x) and abs(r["score"] - brute(x, order)) < 1e-6 * max(1, len(x))
     odd = language_model.scores(edges).collect()
     assert len(odd) == len(EDGES) and {r["doc_id"]: r["mean"] for r in odd}[1] is None
     assert language_model.scores(edges.limit(0)).count() == 0
 
 
 def test_language_model_knows_all_words(spark):
-    """More words than a table of half a million holds; texts of even ids are there twice."""
-    text = F.concat_ws(" ", F.transform(F.sequence(F.col("id") * 10_000, F.col("id") * 10_000 + 9_999), lambda x: F.concat(F.lit("w"), x)))
-    docs = spark.range(60).select(F.col("id").alias("doc_id"), text.alias("text"))
+    """600,000 words, each once: half of the documents come twice, so that their trigrams count."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10_000)), lambda k: F.concat(F.lit("w"), F.col("id"), F.lit("x"), k)), " ").alias("text"))
     total = 900_000
     for r in language_model.scores(docs.union(docs.where("doc_id % 2 = 0"))).collect():
-        want = np.log(2 / total) if r["doc_id"] % 2 == 0 else 10_000 * np.log(1 / total) + 9_999 * np.log(0.4)
-        assert r["n_words"] == 10_000 and abs(r["score"] - want) < 1e-5
+        want = np.log(2 / total) if r["doc_id"] % 2 == 0 else 10_000 * np.log(1 / total) + (1 + 2 * 9_998) * np.log(0.4)
+        assert r["n_words"] == 10_000 and abs(r["score"] - want) < 1e-4
 
 
 # 6. Prefix hashes
