@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sizes that results depend on.
-CHUNK_CHARS, MOST_CHUNKS = 2500, 500
+CHUNK_CHARS = 2500
 _HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 
 
@@ -20,26 +20,33 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(marked, r"\n+"), F.trim), lambda s: s != "")
 
 
-def grouped_sentences(c: Column, most: int = CHUNK_CHARS, overlap: int = 1) -> Column:
+def grouped_sentences(parts: list[str], most: int = CHUNK_CHARS, overlap: int = 1) -> list[str]:
     """Sentences joined while their characters, spaces not counted, fit; the next chunk begins with the last `overlap` ones."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+    out: list[str] = []
+    now: list[str] = []
+    size = 0
+    for s in parts:
+        if now and size + len(s) > most:
+            out.append(" ".join(now))
+            now = now[-overlap:] if overlap else []
+            size = sum(map(len, now))
+        now.append(s)
+        size += len(s)
+    return [*out, " ".join(now)] if now else out
 
-    def add(state: Column, s: Column) -> Column:
-        full = (state["n"] + F.length(s) > most) & (F.size(state["now"]) > 0)
-        kept = F.slice(state["now"], -overlap, F.lit(overlap)) if overlap else F.array().cast("array<string>")
-        kept = F.when(F.size(state["now"]) >= overlap, kept).otherwise(state["now"])
-        n = F.aggregate(kept, F.lit(0), lambda x, y: x + F.length(y))
-        return F.when(full, F.struct(F.concat(state["done"], F.array(F.array_join(state["now"], " "))).alias("done"), F.concat(kept, F.array(s)).alias("now"), (n + F.length(s)).alias("n"))).otherwise(
-            F.struct(state["done"].alias("done"), F.concat(state["now"], F.array(s)).alias("now"), (state["n"] + F.length(s)).alias("n")))
 
-    end = lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(F.array_join(s["now"], " ")))).otherwise(s["done"])
-    return F.aggregate(sentences(c), start, add, end)
+def chunks(docs: DataFrame, most: int = CHUNK_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, chunk, text, n_chunks). Texts are split by Spark; sentences are grouped in one pass over each text."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), sentences(F.col(text)).alias("s"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [grouped_sentences(x or [], most) for x in b.column(1).to_pylist()]
+            at = pa.array([i for i, x in enumerate(made) for _ in x], pa.int64())
+            columns = [pa.array([k for x in made for k in range(len(x))], pa.int32()), pa.array([c for x in made for c in x], pa.string()), pa.array([len(x) for x in made for _ in x], pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *columns], ["doc_id", "chunk", "text", "n_chunks"])
 
-def chunks(docs: DataFrame, most: int = CHUNK_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, chunk, text, n_chunks)."""
-    split = docs.select(doc_id, grouped_sentences(F.col(text), most).alias("_c"))
-    return split.select(doc_id, F.posexplode("_c").alias("chunk", "text"), F.size("_c").alias("n_chunks"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, chunk int, text string, n_chunks int")
 
 
 def heading_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,10 +82,3 @@ def _sections(text: str) -> Iterator[tuple[str, str]]:
                 stack = [x for x in stack if x[0] < len(m[1])] + [(len(m[1]), m[2])]
         else:
             body.append(line)
-
-
-def heading_nodes(paths: DataFrame, path: str = "heading_path") -> DataFrame:
-    """Each level of a heading path: (…, level, title, parent)."""
-    parts = F.filter(F.transform(F.split(path, ">"), F.trim), lambda x: x != "")
-    out = paths.withColumn("_p", parts).select(*paths.columns, "_p", F.posexplode("_p").alias("level", "title"))
-    return out.withColumn("parent", F.when(F.col("level") > 0, F.array_join(F.slice("_p", F.lit(1), F.col("level")), " > "))).drop("_p")

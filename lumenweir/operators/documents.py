@@ -84,7 +84,7 @@ def capped_per_group(rows: DataFrame, group: str, order: str, most: int) -> Data
     """At most so many rows of each group, chosen by a hash of the order column: groups are first cut to candidates by
     hash range, which keeps the window's input near `most` for large groups."""
     place = F.conv(F.substring(F.sha2(F.col(order).cast("string"), 256), 1, 8), 16, 10).cast("bigint")
-    sized = rows.join(F.broadcast(rows.groupBy(group).agg(F.count("*").alias("_n"))), group).withColumn("_place", place)
+    sized = rows.join(rows.groupBy(group).agg(F.count("*").alias("_n")), group).withColumn("_place", place)
     near = sized.where(F.col("_place") <= (F.lit(2.0) ** 32) * F.least(F.lit(1.0), 4 * most / F.col("_n") + 1e-3))
     ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_place", order)))
     return ranked.where(F.col("_rank") <= most).drop("_n", "_place", "_rank")

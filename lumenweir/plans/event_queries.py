@@ -131,8 +131,9 @@ def evaluation_summary(spark, sf_dir):
 
 @r.query("SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus) AS g, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))")
 def error_statistics(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lumenweir_lineitem")
-    return spark.sql("SELECT l_returnflag, l_linestatus, CAST(grouping_id(l_returnflag, l_linestatus) AS BIGINT) AS g, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lumenweir_lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))")
+    by = [F.col("l_returnflag"), F.col("l_linestatus")]
+    rows = table(spark, sf_dir, "lineitem").groupingSets([[by[0]], [by[1]]], *by)
+    return rows.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
 @r.query("SELECT c_mktsegment AS kb, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY ('0x' || sha256(c_custkey::VARCHAR)[1:8])::BIGINT, c_custkey) AS k FROM customer) WHERE k <= 100")

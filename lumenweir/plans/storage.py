@@ -22,11 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read again: lost executors can't take them, and later plans start there."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/lumenweir/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that was stored; no DataFrame that reads it may be in use any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenweir")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table of fewer splits than there are cores, which is a small one, dealt out to all cores; others as they are."""
     cores = table.sparkSession.sparkContext.defaultParallelism
