@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merging import last_of_key
-
 PARSED = "doc_id string, filename string, content_hash string, text string, tables array<array<array<string>>>, ocr_text string, metadata map<string,string>"
 
 
@@ -51,7 +49,8 @@ def parsed_documents(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of parsed documents; lines cut off midway are dropped, the last line of an id wins by its file order."""
     rows = spark.read.schema(PARSED + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
     sound = rows.withColumn("_at", F.monotonically_increasing_id()).where("_broken is null and doc_id is not null").drop("_broken")
-    return last_of_key(sound, ["doc_id"], "_at").drop("_at")
+    rest = [c for c in sound.columns if c not in ("doc_id", "_at")]
+    return sound.groupBy("doc_id").agg(F.max_by(F.struct(*rest), "_at").alias("_r")).select("doc_id", *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
 def not_yet_parsed(files: DataFrame, parsed: DataFrame, key: str = "doc_id") -> DataFrame:

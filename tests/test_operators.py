@@ -172,8 +172,8 @@ def test_files(spark, tmp_path):
     assert sorted(r["x"] for r in now.select(files.decoded(F.col("content")).alias("x")).collect()) == ["plain", "가나"]
     before = now.select("path", "sha256").where("path like '%b.txt'").withColumn("sha256", F.lit("old")).union(spark.createDataFrame([("gone", "x")], "path string, sha256 string"))
     assert sorted(r["change"] for r in files.changes(now, before).collect()) == ["changed", "deleted", "new"]
-    (tmp_path / "p.jsonl").write_text('{"doc_id": "1", "text": "a"}\n{"doc_id": "2", "te')
-    assert [r["doc_id"] for r in files.parsed_documents(spark, str(tmp_path / "p.jsonl")).collect()] == ["1"]
+    (tmp_path / "p.jsonl").write_text('{"doc_id": "1", "text": "a"}\n{"doc_id": "1", "text": "b"}\n{"doc_id": "2", "te')
+    assert [(r["doc_id"], r["text"]) for r in files.parsed_documents(spark, str(tmp_path / "p.jsonl")).collect()] == [("1", "b")]
     got = one(spark, files.front_matter(F.col("a")), a="---\ntitle: A: b\nowner: x\n---\nbody")
     assert got["meta"] == {"title": "A: b", "owner": "x"} and got["body"] == "body"
 
