@@ -3,14 +3,16 @@
 A text's fingerprint has a bit set where over half of the XXH64 hashes (seed 42) of its word shingles have it, repeats
 counted. Fingerprints that differ in at most `distance` bits are linked; links join documents into components.
 
-Linking, over distinct fingerprints, so that copies cost one row: a fingerprint is cut into `distance + 2` blocks, of which
-two linked fingerprints share at least two; every pair of blocks is a bucket key, which is complete and keeps a bucket's
-expected size at n / 2^32 for the default of four blocks. Within a bucket, the Hamming distances of its fingerprints to
-PIVOTS reference fingerprints are computed once; by the triangle inequality a pair whose tables differ by more than
-`distance` in any coordinate is discarded, and the survivors are verified by their own Hamming distance. A bucket gives
-links that join its members, not all its pairs. A bucket of more than `most_in_bucket` fingerprints isn't compared in one
-task: its members meet by exact keys instead, each fingerprint with up to distance / 2 of its bits flipped (65 keys at the
-default; `distance` is even), which is linear in members and complete as well.
+Linking, over distinct fingerprints, so that copies cost one row: a fingerprint is cut into `distance + 2` blocks, and has a
+table of its Hamming distances to CELL_PIVOTS reference fingerprints within each block. Two linked fingerprints are equal in
+at least two blocks, and so are their distances there: the distances of each pair of blocks name a cell, and the pairs of
+fingerprints that share a cell are the candidates, which is complete. The references tell nearly all values of a block apart,
+so that a cell's expected size is n / 2^32 for the default of four blocks. Within a cell, the distances of its fingerprints to
+PIVOTS references over all bits are computed once; by the triangle inequality a pair whose tables differ by more than
+`distance` in any coordinate is discarded, and the survivors are verified by their own Hamming distance. A cell gives links
+that join its members, not all its pairs. A cell of more than `most_in_bucket` fingerprints isn't compared in one task: its
+members meet by exact keys instead, each fingerprint with up to distance / 2 of its bits flipped (65 keys at the default;
+`distance` is even), which is linear in members and complete as well.
 
 Null, empty and blank texts have fingerprint zero and link like any other; texts of fewer words than a shingle are one
 shingle. Repeated rows, and rows of one id, are documents of their own with one component. Rows with a null id get a
@@ -25,14 +27,15 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.near_duplicates import near_duplicates as jaccard_groups
 from .common import arrow_map, partitions, pick, place, stored, texts
 
-PIVOTS = 24
+#: References over all bits, and those whose distances within a block name cells.
+PIVOTS, CELL_PIVOTS = 24, 16
 #: Rows of shingle bits summed at once.
 _ROWS = 1 << 16
 
@@ -121,14 +124,19 @@ def _split_large(keys, fps, large, most):
     return (keys[~too], fps[~too]), fps[too]
 
 
+def block_distances(fp: Column, block: int, blocks: int) -> list[Column]:
+    """The Hamming distances of fingerprints to CELL_PIVOTS references within a block of their bits."""
+    first, end = 64 * block // blocks, 64 * (block + 1) // blocks
+    own = F.shiftrightunsigned(fp, first).bitwiseAND((1 << (end - first)) - 1)
+    return [F.bit_count(own.bitwiseXOR(int(p) >> first & (1 << (end - first)) - 1)) for p in pivots(CELL_PIVOTS)]
+
+
 def link(fps: DataFrame, distance: int = 2, most_in_bucket: int = 1024) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp), enough to join all that differ in at most `distance` bits."""
     if distance < 2 or distance % 2:
         raise ValueError("distance is even: the keys of large buckets flip half of it on either side")
-    n = distance + 2
-    edges = [64 * i // n for i in range(n + 1)]
-    block = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    key = [F.xxhash64(F.lit(i), block[a], block[b]) for i, (a, b) in enumerate(combinations(range(n), 2))]
+    table = [block_distances(F.col("fp"), b, distance + 2) for b in range(distance + 2)]
+    key = [F.xxhash64(F.lit(i), *table[a], *table[b]) for i, (a, b) in enumerate(combinations(range(distance + 2), 2))]
     distinct = fps.select("fp").distinct()
     rows = distinct.select(F.explode(F.array(*key)).alias("key"), "fp")
     rows = rows.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key")
