@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters and digits or any non-ASCII characters, ASCII letters lower-cased. An item's windows are
 its runs of `n` consecutive words; an item of fewer words, but not none, is one window. Documents are only mapped: nothing
-of them is shuffled. The set of windows is counted before it is broadcast; above `most_windows` the windows of both sides
-are joined by hash instead.
+of them is shuffled. The bytes of the windows are added up before they are broadcast; above `most_bytes` the windows of both
+sides are joined instead.
 
 Null, empty and wordless texts have no words: nothing hit, no items, not contaminated. Items without words have no windows;
 items whose id is null count under the id "null". Equal windows of several items name all of them. Repeated document rows
@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ from .common import WordHashes, arrow_map, chunks, pick, place, stored, texts, w
 #: Upper-case ASCII to lower case; other ASCII characters that are no letter or digit to a space.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
-#: Windows that are broadcast at most, about 100 bytes each.
-MOST_WINDOWS = 1_000_000
+#: Bytes of windows, items and keys that are broadcast at most; a worker holds just these arrays, and 4 MB for each length.
+MOST_BYTES = 64_000_000
 FOUND = "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start: long, end: long>>"
 
 
@@ -35,10 +36,12 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct (length, window, item_id) of the items; window: its words, joined by a space."""
+    """Distinct (length, window, item_id, hash) of the items; window: its words, joined by a space; hash: as _rolled gives it."""
+    kept: list[WordHashes] = []
 
     def of(batch: pa.RecordBatch) -> dict:
-        out = {"length": [], "window": [], "item_id": []}
+        kept[:] = kept or [WordHashes()]
+        out = {"length": [], "window": [], "item_id": [], "hash": []}
         for item, t in zip(batch.column("id").to_pylist(), texts(batch.column("text")), strict=True):
             w = words(t)
             k = min(n, len(w))
@@ -46,45 +49,41 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, item_id: str = "item_id
                 out["length"].append(k)
                 out["window"].append(b" ".join(w[i : i + k]))
                 out["item_id"].append("null" if item is None else item)
+            if w:
+                out["hash"] += _rolled(kept[0].of(w), k).view(np.int64).tolist()
         return out
 
     plain = pick(benchmark, item_id, text).toDF("id", "text").select(F.col("id").cast("string").alias("id"), "text")
-    return arrow_map(plain, of, "length int, window binary, item_id string").distinct()
+    return arrow_map(plain, of, "length int, window binary, item_id string, hash long").distinct()
 
 
 class _Windows:
-    """The benchmark's windows by length: sorted hashes, the windows of each and their items."""
-
-    def __init__(self, rows: list) -> None:
-        hashes, by = WordHashes(), {}
-        for r in rows:
-            window = bytes(r["window"])
-            by.setdefault((r["length"], window), set()).add(r["item_id"])
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, dict]] = {}
-        found: dict[int, dict[int, list]] = {}
-        for (length, window), items in by.items():
-            h = int(_rolled(hashes.of(window.split(b" ")), length)[0])
-            found.setdefault(length, {}).setdefault(h, []).append((window, sorted(items)))
-        for length, at in found.items():
-            keys = np.array(sorted(at), np.uint64)
+    """The benchmark's windows by length, as arrays in order of their hashes: hashes, windows, items."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.lengths: dict[int, tuple] = {}
+        for length in sorted(set(rows.column("length").to_pylist())):
+            own = rows.filter(pc.equal(rows.column("length"), length))
+            keys = own.column("hash").to_numpy().view(np.uint64)
+            order = np.argsort(keys, kind="stable")
             maybe = np.zeros(1 << 22, bool)
             maybe[keys >> np.uint64(42)] = True
-            self.lengths[length] = (keys, maybe, at)
+            window, item = (own.column(c).take(pa.array(order)).combine_chunks() for c in ("window", "item_id"))
+            self.lengths[length] = (keys[order], maybe, window, item)
 
     def hits(self, flat: list[bytes], hashes: np.ndarray):
         """(place, length, items) of each verified window in a run of words."""
-        for length, (keys, maybe, at) in self.lengths.items():
+        for length, (keys, maybe, windows, items) in self.lengths.items():
             if len(hashes) < length:
                 continue
             rolled = _rolled(hashes, length)
-            for i in np.flatnonzero(maybe[rolled >> np.uint64(42)]):
-                h = rolled[i]
-                k = np.searchsorted(keys, h)
-                if k < len(keys) and keys[k] == h:
-                    window = b" ".join(flat[i : i + length])
-                    for w, items in at[int(h)]:
-                        if w == window:
-                            yield int(i), length, items
+            at = np.flatnonzero(maybe[rolled >> np.uint64(42)])
+            first, end = (np.searchsorted(keys, rolled[at], side=s) for s in ("left", "right"))
+            for i, a, b in zip(at[first < end].tolist(), first[first < end].tolist(), end[first < end].tolist(), strict=True):
+                window = b" ".join(flat[i : i + length])
+                found = [items[k].as_py() for k in range(a, b) if windows[k].as_py() == window]
+                if found:
+                    yield i, length, found
 
 
 def _rolled(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -107,14 +106,14 @@ def _spans(hits: list[tuple[int, int]]) -> list[dict]:
     return [{"start": s, "end": e} for s, e in out]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """The documents with n_words, n_hit (words inside any occurring window), item_ids (sorted) and hit_spans (word places)."""
     spark = docs.sparkSession
     windows = stored(benchmark_windows(benchmark, n, item_id, item_text))
     docs = without(docs, "n_words", "n_hit", "item_ids", "hit_spans")
-    if windows.count() > most_windows:
-        return _joined(docs, windows, text)
-    known, cache = spark.sparkContext.broadcast(_Windows(windows.collect())), []
+    if (windows.agg(F.sum(F.octet_length("window") + F.octet_length("item_id") + 24)).first()[0] or 0) > most_bytes:
+        return _joined(docs, windows.drop("hash"), text)
+    known, cache = spark.sparkContext.broadcast(_Windows(windows.toArrow())), []  # `most_bytes` at most
     columns = docs.columns
     at = place(columns, text)
 

@@ -333,9 +333,9 @@ def test_decontamination(spark, edges):
     rows = [(1, "x one, two three four five six seven eight nine ten eleven y"), (2, "a short ITEM and short item"), (3, "one two three"), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for most in (1_000_000, 0):  # 0: joined, not broadcast
-        got = {r["doc_id"]: r for r in decontamination.scan(docs, items, most_windows=most).collect()}
+        got = {r["doc_id"]: r for r in decontamination.scan(docs, items, most_bytes=most).collect()}
         assert [(got[i]["n_words"], got[i]["n_hit"], got[i]["item_ids"]) for i in (1, 2, 3, 4)] == [(13, 11, ["1"]), (6, 4, ["2"]), (3, 0, []), (0, 0, [])]
-        assert len(decontamination.scan(edges, items, most_windows=most).collect()) == len(EDGES)
+        assert len(decontamination.scan(edges, items, most_bytes=most).collect()) == len(EDGES)
     cut = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(docs, items, remove="spans").collect()}
     assert cut == {1: "x  y", 2: "a  and ", 3: "one two three", 4: None}
     assert sorted(r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()) == [3, 4]
