@@ -19,6 +19,17 @@ def age_days(c: Column, as_of: str) -> Column:
     return F.datediff(F.lit(as_of).cast("date"), c.cast("date"))
 
 
+def exact_age(c: Column, as_of: str) -> Column:
+    """In days and parts of a day, from 0 on."""
+    at = F.unix_micros(F.lit(as_of).cast("timestamp"))
+    return F.greatest((at - F.unix_micros(c.cast("timestamp"))) / 86_400_000_000, F.lit(0.0))
+
+
+def validation(up: Column, down: Column, reviews: Column, reports: Column) -> Column:
+    """Votes, an expert's review as five, an open report as three."""
+    return wilson(up + 5 * reviews, down + 3 * reports)
+
+
 def wilson(positive: Column, negative: Column, z: float = 1.96) -> Column:
     """The lower bound of the 95 % interval of a share; 0.5 without votes."""
     n = positive + negative

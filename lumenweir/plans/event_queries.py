@@ -82,15 +82,15 @@ def rate_limited(spark, sf_dir):
     return a.allowed_by_rate(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 86400)
 
 
-_VOTES = "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS up, count(*) FILTER (event_type = 'error') AS down, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, max(ts) AS last FROM events GROUP BY user_id"
-_WILSON = "CASE WHEN up + down = 0 THEN 0.5 ELSE (up / (up + down) + 3.8416 / (2 * (up + down)) - 1.96 * sqrt(((up / (up + down)) * (1 - up / (up + down)) + 3.8416 / (4 * (up + down))) / (up + down))) / (1 + 3.8416 / (up + down)) END"
-_KTS = f"WITH v AS ({_VOTES}), p AS (SELECT user_id, {_WILSON} AS wilson, greatest(0.1, pow(2.0, -greatest(datediff('day', last::DATE, DATE '2024-02-01'), 0) / 60.0)) AS freshness, least(greatest(0.2 * ln(1 + views) / ln(10001) + 0.3 * ln(1 + clicks) / ln(501) + 0.2 * ln(1 + up) / ln(1001), 0.0), 1.0) AS usage FROM v), k AS (SELECT *, round(least(greatest(100 * (0.2 * 0.8 + 0.2 * freshness + 0.25 * wilson + 0.1 * usage + 0.15 + 0.1), 0), 100), 2) AS kts FROM p)"
+_VOTES = "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS up, count(*) FILTER (event_type = 'error') AS reports, count(*) FILTER (event_type = 'signup') AS reviews, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, max(ts) AS last FROM events GROUP BY user_id"
+_WILSON = "CASE WHEN pos + neg = 0 THEN 0.5 ELSE (pos / (pos + neg) + 3.8416 / (2 * (pos + neg)) - 1.96 * sqrt(((pos / (pos + neg)) * (1 - pos / (pos + neg)) + 3.8416 / (4 * (pos + neg))) / (pos + neg))) / (1 + 3.8416 / (pos + neg)) END".replace("pos", "(up + 5 * reviews)").replace("neg", "(3 * reports)")
+_KTS = f"WITH v AS ({_VOTES}), p AS (SELECT user_id, {_WILSON} AS wilson, greatest(0.1, pow(2.0, -greatest((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last)) / 86400000000, 0) / 60.0)) AS freshness, least(greatest(0.2 * ln(1 + views) / ln(10001) + 0.3 * ln(1 + clicks) / ln(501) + 0.2 * ln(1 + up) / ln(1001), 0.0), 1.0) AS usage FROM v), k AS (SELECT *, round(least(greatest(100 * (0.2 * 0.8 + 0.2 * freshness + 0.25 * wilson + 0.1 * usage + 0.15 + 0.1), 0), 100), 2) AS kts FROM p)"
 
 
 def _trust(spark, sf_dir):
     kind = lambda k: F.count_if(F.col("event_type") == k)
-    v = table(spark, sf_dir, "events").groupBy("user_id").agg(kind("purchase").alias("up"), kind("error").alias("down"), kind("view").alias("views"), kind("click").alias("clicks"), F.max("ts").alias("last"))
-    v = v.withColumns({"wilson": s.wilson(F.col("up"), F.col("down")), "freshness": s.exponential_freshness(s.age_days(F.col("last"), AS_OF), F.lit(60.0)), "usage": s.usage_score(F.col("views"), F.col("clicks"), F.lit(0.0), F.col("up"))})
+    v = table(spark, sf_dir, "events").groupBy("user_id").agg(kind("purchase").alias("up"), kind("error").alias("reports"), kind("signup").alias("reviews"), kind("view").alias("views"), kind("click").alias("clicks"), F.max("ts").alias("last"))
+    v = v.withColumns({"wilson": s.validation(F.col("up"), F.lit(0), F.col("reviews"), F.col("reports")), "freshness": s.exponential_freshness(s.exact_age(F.col("last"), AS_OF), F.lit(60.0)), "usage": s.usage_score(F.col("views"), F.col("clicks"), F.lit(0.0), F.col("up"))})
     return v.withColumn("kts", s.trust_score(source=F.lit(0.8), freshness=F.col("freshness"), validation=F.col("wilson"), usage=F.col("usage"), hallucination=F.lit(1.0), consistency=F.lit(1.0)))
 
 
