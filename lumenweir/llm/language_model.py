@@ -6,7 +6,7 @@ times in the corpus; each order that is stepped down costs a factor of BACKOFF,
 the corpus. Counts are those of all documents; the cut-off keeps a document from being scored by n-grams that it alone has.
 Per document the logarithms are summed.
 
-An n-gram is known by a 64-bit hash, mixed from its words' XXH64, so that no table of words is sent anywhere. A block
+An n-gram is known by a hash of _KEY_BITS bits, mixed from its words' XXH64, so that no table of words is sent anywhere. A block
 (BLOCK_BYTES of a batch's documents) takes its n-grams as distinct keys with their counts in it, and deals them by ranges of
 the key: a part adds up the counts of its keys over all blocks, and gives each block the sums of that block's keys in their
 order. A frequent n-gram is one key of a block like any other, so that no part is uneven. The block's own row (documents,
@@ -36,7 +36,10 @@ from .common import WordHashes, _arrow_schema, partitions, pick, stored, texts
 
 ORDER, BACKOFF = 3, 0.4
 #: Text of a block, about: what bounds a worker's memory; text of a part.
-BLOCK_BYTES, PART_BYTES = 4_000_000, 8_000_000
+BLOCK_BYTES, PART_BYTES = 8_000_000, 8_000_000
+#: Bits of a key: at 10 billion n-grams one in seven million shares another's count.
+_KEY_BITS = 56
+_MASK = np.uint64((1 << _KEY_BITS) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,7 +86,7 @@ def _keys(flat: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, list
     key, out = flat, [flat]
     for k in range(1, order):
         key = np.r_[np.zeros(min(len(key), 1), np.uint64), key[:-1] * _MIX] + flat + np.uint64(k)
-        out.append(key[place >= k])
+        out.append(key[place >= k] & _MASK)
     return place, out
 
 
@@ -96,15 +99,18 @@ def _explode(order: int, parts: int, schema: pa.Schema):
             block = TaskContext.get().partitionId() << 32 | i
             split = [hashed.of(words(t)) for t in texts(batch.column(1))]
             n = np.array([len(x) for x in split], np.int64)
-            flat = np.concatenate([*split, np.zeros(0, np.uint64)])
-            hashes, at = np.unique(flat, return_inverse=True)
+            flat = np.concatenate([*split, np.zeros(0, np.uint64)]) & _MASK
+            hashes, at, n_words = np.unique(flat, return_inverse=True, return_counts=True)
+            ranked = np.argsort(-n_words, kind="stable")  # frequent words get small numbers, which compress
+            number = np.empty(len(ranked), np.uint32)
+            number[ranked] = np.arange(len(ranked), dtype=np.uint32)
             keys, counts = np.unique(np.concatenate(_keys(flat, n, order)[1]), return_counts=True)
-            part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(_KEY_BITS - 32)
             present, first = np.unique(part, return_index=True)
             ends = np.r_[first[1:], len(part)][: len(first)]
             counts = counts.astype(np.uint32)
             rows = [(int(p), block, _planes(np.diff(keys[s:e], prepend=np.uint64(0))), _planes(counts[s:e]), None, None, None, None) for p, s, e in zip(present, first, ends, strict=True)]
-            rows.append((block % parts, block, None, None, batch.column(0).to_pylist(), n, _planes(at.astype(np.uint32)), _planes(np.diff(hashes, prepend=np.uint64(0)))))
+            rows.append((block % parts, block, None, None, batch.column(0).to_pylist(), n, _planes(number[at]), _planes(hashes[ranked])))
             yield _table(rows, schema)
 
     return run
@@ -147,7 +153,7 @@ def _add_up(order: int, least: int, schema: pa.Schema):
 
         def out() -> pa.RecordBatch:
             ids, n = now[0], np.array(now[1], np.int64)
-            flat = np.cumsum(_unplaned(now[3], "u8"))[_unplaned(now[2], "u4")] if n.sum() else np.zeros(0, np.uint64)
+            flat = _unplaned(now[3], "u8")[_unplaned(now[2], "u4")] if n.sum() else np.zeros(0, np.uint64)
             place, keys = _keys(flat, n, order)
             _, of = np.unique(np.concatenate(keys), return_inverse=True)
             logs = np.log(np.concatenate([*sums, np.zeros(0, np.int64)]))
