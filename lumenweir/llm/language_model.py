@@ -37,8 +37,8 @@ from .common import WordHashes, _arrow_schema, partitions, pick, stored, texts
 ORDER, BACKOFF = 3, 0.4
 #: Text of a block, about: what bounds a worker's memory; text of a part.
 BLOCK_BYTES, PART_BYTES = 8_000_000, 8_000_000
-#: Bits of a key: at 10 billion n-grams one in seven million shares another's count.
-_KEY_BITS = 56
+#: Bits of a key: of 10 billion n-grams one in two million shares another's count.
+_KEY_BITS = 54
 _MASK = np.uint64((1 << _KEY_BITS) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,7 +62,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 6)
 
 
 def _unplaned(raw: bytes, kind: str) -> np.ndarray:
@@ -110,7 +110,7 @@ def _explode(order: int, parts: int, schema: pa.Schema):
             ends = np.r_[first[1:], len(part)][: len(first)]
             counts = counts.astype(np.uint32)
             rows = [(int(p), block, _planes(np.diff(keys[s:e], prepend=np.uint64(0))), _planes(counts[s:e]), None, None, None, None) for p, s, e in zip(present, first, ends, strict=True)]
-            rows.append((block % parts, block, None, None, batch.column(0).to_pylist(), n, _planes(number[at]), _planes(hashes[ranked])))
+            rows.append((block % parts, block, None, None, batch.column(0).to_pylist(), n, _planes(number[at]), _planes(np.diff(hashes[ranked], prepend=np.uint64(0)))))
             yield _table(rows, schema)
 
     return run
@@ -153,7 +153,7 @@ def _add_up(order: int, least: int, schema: pa.Schema):
 
         def out() -> pa.RecordBatch:
             ids, n = now[0], np.array(now[1], np.int64)
-            flat = _unplaned(now[3], "u8")[_unplaned(now[2], "u4")] if n.sum() else np.zeros(0, np.uint64)
+            flat = np.cumsum(_unplaned(now[3], "u8"))[_unplaned(now[2], "u4")] if n.sum() else np.zeros(0, np.uint64)
             place, keys = _keys(flat, n, order)
             _, of = np.unique(np.concatenate(keys), return_inverse=True)
             logs = np.log(np.concatenate([*sums, np.zeros(0, np.int64)]))
