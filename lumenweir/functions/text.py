@@ -119,15 +119,20 @@ def script_language(c: Column) -> Column:
     return F.when(ko + en == 0, "unknown").when(share >= 0.7, "ko").when(share <= 0.3, "en").otherwise("mixed")
 
 
-def word_shingles(c: Column, n: int = 3) -> Column:
-    """Distinct runs of n words, joined by a space; a shorter text is one run. The words are zipped with themselves, shifted."""
-    w = runs = tokens(c)
+def shingles(w: Column, n: int = 3) -> Column:
+    """Distinct runs of n words, joined by a space, of an array of words; a shorter array is one run. Best over a column of
+    its own: the words are zipped with themselves, shifted, and so read n times."""
+    runs = w
     for k in range(1, n):
         runs = F.zip_with(runs, F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - k, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
     runs = F.when(F.size(w) >= n, F.filter(runs, lambda x: x.isNotNull())).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(runs)
 
 
+def word_shingles(c: Column, n: int = 3) -> Column:
+    return shingles(tokens(c), n)
+
+
 def clean_for_embedding(c: Column) -> Column:
     """Without tags and control characters; spaces as one, blank lines at most one."""
     c = F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")

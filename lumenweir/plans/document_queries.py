@@ -286,7 +286,8 @@ _W3 = "list_filter(string_split(lower(" + _SQUEEZE.format("text") + "), ' '), la
 
 @r.query(f"SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))) END::INT AS shingles FROM (SELECT doc_id, {_W3} AS w FROM documents)")
 def shingle_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t.word_shingles(F.col("text"))).alias("shingles"))
+    words = table(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size(t.shingles(F.col("w"))).alias("shingles"))
 
 
 @r.query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_totalprice AS score FROM orders), h AS (SELECT * FROM o WHERE o_orderkey % 20 = 0),
