@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import decontamination, language, language_model, line_dedup, packing, prefix_hash, quality, sharding, simhash, toxicity
+from . import decontamination, language, language_model, line_dedup, packing, prefix_hash, quality, sharding, simhash, spelling, toxicity
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(c.pick(c.documents(spark, sf_dir), "doc_id", "text"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(c.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -112,5 +116,21 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, w
 """
 
 
+_OP13 = r"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+a AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+b AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, count(*) AS c FROM a GROUP BY ALL),
+h AS (SELECT run, c, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(named)), '..'), lambda x: ('0x' || x)::BIGINT), lambda s, x: xor(s >> 8, tb[(xor(s, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h) GROUP BY word HAVING sum(c) >= 5 AND length(word) >= 6),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) AS x, substr(word, i + 1) AS y FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT p.word, q.word AS other, q.n FROM k p JOIN k q ON p.i = q.i AND p.x = q.x AND p.y = q.y AND p.word <> q.word
+      UNION SELECT k.word, w.word, w.n FROM k JOIN w ON w.word = k.x || k.y UNION SELECT w.word, k.word, k.n FROM k JOIN w ON w.word = k.x || k.y),
+f AS (SELECT word, w.n, coalesce(m, 0)::BIGINT AS n_near, CASE WHEN on_n >= 5 * w.n THEN other END AS form, CASE WHEN on_n >= 5 * w.n THEN on_n END AS form_n
+      FROM w LEFT JOIN (SELECT word, count(*) AS m, first(other ORDER BY n DESC, other) AS other, max(n) AS on_n FROM p GROUP BY word) USING (word)),
+c AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.next)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c USING (word) WHERE c.next IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lm_scoring": _OP5, "op7_sharding": _OP7, "op9_benchmark_decontamination": _OP9}
+    return {"op5_lm_scoring": _OP5, "op7_sharding": _OP7, "op9_benchmark_decontamination": _OP9, "op13_spelling_variants": _OP13}
