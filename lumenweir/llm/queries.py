@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import decontamination, language, language_model, line_dedup, packing, prefix_hash, quality, sharding, simhash, spelling, toxicity
+from . import decontamination, language, language_model, line_dedup, packing, prefix_hash, quality, sharding, simhash, spelling, toxicity, whitening
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(c.pick(c.documents(spark, sf_dir), "doc_id", "text"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it exceeds a long (some three million vectors of 64 entries); the operator's own is a decimal."""
+    found = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(c.documents(spark, sf_dir))
 
