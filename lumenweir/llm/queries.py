@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import decontamination, language, language_model, line_dedup, packing, prefix_hash, quality, sharding, simhash, spelling, toxicity, whitening
+from . import decontamination, hyperminhash, language, language_model, line_dedup, packing, prefix_hash, quality, sharding, simhash, spelling, toxicity, whitening
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(c.pick(c.documents(spark, sf_dir), "doc_id", "text"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(c.documents(spark, sf_dir))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """deviation is null where it exceeds a long (some three million vectors of 64 entries); the operator's own is a decimal."""
     found = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -122,6 +126,24 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, w
 """
 
 
+#: Candidates share one of their rarest shingles, as many as a measure of 0.85 leaves room for.
+_OP11 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+k AS (SELECT r, n, dense_rank() OVER (ORDER BY sg) AS c FROM (SELECT r, count(*) AS n, string_agg(g, chr(10) ORDER BY g) AS sg FROM s GROUP BY r)),
+one AS (SELECT c, min(r) AS r, min(n) AS n FROM k GROUP BY c),
+rare AS (SELECT s.r, s.g, one.c, one.n, row_number() OVER (PARTITION BY s.r ORDER BY f.f, s.g) AS place FROM s JOIN one USING (r) JOIN (SELECT g, count(*) AS f FROM s GROUP BY g) f USING (g)),
+pre AS (SELECT * FROM rare WHERE place <= n - ceil(0.85 * n) + 1),
+may AS (SELECT DISTINCT p.c AS a, q.c AS b, p.r AS ra, q.r AS rb, p.n AS na, q.n AS nb FROM pre p JOIN pre q USING (g) WHERE p.c < q.c AND 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n)),
+l AS (SELECT a, b FROM may JOIN s p ON p.r = ra JOIN s q ON q.r = rb AND q.g = p.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= 85 * (na + nb - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT c AS a, c AS b FROM one UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+m AS (SELECT reach.a AS c, min(doc_id) AS component_id FROM reach JOIN k ON k.c = reach.b JOIN d USING (r) GROUP BY reach.a)
+SELECT doc_id, coalesce(k.n, 0)::BIGINT AS n_shingles, CASE WHEN k.n IS NULL THEN doc_id ELSE component_id END AS component_id, coalesce(CASE WHEN k.n IS NULL THEN true ELSE doc_id = component_id END, doc_id IS NULL AND component_id IS NULL) AS kept
+FROM d LEFT JOIN k USING (r) LEFT JOIN m USING (c)
+"""
+
 _OP13 = r"""
 WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
 a AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
@@ -139,4 +161,4 @@ SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c USING
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lm_scoring": _OP5, "op7_sharding": _OP7, "op9_benchmark_decontamination": _OP9, "op13_spelling_variants": _OP13}
+    return {"op5_lm_scoring": _OP5, "op7_sharding": _OP7, "op9_benchmark_decontamination": _OP9, "op11_minhash_near_dedup": _OP11, "op13_spelling_variants": _OP13}
