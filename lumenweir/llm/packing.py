@@ -25,6 +25,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ SMALL = 0.4
 RANK_GROUPS, RANK_ROWS = 20_000, 50
 #: A word's end and an ASCII sign after it; the apostrophe begins tokens of its own.
 _WORD_AND_SIGN = r"([\p{L}\p{N}])([!-&(-/:-@\[-`{-~])"
+_SIGN = _WORD_AND_SIGN[_WORD_AND_SIGN.index(")") + 1 :]
 #: Runs whose ids a worker keeps.
 RUNS_KEPT = 300_000
 #: Columns that the linear program tries at most; what it has by then is feasible.
@@ -61,12 +63,22 @@ _BY_WORD = {
 }
 
 
+@cache
+def _odd_letters() -> str:
+    """A pattern of letters that turn into more than letters when composed and lower-cased, as a capital I with a dot does, and a
+    sign after them: the mark that such a letter ends in belongs to the sign. All such letters are of the basic plane. Or of an
+    I that marks compose to such a letter, as lower-casing ASCII comes first here."""
+    plain = lambda s: all(unicodedata.category(c)[0] in "LN" for c in s)
+    letters = (c for c in map(chr, range(0x80, 0x10000)) if plain(c))
+    return "[" + "".join(c for c in letters if not plain("".join(x.lower() for x in unicodedata.normalize("NFC", c)))) + "]" + _SIGN + r"|I\p{M}*\x{0307}"
+
+
 class Tokenizer:
     """Ids as 32-bit numbers. With a vocabulary that works word by word (see _BY_WORD), a slice of texts is lower-cased and cut
     into runs at ASCII white space and between a letter or digit and an ASCII sign; each run is encoded once, and a text's
     ids are taken from those of its runs. Words of letters are encoded many at once and parted after each token that ends
     a word, unless the numbers of words and ends differ: then each is encoded alone. A text that may hold the string of a
-    special token, and every text with another kind of vocabulary, is encoded as a whole."""
+    special token, or has a letter before a sign whose lower case isn't all letters, and every text with another kind of vocabulary, is encoded as a whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,7 +136,9 @@ class Tokenizer:
     def encode(self, column: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each text's followed by the end token; and where each text's end."""
         items = pc.fill_null(column.cast(pa.large_string()), "")
-        whole = np.flatnonzero(pc.match_substring(items, "<|").to_numpy(zero_copy_only=False)) if self.by_word else np.arange(len(items))
+        whole = np.arange(len(items))
+        if self.by_word:
+            whole = np.flatnonzero(pc.or_(pc.match_substring(items, "<|"), pc.match_substring_regex(items, _odd_letters())).to_numpy(zero_copy_only=False))
         own = [x.tobytes() for x in self._encode(items.take(pa.array(whole)).to_pylist())]
         mask = np.zeros(len(items), bool)
         mask[whole] = True

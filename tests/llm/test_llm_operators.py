@@ -188,6 +188,22 @@ def test_tokenizer_parts():
     assert (again == ids).all()
 
 
+def test_tokenizer_fuzz():
+    """Whole texts of several scripts, with letters whose lower case isn't all letters before and after each ASCII sign."""
+    own = packing.Tokenizer(packing.default_tokenizer())
+    rng = random.Random(4)
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    letters = [*"İIiıŞğAzßſÉé", "I\u0307", "e\u0301", "\u0958", "\u0915\u093c", "\ufb2a", "Σ", "ς", "ὈΥ", "ж", "Й", "한", "中", "ไ", "\u0307", "\u0338", "5", "Ⅷ", "²"]
+    items = [f"{a}{x}{s}{b} {s}{x}" for x in ("İ", "I\u0307", "\u0958") for s in signs for a in ("", "T") for b in ("", "n")]
+    for _ in range(4000):
+        parts = rng.choices([*letters, *letters, *signs, " ", "\n", "\u3000"], k=rng.randint(1, 30))
+        items.append("".join(parts))
+    items += ["TÜRKİYE'NİN BAŞKENTİ.", "EMİNİ, evet", "ATATÜRK İLKELERİ!"]
+    ids, ends = own.encode(pa.array(items, pa.string()), 0)
+    wrong = [t for t, a, b in zip(items, [0, *ends[:-1]], ends, strict=True) if ids[a:b].tolist() != [*own.own.encode(t, add_special_tokens=False).ids, 0]]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_packed_runs():
     rng = random.Random(1)
     for n in (0, 1, 30, 3000):

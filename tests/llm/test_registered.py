@@ -5,9 +5,10 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import tokenizers
 from conftest import DATA
 
-from lumenweir.llm import line_dedup, queries, simhash
+from lumenweir.llm import line_dedup, packing, queries, simhash
 
 LARGER, LARGEST = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -84,7 +85,11 @@ def test_packing_query(spark):
         assert part.length.sum() <= 2048 and (part.offset == part.length.cumsum() - part.length).all()
     for _, part in got.sort_values("piece").groupby("doc_id"):
         assert part.piece.tolist() == list(range(len(part))) and (part.start == part.length.cumsum() - part.length).all() and (part.length[:-1] == 2048).all()
-    assert set(got.doc_id) == {r["doc_id"] for r in rows("documents")}
+    docs, own = {r["doc_id"]: r["text"] for r in rows("documents")}, tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    assert set(got.doc_id) == set(docs)
+    for i, part in got.sort_values("piece").groupby("doc_id"):
+        ids = np.array([*own.encode(docs[i] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert part.length.sum() == len(ids) and part.ids_crc32.tolist() == [zlib.crc32(ids[k : k + 2048].tobytes()) for k in range(0, len(ids), 2048)]
 
 
 def test_fingerprint_query(spark):
