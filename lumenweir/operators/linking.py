@@ -60,9 +60,11 @@ class JaccardOfSets:
         return linked
 
 
-def _joined(linked, roots: np.ndarray, sides: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links (i, j) that join what isn't joined; roots: the parts that members are in; members of one side (over 0) don't meet."""
+def _joined(linked, reps: np.ndarray, roots: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Pairs (rep, rep) that join what links join; roots: the parts that members are in; members of one side (over 0) don't meet.
+    Where nothing was joined before, each member's pair is the smallest of its part."""
     parts, places = np.unique(roots, return_inverse=True)[1].ravel(), np.arange(len(roots))
+    joins = []
     for i in places[:-1]:
         later = places[i + 1 :]
         open_ = later[(parts[later] != parts[i]) & ((sides[later] != sides[i]) | (sides[i] == 0))]
@@ -70,24 +72,30 @@ def _joined(linked, roots: np.ndarray, sides: np.ndarray) -> Iterator[tuple[int,
             continue
         for j in open_[linked(int(i), open_)]:
             if parts[j] != parts[i]:
-                yield int(i), int(j)
+                joins.append((reps[i], reps[j]))
                 parts[parts == parts[j]] = parts[i]
+    if not joins or (roots != reps).any():
+        return np.array(joins, np.int64).reshape(-1, 2)
+    least = np.full(len(reps), np.iinfo(np.int64).max)
+    np.minimum.at(least, parts, reps)
+    least = least[parts]
+    return np.column_stack([reps, least])[reps != least]
 
 
 def _cells(kernel: Kernel):
-    """Over rows (cell, turn, side, rep, root, payload), sorted by cell, turn and rep: links (a, b). A repeated member counts once."""
+    """Over rows (cell, turn, side, rep, root, payload), sorted by cell, turn and rep: pairs (a, b). A repeated member counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, sides, reps, roots, members, out, seen = None, [], [], [], [], [], set()
 
         def close() -> None:
             if len(reps) > 1:
-                out.extend((reps[i], reps[j]) for i, j in _joined(kernel(members), np.array(roots), np.array(sides)))
+                out.append(_joined(kernel(members), np.array(reps), np.array(roots), np.array(sides)))
 
         def batch_of() -> pa.RecordBatch:
-            rows = [pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)]
+            pairs = np.concatenate([np.empty((0, 2), np.int64), *out])
             out.clear()
-            return pa.RecordBatch.from_arrays(rows, ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             for c, _, side, rep, root, payload in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -112,8 +120,8 @@ def _compared(cells: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFram
 
 
 def spanning_links(groups: DataFrame, payloads: DataFrame, kernel: Kernel, most: int = 1024, most_bytes: int = 16_000_000) -> DataFrame:
-    """Links (a, b) of members (group, rep), by the kernel over their payloads (rep, payload): enough to join, in each group, all
-    that its links join. Groups and members are named by longs; a member may be in several groups, and is once in payloads."""
+    """Pairs (a, b) of members (group, rep), by the kernel over their payloads (rep, payload), which join, in each group, just what
+    its links join: a member and the smallest that its links in a cell lead to, or two linked ones. Groups and members are named by longs; a member may be in several groups, and is once in payloads."""
     groups = stored(groups.join(payloads.select("rep", F.octet_length("payload").alias("bytes")), "rep").select("group", "rep", "bytes"))
     cuts = groups.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).where("n > 1")
     cuts = stored(cuts.select("group", F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("b") / most_bytes)).cast("int").alias("salts")))

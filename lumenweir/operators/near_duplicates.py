@@ -1,11 +1,10 @@
-"""MinHash near duplicates: signatures of word shingles, bands, verified links and their components.
-
-Rows of equal signatures are taken as one first, so that copies cost one row. A bucket's members are compared within one
-task, which gives links that join them rather than all pairs; a bucket of more than `most` members is cut into blocks by a
-hash of the member, and every pair of blocks is compared in a task of its own, so that all its pairs are compared. Pairs
-whose estimated measure reaches the threshold are linked; those that fall short of it by up to MARGIN, two standard
-deviations, and that nothing in their bucket links yet, are verified by the sets of their shingles. Null and empty texts have no shingles and are linked to
-nothing. Rows that share an id are taken as one document. Empty tables give no rows.
+"""MinHash near duplicates: signatures of word shingles, bands, links that full sets confirm, and their components.
+
+Rows of equal signatures are taken as one first, so that copies cost one row. Signatures that share a band are held against
+each other in groups; those that agree in `least` - MARGIN of their values or more, which is four standard deviations below
+it, join groups, whose full sets of shingles are compared, each sent once (see operators.linking: no pair of a group is given
+out, and large groups are cut into cells). Only confirmed links count. Null and empty texts have no shingles and are linked to
+nothing. Rows that share an id, a long, are taken as one document. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +20,12 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import stored
 from .components import connected_components
+from .linking import JaccardOfSets, groups_of_keys, spanning_links
 
 # What signatures depend on.
 HASHES, BANDS, PRIME, SEED = 128, 16, 4294967311, 42
-#: How far below the threshold an estimate is verified.
-MARGIN = 0.07
+#: How far below the threshold an estimate may be for its pair to be compared by full sets.
+MARGIN = 0.14
 
 
 def parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -76,87 +76,33 @@ def signatures(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sig binary")
 
 
-def _bucket_links(least: float, most: int):
-    """Over rows (key, rep, sig) sorted by key: links (a, b, of, sure) with their key, and (a, null, of, null) for each member of a larger bucket."""
+class _Agreement:
+    """Kernel over signatures: so large a share of their values agree."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, large = None, [], False
-        sigs = np.empty((16, HASHES), np.uint32)
-        top: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while top.get(x, x) != x:
-                x = top[x]
-            return x
-
-        for batch in batches:
-            out: list[tuple] = []
-            for k, i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
-                    key, ids, large = k, [], False
-                    top.clear()
-                if large or len(ids) >= most:
-                    out += [(x, None, k, None) for x in [*ids, i]]
-                    large, ids = True, []
-                    continue
-                own = np.frombuffer(raw, "<u4")
-                alike = (sigs[: len(ids)] == own).mean(1)
-                near = np.flatnonzero(alike >= least - MARGIN)
-                for j in near[np.argsort(-alike[near], kind="stable")]:
-                    if find(ids[j]) != find(i):
-                        sure = bool(alike[j] >= least)
-                        out.append((i, ids[j], k, sure))
-                        if sure:
-                            top[find(ids[j])] = find(i)
-                if len(ids) == len(sigs):
-                    sigs = np.concatenate([sigs, np.empty_like(sigs)])
-                sigs[len(ids)] = own
-                ids.append(i)
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "of", "sure"])
-
-    return run
-
-
-def links(sigs: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.8, most: int = 2048) -> DataFrame:
-    """(a, b) of representatives (rep, sig) of documents (doc_id, text) whose Jaccard measure is `least` or more, found by a common band."""
+    def __init__(self, least: float) -> None:
+        self.least = least
+
+    def __call__(self, members: list[bytes]):
+        sigs = np.frombuffer(b"".join(members), "<u4").reshape(-1, HASHES)
+        return lambda i, others: (sigs[others] == sigs[i]).mean(1) >= self.least
+
+
+def links(sigs: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.8, most: int = 1024) -> DataFrame:
+    """Pairs (a, b) of representatives (rep, sig) of documents (doc_id, text) that join just those whose Jaccard measure is `least`
+    or more and who share a band, directly or through others."""
     size = 4 * HASHES // BANDS
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", F.lit(i * size + 1), F.lit(size)))
     keys = stored(sigs.select("rep", F.array(*(band(i) for i in range(BANDS))).alias("keys"))).select(F.explode("keys").alias("key"), "rep")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = keys.join(shared, "key").join(sigs.select("rep", "sig"), "rep").select("key", "rep", "sig")  # signatures travel for shared bands only
-    shape = "a long, b long, of long, sure boolean"
-    found = stored(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_links(least, most), shape))
-    large = found.where("b is null").select(F.col("of").alias("key"), F.col("a").alias("rep")).distinct()
-    found = found.where("b is not null").select("a", "b", "sure")
-    if not large.isEmpty():
-        blocks = large.groupBy("key").agg(F.ceil(F.count("*") / most).alias("n"))
-        placed = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), "n"))
-        cells = placed.select("key", "rep", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-        cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
-        again = cells.select(cell, "rep").join(sigs.select("rep", "sig"), "rep").select("key", "rep", "sig")
-        again = again.repartition("key").sortWithinPartitions("key", "rep")
-        found = found.union(again.mapInArrow(_bucket_links(least, 1 << 30), shape).select("a", "b", "sure"))
-    found = stored(found)
-    unsure = found.where("not sure").select("a", "b").distinct()
-    return found.where("sure").select("a", "b").union(_verified(unsure, docs, n, least))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
-    """The pairs of ids whose texts' shingles have that Jaccard measure."""
-    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = stored(docs.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    alike = connected_components(spanning_links(groups_of_keys(keys), sigs.select("rep", F.col("sig").alias("payload")), _Agreement(least - MARGIN), most))
+    groups = stored(alike.select(F.col("root").alias("group"), F.col("node").alias("rep")))
+    own = docs.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            keep = []
-            for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
-                p, q = shingles_of(x, n), shingles_of(y, n)
-                keep.append(len(p & q) >= least * len(p | q))
-            yield pa.RecordBatch.from_arrays([t.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+        for x in batches:
+            sets = [np.sort(np.array([int.from_bytes(md5(s.encode(), usedforsecurity=False).digest()[:8]) for s in shingles_of(t, n)], "<u8")).tobytes() for t in x.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sets, pa.binary())], ["rep", "payload"])
+
+    return spanning_links(groups, stored(own.mapInArrow(run, "rep long, payload binary")), JaccardOfSets(least), most)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

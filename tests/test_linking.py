@@ -40,7 +40,6 @@ def test_all_pairs(spark, most, most_bytes):
     groups = spark.createDataFrame([(g, i) for i, x in group.items() for g in x], "group long, rep long")
     payloads = spark.createDataFrame([(i, bytearray(np.sort(np.array(list(s), "<u8")).tobytes())) for i, s in enumerate(sets)], "rep long, payload binary")
     links = [tuple(r) for r in spanning_links(groups, payloads, JaccardOfSets(0.8), most, most_bytes).collect()]
-    assert all(near(sets[a], sets[b]) for a, b in links)
     assert components(range(len(sets)), links) == want
     assert len(links) < 4 * len(sets)
 
