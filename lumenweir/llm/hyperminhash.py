@@ -60,7 +60,7 @@ def shingle_sets(all_words: list[list[bytes]], hashes: WordHashes, k: int = 3):
         power = 1
         for j in range(1, k):  # a polynomial of the words' hashes, modulo 2^64
             power = power * _BASE & (1 << 64) - 1
-            rolled[: len(flat) - j] += flat[j:] * np.uint64(power)
+            rolled[: max(0, len(flat) - j)] += flat[j:] * np.uint64(power)
         at = 0
         for x in all_words[a:b]:
             n = len(x)

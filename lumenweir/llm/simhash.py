@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.near_duplicates import near_duplicates as jaccard_groups
+from . import hyperminhash
 from .common import arrow_map, partitions, pick, place, stored, texts
 
 #: References over all bits, and those whose distances within a block name cells.
@@ -171,19 +171,20 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, dista
     most `distance` bits, or by a Jaccard measure of `least` or more over those shingles.
 
     Two bits catch few pairs at a measure of 0.8, where a tenth of the bits differ, and no bucket key that is complete for
-    a tenth of 64 bits is selective. So candidates for that measure come from bands of minimum hashes, and are verified."""
+    a tenth of 64 bits is selective. So candidates for that measure come from bands of HyperMinHash registers (which miss a
+    pair at 0.8 once in 10^5 pairs), and full sets confirm each link."""
     close = near_duplicates(docs, words, distance, doc_id="key").select("doc_id", "component_id")
-    alike = jaccard_groups(docs, words, least, doc_id="key").select("doc_id", "component_id")
+    alike = hyperminhash.near_duplicates(docs, words, least, doc_id="key").select("doc_id", "component_id")
     return connected_components(close.union(alike).where("doc_id <> component_id").toDF("a", "b"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of similar_documents: the row with the smallest id (nulls last; of equal ids that of the
-    smaller hash), and of rows that agree in id and text the first in the order of their other columns."""
+    smaller hash of 128 bits), and of rows that agree in id and text the first in the order of their other columns."""
     columns = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     own, content = (f"c{place(columns, x)}" for x in (doc_id, text))
-    key = F.xxhash64(F.col(own).cast("string"), F.lit("|"), content)
+    key = F.struct(F.xxhash64(F.col(own).cast("string"), F.lit("|"), content).alias("a"), F.xxhash64(F.lit(1), F.col(own).cast("string"), F.lit("|"), content).alias("b"))
     rows = plain.select(key.alias("key"), F.col(own).alias("id"), F.col(content).alias("text"))
     groups = similar_documents(rows.select("key", "text"), words, least, distance)
     named = rows.select("key", "id").join(groups, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("root", "key").alias("root"))

@@ -94,4 +94,7 @@ def test_shingle_sets():
     texts = ["a b c a b c a", "c a b c", "x", "x y", "x y z", "", "q " * 300]
     sets = list(h.shingle_sets([h.words(t.encode()) for t in texts], WordHashes()))
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
+    for k in (1, 3, 5):
+        alone = [next(h.shingle_sets([h.words(t.encode())], WordHashes(), k)) for t in texts]
+        assert all((a == b).all() for a, b in zip(alone, h.shingle_sets([h.words(t.encode()) for t in texts], WordHashes(), k), strict=True))
     assert len(np.intersect1d(sets[0], sets[1])) == len(shingles(texts[0]) & shingles(texts[1])) and len({*sets[2].tolist(), *sets[3].tolist(), *sets[4].tolist()}) == 3
