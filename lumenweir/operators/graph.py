@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
@@ -66,11 +66,34 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def with_history(edges: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Edge versions with valid_from and valid_to: the next version of a key closes the one before."""
-    from pyspark.sql import Window
-
     return edges.withColumn("valid_from", F.col(ts)).withColumn("valid_to", F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts)))
 
 
 def as_of(history: DataFrame, when: str) -> DataFrame:
     at = F.lit(when).cast("timestamp_ntz")
     return history.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
+
+
+def trails(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(start, node, hops, nodes, edges) of all walks from the starts (column node) over edges (edge, src, dst) that use no edge
+    twice, the empty walk included: what a variable-length path pattern matches. Edges are followed in their direction;
+    cycles end as their edges are used up; `most` bounds the hops. Each front is stored and joined to the edges once. The
+    number of walks is what the graph has: where many branches meet again, it grows with the product of the branchings."""
+    kind = edges.schema["edge"].dataType.simpleString()
+    front = stored(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"), F.array("node").alias("nodes"), F.array().cast(f"array<{kind}>").alias("edges")))
+    found, hops = front, 0
+    along = edges.select(F.col("edge").alias("_edge"), F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+    while hops != most and not front.isEmpty():
+        step = front.join(along, F.col("node") == F.col("_src")).where(~F.array_contains("edges", F.col("_edge")))
+        front = stored(step.select("start", F.col("_dst").alias("node"), (F.col("hops") + 1).alias("hops"), F.concat("nodes", F.array("_dst")).alias("nodes"), F.concat("edges", F.array("_edge")).alias("edges")))
+        found, hops = found.unionByName(front), hops + 1
+    return found
+
+
+def process_chain(firsts: DataFrame, edges: DataFrame, steps: DataFrame, most_steps: int = 20) -> DataFrame:
+    """(process, step, action, hops, place): the steps of each process in order, one row for each walk that leads to it, the
+    first `most_steps` of them. firsts: (process, node) where each process begins; steps: (node, step, action)."""
+    walks = trails(edges, firsts.select("node").distinct())
+    rows = firsts.join(walks.withColumnRenamed("node", "to"), F.col("node") == F.col("start")).join(steps.withColumnRenamed("node", "to"), "to")
+    order = Window.partitionBy("process").orderBy("step", "hops", "nodes")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_steps).select("process", "step", "action", "hops", "place")

@@ -1,0 +1,21 @@
+"""Choosing and correcting terms: disambiguation by neighbours, and fuzzy matching by matching blocks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def disambiguated(candidates: DataFrame, reach: int = 3) -> DataFrame:
+    """The candidate (text, place, rank, word_type, confidence, ...) chosen for each place of a text, with `reason`: the first by rank
+    whose word type is the one that most places within reach have as their first candidate's (nulls don't count; of equal
+    counts the type that comes first), or, if there is none, that of the largest confidence (null as 1; of equal ones the first)."""
+    firsts = candidates.where("rank = 1").select("text", "place", F.col("word_type").alias("near_type"), F.col("place").alias("near"))
+    around = F.explode(F.sequence(F.col("place") - reach, F.col("place") + reach)).alias("place")
+    votes = firsts.where("near_type is not null").select("text", "near_type", "near", around).where("place <> near")
+    counts = votes.groupBy("text", "place", "near_type").agg(F.count("*").alias("n"), F.min("near").alias("first"))
+    major = counts.groupBy("text", "place").agg(F.max_by("near_type", F.struct("n", -F.col("first"))).alias("major"))
+    voted = candidates.join(major, ["text", "place"], "left").withColumn("agrees", F.coalesce(F.col("word_type") == F.col("major"), F.lit(False)))
+    order = Window.partitionBy("text", "place").orderBy(F.desc("agrees"), F.when(F.col("agrees"), F.col("rank")).asc(), F.desc(F.coalesce("confidence", F.lit(1.0))), "rank")
+    chosen = voted.withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    return chosen.withColumn("reason", F.when(F.col("agrees"), "majority").otherwise("confidence")).drop("_k", "major", "agrees")

@@ -177,3 +177,15 @@ def mmr(scored: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
         return pd.DataFrame({"query": pool["query"].iloc[chosen], "id": pool["id"].iloc[chosen], "place": range(1, len(chosen) + 1)})
 
     return scored.groupBy("query").applyInPandas(pick, "query long, id long, place int")
+
+
+def hybrid_top_k(queries: DataFrame, rows: DataFrame, k: int, multiplier: int = 5, most: int = 150, constant: int = 60) -> DataFrame:
+    """(query, id, score, channels, place): the k best of two candidate generators for queries (query, text, vec) over rows (id, text,
+    vec), fused by reciprocal ranks. Each gives `multiplier` times k candidates, `most` at most; a side without vectors is
+    ranked by its words alone."""
+    n = min(k * multiplier, most)
+    dense = dense_top_k(queries.where("vec is not null").select("query", "vec"), rows.where("vec is not null").select("id", "vec"), n)
+    sparse = sparse_top_k(queries.select("query", "text"), rows.select("id", "text"), n)
+    both = dense.select("query", "id", "rank").unionByName(sparse.select("query", "id", "rank"))
+    fused = both.groupBy("query", "id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"), F.count("*").alias("channels"))
+    return top_per_query(fused, k).withColumnRenamed("rank", "place")
