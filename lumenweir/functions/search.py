@@ -11,9 +11,14 @@ from .text import squeezed, stripped
 
 # Patterns, words and tables that results depend on.
 IDENTIFIERS = (r"\d{1,3}(?:,\d{3})+", r"[A-Z]+-\d{3,}", r"[A-Z]{2}\d{3}", r"E-\d{4}", r"[\w\-\.]+\.(?:xml|java|py|json|yaml|yml|properties|sql|csv|xlsx)", r"[A-Z][a-z]+(?:[A-Z][a-z]+){2,}")
-STOP_WORDS = tuple("""the a an is are was were be been being have has had do does did will would could should may might must shall can need to of in for on with at by from up about into over after
-and or but not this that these those it its what which who whom when where why how 은 는 이 가 을 를 의 에 에서 로 으로 와 과 도 만 뿐 부터 까지 하다 되다 있다 없다 것 수 등""".split())
-PERSON_STOP_WORDS = tuple("이행에 대하여 위하여 관하여 통하여 인하여 따르면 따라서 있는 없는 이러한 같은 다른 그러나 그리고 그러면 그래서 하지만 또는 그것을 이것을 저것을 어떤 모든 각각".split())
+STOP_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need",
+    "to", "of", "in", "for", "on", "with", "at", "by", "from", "up", "about", "into", "over", "after", "and", "or", "but", "not", "this", "that", "these", "those", "it", "its",
+    "what", "which", "who", "whom", "when", "where", "why", "how",
+    "은", "는", "이", "가", "을", "를", "의", "에", "에서", "로", "으로", "와", "과", "도", "만", "뿐", "부터", "까지", "하다", "되다", "있다", "없다", "것", "수", "등",
+    "대해", "대해서", "대한", "관한", "관해", "관해서", "해서", "하고", "합니다", "입니다", "습니다", "에요", "이에요", "같은", "어떤", "어떻게", "무엇", "알고", "싶어", "알고싶어", "알려", "알려줘", "알려주세요", "궁금",
+)
+PERSON_STOP_WORDS = ("이행에", "대하여", "위하여", "관하여", "통하여", "인하여", "따르면", "따라서", "있는", "없는", "이러한", "같은", "다른", "그러나", "그리고", "그러면", "그래서", "하지만", "또는", "그것을", "이것을", "저것을", "어떤", "모든", "각각")
 PERSON_PARTICLES = "에의을를이가은는로과와도만께랑"
 NAMESPACE = "a1b2c3d4e5f67890abcdef1234567890"
 NOTIFICATION_MASKS = (
@@ -24,9 +29,10 @@ GENERALITY = (
 )
 NOT_STORES = ("편의점", "시점", "관점", "장점", "약점", "특점", "요점", "중점", "거점", "지점")
 NO_ANSWER = (
-    "^제공된 문서들?.*직접적인 .*정보.*찾을 수 없", "^직접적인 .*정보를 .*찾을 수 없", "^현재 제공된 정보로는 .*어렵", "관련 부서에 문의", "확인 후 답변", "정보를 찾을 수 없습니다", "해당 정보가 없",
+    "^제공된 문서들?에는 .*포함되어 있지 않", "^제공된 문서들?.*직접적인 .*정보.*찾을 수 없", "^직접적인 .*정보를 .*찾을 수 없", "^현재 제공된 정보로는 .*어렵", "관련 부서에 문의", "확인 후 답변", "정보를 찾을 수 없습니다", "해당 정보가 없",
     "관련 자료가 충분하지 않", "답변을 드리기 어렵", "확인이 필요합니다", "담당자에게 문의.*바랍니다$",
 )
+NO_SOURCES = "검색된 근거 문서 없이"
 NO_PREVIEW = "본문 미리보기를 제공할 수 없습니다."
 
 
@@ -179,11 +185,13 @@ def answer_leak(variation: Column, original: Column, answer: Column, least: floa
     return F.when(F.size(new) > 0, F.size(leaked) / F.size(new) >= least).otherwise(False)
 
 
-def is_no_answer(answer: Column, chunks: Column) -> Column:
-    """Whether an answer should be replaced: blank, without chunks, or a short text of a pattern that says nothing."""
+def is_no_answer(answer: Column, chunks: Column, disclaimer: Column | None = None) -> Column:
+    """Whether an answer should be replaced: blank, without chunks, with a disclaimer that there were no sources, or a short text of
+    a pattern that says nothing."""
     plain = squeezed(answer)
-    says = reduce(lambda a, b: a | b, (plain.rlike(p) for p in NO_ANSWER))
-    return (plain == "") | (chunks == 0) | ((F.length(plain) <= 200) & says)
+    says = reduce(lambda a, b: a | b, (plain.rlike(f"(?iu){p}") for p in NO_ANSWER))
+    unsourced = F.lit(False) if disclaimer is None else F.coalesce(F.contains(disclaimer, F.lit(NO_SOURCES)), F.lit(False))
+    return (plain == "") | (chunks == 0) | unsourced | ((F.length(plain) <= 200) & says)
 
 
 def grounded_snippet(c: Column, most: int = 180) -> Column:

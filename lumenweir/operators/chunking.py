@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .structure import sections
+
 # Sizes that results depend on.
 CHUNK_CHARS = 2500
-_HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 
 
 def sentences(c: Column) -> Column:
@@ -59,7 +59,7 @@ def heading_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for b in batches:
             at, section, paths, bodies = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                for k, (path, body) in enumerate(_sections(t or "")):
+                for k, (path, body) in enumerate((p, x.strip()) for p, x in sections(t or "") if x.strip()):
                     at.append(i)
                     section.append(k)
                     paths.append(path)
@@ -67,18 +67,3 @@ def heading_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(section, pa.int32()), pa.array(paths, pa.string()), pa.array(bodies, pa.string())], ["doc_id", "section", "heading_path", "body"])
 
     return rows.mapInArrow(run, schema)
-
-
-def _sections(text: str) -> Iterator[tuple[str, str]]:
-    stack: list[tuple[int, str]] = []
-    body: list[str] = []
-    for line in [*text.split("\n"), None]:
-        m = _HEADING.match(line) if line is not None else None
-        if line is None or m:
-            if "".join(body).strip():
-                yield " > ".join(h for _, h in stack), "\n".join(body).strip()
-            body = []
-            if m:
-                stack = [x for x in stack if x[0] < len(m[1])] + [(len(m[1]), m[2])]
-        else:
-            body.append(line)

@@ -3,6 +3,8 @@ the write, which the caller stores; a key that comes twice in one batch takes th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +17,14 @@ def last_of_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str, keep_null: bool = False) -> DataFrame:
-    """The old rows, with those of the new rows' keys replaced. keep_null: columns that are null in a new row stay as they were."""
-    new = last_of_key(new, keys, order)
+    """The old rows, with those of the new rows' keys replaced; nulls in keys are equal. keep_null: columns that are null in a new
+    row stay as they were."""
+    new = last_of_key(new, keys, order).select(*(F.col(c).alias(f"_new_{c}") for c in new.columns), F.lit(True).alias("_is_new"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys))
     if not keep_null:
-        return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-    renamed = new.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in new.columns if c not in keys))
-    both = old.join(renamed, keys, "full_outer")
-    return both.select(*(c if c in keys else F.coalesce(f"_new_{c}", c).alias(c) for c in old.columns))
+        return old.join(new, same, "left_anti").unionByName(new.select(*(F.col(f"_new_{c}").alias(c) for c in old.columns)))
+    both = old.join(new, same, "full_outer")
+    return both.select(*(F.coalesce(f"_new_{c}", c).alias(c) for c in old.columns))
 
 
 def without_matching(old: DataFrame, condition: Column, keep: DataFrame, key: str) -> DataFrame:
@@ -30,7 +33,7 @@ def without_matching(old: DataFrame, condition: Column, keep: DataFrame, key: st
 
 
 def storable_points(rows: DataFrame, vector: str, batch: int = 64) -> DataFrame:
-    """Points with a vector, numbered in batches by a hash of the id, for writers that take so many at once."""
+    """Points with a vector, numbered in batches of about so many by a hash of the id; sources.points writes batches of so many at most."""
     sound = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
     n = sound.count()
     return sound.withColumn("batch", F.pmod(F.xxhash64(*[c for c in sound.columns if c != vector]), F.lit(max(1, -(-n // batch)))))
@@ -51,7 +54,8 @@ def merged_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def archived(edges: DataFrame, new: DataFrame, at: str) -> DataFrame:
     """Edges (src, type, dst, created_at, archived_at) after newer ones: an edge of the same source and type to another end gets
-    the type WAS_ and the time; unchanged ones stay."""
+    the type WAS_ and the time; unchanged ones stay. Of several new edges of one source and type the last one counts."""
+    new = last_of_key(new, ["src", "type"], at)
     newer = new.select("src", "type", F.col("dst").alias("_dst"), F.col(at).alias("_at"))
     found = edges.join(newer, ["src", "type"], "left")
     gone = F.col("_dst").isNotNull() & (F.col("_dst") != F.col("dst")) & F.col("archived_at").isNull()

@@ -98,25 +98,34 @@ def sentence_chunks(text: str, most: int = CHUNK_CHARS, overlap: int = 0) -> lis
     return [*out, " ".join(now)] if now else out or [text]
 
 
-def sections(text: str) -> Iterator[tuple[str, str]]:
-    """(heading path, body): a heading takes the place of those of its level and below; text before the first has an empty path."""
-    slots: dict[int, str] = {}
+def headed(text: str, by_place: bool = False) -> Iterator[tuple[list[str], str]]:
+    """(headings above, body) of each run of lines between Markdown headings that has a line; text before the first heading has none.
+
+    A heading takes the place of those of its level and below. by_place: headings count by their place in the path instead of
+    their level, so that a heading that skips levels stays above a later one of its own level."""
+    above: list[tuple[int, str]] = []
     body: list[str] = []
-    for line in text.split("\n"):
-        if m := HEADING.match(line):
-            if body:
-                yield " > ".join(slots[k] for k in sorted(slots)), "\n".join(body)
-            level, body = len(m[1]), []
-            slots = {k: v for k, v in slots.items() if k < level} | {level: m[2].strip()}
-        else:
+    for line in [*text.split("\n"), None]:
+        m = None if line is None else HEADING.match(line)
+        if line is not None and not m:
             body.append(line)
-    if body:
-        yield " > ".join(slots[k] for k in sorted(slots)), "\n".join(body)
+            continue
+        if body:
+            yield [title for _, title in above], "\n".join(body)
+        if m:
+            level, body = len(m[1]), []
+            kept = above[: level - 1] if by_place else [x for x in above if x[0] < level]
+            above = [*kept, (level, m[2].strip())]
+
+
+def sections(text: str, by_place: bool = False) -> Iterator[tuple[str, str]]:
+    """(heading path, body), as headed gives them."""
+    return ((" > ".join(path), body) for path, body in headed(text, by_place))
 
 
 def heading_chunks(text: str, most: int = CHUNK_CHARS) -> list[tuple[str, str]]:
-    """(path, chunk) of each section, cut by paragraphs; without headings, of the text."""
-    made = [(path, c) for path, body in sections(text) if body.strip() for c in paragraph_chunks(body, most)]
+    """(path, chunk) of each section, whose headings count by place, cut by paragraphs; without headings, of the text."""
+    made = [(path, c) for path, body in sections(text, by_place=True) if body.strip() for c in paragraph_chunks(body, most)]
     return made or [("", c) for c in paragraph_chunks(text, most)]
 
 

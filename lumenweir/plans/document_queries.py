@@ -161,7 +161,7 @@ DOCUMENT_TYPES = (
     ("guide", ("가이드", "guide", "매뉴얼", "manual")), ("policy", ("정책", "policy", "규정")), ("procedure", ("절차", "procedure", "프로세스")), ("faq", ("faq", "자주", "질문")), ("meeting_notes", ("회의", "meeting", "미팅")),
     ("changelog", ("변경", "changelog", "릴리스")),
 )
-NO_OWNERS = ("^Unknown$", "^User$", "^admin$", "AI센터", r"MC\s*Front", "^hwlee$", "APP$", "팀$")
+NO_OWNERS = ("^Unknown$", "^User$", "^admin$", "APP$", "팀$")
 
 
 def l1_category(title, content):
@@ -184,44 +184,24 @@ def l1_categories(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", l1_category(title, F.col("text")).alias("category"))
 
 
-_TITLES = ["설치 가이드", "Policy 2024", "배포 절차와 규정", "FAQ", "주간 Meeting", "릴리스 노트", "기타 문서"]
-_TYPE_SQL = " ".join("WHEN " + " OR ".join(f"contains(x, '{w}')" for w in words) + f" THEN '{k}'" for k, words in DOCUMENT_TYPES)
-
-
-@r.query(f"SELECT c_custkey, CASE {_TYPE_SQL} ELSE 'reference' END AS type FROM (SELECT c_custkey, lower(({_list(_TITLES)})[1 + c_custkey % 7]) AS x FROM customer)")
-def document_types(spark, sf_dir):
-    x = F.lower(_one_of(_TITLES, F.col("c_custkey") % 7))
+def document_type(title):
+    """The first kind of which the title has a word."""
     kind = F.lit("reference")
     for k, words in reversed(DOCUMENT_TYPES):
-        kind = F.when(x.rlike("|".join(words)), k).otherwise(kind)
-    return table(spark, sf_dir, "customer").select("c_custkey", kind.alias("type"))
+        kind = F.when(F.lower(title).rlike("|".join(words)), k).otherwise(kind)
+    return kind
 
 
-def clean_owner(c):
+def clean_owner(c, none: tuple[str, ...] = NO_OWNERS):
     """A Korean name of two to four syllables or a plain ASCII one, without a department and an M at the end; else null."""
     name = F.trim(F.element_at(F.split(F.trim(c), "/"), 1))
     name = F.when(name.rlike(".M$"), F.regexp_replace(name, "M$", "")).otherwise(name)
     bad = F.trim(c).rlike(r"^Unknown User \([^)]+\)")
-    for p in NO_OWNERS:
+    for p in none:
         bad = bad | name.rlike(f"(?i){p}")
     return F.when(~bad & name.rlike("^([가-힣]{2,4}|[A-Za-z]{2,20})$"), name)
 
 
-_OWNERS = ["김철수M/플랫폼", "Unknown User (x1)", "admin", "이영희", "운영팀", "JohnM", "AI센터", ""]
-_OWNER_SQL = "(SELECT CASE WHEN regexp_matches(trim(o), '^Unknown User \\([^)]+\\)') OR " + " OR ".join(f"regexp_matches(n, '(?i){p}')" for p in NO_OWNERS) + " OR NOT regexp_matches(n, '^([가-힣]{2,4}|[A-Za-z]{2,20})$') THEN NULL ELSE n END"
-
-
-@r.query(f"""WITH a AS (SELECT c_custkey, k, ({_list(_OWNERS)})[1 + (c_custkey + 3 * k) % 8] AS o FROM customer, range(0, 2) t(k)), b AS (SELECT *, trim(split_part(trim(o), '/', 1)) AS n0 FROM a), c AS (SELECT *, CASE WHEN regexp_matches(n0, '.M$') THEN regexp_replace(n0, 'M$', '') ELSE n0 END AS n FROM b),
-d AS (SELECT c_custkey, k, CASE WHEN regexp_matches(trim(o), '^Unknown User \\([^)]+\\)') OR {' OR '.join(f"regexp_matches(n, '(?i){p}')" for p in NO_OWNERS)} OR NOT regexp_matches(n, '^([가-힣]{{2,4}}|[A-Za-z]{{2,20}})$') THEN NULL ELSE n END AS n FROM c),
-w AS (SELECT c_custkey, max(n) FILTER (k = 0) AS a, max(n) FILTER (k = 1) AS b FROM d GROUP BY c_custkey) SELECT c_custkey, coalesce(a, b, CASE WHEN c_custkey % 4 = 0 THEN '박민수' END, '') AS owner FROM w""")
-def document_owners(spark, sf_dir):
-    """The author, the creator, or a name that the title holds: the first that is one."""
-    c = F.col("c_custkey")
-    title = F.when(c % 4 == 0, "3-1_박민수M_보고").otherwise("보고")
-    named = clean_owner(F.regexp_extract(title, r"\d[_-]\d[^_]*_([가-힣]{2,4})M?_", 1))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(clean_owner(_one_of(_OWNERS, c % 8)), clean_owner(_one_of(_OWNERS, (c + 3) % 8)), named, F.lit("")).alias("owner"))
-
-
 @r.query(r"""WITH l AS (SELECT doc_id, '[home](/wiki/' || doc_id || ') [x](https://e.com) ' || text || ' [Spec](https://wiki.example.com/' || source || ')' AS x FROM documents), m AS (SELECT doc_id, unnest(regexp_extract_all(x, '\[([^\]]+)\]\(([^)]+)\)')) AS m FROM l), g AS (SELECT doc_id, regexp_extract(m, '\[([^\]]+)\]\(([^)]+)\)', 1) AS label, regexp_extract(m, '\[([^\]]+)\]\(([^)]+)\)', 2) AS url FROM m)
 SELECT doc_id, label, url FROM g WHERE starts_with(url, '/') OR contains(url, 'confluence') OR contains(url, 'wiki')""")
 def cross_references(spark, sf_dir):
@@ -310,32 +290,26 @@ def expanded_siblings(spark, sf_dir):
 # Terms
 
 
-_SYN = [(r"(\S+)\s*[\(（]이하\s+([^)）]+)[\)）]", "abbreviation_intro"), (r"(\S+)\s*[\(（]([^)）]+)[\)）]", "parenthetical"), (r"(\S+)\s*[,，]\s*(?:일명|또는|혹은|즉|일컫는|이른바)\s+(\S+)", "aka"), (r"(\S+)[이가]?\s*(?:라고도\s*불리는|로도\s*알려진|이라고도\s*하는)\s+(\S+)", "also_known_as")]
-_SYN_TEXT = ["쿠버네티스 (K8s) 운영과 포스, 일명 POS 단말", "결제대행사(이하 PG) 연동", "재고관리 (WMS) 및 발주서라고도 불리는 PO", "a (b) 단순"]
-_SYN_SQL = " UNION ALL ".join(rf"SELECT c_custkey, {i} AS seq, '{k}' AS kind, trim(regexp_extract(m, '{p}', 1)) AS a, trim(regexp_extract(m, '{p}', 2)) AS b FROM (SELECT c_custkey, unnest(regexp_extract_all(x, '{p}')) AS m FROM t)" for i, (p, k) in enumerate(_SYN))
-_ALNUM = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]')) / length({0})"
-_BAD = r"regexp_matches({0}, '^[#*@\\/$`~^|{{}}<>]') OR regexp_matches({0}, '^[.+%,-]*\d+[.+%,-]*$') OR (length({0}) > 3 AND " + _ALNUM + " < 0.6)"
-
-
-@r.query(rf"""WITH t AS (SELECT c_custkey, ({_list(_SYN_TEXT)})[1 + c_custkey % 4] || ' ' || c_name AS x FROM customer), p AS ({_SYN_SQL}), v AS (SELECT * FROM p WHERE length(a) BETWEEN 2 AND 30 AND length(b) BETWEEN 2 AND 30 AND NOT ({_BAD.format('a')}) AND NOT ({_BAD.format('b')}) AND lower(a) <> lower(b)),
-o AS (SELECT c_custkey, seq, kind, CASE WHEN lower(b) IN ('pos', 'k8s') AND lower(a) NOT IN ('pos', 'k8s') THEN b ELSE a END AS term, CASE WHEN lower(b) IN ('pos', 'k8s') AND lower(a) NOT IN ('pos', 'k8s') THEN a ELSE b END AS synonym FROM v)
-SELECT c_custkey, kind, term, synonym FROM o QUALIFY row_number() OVER (PARTITION BY c_custkey, lower(term), lower(synonym) ORDER BY seq) = 1""")
-def discovered_synonyms(spark, sf_dir):
-    """Pairs of terms that four patterns give, valid ones, the known term first, each pair once."""
-    x = F.concat_ws(" ", _one_of(_SYN_TEXT, F.col("c_custkey") % 4), "c_name")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", x.alias("x"))
-    found = None
-    for i, (p, kind) in enumerate(_SYN):
-        a, b = (F.regexp_extract_all("x", F.lit(f"(?U){p}"), F.lit(g)) for g in (1, 2))
-        one = rows.select("c_custkey", F.explode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("m")).select("c_custkey", F.lit(i).alias("seq"), F.lit(kind).alias("kind"), F.trim("m.a").alias("a"), F.trim("m.b").alias("b"))
-        found = one if found is None else found.unionByName(one)
+# Patterns of terms that are said to be the same.
+SYNONYM_PATTERNS = (
+    (r"(\S+)\s*[\(（]이하\s+([^)）]+)[\)）]", "abbreviation_intro"), (r"(\S+)\s*[\(（]([^)）]+)[\)）]", "parenthetical"), (r"(\S+)\s*[,，]\s*(?:일명|또는|혹은|즉|일컫는|이른바)\s+(\S+)", "aka"),
+    (r"(\S+)[이가]?\s*(?:라고도\s*불리는|로도\s*알려진|이라고도\s*하는)\s+(\S+)", "also_known_as"),
+)
+
+
+def synonym_pairs(rows, key: str, text: str, known: tuple[str, ...]):
+    """(key, kind, term, synonym): pairs that the patterns give in texts, valid ones, a known term first, each pair once by pattern
+    and place."""
+    pairs = lambda p: F.arrays_zip(*(F.regexp_extract_all(text, F.lit(f"(?U){p}"), F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "b"))))
+    tagged = lambda i, p, kind: F.transform(pairs(p), lambda m, at: F.struct(F.lit(i).alias("seq"), at.alias("at"), F.lit(kind).alias("kind"), F.trim(m["a"]).alias("a"), F.trim(m["b"]).alias("b")))
+    found = rows.select(key, F.explode(F.concat(*(tagged(i, p, kind) for i, (p, kind) in enumerate(SYNONYM_PATTERNS)))).alias("m")).select(key, "m.*")
     alnum = lambda c: F.regexp_count(c, F.lit(r"[\p{L}\p{N}]")) / F.length(c)
     bad = lambda c: c.rlike(r"^[#*@\\/$`~^|{}<>]") | c.rlike(r"^[.+%,-]*\d+[.+%,-]*$") | ((F.length(c) > 3) & (alnum(c) < 0.6))
     ok = F.length("a").between(2, 30) & F.length("b").between(2, 30) & ~bad(F.col("a")) & ~bad(F.col("b")) & (F.lower("a") != F.lower("b"))
-    swap = F.lower("b").isin("pos", "k8s") & ~F.lower("a").isin("pos", "k8s")
-    pairs = found.where(ok).select("c_custkey", "seq", "kind", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("term"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("synonym"))
-    first = F.row_number().over(Window.partitionBy("c_custkey", F.lower("term"), F.lower("synonym")).orderBy("seq"))
-    return pairs.withColumn("_k", first).where("_k = 1").drop("_k", "seq")
+    swap = F.lower("b").isin(*known) & ~F.lower("a").isin(*known)
+    named = found.where(ok).select(key, "seq", "at", "kind", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("term"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("synonym"))
+    best = named.groupBy(key, F.lower("term").alias("_t"), F.lower("synonym").alias("_s")).agg(F.min_by(F.struct("kind", "term", "synonym"), F.struct("seq", "at")).alias("r"))
+    return best.select(key, "r.*")
 
 
 @r.query(rf"SELECT doc_id, CASE WHEN i > 0 THEN '...' || {_SQUEEZE.format('text[greatest(i - 50, 1):least(i + 52, length(text))]')} || '...' END AS context FROM (SELECT doc_id, text, strpos(lower(text), 'the') AS i FROM documents)")
@@ -353,15 +327,6 @@ def search_terms(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", t.search_term(x).alias("term"))
 
 
-_PARTICLED = ["서버에서는", "결제를", "장애로", "포스", "담당자에게는", "재고만"]
-
-
-@r.query(f"SELECT c_custkey, ({_list(['서버에', '결제', '장애', '포스', '담당자', '재고'])})[1 + c_custkey % 6] AS stem FROM customer WHERE c_custkey % 6 NOT IN (1, 2, 5) UNION ALL SELECT c_custkey, ({_list(_PARTICLED)})[1 + c_custkey % 6] FROM customer WHERE c_custkey % 6 IN (1, 2, 5)")
-def stripped_particles(spark, sf_dir):
-    """Particles go from the end while three characters besides one stay."""
-    return table(spark, sf_dir, "customer").select("c_custkey", t.strip_particles(_one_of(_PARTICLED, F.col("c_custkey") % 6)).alias("stem"))
-
-
 @r.query("""WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part), c AS (SELECT p_partkey, replace(p_name, ' ', '') AS x FROM part), s AS (SELECT p_partkey, x, i, x[1:i] AS a, x[i + 1:] AS b FROM (SELECT p_partkey, x, unnest(range(2, length(x) - 1)) AS i FROM c)),
 m AS (SELECT s.*, (a IN (SELECT w FROM w))::INT + (b IN (SELECT w FROM w))::INT AS n FROM s) SELECT p_partkey, a AS head, b AS tail FROM m WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, i) = 1""")
 def compound_splits(spark, sf_dir):

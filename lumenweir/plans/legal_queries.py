@@ -30,37 +30,22 @@ def article_id(slug, article, sub, clause=None, item=None):
     return F.concat(slug, F.lit(":제"), article.cast("int"), F.lit("조"), part("의", sub), part("제", clause, "항"), part("제", item, "호"))
 
 
-def _laws(spark, sf_dir):
-    """A law for each customer: two articles, the second with references to another law, its own, and a law as a whole."""
-    k = F.col("c_custkey")
-    text = F.concat(
-        F.lit("# 법\n##### 제1조 (목적)\n이 법은 정한다.\n##### 제 2 조의"), 1 + k % 3, F.lit(" (정의)\n「소방 기본법」 제"), 1 + k % 9, F.lit("조의2 제"), 1 + k % 4, F.lit("항 및 「법 "), k % 5,
-        F.lit("」 제3조 제1항 제2호, 「민법」에 따른다. 「민법」도.\n##### 제1조 (거듭)\n"),
-    )
-    return table(spark, sf_dir, "customer").select("c_custkey", law_slug(F.concat(F.lit("법 "), k % 7)).alias("slug"), text.alias("text"))
-
-
-@r.query("""SELECT c_custkey, '법' || c_custkey % 7 || ':제1조' AS id, '목적' AS title FROM customer UNION ALL SELECT c_custkey, '법' || c_custkey % 7 || ':제2조의' || (1 + c_custkey % 3), '정의' FROM customer""")
-def law_articles(spark, sf_dir):
-    """Articles of each law by their headings; of a number that comes twice, the first."""
-    rows = _laws(spark, sf_dir)
+def articles(rows, key: str):
+    """(key, id, title) of laws (key, slug, text): articles by their headings; of a number that comes twice, the first."""
     groups = [F.regexp_extract_all("text", F.lit(ARTICLE), F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "s"), (3, "t"))]
-    found = rows.select("c_custkey", "slug", F.posexplode(F.arrays_zip(*groups)).alias("n", "m"))
-    named = found.select("c_custkey", "n", article_id(F.col("slug"), F.col("m.a"), F.col("m.s")).alias("id"), F.trim("m.t").alias("title"))
-    return named.groupBy("c_custkey", "id").agg(F.min_by("title", "n").alias("title"))
+    found = rows.select(key, "slug", F.posexplode(F.arrays_zip(*groups)).alias("n", "m"))
+    named = found.select(key, "n", article_id(F.col("slug"), F.col("m.a"), F.col("m.s")).alias("id"), F.trim("m.t").alias("title"))
+    return named.groupBy(key, "id").agg(F.min_by("title", "n").alias("title"))
 
 
-@r.query("""WITH k AS (SELECT c_custkey, '법' || c_custkey % 7 AS slug, '법' || c_custkey % 5 AS other, c_custkey % 9 + 1 AS a, c_custkey % 4 + 1 AS p FROM customer)
-SELECT c_custkey, slug AS source, '소방기본법:제' || a || '조의2제' || p || '항' AS target, 'article' AS scope FROM k UNION ALL SELECT c_custkey, slug, other || ':제3조제1항제2호', 'article' FROM k WHERE other <> slug UNION ALL SELECT c_custkey, slug, '민법', 'law' FROM k""")
-def law_references(spark, sf_dir):
-    """References to other laws' articles, or to other laws as a whole; each once."""
-    rows = _laws(spark, sf_dir)
+def references(rows, key: str):
+    """(key, source, target, scope) of laws (key, slug, text): references to other laws' articles, or to other laws as a whole; each once."""
     groups = [F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(i)).alias(n) for i, n in enumerate(("law", "a", "s", "c", "i"), 1)]
-    found = rows.select("c_custkey", "slug", F.explode(F.arrays_zip(*groups)).alias("m")).select("c_custkey", "slug", law_slug(F.col("m.law")).alias("law"), "m.a", "m.s", "m.c", "m.i")
+    found = rows.select(key, "slug", F.explode(F.arrays_zip(*groups)).alias("m")).select(key, "slug", law_slug(F.col("m.law")).alias("law"), "m.a", "m.s", "m.c", "m.i")
     whole = F.coalesce("a", F.lit("")) == ""
     target = F.when(whole, F.col("law")).otherwise(article_id(F.col("law"), F.col("a"), F.col("s"), F.col("c"), F.col("i")))
     other = found.where((F.col("law") != "") & (F.col("law") != F.col("slug")))
-    return other.select("c_custkey", F.col("slug").alias("source"), target.alias("target"), F.when(whole, "law").otherwise("article").alias("scope")).distinct()
+    return other.select(key, F.col("slug").alias("source"), target.alias("target"), F.when(whole, "law").otherwise("article").alias("scope")).distinct()
 
 
 VOCABULARY = ("kubernetes", "argocd", "confluence", "jenkins", "deployment", "ingress", "configmap", "secret")

@@ -10,7 +10,7 @@ from ..functions import text as t
 from ..operators import documents as d
 from ..operators import merging as m
 from ..operators import near_duplicates, retrieval, structure
-from .document_queries import _OWNERS, _OWNER_SQL, _one_of, _list, clean_owner  # noqa: F401
+from .graph_queries import _SPARSE, _sparse
 from .registry import Registry, table
 from .storage import spread
 from .text_queries import _METRICS, _STRIP, _TIER
@@ -61,13 +61,18 @@ def extracted_relationships(spark, sf_dir):
     return rel.select("o_orderkey", "r.source", "r.target", F.when(F.col("r.type").isin(*RELATIONSHIPS), F.col("r.type")).otherwise("RELATED_TO").alias("type"), known.alias("known"))
 
 
-@r.query("SELECT o_orderkey, o_orderkey % 3 <> 0 AND o_orderkey % 4 = 1 AS has_conflict, CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE 'date' END AS kind FROM orders")
+_VERDICT = "CASE WHEN length(text) % 5 = 0 THEN text WHEN length(text) % 5 = 1 THEN 'Sure: {\"has_conflict\": ' || (length(text) % 2 = 0) || ', \"conflict_type\": \"' || role || '\"' ELSE 'Sure:' || chr(10) || '{\"has_conflict\": ' || (length(text) % 2 = 0) || ', \"conflict_type\": \"' || role || '\"} ' || text END"
+
+
+@r.query(f"""WITH x AS (SELECT conv_id, turn, {_VERDICT} AS x FROM conversations), j AS (SELECT conv_id, turn, regexp_extract(x, '"has_conflict": (true|false), "conflict_type": "[^"]*"}}', 1) AS c, regexp_extract(x, '"conflict_type": "([^"]*)"}}', 1) AS k FROM x)
+SELECT conv_id, turn, c = 'true' AS has_conflict, CASE WHEN k = '' THEN 'unknown' ELSE k END AS kind FROM j""")
 def parsed_conflicts(spark, sf_dir):
-    """A model's verdict on a conflict; none can be read: no conflict of an unknown kind."""
-    k = F.col("o_orderkey")
-    x = F.when(k % 3 == 0, F.lit("I can't say.")).otherwise(F.concat(F.lit('Sure:\n{"has_conflict": '), (k % 4 == 1).cast("string"), F.lit(', "conflict_type": "date"}')))
+    """A model's verdict on a conflict, with words before and after it or cut off; none can be read: no conflict of an unknown kind."""
+    n = F.length("text")
+    verdict = F.concat(F.lit('{"has_conflict": '), (n % 2 == 0).cast("string"), F.lit(', "conflict_type": "'), "role", F.lit('"'))
+    x = F.when(n % 5 == 0, F.col("text")).when(n % 5 == 1, F.concat(F.lit("Sure: "), verdict)).otherwise(F.concat(F.lit("Sure:\n"), verdict, F.lit("} "), "text"))
     j = F.from_json(repaired_json(x), "has_conflict boolean, conflict_type string")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(j["has_conflict"], F.lit(False)).alias("has_conflict"), F.coalesce(j["conflict_type"], F.lit("unknown")).alias("kind"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(j["has_conflict"], F.lit(False)).alias("has_conflict"), F.coalesce(j["conflict_type"], F.lit("unknown")).alias("kind"))
 
 
 @r.query("SELECT c_custkey, c_mktsegment AS label, 'Topic' AS parent, round((c_custkey % 10) / 10.0, 2)::DOUBLE AS confidence FROM customer WHERE c_custkey % 10 >= 3")
@@ -145,7 +150,7 @@ def resolved_entities(spark, sf_dir):
     return found.select("c_custkey", F.coalesce(known, stem).alias("canonical"), stage.alias("stage"), sure.alias("confidence"))
 
 
-_CASC = """WITH g AS (SELECT min(p_partkey) AS id, lower(regexp_replace(p_name, '[-\\s_]', '', 'g')) AS norm, any_value(lower(p_name)) AS name FROM part GROUP BY 2), c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '에서' WHEN 2 THEN p_name[2:] ELSE 'qq' || p_brand END AS x FROM part WHERE p_partkey % 10 < 4),
+_CASC = """WITH g AS (SELECT min(p_partkey) AS id, lower(regexp_replace(p_name, '[-\\s_]', '', 'g')) AS norm, any_value(lower(p_name)) AS name FROM part GROUP BY 2), c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '에서' WHEN 2 THEN p_name[2:] ELSE 'qq' || p_brand END AS x FROM part),
 n AS (SELECT p_partkey, x, lower(regexp_replace(x, '[-\\s_]', '', 'g')) AS norm FROM c), e AS (SELECT n.p_partkey, g.id, 1.0 AS score, 'exact' AS kind FROM n JOIN g USING (norm)), pt AS (SELECT n.p_partkey, g.id, 0.98, 'particle' FROM n JOIN g ON g.norm = regexp_replace(n.norm, '에서$', '') WHERE n.norm LIKE '%에서'),
 gq AS (SELECT p_partkey, norm, list_distinct(list_transform(range(1, greatest(length(norm) - 1, 2)), lambda i: norm[i:i + 2])) AS gr FROM n WHERE p_partkey NOT IN (SELECT p_partkey FROM e) AND p_partkey NOT IN (SELECT p_partkey FROM pt)),
 gg AS (SELECT id, norm, list_distinct(list_transform(range(1, greatest(length(norm) - 1, 2)), lambda i: norm[i:i + 2])) AS gr FROM g),
@@ -163,7 +168,7 @@ def term_cascade(spark, sf_dir):
     terms = p.groupBy(t.comparable_term(F.col("p_name")).alias("norm")).agg(F.min("p_partkey").alias("id"))
     k = F.col("p_partkey") % 4
     x = F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat("p_name", F.lit("에서"))).when(k == 2, F.expr("substring(p_name, 2)")).otherwise(F.concat(F.lit("qq"), "p_brand"))
-    asked = p.where("p_partkey % 10 < 4").select("p_partkey", t.comparable_term(x).alias("own"))
+    asked = p.select("p_partkey", t.comparable_term(x).alias("own"))
     exact = asked.join(terms, asked.own == terms.norm).select("p_partkey", "id", F.lit(1.0).alias("score"), F.lit("exact").alias("kind"))
     left = asked.join(exact.select("p_partkey"), "p_partkey", "left_anti")
     bare = left.withColumn("bare", t.strip_particles(F.col("own"))).where("bare <> own")
@@ -190,14 +195,12 @@ def answer_confidence(spark, sf_dir):
 # Evaluation
 
 
-@r.query("WITH h AS (SELECT item_id % 40 AS q, doc_id FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(text) DESC, doc_id) <= 3) SELECT count(*) AS questions, count(*) FILTER (found) AS found, round(count(*) FILTER (found) / count(*), 6) AS recall FROM (SELECT b.item_id, b.item_id IN (SELECT doc_id FROM h WHERE q = b.item_id % 40) AS found FROM benchmark b)".replace("length(text)", "length(documents.text)"))
+@r.query(_SPARSE + " , h AS (SELECT DISTINCT query FROM k WHERE rank <= 3 AND id = query) SELECT count(*) AS questions, count(h.query) AS found, round(count(h.query) / count(*), 6) AS recall FROM benchmark b LEFT JOIN h ON h.query = b.item_id")
 def source_recall(spark, sf_dir):
-    """In how many questions the source document is among the three retrieved."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("q"))
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("q"), "doc_id", F.length("text").alias("n"))
-    top = b.join(docs, "q").withColumn("_k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).where("_k <= 3")
-    hit = top.where("doc_id = item_id").select("item_id").distinct().withColumn("found", F.lit(True))
-    return b.join(hit, "item_id", "left").agg(F.count("*").alias("questions"), F.count("found").alias("found"), F.round(F.count("found") / F.count("*"), 6).alias("recall"))
+    """In how many questions the document of the item's id is among the three retrieved."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
+    hit = _sparse(spark, sf_dir, 3).where("id = query").select("query").distinct().withColumn("found", F.lit(True))
+    return b.join(hit, "query", "left").agg(F.count("*").alias("questions"), F.count("found").alias("found"), F.round(F.count("found") / F.count("*"), 6).alias("recall"))
 
 
 _RUNS = "SELECT 'faithfulness' AS metric, o_orderkey AS q, (o_custkey % 100) / 100.0 AS a, (o_custkey % 97) / 95.0 AS b FROM orders UNION ALL SELECT 'completeness', o_orderkey, (o_orderkey % 90) / 100.0, (o_orderkey % 90) / 100.0 + 0.04 + (o_orderkey % 5) / 100.0 FROM orders UNION ALL SELECT 'latency', o_orderkey, o_totalprice / 1000, o_totalprice / 1000 + 150 + o_orderkey % 30 FROM orders"
@@ -247,20 +250,6 @@ def golden_set(spark, sf_dir):
 # Maintenance
 
 
-_NAMES = ["김철수", "문서 작성자", "담당자 추정", "POS", "서초점", "test_node", "이영희"]
-
-
-@r.query(f"""WITH n AS (SELECT c_custkey, ({_list(_NAMES)})[1 + c_custkey % 7] AS name, ' KB-' || upper(c_mktsegment) || ' ' AS kb FROM customer)
-SELECT c_custkey, name, CASE WHEN name = 'POS' THEN 'System' WHEN name LIKE '%점' THEN 'Store' ELSE 'Person' END AS type, lower(replace(trim(kb), 'KB-', '')) AS kb FROM n WHERE NOT (contains(name, '추정') OR starts_with(name, '문서 ') OR starts_with(name, 'test_'))""")
-def cleaned_nodes(spark, sf_dir):
-    """Persons without placeholders and test nodes; stores and systems get their own type, base ids one form."""
-    name = _one_of(_NAMES, F.col("c_custkey") % 7)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), F.concat(F.lit(" KB-"), F.upper("c_mktsegment"), F.lit(" ")).alias("kb"))
-    bad = F.contains("name", F.lit("추정")) | F.col("name").startswith("문서 ") | F.col("name").startswith("test_")
-    kind = F.when(F.col("name").isin("POS", "WMS"), "System").when(F.col("name").endswith("점"), "Store").otherwise("Person")
-    return rows.where(~bad).select("c_custkey", "name", kind.alias("type"), F.lower(F.replace(F.trim("kb"), F.lit("KB-"), F.lit(""))).alias("kb"))
-
-
 @r.query()
 def changed_chunks(spark, sf_dir):
     """Documents that cleaning changes, with the new lengths: what a batch writes back."""
@@ -269,19 +258,6 @@ def changed_chunks(spark, sf_dir):
     return docs.select("doc_id", "text").join(clean, "doc_id").where("clean <> text").select("doc_id", F.length("text").alias("before"), F.length("clean").alias("after"))
 
 
-_SAYS = ["김철수 과장이 2024-03-05에 등록", "이영희님과 박민수 팀장 회의", "no person here", "담당: 최지우 대리, 2023년 7월 1일"]
-_PERSON = "([가-힣]{2,4}) ?(과장|님|팀장|대리)"
-
-
-@r.query(f"WITH s AS (SELECT o_orderkey, ({_list(_SAYS)})[1 + o_orderkey % 4] AS x FROM orders), p AS (SELECT o_orderkey, unnest(regexp_extract_all(x, '{_PERSON}', 1)) AS person, coalesce(nullif(regexp_extract(x, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), ''), CASE WHEN contains(x, '년') THEN '2023-07-01' END) AS date FROM s) SELECT person, 'MENTIONED_IN' AS type, o_orderkey, date FROM p")
-def mention_edges(spark, sf_dir):
-    """Persons that documents name by title, with the documents' dates, as edges."""
-    x = _one_of(_SAYS, F.col("o_orderkey") % 4)
-    iso, ko = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일"
-    date = F.when(x.rlike(iso), F.regexp_extract(x, iso, 0)).when(x.rlike(ko), F.concat_ws("-", F.regexp_extract(x, ko, 1), F.lpad(F.regexp_extract(x, ko, 2), 2, "0"), F.lpad(F.regexp_extract(x, ko, 3), 2, "0")))
-    return table(spark, sf_dir, "orders").select(F.explode(F.regexp_extract_all(x, F.lit(_PERSON), F.lit(1))).alias("person"), F.lit("MENTIONED_IN").alias("type"), "o_orderkey", date.alias("date"))
-
-
 @r.query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'own' END, CASE WHEN c_acctbal > 0 THEN c_name END, '') AS owner FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def backfilled_owners(spark, sf_dir):
     """Owners of documents that have none, from the crawl's pages."""

@@ -36,9 +36,18 @@ def query_identifiers(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("o_clerk", F.lit("Clerk")).select("o_orderkey", F.array_join(q.identifiers(_id_text()), "|").alias("identifiers"))
 
 
-@r.query(rf"""SELECT conv_id, turn, len(t) AS n, sha256(array_to_string(t, ' '))[1:16] AS tokens FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(text, '[A-Za-z0-9]+|[가-힣]+'), lambda x: NOT list_contains({_list(q.STOP_WORDS)}, lower(x))) AS t FROM conversations)""")
+_STOP = (
+    "the a an is are was were be been being have has had do does did will would could should may might must shall can need to of in for on with at by from up about into over after and or but not this that these those it its what which who whom when where why how "
+    "은 는 이 가 을 를 의 에 에서 로 으로 와 과 도 만 뿐 부터 까지 하다 되다 있다 없다 것 수 등 대해 대해서 대한 관한 관해 관해서 해서 하고 합니다 입니다 습니다 에요 이에요 같은 어떤 어떻게 무엇 알고 싶어 알고싶어 알려 알려줘 알려주세요 궁금"
+).split()  # the statements' own list
+
+
+@r.query(rf"""SELECT conv_id, turn, len(t) AS n, sha256(array_to_string(t, ' '))[1:16] AS tokens FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(text, '[A-Za-z0-9]+|[가-힣]+'), lambda x: NOT list_contains({_list(_STOP)}, lower(x))) AS t FROM (SELECT conv_id, turn, replace(replace(replace(text, ' der ', ' 대해 '), ' de ', ' 알려줘 '), ' la ', ' 환불 ') AS text FROM conversations))""")
 def expansion_tokens(spark, sf_dir):
-    t = q.query_tokens(F.col("text"))
+    x = F.col("text")
+    for word, phrase in (("der", "대해"), ("de", "알려줘"), ("la", "환불")):
+        x = F.replace(x, F.lit(f" {word} "), F.lit(f" {phrase} "))
+    t = q.query_tokens(x)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).alias("n"), F.substring(F.sha2(F.array_join(t, " "), 256), 1, 16).alias("tokens"))
 
 
@@ -46,7 +55,7 @@ _GLOSSARY = "SELECT lower(string_split(p_name, ' ')[1]) AS term, list(DISTINCT l
 
 
 @r.query(rf"""WITH g AS ({_GLOSSARY}), t AS (SELECT p_partkey, unnest(range(1, len(w) + 1)) AS i, w FROM (SELECT p_partkey, regexp_extract_all(p_name, '[A-Za-z0-9]+|[가-힣]+') AS w FROM part)),
-e AS (SELECT p_partkey, i, w[i] AS tok, list_distinct(list_concat([w[i]], coalesce(syn, []))) AS all_terms, syn FROM t LEFT JOIN g ON g.term = lower(w[i]) WHERE NOT list_contains({_list(q.STOP_WORDS)}, lower(w[i]))),
+e AS (SELECT p_partkey, i, w[i] AS tok, list_distinct(list_concat([w[i]], coalesce(syn, []))) AS all_terms, syn FROM t LEFT JOIN g ON g.term = lower(w[i]) WHERE NOT list_contains({_list(_STOP)}, lower(w[i]))),
 f AS (SELECT *, list_concat([tok], list_filter(coalesce(syn, []), lambda x: x <> tok)) AS terms FROM e)
 SELECT p_partkey, string_agg(CASE WHEN len(terms) > 1 THEN '(' || array_to_string(terms, ' OR ') || ')' ELSE terms[1] END, ' AND ' ORDER BY i) AS expanded FROM f GROUP BY p_partkey""")
 def expanded_queries(spark, sf_dir):
@@ -62,27 +71,6 @@ def expanded_queries(spark, sf_dir):
     return parts.select("p_partkey", F.array_join(F.transform("x", lambda x: x["g"]), " AND ").alias("expanded"))
 
 
-_PHRASES = ["차주 업무", "이번 주 회의", "지난 주 보고", "이번 달 실적", "지난달 매출과 다음 달 계획"]
-_W = "(year({d}) || '년 ' || month({d}) || '월 ' || ((day({d}) - 1) // 7 + 1) || '주차')"
-_M = "(year({d}) || '년 ' || month({d}) || '월')"
-
-
-def _time_sql():
-    x = f"({_list(_PHRASES)})[1 + o_orderkey % 5]"
-    for phrase, days in {"차주": 7, "다음 주": 7, "이번 주": 0, "금주": 0, "지난 주": -7, "전주": -7}.items():
-        x = f"replace({x}, '{phrase}', {_W.format(d=f'(o_orderdate::DATE + {days})')})"
-    for phrase, months in {"이번 달": 0, "이번달": 0, "지난 달": -1, "지난달": -1, "다음 달": 1}.items():
-        d = f"(date_trunc('month', o_orderdate::DATE) + INTERVAL ({months}) MONTH)"
-        x = f"replace({x}, '{phrase}', {_M.format(d=d)})"
-    return x
-
-
-@r.query(f"SELECT o_orderkey, {_time_sql()} AS resolved FROM orders")
-def relative_times(spark, sf_dir):
-    phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", q.resolved_time(phrase, F.to_date("o_orderdate")).alias("resolved"))
-
-
 _WEEK_TEXT = "CASE o_orderkey % 5 WHEN 0 THEN month(d) || '월 ' || (1 + day(d) // 7) || '주차 업무' WHEN 1 THEN year(d) || '년 ' || (1 + day(d)) || '주차' WHEN 2 THEN year(d) || '-' || month(d) || '-' || day(d) || ' 회의' WHEN 3 THEN month(d) || '월 ' || day(d) || '일' ELSE year(d) || '년 ' || month(d) || '월 ' || day(d) || '일' END"
 
 
@@ -135,22 +123,6 @@ def inject_scores(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", q.inject_score(F.col("p_name"), name).alias("inject"))
 
 
-_HANGUL = ["담당자", "장애처리", "점포에", "김철수", "그러나", "홍길동이", "이순신", "회의록"]
-
-
-@r.query(f"SELECT p_partkey, array_to_string(regexp_extract_all(replace(p_brand, '#', '') || ({_list(_HANGUL)})[1 + p_partkey % 8] || ' ' || p_type || ' CI/CD', '[a-zA-Z0-9]+|[가-힣]+'), '|') AS parts FROM part")
-def compound_parts(spark, sf_dir):
-    word = F.element_at(F.array(*map(F.lit, _HANGUL)), (F.col("p_partkey") % 8 + 1).cast("int"))
-    text = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), word, F.lit(" "), "p_type", F.lit(" CI/CD"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(q.compound_parts(text), "|").alias("parts"))
-
-
-@r.query(f"SELECT word, n, regexp_matches(word, '^[가-힣]{{2,4}}$') AND NOT list_contains({_list(q.PERSON_STOP_WORDS)}, word) AND NOT (length(word) <= 3 AND regexp_matches(word, '[{q.PERSON_PARTICLES}]$')) AS person FROM (SELECT ({_list(_HANGUL)})[1 + c_custkey % 8] AS word, count(*) AS n FROM customer GROUP BY 1)")
-def person_candidates(spark, sf_dir):
-    word = F.element_at(F.array(*map(F.lit, _HANGUL)), (F.col("c_custkey") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").groupBy(word.alias("word")).agg(F.count("*").alias("n")).withColumn("person", q.likely_person(F.col("word")))
-
-
 _NOTE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '/etc/[^\s]*', '/etc/<MASKED>', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '<EMAIL>', 'g'), '\b(\d{1,3}\.){3}\d{1,3}\b', '<IP>', 'g'), '\b[a-f0-9]{32,64}\b', '<HEX>', 'g')"
 
 
@@ -161,16 +133,6 @@ def notification_masked(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(y, 256), 1, 16).alias("masked_sha256"), F.regexp_count(y, F.lit("<(EMAIL|IP|HEX|MASKED)>")).alias("masked"))
 
 
-_GENERAL = ["반품 절차가 어떻게 되나요", "강남점 매장 번호 알려줘", "2024년 3월 2일 김철수 점장님 근무", "편의점 발주 마감", "GN001 점포 코드", "어제 서초점 재고"]
-_GENERAL_SQL = " + ".join(f"regexp_matches(x, '{p}')::INT" for p in q.GENERALITY)
-
-
-@r.query(rf"WITH t AS (SELECT c_custkey, ({_list(_GENERAL)})[1 + c_custkey % 6] AS x FROM customer), k AS (SELECT c_custkey, {_GENERAL_SQL} + len(list_filter(regexp_extract_all(x, '([가-힣]{{2,}}점)([^가-힣0-9A-Za-z_]|$)', 1), lambda s: NOT list_contains({_list(q.NOT_STORES)}, s))) AS n FROM t) SELECT c_custkey, CASE WHEN n >= 3 THEN 0.1 WHEN n = 2 THEN 0.3 WHEN n = 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS generality FROM k")
-def question_generality(spark, sf_dir):
-    x = F.element_at(F.array(*map(F.lit, _GENERAL)), (F.col("c_custkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", q.generality(x).alias("generality"))
-
-
 @r.query(r"WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 100 / 100.0)::DECIMAL(4, 2)::VARCHAR WHEN 1 THEN 'score: 1' WHEN 2 THEN '1' ELSE '' END AS x FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 2) THEN x::DOUBLE ELSE 0.5 END AS score FROM t")
 def parsed_scores(spark, sf_dir):
     k = F.col("o_orderkey") % 4
@@ -213,16 +175,6 @@ def answer_leaks(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", q.answer_leak(F.col("v"), F.col("q"), F.col("a")).alias("leak"))
 
 
-_ANSWERS = ["", "관련 부서에 문의하세요", "직접적인 설치 정보를 문서에서 찾을 수 없습니다", "반품은 7일 안에 됩니다", "현재 제공된 정보로는 답하기 어렵습니다"]
-_NO = " OR ".join(f"regexp_matches(x, '{p}')" for p in q.NO_ANSWER)
-
-
-@r.query(f"WITH t AS (SELECT o_orderkey, {_SQUEEZE.format(f'({_list(_ANSWERS)})[1 + o_orderkey % 5]')} AS x, o_orderkey % 7 AS chunks FROM orders) SELECT o_orderkey, x = '' OR chunks = 0 OR (length(x) <= 200 AND ({_NO})) AS replaced FROM t")
-def replaced_answers(spark, sf_dir):
-    x = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", q.is_no_answer(x, F.col("o_orderkey") % 7).alias("replaced"))
-
-
 @r.query(f"SELECT doc_id, CASE WHEN p = '' THEN '{q.NO_PREVIEW}' WHEN length(p) <= 180 THEN p ELSE rtrim(p[1:179]) || '…' END AS snippet FROM (SELECT doc_id, {_SQUEEZE.format('text')} AS p FROM documents)")
 def grounded_snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", q.grounded_snippet(F.col("text")).alias("snippet"))

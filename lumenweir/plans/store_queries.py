@@ -99,7 +99,7 @@ def structural_edges(spark, sf_dir):
 
 
 _CURRENT = "SELECT c_custkey AS src, 'MEMBER_OF' AS type, c_nationkey AS dst, TIMESTAMP '2023-01-01' AS created_at FROM customer"
-_MOVED = "SELECT c_custkey AS src, 'MEMBER_OF' AS type, (c_nationkey + c_custkey % 3) % 25 AS dst, TIMESTAMP '2024-01-01' AS at FROM customer WHERE c_custkey % 5 = 0"
+_MOVED = "SELECT c_custkey AS src, 'MEMBER_OF' AS type, (c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END + c_custkey % 3) % 25 AS dst, CASE WHEN c_custkey % 10 = 0 THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END AS at FROM customer WHERE c_custkey % 5 = 0"
 
 
 @r.query(f"""WITH c AS ({_CURRENT}), n AS ({_MOVED}), k AS (SELECT c.src, CASE WHEN n.dst IS NOT NULL AND n.dst <> c.dst THEN 'WAS_MEMBER_OF' ELSE c.type END AS type, c.dst, c.created_at, CASE WHEN n.dst IS NOT NULL AND n.dst <> c.dst THEN n.at END AS archived_at FROM c LEFT JOIN n USING (src))
@@ -109,7 +109,8 @@ def versioned_edges(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     none = F.lit(None).cast("timestamp_ntz")
     now = c.select(F.col("c_custkey").alias("src"), F.lit("MEMBER_OF").alias("type"), F.col("c_nationkey").alias("dst"), F.lit("2023-01-01").cast("timestamp_ntz").alias("created_at"), none.alias("archived_at"))
-    new = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("src"), F.lit("MEMBER_OF").alias("type"), ((F.col("c_nationkey") + F.col("c_custkey") % 3) % 25).cast("int").alias("dst"), F.lit("2024-01-01").cast("timestamp_ntz").alias("at"))
+    moved = lambda rows, by, at: rows.select(F.col("c_custkey").alias("src"), F.lit("MEMBER_OF").alias("type"), ((F.col("c_nationkey") + by + F.col("c_custkey") % 3) % 25).cast("int").alias("dst"), F.lit(at).cast("timestamp_ntz").alias("at"))
+    new = moved(c.where("c_custkey % 5 = 0"), 0, "2024-01-01").union(moved(c.where("c_custkey % 10 = 0"), 1, "2024-06-01"))  # some move twice: the later move counts
     return m.archived(now, new, "at")
 
 
