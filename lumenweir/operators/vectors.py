@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import cosine
+from .retrieval import dot, norm
 
 
 def token_slot(token: Column, size: int = 100_000) -> Column:
@@ -31,10 +31,17 @@ def mean_vectors(rows: DataFrame, key: str, vec: str, dimension: int) -> DataFra
     return own.select(key, "n", F.array(*(f"_{i}" for i in range(dimension))).alias("vec"))
 
 
-def consistency(rows: DataFrame, key: str, vec: str, dimension: int) -> DataFrame:
-    """(key, n, mean_cosine): the mean cosine of a key's vectors to their centroid."""
-    center = mean_vectors(rows, key, vec, dimension).withColumnRenamed("vec", "_c")
-    return rows.join(center, key).groupBy(key).agg(F.max("n").alias("n"), F.avg(cosine(F.col(vec), F.col("_c"))).alias("mean_cosine"))
+def consistency(rows: DataFrame, key: str, vec: str, dimension: int, row_id: str) -> DataFrame:
+    """(key, n, mean_cosine, nearest): the mean cosine of all pairs of a key's vectors (1 for a single one), and the id of the row
+    most alike to their mean (ties: the smallest). The pairs' sum follows from the length of the unit vectors' sum, so that
+    no pair is made; vectors of no length, another dimension or null don't count."""
+    length = norm(F.col(vec))
+    sound = rows.where((F.size(vec) == dimension) & (length > 0)).select(key, F.col(row_id).alias("_id"), F.transform(vec, lambda x: x.cast("double") / length).alias("_u"))
+    sums = sound.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(F.get("_u", F.lit(i))).alias(f"_{i}") for i in range(dimension)))
+    sums = sums.select(key, "n", F.array(*(f"_{i}" for i in range(dimension))).alias("_s"))
+    pairs = F.when(F.col("n") > 1, (dot(F.col("_s"), F.col("_s")) - F.col("n")) / (F.col("n") * (F.col("n") - 1))).otherwise(1.0)
+    best = sound.join(sums, key).groupBy(key).agg(F.min(F.struct((-F.round(dot(F.col("_u"), F.col("_s")), 9)).alias("less"), "_id")).alias("b"))
+    return sums.withColumn("mean_cosine", pairs).join(best, key).select(key, "n", "mean_cosine", F.col("b._id").alias("nearest"))
 
 
 def gaussian_clusters(rows: DataFrame, vec: str, most: int, seed: int = 1) -> DataFrame:

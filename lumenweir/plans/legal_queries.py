@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import matching
 from .registry import Registry, table
+from .storage import stored
 
 r = Registry()
 
@@ -48,23 +50,25 @@ def references(rows, key: str):
     return other.select(key, F.col("slug").alias("source"), target.alias("target"), F.when(whole, "law").otherwise("article").alias("scope")).distinct()
 
 
-VOCABULARY = ("kubernetes", "argocd", "confluence", "jenkins", "deployment", "ingress", "configmap", "secret")
-_WORDS = ["Kubernates", "confluense", "deploymnt", "jenkins", "쿠버네티즈", "회의록", "xyzzy", "ingres"]
+def corrected(words, vocabulary, cutoff: float = 0.89):
+    """(word, corrected, reason) of distinct words: by the table of typing errors; else, if it is of four ASCII letters and digits
+    or more, the vocabulary's word of the best ratio of matching blocks, if that is `cutoff` or more; else as it is."""
+    own = words.select("word", F.lower("word").alias("low"))
+    known = F.try_element_at(F.create_map(*(F.lit(x) for kv in TYPOS.items() for x in kv)), F.col("low"))
+    plain = own.where(F.col("low").rlike("^[a-z0-9]{4,}$")).select(F.col("low").alias("word"))
+    close = matching.close_words(plain, vocabulary, cutoff).select(F.col("word").alias("low"), "match")
+    found = own.withColumn("typo", known).join(close, "low", "left")
+    fuzzy = F.col("match").isNotNull() & (F.col("match") != F.col("low"))
+    return found.select("word", F.when(F.col("typo").isNotNull(), F.col("typo")).when(fuzzy, F.col("match")).otherwise(F.col("word")).alias("corrected"), F.when(F.col("typo").isNotNull(), "typo_map").when(fuzzy, "fuzzy").alias("reason"))
 
 
-def corrected(c, cutoff: float = 0.8):
-    """A word by the table of typing errors; else, if it is of ASCII letters and long enough, the vocabulary's most alike
-    word (by normalized edit distance, first in order) if it is alike enough; else as it is."""
-    from ..functions import text as t
-
-    low = F.lower(c)
-    ranked = F.array_max(F.array(*(F.struct(t.normalized_levenshtein(low, F.lit(v)).alias("score"), F.lit(-i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(sorted(VOCABULARY)))))
-    known = F.try_element_at(F.create_map(*(F.lit(x) for kv in TYPOS.items() for x in kv)), low)
-    fuzzy = F.when(low.rlike("^[a-z0-9]{4,}$") & (ranked["score"] >= cutoff), ranked["v"])
-    return F.coalesce(known, F.when(fuzzy != low, fuzzy), c)
-
-
-@r.query(f"SELECT c_custkey, (['kubernetes', 'confluence', 'deployment', 'jenkins', '쿠버네티스', '회의록', 'xyzzy', 'ingress'])[1 + c_custkey % 8] AS word FROM customer")
+@r.query()
 def corrected_words(spark, sf_dir):
-    word = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("c_custkey") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", corrected(word).alias("word"))
+    """The distinct words of users' questions, some with a letter too many or too few, corrected by the words of the documents."""
+    letters = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")
+    vocabulary = table(spark, sf_dir, "documents").select(letters).groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(letters).distinct()
+    k = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(4))
+    typed = F.when(k == 0, F.concat(F.expr("left(word, 2)"), F.expr("substring(word, 4)"))).when(k == 1, F.concat(F.expr("left(word, 3)"), F.expr("substring(word, 3)"))).otherwise(F.col("word"))
+    extra = spark.range(1).select(F.explode(F.array(*map(F.lit, ("Kubernates", "쿠버네티즈", "회의록")))).alias("word"))
+    return corrected(asked.select(typed.alias("word")).union(extra).distinct(), stored(vocabulary))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import vectors as v
+from .graph_queries import _SPARSE, _sparse
 from .registry import Registry, table
+from .storage import stored
 
 r = Registry()
 _TOKENS = r"list_filter(string_split(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))), ' '), lambda x: x <> '')"
@@ -26,17 +28,31 @@ def label_centroids(spark, sf_dir):
     return v.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding", 64).select("label", "n", F.round(norm(F.col("vec")), 6).alias("norm"))
 
 
-@r.query()
+_UNITS = "WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.label, avg(list_cosine_similarity(a.v, b.v)) AS m FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label)"
+
+
+@r.query(_UNITS + ", s AS (SELECT a.vec_id, a.label, sum(list_cosine_similarity(a.v, b.v)) AS s FROM u a JOIN u b ON a.label = b.label GROUP BY ALL) SELECT s.label, count(*) AS n, round(coalesce(any_value(m), 1), 6) AS mean_cosine, arg_min(vec_id, (-round(s, 9), vec_id)) AS nearest FROM s LEFT JOIN p USING (label) GROUP BY s.label")
 def label_consistency(spark, sf_dir):
-    return v.consistency(table(spark, sf_dir, "embeddings"), "label", "embedding", 64).withColumn("mean_cosine", F.round("mean_cosine", 6))
+    """How alike the vectors of each label are: the mean over all pairs, and the vector nearest to the centre."""
+    return v.consistency(table(spark, sf_dir, "embeddings"), "label", "embedding", 64, "vec_id").withColumn("mean_cosine", F.round("mean_cosine", 6))
+
+
+_FACTS = r"""list_sort(list_distinct(regexp_extract_all(x, '\d{4}[-/년]\s*\d{1,2}[-/월]\s*\d{1,2}일?'))) AS dates, list_sort(list_distinct(regexp_extract_all(x, '[vV]?\d+\.\d+(?:\.\d+)?'))) AS versions, list_sort(list_distinct(regexp_extract_all(x, '\d+(?:,\d{3})*(?:\.\d+)?\s*(?:원|달러|%|개|명|건)'))) AS amounts"""
 
 
-@r.query(r"""WITH a AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\d{3,}'))) AS nums, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, source FROM documents) SELECT x.doc_id AS a, y.doc_id AS b, x.nums <> y.nums AS differs FROM a x JOIN a y ON x.source = y.source AND y.k = x.k + 1 WHERE len(x.nums) > 0 AND len(y.nums) > 0""")
+@r.query(_SPARSE + rf""", h AS (SELECT query, id FROM k WHERE rank <= 6), f AS (SELECT query, id, {_FACTS} FROM (SELECT query, id, 'v' || (length(text) % 3) || '.' || (length(text) % 4) || ' of 2024-0' || (1 + length(text) % 3) || '-1' || (length(text) % 2) || ', ' || (length(text) % 5) || '개. ' || text AS x FROM h JOIN documents ON doc_id = id))
+SELECT a.query, a.id AS a, b.id AS b, concat_ws(',', CASE WHEN len(a.dates) > 0 AND len(b.dates) > 0 AND a.dates <> b.dates THEN 'date' END, CASE WHEN len(a.versions) > 0 AND len(b.versions) > 0 AND a.versions <> b.versions THEN 'version' END, CASE WHEN len(a.amounts) > 0 AND len(b.amounts) > 0 AND a.amounts <> b.amounts THEN 'amount' END) AS hints FROM f a JOIN f b ON a.query = b.query AND a.id < b.id""")
 def conflict_hints(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d{3,}"), F.lit(0)))).alias("nums"))
-    after = Window.partitionBy("source").orderBy("doc_id")
-    pairs = rows.select(F.col("doc_id").alias("a"), "nums", F.lead("doc_id").over(after).alias("b"), F.lead("nums").over(after).alias("next")).where("b is not null and size(nums) > 0 and size(next) > 0")
-    return pairs.select("a", "b", (F.col("nums") != F.col("next")).alias("differs"))
+    """In what the best six documents of each item differ pairwise: dates, versions, amounts that either states."""
+    n = F.length("text")
+    x = F.concat(F.lit("v"), n % 3, F.lit("."), n % 4, F.lit(" of 2024-0"), 1 + n % 3, F.lit("-1"), n % 2, F.lit(", "), n % 5, F.lit("개. "), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), x.alias("x"))
+    patterns = {"date": r"\d{4}[-/년]\s*\d{1,2}[-/월]\s*\d{1,2}일?", "version": r"[vV]?\d+\.\d+(?:\.\d+)?", "amount": r"\d+(?:,\d{3})*(?:\.\d+)?\s*(?:원|달러|%|개|명|건)"}
+    facts = {k: F.array_sort(F.array_distinct(F.regexp_extract_all("x", F.lit(p), F.lit(0)))) for k, p in patterns.items()}
+    f = stored(_sparse(spark, sf_dir, 6).select("query", "id").join(d, "id").select("query", "id", *(e.alias(k) for k, e in facts.items())))
+    both = f.alias("a").join(f.alias("b"), (F.col("a.query") == F.col("b.query")) & (F.col("a.id") < F.col("b.id")))
+    differs = [F.when((F.size(f"a.{k}") > 0) & (F.size(f"b.{k}") > 0) & (F.col(f"a.{k}") != F.col(f"b.{k}")), k) for k in patterns]
+    return both.select("a.query", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.concat_ws(",", *differs).alias("hints"))
 
 
 @r.query("WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS used, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS k FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(pow(0.85, k - 1), 6) AS decayed FROM p WHERE used <= 80 AND k <= 4")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking as k
 from ..functions import text as t
+from ..operators import matching
 from ..operators import retrieval as v
 from .event_queries import _KTS, _trust
+from .graph_queries import _SPARSE, _sparse
 from .registry import Registry, table
+from .storage import stored
 
 r = Registry()
 _map = lambda m: "MAP {" + ", ".join(f"'{a}': {b}::DOUBLE" for a, b in m.items()) + "}"
@@ -36,13 +39,15 @@ def graph_bonuses(spark, sf_dir):
 
 
 _PW = r"list_filter(string_split(lower(trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'))), ' '), lambda x: length(x) >= 2)"
-_PAIR = "FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40"
+_PAIR = f"FROM ({_SPARSE} SELECT query, id FROM k WHERE rank <= 20) hits JOIN benchmark b ON b.item_id = hits.query JOIN documents d ON d.doc_id = hits.id"
 
 
 def _pairs(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("query"), (F.col("item_id") % 40).alias("m"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", (F.col("doc_id") % 40).alias("m"))
-    return b.join(d, "m")
+    """Each item with the twenty documents that hold most of its words."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("query"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    hits = stored(_sparse(spark, sf_dir, 20).select(F.col("query").alias("item_id"), F.col("id").alias("doc_id")))
+    return hits.join(b, "item_id").join(d, "doc_id")
 
 
 @r.query(f"SELECT item_id, doc_id, round(0.1 * len(list_filter(w, lambda x: contains(lower(d_text), x))) / len(w), 9) AS bonus FROM (SELECT item_id, doc_id, d.text AS d_text, {_PW.format('b.text[1:60]')} AS w {_PAIR})")
@@ -50,16 +55,6 @@ def keyword_bonuses(spark, sf_dir):
     return _pairs(spark, sf_dir).select("item_id", "doc_id", F.round(k.keyword_bonus(F.col("query"), F.col("text")), 9).alias("bonus"))
 
 
-_STORES = ["강남점 매출", "김철수M 근무표", "회의록", "서초점과 역삼점 비교"]
-_NAMES = ["2024_강남점_보고.pdf", "근무_김철수m_3월", "역삼점 점검", "기타"]
-
-
-@r.query(f"SELECT c_custkey, CASE WHEN len(list_filter(list_concat(regexp_extract_all(q, '[0-9A-Za-z_가-힣]+점'), regexp_extract_all(q, '[가-힣]{{2,4}}M')), lambda x: contains(lower(n), lower(x)))) > 0 THEN 0.12 ELSE 0 END::DOUBLE AS bonus FROM (SELECT c_custkey, ({_list(_STORES)})[1 + c_custkey % 4] AS q, ({_list(_NAMES)})[1 + c_custkey // 4 % 4] AS n FROM customer)")
-def entity_bonuses(spark, sf_dir):
-    c = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", k.entity_bonus(_one_of(_STORES, c % 4), _one_of(_NAMES, F.floor(c / 4) % 4)).alias("bonus"))
-
-
 _COMPOSITE = f"""WITH p AS (SELECT item_id, doc_id, source, (length(d.text) % 100) / 100.0 AS base, (doc_id * 7 % 100) / 100.0 AS model, {_PW.format('b.text[1:60]')} AS w, lower(d.text) AS x {_PAIR}),
 s AS (SELECT *, CASE WHEN max(base) OVER q = min(base) OVER q THEN 0.5 ELSE (base - min(base) OVER q) / (max(base) OVER q - min(base) OVER q) END AS nb, CASE WHEN max(model) OVER q = min(model) OVER q THEN 0.5 ELSE (model - min(model) OVER q) / (max(model) OVER q - min(model) OVER q) END AS nm, count(*) OVER (PARTITION BY item_id, source) AS k FROM p WINDOW q AS (PARTITION BY item_id)),
 c AS (SELECT *, greatest(0, least(1, 0.6 * nm + 0.3 * nb + 0.1 / 1.2 + CASE WHEN doc_id % 4 > 0 THEN 0.15 / (1 + (doc_id % 4 - 1) * 0.3) ELSE 0 END + 0.1 * len(list_filter(w, lambda y: contains(x, y))) / len(w))) AS score FROM s)
@@ -221,15 +216,17 @@ def metadata_gate(spark, sf_dir):
     )
 
 
-@r.query(r"""WITH q AS (SELECT c_custkey, lower(c_name || ' red ' || c_mktsegment) AS q FROM customer), w AS (SELECT c_custkey, list_distinct(list_concat([q], list_filter(regexp_split_to_array(q, '[\s,()\[\].?!\-/]+'), lambda x: length(x) >= 2))) AS w FROM q),
-b AS (SELECT DISTINCT p_brand, lower(p_type || ' ' || split_part(p_name, ' ', 1)) AS name, lower(p_brand) AS id FROM part WHERE p_size = 10)
-SELECT c_custkey, p_brand, name, 3 * len(list_filter(w, lambda x: contains(name, x))) + 2 * len(list_filter(w, lambda x: contains(id, x))) AS score FROM w JOIN b ON b.name LIKE 'e%' OR b.name LIKE 'p%' WHERE c_custkey % 20 = 0""")
+@r.query(r"""WITH q AS (SELECT c_custkey, lower(c_mktsegment || ' ' || c_name || ' red') AS q FROM customer WHERE c_custkey % 20 = 0), w AS (SELECT c_custkey, list_distinct(list_concat([q], list_filter(regexp_split_to_array(q, '[\s,()\[\].?!\-/#_]+'), lambda x: length(x) >= 2))) AS w FROM q),
+b AS (SELECT DISTINCT lower(p_brand || '-' || c_mktsegment) AS id, lower(p_type || ' ' || p_name) AS name FROM part JOIN (SELECT DISTINCT c_mktsegment FROM customer) ON TRUE),
+s AS (SELECT c_custkey, id, name, 3 * len(list_filter(w, lambda x: contains(name, x))) + 2 * len(list_filter(w, lambda x: contains(id, x))) AS score FROM w JOIN b ON TRUE)
+SELECT c_custkey, id, name, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, id, name) <= 5""")
 def base_matches(spark, sf_dir):
-    """How well each knowledge base (a small table) fits each of the stated queries."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select("c_custkey", F.concat_ws(" red ", "c_name", "c_mktsegment").alias("q"))
-    bases = table(spark, sf_dir, "part").where("p_size = 10").select("p_brand", F.lower(F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("name")).distinct()
-    bases = bases.where("name like 'e%' or name like 'p%'")
-    return c.join(bases, F.lit(True)).select("c_custkey", "p_brand", "name", k.base_match(F.col("q"), F.col("name"), F.lower("p_brand")).alias("score"))
+    """The five knowledge bases that fit each queried customer best, of those whose name or id holds one of its words."""
+    c = table(spark, sf_dir, "customer")
+    asked = c.where("c_custkey % 20 = 0").select("c_custkey", F.concat_ws(" ", "c_mktsegment", "c_name", F.lit("red")).alias("q"))
+    bases = table(spark, sf_dir, "part").crossJoin(F.broadcast(c.select("c_mktsegment").distinct().limit(1000)))  # segments are a few
+    bases = bases.select(F.lower(F.concat_ws("-", "p_brand", "c_mktsegment")).alias("id"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("name")).distinct()
+    return matching.best_bases(asked, stored(bases), 5)
 
 
 _CHANNELS = """WITH s AS (SELECT a.p_partkey AS query, b.p_partkey AS id, lower(a.p_name) AS x, lower(b.p_name) AS y FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) WHERE a.p_partkey % 20 = 0),

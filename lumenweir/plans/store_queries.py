@@ -172,22 +172,22 @@ def related_chunks(spark, sf_dir):
     return found.where(F.col("node").startswith("d")).select(F.expr("substring(node, 2)").cast("long").alias("d"), F.col("distance").alias("hops"))
 
 
-@r.query(f"WITH m AS ({_MENTIONS}), a AS (SELECT d, p FROM m WHERE d % 50 = 0), s AS (SELECT a.d AS doc, m.d AS other, count(*) AS shared FROM a JOIN m ON m.p = a.p AND m.d <> a.d GROUP BY 1, 2) SELECT doc, other, shared, round(shared / (SELECT count(*) FROM m x WHERE x.d = s.doc), 6) AS share FROM s QUALIFY row_number() OVER (PARTITION BY doc ORDER BY shared DESC, other) <= 5")
+@r.query(f"WITH m AS ({_MENTIONS}), a AS (SELECT d, p FROM m WHERE d % 20 = 0), s AS (SELECT a.d AS doc, m.d AS other, count(*) AS shared FROM a JOIN m ON m.p = a.p AND m.d <> a.d GROUP BY 1, 2) SELECT doc, other, shared, round(shared / (SELECT count(*) FROM m x WHERE x.d = s.doc), 6) AS share FROM s QUALIFY row_number() OVER (PARTITION BY doc ORDER BY shared DESC, other) <= 5")
 def document_clusters(spark, sf_dir):
     """For each stated document the five that share most topics with it."""
     e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    nodes = e.where("src % 50 = 0").select(F.col("src").alias("node")).distinct()
+    nodes = e.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
     size = e.groupBy(F.col("src").alias("a")).agg(F.count("*").alias("n"))
     s = g.shared_neighbours(e, nodes).join(size, "a").select(F.col("a").alias("query"), F.col("b").alias("id"), F.col("shared").alias("score"), "n")
     return v.top_per_query(s, 5).select(F.col("query").alias("doc"), F.col("id").alias("other"), F.col("score").alias("shared"), F.round(F.col("score") / F.col("n"), 6).alias("share"))
 
 
-@r.query(f"WITH m AS ({_MENTIONS}), c AS (SELECT o_orderkey AS d, o_custkey AS c FROM orders), s AS (SELECT d AS doc, c FROM c WHERE d % 100 = 0), x AS (SELECT DISTINCT s.doc, c.d AS n FROM s JOIN c USING (c) WHERE c.d <> s.doc), y AS (SELECT DISTINCT x.doc, m.p AS n FROM (SELECT doc, doc AS n FROM s UNION ALL SELECT * FROM x) x JOIN m ON m.d = x.n) SELECT doc, (SELECT count(*) FROM x WHERE x.doc = s.doc) AS documents, (SELECT count(*) FROM y WHERE y.doc = s.doc) AS topics FROM s")
+@r.query(f"WITH m AS ({_MENTIONS}), c AS (SELECT o_orderkey AS d, o_custkey AS c FROM orders), s AS (SELECT d AS doc, c FROM c), x AS (SELECT DISTINCT s.doc, c.d AS n FROM s JOIN c USING (c) WHERE c.d <> s.doc), y AS (SELECT DISTINCT x.doc, m.p AS n FROM (SELECT doc, doc AS n FROM s UNION ALL SELECT * FROM x) x JOIN m ON m.d = x.n) SELECT doc, (SELECT count(*) FROM x WHERE x.doc = s.doc) AS documents, (SELECT count(*) FROM y WHERE y.doc = s.doc) AS topics FROM s")
 def document_impact(spark, sf_dir):
     """How many documents of the same author, and topics of all these, a document touches."""
     o, li = _t(spark, sf_dir, "orders", "lineitem")
     own = o.select(F.col("o_orderkey").alias("n"), "o_custkey")
-    s = own.where("n % 100 = 0").select(F.col("n").alias("doc"), "o_custkey")
+    s = own.select(F.col("n").alias("doc"), "o_custkey")
     near = s.join(own, "o_custkey").select("doc", "n")
     topics = near.join(li.select(F.col("l_orderkey").alias("n"), "l_partkey").distinct(), "n").groupBy("doc").agg(F.countDistinct("l_partkey").alias("topics"))
     docs = near.groupBy("doc").agg((F.count("*") - 1).alias("documents"))
@@ -216,10 +216,10 @@ def step_contexts(spark, sf_dir):
     return _steps(spark, sf_dir).withColumns({"before": side(-2, -1), "after": side(1, 2)}).where("step = 2")
 
 
-@r.query("SELECT c_custkey, r_name || ' > ' || n_name AS path FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey % 10 = 0")
+@r.query("SELECT c_custkey, r_name || ' > ' || n_name AS path FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 def chunk_sections(spark, sf_dir):
     c, n, x = _t(spark, sf_dir, "customer", "nation", "region")
-    return c.where("c_custkey % 10 = 0").join(n, c.c_nationkey == n.n_nationkey).join(x, n.n_regionkey == x.r_regionkey).select("c_custkey", F.concat_ws(" > ", "r_name", "n_name").alias("path"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(x, n.n_regionkey == x.r_regionkey).select("c_custkey", F.concat_ws(" > ", "r_name", "n_name").alias("path"))
 
 
 @r.query("SELECT n_name, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_1') QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) <= 5")
