@@ -32,6 +32,7 @@ NO_ANSWER = (
     "^제공된 문서들?에는 .*포함되어 있지 않", "^제공된 문서들?.*직접적인 .*정보.*찾을 수 없", "^직접적인 .*정보를 .*찾을 수 없", "^현재 제공된 정보로는 .*어렵", "관련 부서에 문의", "확인 후 답변", "정보를 찾을 수 없습니다", "해당 정보가 없",
     "관련 자료가 충분하지 않", "답변을 드리기 어렵", "확인이 필요합니다", "담당자에게 문의.*바랍니다$",
 )
+SECTION_MARKS = (("document", ("문서 기반", "출처", "인용")), ("inference", ("분석", "추론", "해석")), ("general", ("권장 사항", "일반", "참고")))
 NO_SOURCES = "검색된 근거 문서 없이"
 NO_PREVIEW = "본문 미리보기를 제공할 수 없습니다."
 
@@ -212,3 +213,13 @@ def citation_line(ref: Column, name: Column, uri: Column, score: Column) -> Colu
     head = F.concat(F.lit("["), ref, F.lit("] "))
     body = F.when(F.coalesce(uri, F.lit("")) != "", F.concat(F.lit("["), name, F.lit("]("), uri, F.lit(")"))).otherwise(name)
     return F.concat(head, body, F.when(score.isNotNull(), F.concat(F.lit(" (score="), F.format_string("%.2f", score), F.lit(")"))).otherwise(""))
+
+
+def line_source(line: Column) -> Column:
+    """What a line of an answer says it rests on, by its mark in brackets; null without one."""
+    return F.coalesce(*(F.when(line.rlike("|".join(rf"\[{w}\]" for w in words)), kind) for kind, words in SECTION_MARKS))
+
+
+def in_order(*terms: Column) -> Column:
+    """Single terms and arrays of them as one array, each once, in the order of its first place."""
+    return F.array_distinct(F.array_compact(F.concat(*terms)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,15 @@ def percent_bucket(*parts: Column) -> Column:
     return (F.conv(F.substring(F.sha2(joined, 256), 1, 8), 16, 10).cast("bigint") % 100).cast("int")
 
 
+def nfc(c: Column) -> Column:
+    """Composed characters, canonically; no built-in does this. Arrow batches, not rows, go to Python."""
+    return F.pandas_udf(_nfc, "string")(c)
+
+
+def _nfc(c):
+    return c.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+
 def normalized_term(c: Column) -> Column:
     """Spaces and underscores as hyphens, runs of them as one, lower case, none at the ends."""
     return F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(F.trim(c), r"[\s_]+", "-"), r"-{2,}", "-")), r"^-+|-+$", "")

@@ -145,3 +145,8 @@ def garbled(text: str | None) -> bool:
     wide = [n for c, n in top if "\u4e00" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3"]
     few = len(set(plain)) / len(plain) < 0.08 and len(plain) > 30
     return top[0][1] / len(plain) > 0.25 or (len(wide) >= 2 and sum(wide[:3]) / len(plain) > 0.4) or few
+
+
+def is_garbled(text):
+    """`garbled` of a column; null texts aren't."""
+    return F.pandas_udf(lambda c: c.map(garbled).astype(bool), "boolean")(text)

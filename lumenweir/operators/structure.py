@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.search import line_source
+
 from ..functions.text import SPACES
 
 # Sizes, ends of sentences and patterns that results depend on.
@@ -255,3 +257,15 @@ def document_tree(chunks: DataFrame, kb: str) -> tuple[DataFrame, DataFrame]:
         .unionByName(edge(section_next, F.col("node_id"), F.col("_next"), "TREE_NEXT_SIBLING"))
     )
     return sections_.drop("_parent"), edges
+
+
+def source_sections(answers: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, section, source, content): an answer's lines in runs of one source. A line without a mark goes on with that of the one
+    before; before the first mark it is the documents. An answer's lines are one group; null answers have none."""
+    lines = answers.select(*keys, F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("mark", line_source(F.col("line")))
+    order = Window.partitionBy(*keys).orderBy("at")
+    known = lines.withColumn("source", F.coalesce(F.last("mark", ignorenulls=True).over(order), F.lit("document")))
+    changed = (F.col("source") != F.lag("source").over(order)).cast("int")
+    runs = known.withColumn("section", F.sum(F.coalesce(changed, F.lit(0))).over(order) + 1)
+    grouped = runs.groupBy(*keys, "section", "source").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
+    return grouped.select(*keys, "section", "source", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))

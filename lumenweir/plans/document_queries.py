@@ -153,9 +153,9 @@ def heading_levels(spark, sf_dir):
 
 # Categories and their keywords, kinds of documents, and owners that are none.
 CATEGORIES = {
-    "IT인프라·운영": "서버 배포 장애 모니터링 인프라 K8s 쿠버네티스 도커 네트워크 방화벽 SSL DNS CDN".split(), "시스템·애플리케이션": "시스템 메뉴 화면 API POS WMS ERP 앱 UI UX 프론트 백엔드 DB 데이터베이스".split(),
-    "업무프로세스·규정": "프로세스 절차 규정 감사 인사 회계 재무 결재 양수도 폐점 계약 정산 담배권".split(), "사업·전략": "매출 전략 KPI 마케팅 영업 홈쇼핑 실적 성과 사업분석 상권분석 경영전략".split(),
-    "유통·물류": "OFC 발주 배송 재고 물류 점포 가맹 상품 유통 식품 경영주 편의점 GS25 진열 경영 상권 ESPA".split(), "용어·지식정의": ["용어", "정의", "약어", "표준", "사전", "데이터 표준"],
+    "IT인프라·운영": ("서버", "배포", "장애", "모니터링", "인프라", "쿠버네티스", "네트워크", "방화벽", "SSL", "DNS"), "시스템·애플리케이션": ("시스템", "메뉴", "화면", "API", "앱", "UI", "백엔드", "DB", "데이터베이스"),
+    "업무프로세스·규정": ("프로세스", "절차", "규정", "감사", "인사", "회계", "재무", "결재", "계약"), "사업·전략": ("매출", "전략", "KPI", "마케팅", "영업", "실적", "성과"),
+    "유통·물류": ("발주", "배송", "재고", "물류", "점포", "상품", "유통"), "용어·지식정의": ("용어", "정의", "약어", "표준", "사전"),
 }
 DOCUMENT_TYPES = (
     ("guide", ("가이드", "guide", "매뉴얼", "manual")), ("policy", ("정책", "policy", "규정")), ("procedure", ("절차", "procedure", "프로세스")), ("faq", ("faq", "자주", "질문")), ("meeting_notes", ("회의", "meeting", "미팅")),
@@ -164,24 +164,29 @@ DOCUMENT_TYPES = (
 NO_OWNERS = ("^Unknown$", "^User$", "^admin$", "APP$", "팀$")
 
 
-def l1_category(title, content):
-    """The first category with the best score: 3 for a keyword in the title, 1 for one in the content's first 2000 characters."""
+def l1_category(title, content, categories: dict[str, tuple[str, ...]] = CATEGORIES):
+    """Of categories, which an organisation names with its own words: the first one with the best score: 3 for a keyword in the title, 1 for one in the content's first 2000 characters."""
     title, head = F.lower(title), F.lower(F.substring(content, 1, 2000))
     score = lambda words: sum((F.contains(title, F.lit(w.lower())).cast("int") * 3 + F.contains(head, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
-    ranked = F.array(*(F.struct(score(w).alias("score"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, w) in enumerate(CATEGORIES.items())))
+    ranked = F.array(*(F.struct(score(w).alias("score"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, w) in enumerate(categories.items())))
     best = F.array_max(ranked)
     return F.when(best["score"] > 0, best["name"]).otherwise("기타")
 
 
+_TOPICS = {"운영": ("서버", "장애", "API"), "규정": ("절차", "규정", "the"), "전략": ("매출", "실적", "und"), "물류": ("재고", "배송", "les")}
+
+
 def _category_sql():
-    each = ", ".join(f"{{'s': {' + '.join(f'''3 * contains(ti, lower('{w}'))::INT + contains(co, lower('{w}'))::INT''' for w in words)}, 'i': {-i}, 'n': '{name}'}}" for i, (name, words) in enumerate(CATEGORIES.items()))
+    hits = lambda w: f"3 * contains(ti, '{w}')::INT + contains(co, '{w}')::INT"
+    topics = ((0, "운영", ("서버", "장애", "api")), (-1, "규정", ("절차", "규정", "the")), (-2, "전략", ("매출", "실적", "und")), (-3, "물류", ("재고", "배송", "les")))
+    each = ", ".join("{'s': " + " + ".join(map(hits, words)) + f", 'i': {i}, 'n': '{name}'}}" for i, name, words in topics)
     return f"list_max([{each}])"
 
 
-@r.query(f"WITH d AS (SELECT doc_id, lower('API ' || source || CASE WHEN doc_id % 5 = 0 THEN ' 매출 실적' ELSE '' END) AS ti, lower(text[1:2000]) AS co FROM documents), b AS (SELECT doc_id, {_category_sql()} AS b FROM d) SELECT doc_id, CASE WHEN b.s > 0 THEN b.n ELSE '기타' END AS category FROM b")
+@r.query(f"WITH d AS (SELECT doc_id, lower(source || CASE WHEN doc_id % 5 = 0 THEN ' 매출 실적' ELSE '' END) AS ti, lower(text[1:2000]) AS co FROM documents), b AS (SELECT doc_id, {_category_sql()} AS b FROM d) SELECT doc_id, CASE WHEN b.s > 0 THEN b.n ELSE '기타' END AS category FROM b")
 def l1_categories(spark, sf_dir):
-    title = F.concat(F.lit("API "), "source", F.when(F.col("doc_id") % 5 == 0, " 매출 실적").otherwise(""))
-    return table(spark, sf_dir, "documents").select("doc_id", l1_category(title, F.col("text")).alias("category"))
+    title = F.concat("source", F.when(F.col("doc_id") % 5 == 0, " 매출 실적").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", l1_category(title, F.col("text"), _TOPICS).alias("category"))
 
 
 def document_type(title):

@@ -13,7 +13,7 @@ from ..operators import matching
 from ..operators import retrieval as v
 from ..operators.incremental import DedupIndex
 from ..operators.similarity import similar_vectors
-from ..sources import points
+from ..sources import points, tree
 from ..streaming import collect, keyed
 from .registry import Registry, table
 from .storage import shared_dir, spread, stored
@@ -204,3 +204,22 @@ def hybrid_search(spark, sf_dir):
     queries = b.join(e, F.col("item_id") == F.col("vec_id"), "left").select(F.col("item_id").alias("query"), "text", "vec")
     rows = spread(d.select("doc_id", "text")).join(e, F.col("doc_id") == F.col("vec_id"), "left").select(F.col("doc_id").alias("id"), "text", "vec")
     return v.hybrid_top_k(queries, stored(rows), 10)
+
+
+# Page structure
+
+
+def edited_page(html):
+    """Pages with headings, tables, code and mentions in the place of some paragraphs' first words."""
+    for letters, to in (("A-E", "<h2>$1</h2><p>$2"), ("F-K", "<h3>$1</h3><p>$2"), ("L-N", "<table><tr><th>담당자</th><th>$1</th></tr><tr><td>$2</td><td>x</td></tr></table><p>"), ("O-R", '<pre><code class="language-sql">$1\n$2</code></pre><p>@김철수 '), ("S-T", '<a class="user-mention" data-username="$1">@$2</a><p>')):
+        html = F.regexp_replace(html, f"<p>([{letters}]\\p{{L}}*) (\\p{{L}}+)", to)
+    return html
+
+
+@r.query()
+def page_trees(spark, sf_dir):
+    """Every block of the pages with its section's path, as the pages' trees have them."""
+    pages = spread(table(spark, sf_dir, "pages")).select("page_id", tree.page_tree(edited_page(F.col("html"))).alias("t"))
+    s = pages.select("page_id", F.explode("t.sections").alias("s"))
+    blocks = s.select("page_id", F.col("s.id").alias("section"), F.col("s.path").alias("path"), F.size("s.mentions").alias("mentions"), F.explode("s.blocks").alias("b"))
+    return blocks.select("page_id", "section", "path", "mentions", "b.place", "b.kind", "b.table_type", "b.language", F.col("b.text").alias("text"))

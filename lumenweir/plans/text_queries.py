@@ -114,10 +114,12 @@ def lexical_scores(spark, sf_dir):
 
 
 @r.query(r"""SELECT p_partkey, regexp_replace(lower(regexp_replace(regexp_replace(trim(p_name), '[\s_]+', '-', 'g'), '-{2,}', '-', 'g')), '^-+|-+$', '', 'g') AS normalized, regexp_replace(lower(p_name), '[-\s_]', '', 'g') AS comparable,
- upper(array_to_string(list_transform(list_filter(regexp_split_to_array(trim(p_name), '[\s\-_]+'), lambda w: w <> ''), lambda w: w[1]), '')) AS initials, regexp_matches(p_type, '^[A-Z][A-Z0-9&]{1,9}$') AS abbreviation FROM part""")
+ upper(array_to_string(list_transform(list_filter(regexp_split_to_array(trim(p_name), '[\s\-_]+'), lambda w: w <> ''), lambda w: w[1]), '')) AS initials, regexp_matches(p_type, '^[A-Z][A-Z0-9&]{1,9}$') AS abbreviation FROM (SELECT p_partkey, p_type, nfc_normalize(replace(p_name, 'e', 'e' || chr(769)) || CASE WHEN p_partkey % 3 = 0 THEN '_' || chr(4352) || chr(4449) ELSE '' END) AS p_name FROM part)""")
 def term_forms(spark, sf_dir):
-    n = F.col("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", t.normalized_term(n).alias("normalized"), t.comparable_term(n).alias("comparable"), t.initials(n).alias("initials"), t.is_abbreviation(F.col("p_type")).alias("abbreviation"))
+    """Of names with decomposed letters and syllables, composed first."""
+    x = F.concat(F.replace("p_name", F.lit("e"), F.lit("e\u0301")), F.when(F.col("p_partkey") % 3 == 0, "_\u1100\u1161").otherwise(""))
+    n = F.col("name")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_type", t.nfc(x).alias("name")).select("p_partkey", t.normalized_term(n).alias("normalized"), t.comparable_term(n).alias("comparable"), t.initials(n).alias("initials"), t.is_abbreviation(F.col("p_type")).alias("abbreviation"))
 
 
 @r.query(rf"""WITH w AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w WHERE length(term) >= 2 GROUP BY term HAVING count(*) >= 3""")

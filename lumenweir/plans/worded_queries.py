@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import search as q
 from ..functions import text as t
+from ..operators import matching, structure
 from . import legal_queries as law
 from .document_queries import clean_owner, document_type, synonym_pairs
 from .registry import Registry, table
@@ -250,3 +251,49 @@ def mention_edges(spark, sf_dir):
     rows = _texts(spark, sf_dir).select("doc_id", worded(F.col("text"), _NAMED).alias("x"))
     found = rows.select("doc_id", date.alias("date"), F.explode(F.regexp_extract_all(x, F.lit(_PERSON), F.lit(1))).alias("person"))
     return found.groupBy("doc_id", "person", F.lit("MENTIONED_IN").alias("type"), "date").agg(F.count("*").alias("n"))
+
+
+# Answers' sources, search texts, broken texts
+
+
+_MARKED = {"the": "\\n[분석] so", "of": "\\n[출처] of", "and": "\\nand", "to": "\\n[참고] to", "de": "\\n[추론]", "la": "\\n[인용] [일반]"}
+
+
+@r.query(f"""WITH a AS (SELECT conv_id, turn, replace({_worded('text', _MARKED)}, '\\n', chr(10)) AS x FROM conversations WHERE role = 'assistant'), l AS (SELECT conv_id, turn, l[i] AS line, i FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT conv_id, turn, string_split(x, chr(10)) AS l FROM a))),
+m AS (SELECT *, CASE WHEN regexp_matches(line, '\\[(문서 기반|출처|인용)\\]') THEN 'document' WHEN regexp_matches(line, '\\[(분석|추론|해석)\\]') THEN 'inference' WHEN regexp_matches(line, '\\[(권장 사항|일반|참고)\\]') THEN 'general' END AS mark FROM l),
+s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY i), 'document') AS source FROM m), c AS (SELECT *, (source IS DISTINCT FROM lag(source, 1, source) OVER (PARTITION BY conv_id, turn ORDER BY i))::INT AS new FROM s), g AS (SELECT *, 1 + sum(new) OVER (PARTITION BY conv_id, turn ORDER BY i) AS section FROM c)
+SELECT conv_id, turn, section::BIGINT AS section, source, sha256(string_agg(line, chr(10) ORDER BY i))[1:16] AS content FROM g GROUP BY ALL""")
+def answer_sections(spark, sf_dir):
+    """Assistants' answers in sections by what their lines say they rest on."""
+    x = F.replace(worded(F.col("text"), _MARKED), F.lit("\\n"), F.lit("\n"))
+    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", x.alias("text"))
+    return structure.source_sections(answers, ["conv_id", "turn"]).withColumn("content", F.substring(F.sha2("content", 256), 1, 16))
+
+
+@r.query("""WITH g AS (SELECT lower(split_part(p_name, ' ', 1)) AS term, list(DISTINCT lower(split_part(p_name, ' ', 2)) ORDER BY lower(split_part(p_name, ' ', 2)) DESC)[1:5] AS syn FROM part GROUP BY 1),
+t AS (SELECT p_partkey, list_concat(list_concat([p_name], coalesce(a.syn, [])), coalesce(b.syn, [])) AS l FROM part LEFT JOIN g a ON a.term = lower(split_part(p_name, ' ', 1)) LEFT JOIN g b ON b.term = lower(split_part(p_name, ' ', 2)))
+SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS search_text FROM t""")
+def vector_search_texts(spark, sf_dir):
+    """A query and the synonyms of its words as one text for vector search, each term once, in order."""
+    part = table(spark, sf_dir, "part")
+    word = lambda i: F.lower(F.split_part("p_name", F.lit(" "), F.lit(i)))
+    glossary = part.groupBy(word(1).alias("term")).agg(F.slice(F.sort_array(F.collect_set(word(2)), asc=False), 1, 5).alias("syn"))
+    first, second = glossary.toDF("t1", "s1"), glossary.toDF("t2", "s2")
+    none = F.array().cast("array<string>")
+    rows = part.select("p_partkey", "p_name", word(1).alias("t1"), word(2).alias("t2")).join(first, "t1", "left").join(second, "t2", "left")
+    return rows.select("p_partkey", F.array_join(q.in_order(F.array("p_name"), F.coalesce("s1", none), F.coalesce("s2", none)), " ").alias("search_text"))
+
+
+_FONTS = "CASE doc_id % 4 WHEN 0 THEN translate(lower(text), 'aeiou', '가가나나가') WHEN 1 THEN regexp_replace(text, '[a-m]', 'x', 'g') WHEN 2 THEN text[1:9] ELSE text END"
+
+
+@r.query(f"""WITH x AS (SELECT doc_id, {_FONTS} AS x FROM documents), c AS (SELECT doc_id, x, replace(replace(trim(x, E' \\t\\n\\x0B\\f\\r'), ' ', ''), chr(10), '') AS c, length(trim(x, E' \\t\\n\\x0B\\f\\r')) AS n FROM x),
+k AS (SELECT doc_id, ch, count(*) AS k, min(i) AS first FROM (SELECT doc_id, ch, i FROM (SELECT doc_id, string_split(c, '') AS l FROM c), LATERAL (SELECT unnest(l) AS ch, generate_subscripts(l, 1) AS i)) WHERE ch <> '' GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, first) AS p FROM k), w AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS p, count(*) OVER (PARTITION BY doc_id) AS m FROM o WHERE p <= 10 AND (unicode(ch) BETWEEN 19968 AND 40959 OR unicode(ch) BETWEEN 44032 AND 55203)),
+t AS (SELECT doc_id, sum(k) AS total, max(k) AS top, count(*) AS kinds FROM k GROUP BY doc_id), v AS (SELECT doc_id, sum(k) FILTER (p <= 3) AS wide, any_value(m) AS m FROM w GROUP BY doc_id)
+SELECT c.doc_id, coalesce(c.n >= 10 AND total > 0 AND (top / total > 0.25 OR (coalesce(m, 0) >= 2 AND wide / total > 0.4) OR (kinds / total < 0.08 AND total > 30)), false) AS garbled FROM c LEFT JOIN t USING (doc_id) LEFT JOIN v USING (doc_id)""")
+def garbled_texts(spark, sf_dir):
+    """Which texts look like those of a broken font; some letters of the documents are spelled by few others."""
+    k, text = F.col("doc_id") % 4, F.col("text")
+    x = F.when(k == 0, F.translate(F.lower(text), "aeiou", "가가나나가")).when(k == 1, F.regexp_replace(text, "[a-m]", "x")).when(k == 2, F.substring(text, 1, 9)).otherwise(text)
+    return _texts(spark, sf_dir).select("doc_id", matching.is_garbled(x).alias("garbled"))
