@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import ranking
 from ..functions import search as q
 from ..functions import text as t
 from ..operators import matching, structure
 from . import legal_queries as law
 from .document_queries import clean_owner, document_type, synonym_pairs
+from .graph_queries import _SPARSE, _sparse
 from .registry import Registry, table
-from .storage import spread
+from .storage import spread, stored
 
 r = Registry()
 
@@ -297,3 +299,20 @@ def garbled_texts(spark, sf_dir):
     k, text = F.col("doc_id") % 4, F.col("text")
     x = F.when(k == 0, F.translate(F.lower(text), "aeiou", "가가나나가")).when(k == 1, F.regexp_replace(text, "[a-m]", "x")).when(k == 2, F.substring(text, 1, 9)).otherwise(text)
     return _texts(spark, sf_dir).select("doc_id", matching.is_garbled(x).alias("garbled"))
+
+
+# Entities in names
+
+
+_ASKS = {"the": "강남점", "of": "김철수M", "and": "서초점과", "to": "회의록", "de": "역삼점", "la": "이영희M"}
+_FILES = {"the": "강남점_보고", "of": "근무_김철수m", "and": "역삼점", "de": "서초점", "la": "이영희"}
+
+
+@r.query(f"""WITH h AS ({_SPARSE} SELECT query, id FROM k WHERE rank <= 10), x AS (SELECT h.query AS item_id, h.id AS doc_id, {_worded("b.text", _ASKS)} AS q, lower(array_to_string(string_split({_worded("d.text", _FILES)}, ' ')[1:10], ' ')) AS name FROM h JOIN benchmark b ON b.item_id = h.query JOIN documents d ON d.doc_id = h.id)
+SELECT item_id, doc_id, CASE WHEN len(list_filter(list_concat(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+점'), regexp_extract_all(q, '[가-힣]{{2,4}}M')), lambda x: contains(name, lower(x)))) > 0 THEN 0.12 ELSE 0 END::DOUBLE AS bonus FROM x""")
+def entity_bonuses(spark, sf_dir):
+    """Whether a retrieved document's name, its first ten words, has a store or a person that the item names."""
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    hits = stored(_sparse(spark, sf_dir, 10).select(F.col("query").alias("item_id"), F.col("id").alias("doc_id")))
+    x = hits.join(b.select("item_id", worded(F.col("text"), _ASKS).alias("q")), "item_id").join(d.select("doc_id", F.array_join(F.slice(F.split(worded(F.col("text"), _FILES), " "), 1, 10), " ").alias("name")), "doc_id")
+    return x.select("item_id", "doc_id", ranking.entity_bonus(F.col("q"), F.col("name")).alias("bonus"))
