@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
+from .structure import initial_consonants
 
 
 
@@ -99,9 +100,9 @@ def _grams(c, size: int):
     return F.transform(runs, lambda p, i: F.concat(F.lit(f"{size}|"), p, F.lit("|"), F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == p)).cast("string")))
 
 
-def close_words(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.89) -> DataFrame:
-    """(word, match, score): the vocabulary's word of the best ratio for each word, if that is `cutoff` or more (over 2/3; of equal
-    ones the last in code-point order, as a heap of the largest has it). Empty words and nulls have none.
+def close_pairs(words: DataFrame, vocabulary: DataFrame, cutoff: float, score: Callable[[str, str], float] = ratio) -> DataFrame:
+    """(word, match, score): words of the vocabulary for each word whose ratio is `cutoff` or more (over 2/3). Empty words and nulls
+    have none. score: the ratio, which depends a little on which text comes first.
 
     Two words of a ratio r over T characters match in r T / 2 of them, in at most (1 - r) T + 1 blocks, and share a pair of
     neighbouring characters for each matched one but the first of its block. So of a word's pairs, rarest first, as many are
@@ -126,13 +127,41 @@ def close_words(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.89) -
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["score"] = [ratio(a, b) for a, b in zip(f["word"], f["match"], strict=True)]
+            f["score"] = [score(a, b) for a, b in zip(f["word"], f["match"], strict=True)]
             yield f[f["score"] >= cutoff]
 
-    found = pairs.mapInPandas(scored, "word string, match string, score double")
+    return pairs.mapInPandas(scored, "word string, match string, score double")
+
+
+def close_words(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.89) -> DataFrame:
+    """(word, match, score): of the close pairs of each word the best, of equal ones the last in code-point order, as a heap of the
+    largest has it."""
+    found = close_pairs(words, vocabulary, cutoff)
     return found.groupBy("word").agg(F.max(F.struct("score", "match")).alias("b")).select("word", "b.match", "b.score")
 
 
+def domain_words(words: DataFrame, vocabulary: DataFrame, close: float = 0.75, least: float = 0.5, boost: float = 0.3) -> DataFrame:
+    """(word, match, score): the term of a vocabulary that a misread Hangul word stands for. A term's score is its ratio, if that is
+    `close` or more; or, if it has the word's length and initial consonants and a ratio of `least` or more, the ratio and
+    `boost`. Lengths differ by one at most. The best score wins, of equal ones the first term in code-point order; terms
+    themselves stay as they are."""
+    from_word = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    w = words.select("word").distinct().join(vocabulary.select("word"), "word", "left_anti")
+    v = vocabulary.select(F.col("word").alias("match")).distinct()
+    initials = initial_consonants
+    alike = w.withColumn("i", initials(F.col("word"))).join(v.withColumn("i", initials(F.col("match"))), "i").where(F.length("word") == F.length("match"))
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["score"] = [r if r >= close else r + boost if r >= least else None for r in (from_word(a, b) for a, b in zip(f["word"], f["match"], strict=True))]
+            yield f.dropna()
+
+    boosted = alike.select("word", "match").mapInPandas(scored, "word string, match string, score double")
+    near = close_pairs(w, vocabulary, close, from_word).where(F.abs(F.length("word") - F.length("match")) <= 1)
+    both = near.unionByName(boosted)
+    return both.groupBy("word").agg(F.min(F.struct((-F.round("score", 9)).alias("less"), "match")).alias("b")).select("word", "b.match", (-F.col("b.less")).alias("score"))
+
+
 def garbled(text: str | None) -> bool:
     """Whether a text looks like one of a broken font: one character is over a quarter of it, three of its ten most frequent are Han
     or Hangul and over 0.4 of it, or fewer than 0.08 of over 30 characters differ. Spaces and line ends don't count."""

@@ -223,3 +223,18 @@ def page_trees(spark, sf_dir):
     s = pages.select("page_id", F.explode("t.sections").alias("s"))
     blocks = s.select("page_id", F.col("s.id").alias("section"), F.col("s.path").alias("path"), F.size("s.mentions").alias("mentions"), F.explode("s.blocks").alias("b"))
     return blocks.select("page_id", "section", "path", "mentions", "b.place", "b.kind", "b.table_type", "b.language", F.col("b.text").alias("text"))
+
+
+# New terms
+
+
+@r.query("""WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 5), c AS (SELECT vec_id, CASE WHEN vec_id % 40 = 0 THEN list_reverse(embedding) ELSE list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN i % 4 = 0 THEN 0 ELSE embedding[i] END) END::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0)
+SELECT c.vec_id AS term, round(max(round(list_cosine_similarity(c.v, a.v), 9)), 5) AS best, coalesce(max(round(list_cosine_similarity(c.v, a.v), 9)) < 0.75, true) AS is_new FROM c LEFT JOIN a ON TRUE GROUP BY c.vec_id""")
+def new_terms(spark, sf_dir):
+    """Candidate terms by their vectors: those that no approved term is as alike as 0.75 to are new."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    edited = F.when(F.col("vec_id") % 40 == 0, F.reverse("v")).otherwise(F.transform("v", lambda x, i: F.when((i + 1) % 4 == 0, 0.0).otherwise(x)))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), edited.alias("vec"))
+    best = v.dense_top_k(asked, e.where("label < 5").select(F.col("vec_id").alias("id"), F.col("v").alias("vec")), 1)
+    found = asked.select("query").join(best.select("query", "score"), "query", "left")
+    return found.select(F.col("query").alias("term"), F.round("score", 5).alias("best"), F.coalesce(F.col("score") < 0.75, F.lit(True)).alias("is_new"))

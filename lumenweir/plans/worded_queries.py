@@ -316,3 +316,12 @@ def entity_bonuses(spark, sf_dir):
     hits = stored(_sparse(spark, sf_dir, 10).select(F.col("query").alias("item_id"), F.col("id").alias("doc_id")))
     x = hits.join(b.select("item_id", worded(F.col("text"), _ASKS).alias("q")), "item_id").join(d.select("doc_id", F.array_join(F.slice(F.split(worded(F.col("text"), _FILES), " "), 1, 10), " ").alias("name")), "doc_id")
     return x.select("item_id", "doc_id", ranking.entity_bonus(F.col("q"), F.col("name")).alias("bonus"))
+
+
+@r.query()
+def domain_corrections(spark, sf_dir):
+    """Misread words of two to eight syllables, of users' questions, as the frequent words of the documents that they stand for."""
+    letters = F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{2,8}"), F.lit(0))).alias("x")
+    terms = _texts(spark, sf_dir).select(letters).groupBy(hangul(F.col("x")).alias("word")).agg(F.count("*").alias("n")).where("n >= 20 and length(word) <= 8")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(letters).select(hangul(F.col("x")).alias("word")).distinct()
+    return matching.domain_words(asked, stored(terms))
