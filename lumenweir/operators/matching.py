@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -53,6 +55,9 @@ def best_bases(asked: DataFrame, bases: DataFrame, k: int) -> DataFrame:
 
 # Fuzzy matching: matching blocks
 
+#: Forms of a word with characters deleted, at most.
+MOST_LEFT = 4000
+
 
 def ratio(a: str, b: str) -> float:
     """Twice the characters in matching blocks (longest first, then on either side of it) over all characters of both."""
@@ -100,16 +105,8 @@ def _grams(c, size: int):
     return F.transform(runs, lambda p, i: F.concat(F.lit(f"{size}|"), p, F.lit("|"), F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == p)).cast("string")))
 
 
-def close_pairs(words: DataFrame, vocabulary: DataFrame, cutoff: float, score: Callable[[str, str], float] = ratio) -> DataFrame:
-    """(word, match, score): words of the vocabulary for each word whose ratio is `cutoff` or more (over 2/3). Empty words and nulls
-    have none. score: the ratio, which depends a little on which text comes first.
-
-    Two words of a ratio r over T characters match in r T / 2 of them, in at most (1 - r) T + 1 blocks, and share a pair of
-    neighbouring characters for each matched one but the first of its block. So of a word's pairs, rarest first, as many are
-    join keys as leave too few for that; for words too short to share a pair for sure, it is single characters. Candidates
-    are complete, and the pairs that most words have are keys of few."""
-    w = words.select("word").distinct().where("word <> ''")
-    v = vocabulary.select(F.col("word").alias("match")).distinct().where("match <> ''")
+def _by_grams(w: DataFrame, v: DataFrame, cutoff: float) -> DataFrame:
+    """(word, match): candidates among words (word) and terms (match) by their rarest pairs of characters."""
     n = F.length("word")
     total = n * (1 + cutoff / (2 - cutoff))  # the shortest word that can be close has cutoff / (2 - cutoff) of the characters
     matched = F.ceil(total * cutoff / 2 - 1e-9)
@@ -123,14 +120,73 @@ def close_pairs(words: DataFrame, vocabulary: DataFrame, cutoff: float, score: C
     ranked = own.withColumn("_k", F.row_number().over(Window.partitionBy("word").orderBy(F.coalesce("n", F.lit(0)), "gram")))
     prefix = ranked.where((F.col("_k") <= F.col("keep")) & F.col("n").isNotNull()).select("word", "gram")
     longer, shorter = F.greatest(F.length("word"), F.length("match")), F.least(F.length("word"), F.length("match"))
-    pairs = prefix.join(held, "gram").where(shorter * (2 - cutoff) >= longer * cutoff - 1e-9).select("word", "match").distinct()
+    return prefix.join(held, "gram").where(shorter * (2 - cutoff) >= longer * cutoff - 1e-9).select("word", "match").distinct()
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _most_deleted(n: int, cutoff: float) -> int:
+    """How many characters two words, one of them of n, may have unmatched at this ratio."""
+    return int((1 - cutoff) * n * (1 + (2 - cutoff) / cutoff) + 1e-9)
+
+
+def _longest(cutoff: float) -> int:
+    """The longest words that are compared by what is left when characters are deleted: they have MOST_LEFT such forms at most."""
+    n = 1
+    while sum(math.comb(n + 1, k) for k in range(_most_deleted(n + 1, cutoff) + 1)) <= MOST_LEFT:
+        n += 1
+    return n
+
+
+def _left_over(rows: DataFrame, column: str, cutoff: float, longest: int) -> DataFrame:
+    """(column, left, deleted): what is left of each word when as many characters as may be unmatched, or fewer, are deleted."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["score"] = [score(a, b) for a, b in zip(f["word"], f["match"], strict=True)]
-            yield f[f["score"] >= cutoff]
+            for at in range(0, len(f), 500):
+                out = []
+                for w in f[column].iloc[at : at + 500]:
+                    for k in range(min(len(w), _most_deleted(len(w), cutoff)) + 1):
+                        out += [(w, x, k) for x in {"".join(c) for c in itertools.combinations(w, len(w) - k)}]
+                yield pd.DataFrame(out, columns=[column, "left", "deleted"])
+
+    some = rows.where(F.length(column) <= longest)
+    spread = some.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+    return spread.mapInPandas(run, f"{column} string, left string, deleted int")
+
+
+def close_pairs(words: DataFrame, vocabulary: DataFrame, cutoff: float, score: Callable[[str, str], float] | None = None) -> DataFrame:
+    """(word, match, score): words of the vocabulary for each word whose ratio is `cutoff` or more (over 2/3). Empty words and nulls
+    have none. score: another form of the ratio, which depends a little on which text comes first.
 
-    return pairs.mapInPandas(scored, "word string, match string, score double")
+    Two words of a ratio r over T characters have a common subsequence of r T / 2, so that (1 - r) T deletions at most leave the
+    same of both: what is left is the join key. Words that have too many such forms are long; they share a pair of
+    neighbouring characters for each matched one but the first of its block, of (1 - r) T + 1 blocks at most, and so many of
+    their pairs, rarest first, are join keys as leave too few for that (single characters, where a pair isn't sure).
+    Candidates are complete either way."""
+    w = words.select("word").distinct().where("word <> ''")
+    v = vocabulary.select(F.col("word").alias("match")).distinct().where("match <> ''")
+    limit = _longest(cutoff)
+    unmatched = F.floor((F.length("word") + F.length("match")) * (1 - cutoff) + 1e-9)
+    left = _left_over(w, "word", cutoff, limit).withColumnRenamed("deleted", "own")
+    short = left.join(_left_over(v, "match", cutoff, limit), "left").where(F.col("own") + F.col("deleted") <= unmatched).select("word", "match").distinct()
+    least = int(limit * cutoff / (2 - cutoff))  # shorter words are no longer one's match
+    long = _by_grams(w.where(F.length("word") > least), v.where(F.length("match") > least), cutoff).where(F.greatest(F.length("word"), F.length("match")) > limit)
+    pairs = short.unionByName(long)
+    dealt = pairs.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")  # few bytes, much work
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = difflib.SequenceMatcher()
+        for f in frames:
+            out, at = [], None
+            for w, x in zip(f["word"], f["match"], strict=True):
+                if w != at:
+                    at = w
+                    m.set_seq2(w)
+                m.set_seq1(x)
+                if m.quick_ratio() >= cutoff and (r := score(w, x) if score else m.ratio()) >= cutoff:
+                    out.append((w, x, r))
+            yield pd.DataFrame(out, columns=["word", "match", "score"])
+
+    return dealt.mapInPandas(scored, "word string, match string, score double")
 
 
 def close_words(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.89) -> DataFrame:
