@@ -14,14 +14,6 @@ from .text_queries import _SQUEEZE, _STRIP
 r = Registry()
 
 
-def _list(items):
-    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
-
-
-def _one_of(items, index):
-    return F.element_at(F.array(*map(F.lit, items)), (index + 1).cast("int"))
-
-
 def _docs(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents"))
 

@@ -3,7 +3,6 @@ stored chunks and nodes. Extracted JSON is written from orders and line items, a
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -13,7 +12,7 @@ from ..operators import near_duplicates, retrieval, structure
 from .graph_queries import _SPARSE, _sparse
 from .registry import Registry, table
 from .storage import spread
-from .text_queries import _METRICS, _STRIP, _TIER
+from .text_queries import _METRICS, _TIER
 
 r = Registry()
 

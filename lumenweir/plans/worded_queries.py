@@ -6,7 +6,6 @@ Korean phrases, so that which rule applies to a text depends on its own words. T
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking
