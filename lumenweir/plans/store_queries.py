@@ -281,10 +281,11 @@ def gram_candidates(spark, sf_dir):
     """Candidates of the stated terms by n-grams in common, two at least, the 20 with most."""
     from ..functions import text as t
 
-    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(t.char_ngrams(F.col("p_name"))).alias("gram"))
-    q = p.where("p_partkey % 20 = 0").withColumnRenamed("p_partkey", "query")
-    shared = q.join(p.withColumnRenamed("p_partkey", "id"), "gram").where("query <> id").groupBy("query", "id").agg(F.count("*").alias("score")).where("score >= 2")
-    return v.top_per_query(shared, 20).select("query", "id", F.col("score").alias("shared"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    asked = p.where("id % 20 = 0").withColumnRenamed("id", "query")
+    grams = lambda rows, c: rows.select(F.col("name").alias(c)).distinct().select(c, F.explode(t.char_ngrams(F.col(c))).alias("gram"))
+    shared = grams(asked, "name").join(grams(p, "other"), "gram").groupBy("name", "other").agg(F.count("*").alias("score")).where("score >= 2")
+    return v.best_by_name(asked, p, shared, 20).select("query", "id", F.col("score").alias("shared"))
 
 
 # Counts
