@@ -17,7 +17,7 @@ CHUNK_CHARS = 2500
 def sentences(c: Column) -> Column:
     """Split after sentence ends and at line ends; none of an empty text."""
     marked = F.regexp_replace(F.coalesce(c, F.lit("")), r"([.!?])\s+", "$1\n")
-    return F.filter(F.transform(F.split(marked, r"\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, r"\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def grouped_sentences(parts: list[str], most: int = CHUNK_CHARS, overlap: int = 1) -> list[str]:
