@@ -163,7 +163,7 @@ def clean_answer(c: Column) -> Column:
 
 
 def character_overlap(a: Column, b: Column) -> Column:
-    """The share of the longer text that characters of the shorter one, found in it, make up."""
+    """The share of the longer text that characters of the shorter one, found in it, make up; of equal lengths the first is the longer."""
     a, b = F.when(F.length(a) < F.length(b), a).otherwise(b), F.when(F.length(a) < F.length(b), b).otherwise(a)
     found = F.size(F.filter(F.filter(F.split(a, ""), lambda x: x != ""), lambda x: F.contains(b, x)))
     return F.when((F.length(a) > 0) & (F.length(b) > 0), found / F.length(b)).otherwise(0.0)

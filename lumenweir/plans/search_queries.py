@@ -160,12 +160,12 @@ def _turns(spark, sf_dir):
     return t.select("conv_id", "turn", F.col("text").alias("q")).join(later(2, "v"), ["conv_id", "turn"]).join(later(1, "a"), ["conv_id", "turn"])
 
 
-@r.query(rf"""WITH t AS ({_NEXT}), s AS (SELECT *, CASE WHEN length(q) < length(v) THEN q ELSE v END AS x, CASE WHEN length(q) < length(v) THEN v ELSE q END AS y FROM t),
+@r.query(rf"""WITH t AS ({_NEXT}), s AS (SELECT *, CASE WHEN length(v) < length(q) THEN v ELSE q END AS x, CASE WHEN length(v) < length(q) THEN q ELSE v END AS y FROM t),
 o AS (SELECT *, CASE WHEN x = '' OR y = '' THEN 0 ELSE len(list_filter(string_split(x, ''), lambda c: contains(y, c))) / length(y) END AS overlap FROM s)
 SELECT conv_id, turn, round(overlap, 6) AS overlap, length(v) BETWEEN 8 AND 200 AND v <> q AND overlap <= 0.9 AS valid FROM o""")
 def question_variations(spark, sf_dir):
     t = _turns(spark, sf_dir)
-    return t.select("conv_id", "turn", F.round(q.character_overlap(F.col("q"), F.col("v")), 6).alias("overlap"), q.valid_variation(F.col("v"), F.col("q")).alias("valid"))
+    return t.select("conv_id", "turn", F.round(q.character_overlap(F.col("v"), F.col("q")), 6).alias("overlap"), q.valid_variation(F.col("v"), F.col("q")).alias("valid"))
 
 
 @r.query(rf"""WITH t AS ({_NEXT}), k AS (SELECT conv_id, turn, {_TOK.format('q')} AS tq, {_TOK.format('v')} AS tv, {_TOK.format('a')} AS ta FROM t),
