@@ -99,14 +99,15 @@ _EVENTS = "event_id long, user_id long, event_type string, ts timestamp"
 
 
 def _event_stream(spark, sf_dir):
-    """Events in files that arrive in order of their time, as a stream of several micro-batches."""
+    """Events in files that arrive in order of their time, as a stream of several micro-batches. A user's events of a quarter are in
+    one file, as the files of a quarter come in any order."""
     path = _folder(spark)
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     day = F.unix_micros("ts")
     cuts = e.select(F.percentile_approx(day, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("c")).first()["c"] or []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = (F.lit(True) if low is None else day > low) & (F.lit(True) if high is None else day <= high)
-        e.where(part).write.mode("append").parquet(path)  # one after the other: the source takes files by their age
+        e.where(part).repartition("user_id").write.mode("append").parquet(path)  # one after the other: the source takes files by their age
     return spark.readStream.schema(_EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
 
 
