@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .structure import sections
 
 # Sizes that results depend on.
@@ -40,7 +41,7 @@ def chunks(docs: DataFrame, most: int = CHUNK_CHARS, doc_id: str = "doc_id", tex
     rows = docs.select(F.col(doc_id).alias("doc_id"), sentences(F.col(text)).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = [grouped_sentences(x or [], most) for x in b.column(1).to_pylist()]
             at = pa.array([i for i, x in enumerate(made) for _ in x], pa.int64())
             columns = [pa.array([k for x in made for k in range(len(x))], pa.int32()), pa.array([c for x in made for c in x], pa.string()), pa.array([len(x) for x in made for _ in x], pa.int32())]
@@ -56,7 +57,7 @@ def heading_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, section int, heading_path string, body string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at, section, paths, bodies = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 for k, (path, body) in enumerate((p, x.strip()) for p, x in sections(t or "") if x.strip()):

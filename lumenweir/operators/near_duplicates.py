@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
+from .batches import slices
 from .components import connected_components
 from .linking import JaccardOfSets, groups_of_keys, spanning_links
 
@@ -69,7 +70,7 @@ def signatures(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str =
     a, b = parameters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             sigs = [signature(t, n, a, b) for t in x.column(1).to_pylist()]
             keep = pa.array([s is not None for s in sigs])
             yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), pa.array([s.astype("<u4").tobytes() for s in sigs if s is not None], pa.binary())], ["doc_id", "sig"])

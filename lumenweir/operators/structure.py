@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.search import line_source
 
 from ..functions.text import SPACES
+from .batches import slices
 
 # Sizes, ends of sentences and patterns that results depend on.
 CHUNK_CHARS, ARTICLE_CHARS = 2500, 6000
@@ -27,7 +28,7 @@ def each_text(docs: DataFrame, f: Callable[[str], Iterable[tuple]], schema: str,
     names = [x.strip().split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = [list(f(t or "")) for t in b.column(1).to_pylist()]
             at = pa.array([i for i, x in enumerate(made) for _ in x], pa.int64())
             flat = [y for x in made for y in x]
