@@ -3,10 +3,12 @@
 Unit vectors with a cosine of t are r = sqrt(2 - 2 t) apart. Each vector is at home in the cell of its nearest reference, one
 of a bounded sample. Two vectors within r of each other that are at home in different cells are both within r of the plane
 halfway between the two references; so a vector is also a guest in each cell of a smaller number whose plane is that near,
-and every pair within r meets in just one cell. A task holds two blocks of a cell's members in order of their distance to the
-reference; blocks' parts whose distances differ by more than r are discarded by the triangle inequality, the rest are
-multiplied. Cells of more than `most` homes or guests are cut into blocks that meet in pairs. No task gives pairs: each adds up
-its members' links, and gives as many links as join them.
+and every pair within r meets in just one cell. Cells that follow each other make regions, so that a vector is sent to a region
+once however many of its cells it is a guest of. A task holds two blocks of a region's members, and compares those of each cell
+with the cell's guests, in order of their distance to the reference; parts whose distances differ by more than r are discarded
+by the triangle inequality, the rest are multiplied. Blocks grow with the rows, so that a vector is sent to some PARTS tasks, up
+to PARTS * WIDEST rows; from there on to more. No task gives pairs or holds a matrix of its members: each adds up its members'
+links, and gives as many links as join them.
 
 The number of references follows the rows up to MOST_REFERENCES. How much the bounds discard depends on the data: vectors in
 groups meet near their own groups only; vectors that lie evenly in many dimensions are guests nearly everywhere below a
@@ -32,6 +34,8 @@ from .components import connected_components
 MOST_REFERENCES, SAMPLE = 1024, 4096
 #: Members of a block that are multiplied with as many others at once.
 TILE = 256
+#: A block has one of so many parts of the members, and no more than WIDEST.
+PARTS, WIDEST = 32, 32768
 
 
 def _units(rows: DataFrame) -> DataFrame:
@@ -70,98 +74,127 @@ def cells_of(units: np.ndarray, refs: np.ndarray, radius: float) -> tuple[np.nda
     return home, to_plane <= radius + 1e-9
 
 
-def _placed(members: DataFrame, refs: np.ndarray, radius: float) -> DataFrame:
+def _placed(members: DataFrame, refs: np.ndarray, radius: float, together: int) -> DataFrame:
+    """(rep, cell, region, guest): each member in the region of its home cell, and as a guest once in each earlier region that has a
+    cell it is a guest of. A region is so many cells that follow each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 units = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f8").reshape(part.num_rows, -1)
                 home, guest = cells_of(units, refs, radius)
-                rows, cells = np.nonzero(guest & (np.arange(len(refs)) < home[:, None]))
-                reps = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[reps, reps[rows]]), pa.array(np.r_[home, cells].astype(np.int64)), pa.array(np.r_[np.zeros(len(home), bool), np.ones(len(rows), bool)])], ["rep", "cell", "guest"])
+                of_region = np.add.reduceat(guest, np.arange(0, len(refs), together), axis=1, dtype=np.int64) > 0
+                rows, regions = np.nonzero(of_region & (np.arange(of_region.shape[1]) < (home // together)[:, None]))
+                reps, home = part.column(0).to_numpy(), home.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[reps, reps[rows]]), pa.array(np.r_[home, home[rows]]), pa.array(np.r_[home // together, regions]), pa.array(np.r_[np.zeros(len(home), bool), np.ones(len(rows), bool)])], ["rep", "cell", "region", "guest"])
 
-    return members.select("rep", "unit").mapInArrow(run, "rep long, cell long, guest boolean")
+    return members.select("rep", "unit").mapInArrow(run, "rep long, cell long, region long, guest boolean")
 
 
 def _block_pairs(placed: DataFrame, most: int) -> DataFrame:
-    """(task, side, rep, cell): each two blocks of a cell, of which one at least is of homes; a block with itself has side 0."""
-    cuts = placed.groupBy("cell", "guest").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    """(task, side, rep, cell, region): each two blocks of a region, of which one at least is of homes; a block with itself has side 0."""
+    cuts = placed.groupBy("region", "guest").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
     blocks = cuts.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    own, other = blocks.where("not guest").select("cell", F.col("block").alias("b1")), blocks.select("cell", F.col("guest").alias("g2"), F.col("block").alias("b2"))
-    pairs = own.join(other, "cell").where("g2 or b1 <= b2").withColumn("task", F.xxhash64("cell", "b1", "g2", "b2"))
+    own, other = blocks.where("not guest").select("region", F.col("block").alias("b1")), blocks.select("region", F.col("guest").alias("g2"), F.col("block").alias("b2"))
+    pairs = own.join(other, "region").where("g2 or b1 <= b2").withColumn("task", F.xxhash64("region", "b1", "g2", "b2"))
     side = lambda g, b, n: F.struct(F.lit(g).alias("guest") if isinstance(g, bool) else g.alias("guest"), F.col(b).alias("block"), F.lit(n).alias("side"))
     same = ~F.col("g2") & (F.col("b1") == F.col("b2"))
     sides = F.when(same, F.array(side(False, "b1", 0))).otherwise(F.array(side(False, "b1", 1), side(F.col("g2"), "b2", 2)))
-    dealt = pairs.select("task", "cell", F.explode(sides).alias("s")).select("task", "cell", "s.*")
-    named = placed.join(cuts, ["cell", "guest"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).drop("blocks")
-    return named.join(dealt, ["cell", "guest", "block"]).select("task", "side", "rep", "cell")
-
-
-def _linked(units: np.ndarray, sides: np.ndarray, to_ref: np.ndarray, least: float, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which members of a task are linked (all with all), and how many each was compared with. Members of one side don't meet."""
-    n = len(units)
-    links, compared = np.zeros((n, n), bool), np.zeros(n, np.int64)
-    order = np.argsort(to_ref, kind="stable")
-    tiles = [order[i : i + TILE] for i in range(0, n, TILE)]
-    for i, a in enumerate(tiles):
-        for b in tiles[i:]:
-            if to_ref[b[0]] - to_ref[a[-1]] > radius + 1e-9:
-                break
-            meet = (sides[a][:, None] != sides[b]) | (sides[a][:, None] == 0)
-            if a is b:
-                np.fill_diagonal(meet, False)
-            found = (units[a] @ units[b].T >= least) & meet
-            links[np.ix_(a, b)] |= found
-            compared[a] += meet.sum(1)
-            if a is not b:
-                links[np.ix_(b, a)] |= found.T
-                compared[b] += meet.sum(0)
-    return links, compared
-
-
-def _spanning(links: np.ndarray) -> Iterator[tuple[int, int]]:
-    """As many links as join all that is joined."""
-    left = links.any(1)
-    while left.any():
-        stack = [int(left.argmax())]
-        left[stack[0]] = False
-        while stack:  # a member is joined by the first that it is linked to
-            i = stack.pop()
-            new = np.flatnonzero(links[i] & left).tolist()
-            left[new] = False
-            stack += new
-            yield from ((i, j) for j in new)
-
-
-def _compared(refs: np.ndarray, least: float, radius: float):
-    """Over rows (task, side, rep, cell, copies, unit) sorted by task: (a, null, links, compared) of members, and links (a, b)."""
+    dealt = pairs.select("task", "region", F.explode(sides).alias("s")).select("task", "region", "s.*")
+    named = placed.join(cuts, ["region", "guest"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).drop("blocks")
+    return named.join(dealt, ["region", "guest", "block"]).select("task", "side", "guest", "rep", "cell", "region")
+
+
+class _Links:
+    """What is found among the members (units, copies) of a task: links and comparisons of each, and as many links as join them."""
+
+    def __init__(self, units: np.ndarray, copies: np.ndarray, least: float, radius: float) -> None:
+        self.units, self.copies, self.least, self.radius = units, copies, least, radius
+        self.n, self.compared, self.parts, self.joins = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), np.arange(len(units)), []
+
+    def compare(self, to_ref: np.ndarray, some: np.ndarray, others: np.ndarray | None = None) -> None:
+        """Members (places) against others, or each two of them; those whose distances to a reference differ too much are left out."""
+        some = some[np.argsort(to_ref[some], kind="stable")]
+        b = some if others is None else others[np.argsort(to_ref[others], kind="stable")]
+        far = to_ref[b]
+        for at in range(0, len(some), TILE):
+            a = some[at : at + TILE]
+            first = at if others is None else int(np.searchsorted(far, to_ref[a[0]] - self.radius - 1e-9))
+            last = int(np.searchsorted(far, to_ref[a[-1]] + self.radius + 1e-9, "right"))
+            for k in range(first, last, 8 * TILE):
+                c = b[k : min(k + 8 * TILE, last)]
+                meet = np.arange(len(c)) + k > np.arange(len(a))[:, None] + at if others is None and k < at + len(a) else None
+                self.compared[a] += len(c) if meet is None else meet.sum(1)
+                self.compared[c] += len(a) if meet is None else meet.sum(0)
+                found = self.units[a] @ self.units[c].T >= self.least
+                if meet is not None:
+                    found &= meet
+                if found.any():
+                    self._add(a, c, found)
+
+    def _add(self, a: np.ndarray, b: np.ndarray, found: np.ndarray) -> None:
+        i, j = np.nonzero(found)
+        self.n[a] += np.bincount(i, self.copies[b[j]], len(a)).astype(np.int64)
+        self.n[b] += np.bincount(j, self.copies[a[i]], len(b)).astype(np.int64)
+        for k in np.unique(i[self.parts[a[i]] != self.parts[b[j]]]).tolist():
+            to = b[found[k]]
+            parts, at = np.unique(self.parts[to], return_index=True)
+            new = parts != self.parts[a[k]]
+            self.joins += [(a[k], x) for x in to[at[new]]]
+            gone = np.zeros(len(self.parts), bool)
+            gone[parts[new]] = True
+            self.parts[gone[self.parts]] = self.parts[a[k]]
+
+
+def _linked(units: np.ndarray, cells: np.ndarray, guests: np.ndarray, sides: np.ndarray, copies: np.ndarray, of_region: np.ndarray, refs: np.ndarray, least: float, radius: float) -> _Links:
+    """Members at home in a cell of the region against each other and those of later cells that are guests of it. Members of one
+    side (over 0) don't meet."""
+    out = _Links(units, copies, least, radius)
+    near_home = (units * refs[cells]).sum(1)
+    for c in of_region:
+        own = (cells == c) & ~guests
+        if not own.any():
+            continue
+        near = units @ refs[c]
+        apart = np.sqrt(np.maximum(2 - 2 * refs[cells] @ refs[c], 0))
+        beyond = (cells > c) & ((near_home - near) / np.maximum(apart, 1e-12) <= radius + 1e-9)
+        to_ref, of = np.sqrt(np.maximum(2 - 2 * near, 0)), lambda side, x: np.flatnonzero(x & (sides == side))
+        out.compare(to_ref, of(0, own))
+        out.compare(to_ref, of(0, own), of(0, beyond))
+        for x, y in ((of(1, own), of(2, own)), (of(1, own), of(2, beyond)), (of(2, own), of(1, beyond))):
+            out.compare(to_ref, x, y)
+    return out
+
+
+def _compared(refs: np.ndarray, least: float, radius: float, together: int):
+    """Over rows (task, side, guest, rep, cell, region, copies, unit) sorted by task: (a, null, links, compared) of members, and links (a, b)."""
+
+    def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        side, guest, rep, cell, region, copies = (rows[c].to_numpy() for c in ("side", "guest", "rep", "cell", "region", "copies"))
+        units = np.concatenate([np.frombuffer(b"".join(x.to_pylist()), "<f8") for x in rows["unit"].chunks]).reshape(len(rep), -1)
+        first = int(region[0]) * together
+        found = _linked(units, cell, guest, side, copies, np.arange(first, min(first + together, len(refs))), refs, least, radius)
+        met, joined = found.compared > 0, np.array(found.joins, np.int64).reshape(-1, 2)
+        a, none = np.r_[rep[met], rep[joined[:, 0]]], np.zeros(len(joined), np.int64)
+        b = pa.array(np.r_[np.zeros(met.sum(), np.int64), rep[joined[:, 1]]], mask=np.arange(len(a)) < met.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.r_[found.n[met], none]), pa.array(np.r_[found.compared[met], none])], ["a", "b", "n", "compared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held = None, []
-
-        def close() -> pa.RecordBatch | None:
-            if len(held) < 2:
-                return None
-            side, rep, cell, copies, unit = zip(*held, strict=True)
-            units, reps = np.frombuffer(b"".join(unit), "<f8").reshape(len(unit), -1), np.array(rep)
-            to_ref = np.sqrt(np.maximum(2 - 2 * units @ refs[cell[0]], 0))
-            links, compared = _linked(units, np.array(side), to_ref, least, radius)
-            joined = np.array(list(_spanning(links)), np.int64).reshape(-1, 2)
-            n = links @ np.array(copies, np.int64)
-            a, b = np.r_[reps, reps[joined[:, 0]]], np.r_[np.zeros(len(reps), np.int64), reps[joined[:, 1]]]
-            none = np.arange(len(a)) < len(reps)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=none), pa.array(np.r_[n, np.zeros(len(joined), np.int64)]), pa.array(np.r_[compared, np.zeros(len(joined), np.int64)])], ["a", "b", "n", "compared"])
-
+        at, held = None, []
         for batch in batches:
-            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != task:
-                    if (out := close()) is not None:
-                        yield out
-                    task, held = t, []
-                held.append(row)
-        if (out := close()) is not None:
-            yield out
+            tasks = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist(), len(tasks)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i < j and tasks[i] != at:
+                    if held:
+                        yield from close(held)
+                    at, held = tasks[i], []
+                if i < j:
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield from close(held)
 
     return run
 
@@ -179,11 +212,14 @@ def similar_vectors(rows: DataFrame, least: float, most: int = 1024) -> DataFram
     distinct = found.where(usable).groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("unit").alias("unit"))
     members = stored(distinct.withColumn("rep", F.monotonically_increasing_id()))
     sample = members.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("unit").collect()  # SAMPLE rows at most
-    refs = references(np.array([np.frombuffer(r["unit"], "<f8") for r in sample]), int(min(MOST_REFERENCES, members.count() // most + 1)))
+    n = members.count()
+    refs = references(np.array([np.frombuffer(r["unit"], "<f8") for r in sample]), int(min(MOST_REFERENCES, n // most + 1)))
+    wide = min(max(n // PARTS, most), WIDEST)
+    together = max(1, len(refs) * wide // n)
     radius = float(np.sqrt(max(2 - 2 * least, 0.0)))
-    tasks = _block_pairs(stored(_placed(members, refs, radius)), most)
-    dealt = tasks.join(members.select("rep", "copies", "unit"), "rep").select("task", "side", "rep", "cell", "copies", "unit").repartition("task").sortWithinPartitions("task")
-    results = stored(dealt.mapInArrow(_compared(refs, least, radius), "a long, b long, n long, compared long"))
+    tasks = _block_pairs(stored(_placed(members, refs, radius, together)), wide)
+    dealt = tasks.join(members.select("rep", "copies", "unit"), "rep").select("task", "side", "guest", "rep", "cell", "region", "copies", "unit").repartition("task").sortWithinPartitions("task")
+    results = stored(dealt.mapInArrow(_compared(refs, least, radius, together), "a long, b long, n long, compared long"))
     counts = results.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"), F.sum("compared").alias("n_compared"))
     roots = connected_components(results.where("b is not null").select("a", "b")).toDF("rep", "root")
     named = members.drop("unit").join(counts, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -38,6 +38,27 @@ def test_all_pairs(spark, least, most):
         assert pairs < 0.25 * n * n / 2  # the bounds discard most
 
 
+def test_regions_bound_what_is_sent(spark):
+    """However many cells of a region a vector is a guest of, it is sent there once; each pair within the bound meets once."""
+    rng = np.random.default_rng(4)
+    units = rng.standard_normal((600, 8))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    refs, radius = similarity.references(units, 24), float(np.sqrt(2 - 2 * 0.9))
+    members = spark.createDataFrame([(i, u.astype("<f8").tobytes()) for i, u in enumerate(units)], "rep long, unit binary")
+    rows = {k: [tuple(r) for r in similarity._placed(members, refs, radius, k).collect()] for k in (1, 6)}
+    assert len(rows[6]) <= 4 * len(units) and len(rows[6]) < 0.5 * len(rows[1])
+    held = {}
+    for rep, _, region, guest in rows[6]:
+        held.setdefault(region, ([], []))[guest].append(rep)
+    met = {}
+    for homes, guests in held.values():
+        for i, a in enumerate(homes):
+            for b in homes[i + 1 :] + guests:
+                met[frozenset((a, b))] = met.get(frozenset((a, b)), 0) + 1
+    near = units @ units.T >= 0.9
+    assert all(met[frozenset((a, b))] == 1 for a, b in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(near, 1))), strict=True))
+
+
 def test_none(spark):
     for rows in ([], [(1, None), (2, [0.0])]):
         got = similarity.similar_vectors(spark.createDataFrame(rows, "id long, vec array<float>"), 0.9)
