@@ -166,10 +166,9 @@ SELECT d, 1 AS hops FROM d1 UNION ALL SELECT d, 3 FROM d2""")
 def related_chunks(spark, sf_dir):
     """Documents at least hops from entities that a search gives, up to three hops. Fronts are stored hop by hop."""
     p, li = _t(spark, sf_dir, "part", "lineitem")
-    e = li.select(F.concat(F.lit("d"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
-    seeds = p.where(F.contains("p_name", F.lit("red"))).select(F.concat(F.lit("p"), "p_partkey").alias("node"))
-    found = g.reached_from_any(g.both_ways(e), seeds, 3)
-    return found.where(F.col("node").startswith("d")).select(F.expr("substring(node, 2)").cast("long").alias("d"), F.col("distance").alias("hops"))
+    e = li.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    seeds = p.where(F.contains("p_name", F.lit("red"))).select(F.col("p_partkey").alias("node"))
+    return g.reached_across(e, seeds, 3).select(F.col("node").alias("d"), F.col("distance").alias("hops"))
 
 
 @r.query(f"WITH m AS ({_MENTIONS}), a AS (SELECT d, p FROM m WHERE d % 20 = 0), s AS (SELECT a.d AS doc, m.d AS other, count(*) AS shared FROM a JOIN m ON m.p = a.p AND m.d <> a.d GROUP BY 1, 2) SELECT doc, other, shared, round(shared / (SELECT count(*) FROM m x WHERE x.d = s.doc), 6) AS share FROM s QUALIFY row_number() OVER (PARTITION BY doc ORDER BY shared DESC, other) <= 5")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -197,3 +198,48 @@ def test_streams(spark, tmp_path):
     run.awaitTermination(120)
     got = {(r["k"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got >= {("a", "online"), ("b", "online"), ("a", "offline")} and ("b", "offline") not in got
+
+
+def _links_of(spark):
+    """(src, dst) of two kinds of nodes that share numbers; repeated and null ones too."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(60), rng.randrange(25)) for _ in range(150)] + [(1, 2), (1, 2), (None, 3), (4, None)]
+    return rows, spark.createDataFrame(rows, "src long, dst long")
+
+
+def _hops(rows, start, side, hops):
+    """{(side, node): distance} by breadth-first search."""
+    seen, front = {(side, start): 0}, [(side, start)]
+    for k in range(1, hops + 1):
+        front = {("dst" if s == "src" else "src", r[s == "src"]) for s, n in front for r in rows if r[s == "dst"] == n and None not in r} - set(seen)
+        seen |= dict.fromkeys(front, k)
+    return {x: d for x, d in seen.items() if d}
+
+
+def test_neighbours_across(spark):
+    rows, edges = _links_of(spark)
+    seeds = [1, 5, 9, 77]
+    got = {}
+    for r in graph.neighbours_across(edges, spark.createDataFrame([(i,) for i in seeds], "node long"), 3, 12).collect():
+        assert (r["side"], r["node"]) not in got.setdefault(r["seed"], {})
+        got[r["seed"]][r["side"], r["node"]] = r["distance"]
+    whole = 0
+    for i in seeds:
+        want = _hops(rows, i, "src", 3)
+        assert got.get(i, {}).items() <= want.items()
+        order = sorted((d, x) for x, d in want.items())[:12]
+        assert [x for _, x in order] == [x for _, x in sorted((d, x) for x, d in got.get(i, {}).items())][:12]
+        whole += len(want) - len(got.get(i, {}))
+    assert whole > 0  # a seed that has enough goes no farther
+
+
+def test_reached_across(spark):
+    rows, edges = _links_of(spark)
+    for hops in (1, 2, 3, 5):
+        want = {}
+        for start in (3, 8):
+            for (side, node), d in _hops(rows, start, "dst", hops).items():
+                if side == "src":
+                    want[node] = min(d, want.get(node, d))
+        got = graph.reached_across(edges, spark.createDataFrame([(3,), (8,), (99,)], "node long"), hops).collect()
+        assert {r["node"]: r["distance"] for r in got} == want and len(got) == len(want)
