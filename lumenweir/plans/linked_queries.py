@@ -71,9 +71,12 @@ _TOUCHED = "WITH o AS (SELECT o_orderkey AS d, o_custkey AS c FROM orders), m AS
 def touched_nodes(spark, sf_dir):
     """What each queried document touches over up to three hops, by relevance, 50 nodes at most."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    # customers and parts as one kind of numbers: twice the key, and one more for parts
+    e = o.select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") * 2).alias("dst")).union(li.select("l_orderkey", F.col("l_partkey") * 2 + 1))
+    found = g.neighbours_across(e, o.where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("node")), 3, 50)
     d = lambda c: F.concat(F.lit("d"), c)
-    e = o.select(d("o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst")).union(li.select(d("l_orderkey"), F.concat(F.lit("p"), "l_partkey")).distinct())
-    found = g.neighbours(stored(g.both_ways(e)), o.where("o_orderkey % 20 = 0").select(d("o_orderkey").alias("node")), 3).where("seed <> node")
+    name = F.when(F.col("side") == "src", d("node")).otherwise(F.concat(F.when(F.pmod("node", F.lit(2)) == 0, "c").otherwise("p"), F.shiftright("node", 1)))
+    found = found.select(d("seed").alias("seed"), name.alias("node"), "distance")
     best = found.withColumn("k", F.row_number().over(Window.partitionBy("seed").orderBy("distance", "node"))).where("k <= 50")
     return best.select(F.col("seed").alias("document"), "node", "distance", F.round(g.hop_relevance(F.col("distance")), 6).alias("relevance"))
 
