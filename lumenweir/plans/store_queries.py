@@ -185,12 +185,12 @@ def document_clusters(spark, sf_dir):
 def document_impact(spark, sf_dir):
     """How many documents of the same author, and topics of all these, a document touches."""
     o, li = _t(spark, sf_dir, "orders", "lineitem")
-    own = o.select(F.col("o_orderkey").alias("n"), "o_custkey")
-    s = own.select(F.col("n").alias("doc"), "o_custkey")
-    near = s.join(own, "o_custkey").select("doc", "n")
-    topics = near.join(li.select(F.col("l_orderkey").alias("n"), "l_partkey").distinct(), "n").groupBy("doc").agg(F.countDistinct("l_partkey").alias("topics"))
-    docs = near.groupBy("doc").agg((F.count("*") - 1).alias("documents"))
-    return docs.join(topics, "doc", "left").select("doc", "documents", F.coalesce("topics", F.lit(0)).alias("topics"))
+    author = F.struct("o_custkey", F.when(F.col("o_custkey").isNull(), F.col("o_orderkey")).alias("alone"))
+    own = o.select(F.col("o_orderkey").alias("doc"), author.alias("author"))
+    mentions = own.join(li.select(F.col("l_orderkey").alias("doc"), "l_partkey"), "doc")
+    topics = mentions.groupBy("author").agg(F.countDistinct("l_partkey").alias("topics"))  # all documents of an author touch the same
+    docs = own.groupBy("author").agg((F.count("*") - 1).alias("documents"))
+    return own.join(docs.join(topics, "author", "left"), "author").select("doc", "documents", F.coalesce("topics", F.lit(0)).alias("topics"))
 
 
 _STEPS = "SELECT l_orderkey AS process, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS step, l_partkey AS action FROM lineitem"

@@ -49,3 +49,13 @@ def test_heading_paths():
     assert list(structure.sections(text, by_place=True))[-2:] == [("D > E", "u"), ("D > E > G", "v")]
     assert list(structure.sections("")) == [("", "")] and list(structure.sections("# A")) == []
     assert structure.heading_chunks("# A\none\n\n## B\ntwo") == [("A", "one"), ("A > B", "two")]
+
+
+def test_impact_of_documents_without_author(spark, tmp_path):
+    """Documents of one author share counts; those without an author stand alone, as the statement has it."""
+    from lumenweir.plans import catalog
+
+    spark.createDataFrame([(1, 7), (2, 7), (3, None), (4, None), (5, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 10), (2, 10), (2, 11), (2, 11), (3, 12), (3, 13)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in catalog.queries()["document_impact"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (3, 0, 2), (4, 0, 0), (5, 0, 0)}
