@@ -45,7 +45,7 @@ def shortest_paths(spark, sf_dir):
 
 @r.query(f"WITH e AS ({_SUPPLIES}) SELECT x.src AS a, y.src AS b, count(*) AS shared FROM e x JOIN e y ON x.dst = y.dst AND x.src <> y.src WHERE x.src % 20 = 0 GROUP BY 1, 2")
 def similar_by_shared(spark, sf_dir):
-    edges = _supplies(spark, sf_dir)
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
     return g.shared_neighbours(edges, table(spark, sf_dir, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("node")))
 
 

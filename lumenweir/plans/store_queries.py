@@ -174,9 +174,9 @@ def related_chunks(spark, sf_dir):
 @r.query(f"WITH m AS ({_MENTIONS}), a AS (SELECT d, p FROM m WHERE d % 20 = 0), s AS (SELECT a.d AS doc, m.d AS other, count(*) AS shared FROM a JOIN m ON m.p = a.p AND m.d <> a.d GROUP BY 1, 2) SELECT doc, other, shared, round(shared / (SELECT count(*) FROM m x WHERE x.d = s.doc), 6) AS share FROM s QUALIFY row_number() OVER (PARTITION BY doc ORDER BY shared DESC, other) <= 5")
 def document_clusters(spark, sf_dir):
     """For each stated document the five that share most topics with it."""
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
     nodes = e.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
-    size = e.groupBy(F.col("src").alias("a")).agg(F.count("*").alias("n"))
+    size = e.groupBy(F.col("src").alias("a")).agg(F.countDistinct("dst").alias("n"))
     s = g.shared_neighbours(e, nodes).join(size, "a").select(F.col("a").alias("query"), F.col("b").alias("id"), F.col("shared").alias("score"), "n")
     return v.top_per_query(s, 5).select(F.col("query").alias("doc"), F.col("id").alias("other"), F.col("score").alias("shared"), F.round(F.col("score") / F.col("n"), 6).alias("share"))
 

@@ -243,3 +243,14 @@ def test_reached_across(spark):
                     want[node] = min(d, want.get(node, d))
         got = graph.reached_across(edges, spark.createDataFrame([(3,), (8,), (99,)], "node long"), hops).collect()
         assert {r["node"]: r["distance"] for r in got} == want and len(got) == len(want)
+
+
+def test_shared_neighbours_follow_the_splits(spark):
+    """Repeated edges count once; the tasks that hold edges are as many as the table's splits ask for."""
+    rows, edges = _links_of(spark)
+    nodes = spark.createDataFrame([(1,), (5,)], "node long")
+    for splits in (2, 7):
+        got = graph.shared_neighbours(edges.repartition(splits), nodes)
+        want = {(a, b): len(x) for a in (1, 5) for b in {s for s, _ in rows} - {a, None} if (x := {d for s, d in rows if s == a} & {d for s, d in rows if s == b} - {None})}
+        assert {(r["a"], r["b"]): r["shared"] for r in got.collect()} == want
+        assert f", {16 * splits}" in got._jdf.queryExecution().optimizedPlan().toString()
