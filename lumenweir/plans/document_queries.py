@@ -295,11 +295,20 @@ SYNONYM_PATTERNS = (
 )
 
 
+#: Where a pattern that begins with a run of other characters than spaces can match first: at the run's begin, or where the match
+#: before it ended. From any later place it matches only what it matches from there, so that those needn't be tried.
+_AT_RUN = r"(?U)(?:(?<!\S)|\G)"
+#: What a text must hold for a pattern to match.
+_NEEDED = {"abbreviation_intro": r"[\(（]이하", "parenthetical": r"[\(（]", "aka": r"[,，]", "also_known_as": "불리는|알려진|하는"}
+
+
 def synonym_pairs(rows, key: str, text: str, known: tuple[str, ...]):
     """(key, kind, term, synonym): pairs that the patterns give in texts, valid ones, a known term first, each pair once by pattern
-    and place."""
-    pairs = lambda p: F.arrays_zip(*(F.regexp_extract_all(text, F.lit(f"(?U){p}"), F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "b"))))
-    tagged = lambda i, p, kind: F.transform(pairs(p), lambda m, at: F.struct(F.lit(i).alias("seq"), at.alias("at"), F.lit(kind).alias("kind"), F.trim(m["a"]).alias("a"), F.trim(m["b"]).alias("b")))
+    and place. Each pattern is searched once in a text, and only in those that hold its mark."""
+    whole = lambda p, kind: F.when(F.col(text).rlike(_NEEDED[kind]), F.regexp_extract_all(text, F.lit(_AT_RUN + p), F.lit(0)))
+    part = lambda m, p, g: F.regexp_extract(m, f"(?U)^{p}", g)
+    pairs = lambda p, kind: F.transform(F.coalesce(whole(p, kind), F.array().cast("array<string>")), lambda m: F.struct(part(m, p, 1).alias("a"), part(m, p, 2).alias("b")))
+    tagged = lambda i, p, kind: F.transform(pairs(p, kind), lambda m, at: F.struct(F.lit(i).alias("seq"), at.alias("at"), F.lit(kind).alias("kind"), F.trim(m["a"]).alias("a"), F.trim(m["b"]).alias("b")))
     found = rows.select(key, F.explode(F.concat(*(tagged(i, p, kind) for i, (p, kind) in enumerate(SYNONYM_PATTERNS)))).alias("m")).select(key, "m.*")
     alnum = lambda c: F.regexp_count(c, F.lit(r"[\p{L}\p{N}]")) / F.length(c)
     bad = lambda c: c.rlike(r"^[#*@\\/$`~^|{}<>]") | c.rlike(r"^[.+%,-]*\d+[.+%,-]*$") | ((F.length(c) > 3) & (alnum(c) < 0.6))

@@ -50,3 +50,24 @@ def test_all_categories_are_scored():
     sql = catalog.oracle_sql()["l1_categories"]
     assert all(f"'{w}'" in sql for words in document_queries.CATEGORIES.values() for w in words)
     assert all(set(words) <= set(document_queries._TOPICS[name]) for name, words in document_queries.CATEGORIES.items())
+
+
+def test_synonym_patterns_at_runs(spark):
+    """Searched from the begins of runs, the patterns find what they find from everywhere, and long runs take no square of their length."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lumenweir.plans.document_queries import _AT_RUN, SYNONYM_PATTERNS, synonym_pairs
+
+    rng = random.Random(3)
+    pieces = ["(", ")", "（", "）", "이하 ", ",", ", ", "일명", "또는 ", "로도 알려진", "라고도 불리는 ", "이", "가", " ", "  ", "ab", "c", "가나", "\u00a0", "1."]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(1, 25))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, x string")
+    for p, _ in SYNONYM_PATTERNS:
+        found = df.select("x", *(F.regexp_extract_all("x", F.lit(f"{head}{p}"), F.lit(0)).alias(n) for n, head in (("every", "(?U)"), ("run", _AT_RUN)))).collect()
+        assert all(r["every"] == r["run"] for r in found) and any(r["every"] for r in found)
+    began = time.time()
+    assert synonym_pairs(spark.createDataFrame([(1, "x" * 60_000 + " (")], "id long, x string"), "id", "x", ("pos",)).count() == 0
+    assert time.time() - began < 20
