@@ -10,8 +10,9 @@ The index is a folder of Parquet tables with a part for each batch, so that a ba
 a batch that is added again, as a stream does after a failure, replaces its part and gives the same result. All comparisons
 are by arrival, so that any split of the documents into batches, in order of arrival, gives the same results.
 
-Of a band that many documents share, the members are cut into blocks and each new one is held against every block in a task;
-what is given out is a row for a new document and block, not the pairs. Null texts are as empty ones, which have a content
+Documents that share a band meet in the group of the band's earliest one, so that near copies, which share many, meet once; only
+keys and arrivals are grouped, and signatures are sent for members of groups alone. A large group is cut into blocks and each
+new one is held against every block in a task; what is given out is a row for a new document and block, not the pairs. Null texts are as empty ones, which have a content
 hash but no signature. Vectors that are null, of no length or of another size than the new one are no candidates. Arrivals
 are distinct longs.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_duplicates import BANDS, HASHES, signatures
+from .near_duplicates import BANDS, HASHES, with_signatures
 
 # Thresholds of the stages.
 NEAR, VERIFY, SEMANTIC = 0.80, 0.85, 0.90
@@ -58,13 +59,17 @@ class DedupIndex:
         parts = [self._part("results", b) for b in self._batches()]
         return self.spark.read.schema(RESULT).parquet(*parts) if parts else None
 
-    def add(self, docs: DataFrame, batch: int) -> DataFrame:
+    def add(self, docs: DataFrame, batch: int, vectors: DataFrame | None = None) -> DataFrame:
         """The results of a batch of documents (arrival, doc_id, text, vec), whose number is larger than those of all that arrived
-        before them; the batch is in the index afterwards."""
+        before them; the batch is in the index afterwards. Vectors may come as a table of their own (arrival, vec), one of an
+        arrival at most, which is joined when texts have become signatures."""
         text = F.coalesce("text", F.lit(""))
-        hashed = docs.select("arrival", "doc_id", F.substring(F.sha2(F.lower(F.trim(text)).cast("binary"), 256), 1, 32).alias("hash"), text.alias("text"), F.col("vec").cast("array<double>").alias("vec"))
-        signed = signatures(hashed.select("arrival", "text"), self.words, doc_id="arrival").withColumnRenamed("doc_id", "arrival")
-        rows = self._write(hashed.drop("text").join(signed, "arrival", "left"), "rows", batch)
+        own = [] if vectors is not None else [F.col("vec").cast("array<double>").alias("vec")]
+        hashed = docs.select("arrival", "doc_id", F.substring(F.sha2(F.lower(F.trim(text)).cast("binary"), 256), 1, 32).alias("hash"), *own, text.alias("text"))
+        signed = with_signatures(hashed, self.words)
+        if vectors is not None:
+            signed = signed.join(vectors.select("arrival", F.col("vec").cast("array<double>").alias("vec")), "arrival", "left")
+        rows = self._write(signed.select("arrival", "doc_id", "hash", "vec", "sig"), "rows", batch)
         schema, earlier = rows.schema, [b for b in self._batches() if b < batch]
         old = self.spark.read.schema(schema).parquet(*(self._part("index", b) for b in earlier)) if earlier else rows.limit(0)
 
@@ -93,13 +98,18 @@ def _nearest_signatures(new: DataFrame, index: DataFrame) -> DataFrame:
     """(arrival, agreement, other): for each new row the indexed one before it that shares a band and agrees most."""
     size = 4 * HASHES // BANDS
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", F.lit(i * size + 1), F.lit(size)))
-    keyed = lambda rows: rows.where("sig is not null").select("arrival", "doc_id", "sig", F.explode(F.array(*(band(i) for i in range(BANDS)))).alias("key"))
-    wanted = keyed(new).groupBy("key").agg(F.count("*").alias("_"))
-    members = keyed(index).join(wanted.select("key"), "key", "left_semi")
-    cuts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / MOST).cast("int").alias("blocks"))
-    held = members.join(cuts, "key").select("key", F.pmod(F.xxhash64("arrival"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "arrival", "doc_id", "sig")
-    asking = keyed(new).join(cuts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "arrival", "doc_id", "sig")
-    dealt = held.union(asking).repartition("key", "block").sortWithinPartitions("key", "block", "asks", "arrival")
+    keyed = lambda rows: rows.where("sig is not null").select("arrival", F.explode(F.array(*(band(i) for i in range(BANDS)))).alias("key"))
+    members = keyed(index).join(keyed(new).select("key").distinct(), "key", "left_semi")
+    least = members.groupBy("key").agg(F.min("arrival").alias("group"), F.max("arrival").alias("last")).where("group < last").select("key", "group")
+    groups = members.join(least, "key").select("group", "arrival").distinct()
+    cuts = groups.groupBy("group").agg(F.ceil(F.count("*") / MOST).cast("int").alias("blocks"))
+    placed = groups.join(cuts, "group").join(new.select("arrival", F.lit(True).alias("new")), "arrival", "left")
+    own = F.struct(F.pmod(F.xxhash64("arrival"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"))
+    all_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("asks")))
+    meets = F.explode(F.when(F.col("new"), F.concat(F.array(own), all_blocks)).otherwise(F.array(own))).alias("m")
+    sigs = index.select("arrival", "doc_id", "sig")
+    dealt = placed.select("group", "arrival", meets).join(sigs, "arrival").select(F.col("group").alias("key"), "m.block", "m.asks", "arrival", "doc_id", "sig")
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "asks", "arrival")
     best = dealt.mapInArrow(_best_of_block, "arrival long, agreement double, first long, other long")
     # the largest agreement; of equal ones the earliest
     return best.groupBy("arrival").agg(F.max(F.struct("agreement", (-F.col("first")).alias("_"), "other")).alias("b")).select("arrival", "b.agreement", "b.other")
@@ -122,9 +132,12 @@ def _best_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 table = np.frombuffer(b"".join(sigs), "<u4").reshape(-1, HASHES)
             n = int(np.searchsorted(arrivals, arrival))
             if n:
-                alike = (table[:n] == np.frombuffer(sig, "<u4")).mean(1)
-                k = int(alike.argmax())
-                out.append((arrival, float(alike[k]), arrivals[k], ids[k]))
+                same = table[:n] == np.frombuffer(sig, "<u4")
+                banded = np.flatnonzero(same.reshape(n, BANDS, -1).all(2).any(1))  # of a group, those that share a band
+                if len(banded):
+                    alike = same[banded].mean(1)
+                    k = int(banded[alike.argmax()])
+                    out.append((arrival, float(alike.max()), arrivals[k], ids[k]))
         columns = list(zip(*out, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["arrival", "agreement", "first", "other"])
 
@@ -134,10 +147,10 @@ def _most_alike(probes: DataFrame, index: DataFrame) -> DataFrame:
     probes are dealt into blocks, which all rows of the index meet block by block."""
     sound = lambda rows: rows.where(F.coalesce(F.size("vec"), F.lit(0)) > 0)
     own = sound(probes)
-    n = F.ceil(F.count("*") / MOST).cast("int")
-    blocks = max(1, own.agg(n).first()[0] or 0)
+    blocks = max(1, -(-own.count() // (4 * MOST)))
     held = sound(index).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("arrival"), F.lit(1 << 16)).alias("salt"), F.lit(1).alias("turn"), "arrival", "doc_id", "vec")
-    salts = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # so many rows of a salt that probes, which meet each of them, are sent no more often than rows are
+    salts = max(-(-sound(index).count() // (16 * MOST)), min(16, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     held = held.withColumn("salt", F.pmod("salt", F.lit(salts)))
     asking = own.select(F.pmod(F.xxhash64("arrival"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("turn"), "arrival", F.lit(None).cast("long").alias("doc_id"), "vec")
     dealt = held.select("block", "salt", "turn", "arrival", "doc_id", "vec").union(asking.select("block", F.col("salt").cast("long"), "turn", "arrival", "doc_id", "vec"))
@@ -185,6 +198,6 @@ def _best_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 asking[arrival] = x
             elif asking:
                 held.append((arrival, doc_id, x))
-                if len(held) >= MOST:
+                if len(held) * max(len(asking), 1024) >= MOST * 1024:
                     compare()
     yield result()

@@ -79,6 +79,20 @@ def signatures(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sig binary")
 
 
+def with_signatures(rows: DataFrame, n: int = 5, text: str = "text") -> DataFrame:
+    """The rows with `sig` in the place of their text, null where it has no shingles; a text is mapped where it lies."""
+    a, b = parameters()
+    rows = rows.select(*(c for c in rows.columns if c != text), text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in slices(batches):
+            sigs = [signature(t, n, a, b) for t in x.columns[-1].to_pylist()]
+            found = pa.array([None if s is None else s.astype("<u4").tobytes() for s in sigs], pa.binary())
+            yield pa.RecordBatch.from_arrays([*x.columns[:-1], found], [*x.schema.names[:-1], "sig"])
+
+    return rows.mapInArrow(run, rows.drop(text).withColumn("sig", F.lit(None).cast("binary")).schema)
+
+
 class _Agreement:
     """Kernel over signatures: so large a share of their values agree."""
 

@@ -88,13 +88,13 @@ def touched_nodes(spark, sf_dir):
 def incremental_dedup(spark, sf_dir):
     """Documents in order of their ids, in four batches, each against what came before it."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    rows = docs.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("arrival"), "doc_id", "text", "vec")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("arrival"), F.col("embedding").alias("vec"))
+    rows = docs.select(F.col("doc_id").alias("arrival"), "doc_id", "text")
     least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     index = DedupIndex(spark, _folder(spark))
     cuts = [least + (most - least + 1) * i // 4 for i in range(5)] if least is not None else [0, 1]
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        index.add(rows.where((F.col("arrival") >= a) & (F.col("arrival") < b)), i)
+        index.add(rows.where((F.col("arrival") >= a) & (F.col("arrival") < b)), i, vectors)
     return index.results()
 
 

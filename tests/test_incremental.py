@@ -66,6 +66,28 @@ def test_any_split(spark, tmp_path, monkeypatch):
         assert [(r[:3], round(r[3], 6), r[4:]) for r in got] == [(r[:3], round(r[3], 6), r[4:]) for r in want], name
 
 
+def test_nearest_signatures(spark):
+    """Of a group only those that share a band are compared, also where a signature joins groups."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 32, (3, inc.HASHES), dtype=np.uint32)
+    sigs = np.repeat(base, 30, axis=0)
+    for k, s in enumerate(sigs):
+        s[rng.permutation(inc.HASHES)[: k % 6]] = k
+    links = base[0].copy()
+    links[:8], links[120:] = base[1][:8], base[2][120:]  # shares a band with each
+    sigs = np.vstack([sigs, links])
+    rows = [(k, 1000 + k, s.astype("<u4").tobytes()) for k, s in enumerate(sigs)]
+    index = spark.createDataFrame(rows, "arrival long, doc_id long, sig binary")
+    asked = {}
+    got = {r["arrival"]: (r["agreement"], r["other"]) for r in inc._nearest_signatures(index.where("arrival >= 40"), index).collect()}
+    width = inc.HASHES // inc.BANDS
+    for k in range(40, len(sigs)):
+        same = sigs[:k] == sigs[k]
+        near = [(m, -j) for j, m in enumerate(same.mean(1)) if same[j].reshape(inc.BANDS, width).all(1).any()]
+        asked[k] = (max(near)[0], 1000 - max(near)[1]) if near else None
+    assert got == {k: v for k, v in asked.items() if v}
+
+
 def test_trails(spark):
     """Walks that use no edge twice, through a branch and a cycle."""
     edges = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "b", "d"), (4, "c", "a"), (5, "d", "b")], "edge long, src string, dst string")
