@@ -50,18 +50,16 @@ w AS (SELECT process, 1::BIGINT AS at, 0 AS hops, [1::BIGINT] AS nodes, []::BIGI
 @r.query(_WALKS + " SELECT process, step, action, hops, row_number() OVER (PARTITION BY process ORDER BY step, hops, nodes) AS place FROM w JOIN s USING (process) WHERE s.step = w.at QUALIFY place <= 20")
 def process_walks(spark, sf_dir):
     """All walks from each process's first step over NEXT_STEP edges, some of which skip a step or lead back to the first."""
-    own = Window.partitionBy("l_orderkey")
-    li = table(spark, sf_dir, "lineitem")
-    s = li.select(F.col("l_orderkey").alias("process"), F.row_number().over(own.orderBy("l_linenumber", "l_partkey", "l_extendedprice")).alias("step"), F.col("l_partkey").alias("action"), F.count("*").over(own).alias("n"))
-    s = stored(s.withColumn("node", F.col("process") * 100 + F.col("step")))
-    last = F.col("step") == F.col("n")
-    hop = lambda kind, step: F.struct(F.lit(kind).alias("kind"), step.cast("long").alias("to"))
-    to = F.array_compact(F.array(
-        F.when(~last, hop(1, F.col("step") + 1)), F.when((F.col("step") + 2 <= F.col("n")) & (F.col("action") % 3 == 0), hop(2, F.col("step") + 2)),
-        F.when(last & (F.col("n") > 1) & (F.col("action") % 2 == 0), hop(3, F.lit(1))),
+    line = F.struct("l_linenumber", "l_partkey", "l_extendedprice")
+    s = table(spark, sf_dir, "lineitem").where("l_orderkey is not null").groupBy(F.col("l_orderkey").alias("process")).agg(F.array_sort(F.collect_list(line))["l_partkey"].alias("actions"))
+    n = F.size("actions")
+    hop = lambda kind, step, to: F.struct((step * 10 + kind).alias("edge"), step.alias("src"), to.alias("dst"))
+    edges = lambda action, i: F.array_compact(F.array(
+        F.when(i + 1 < n, hop(1, i + 1, i + 2)), F.when((i + 3 <= n) & (action % 3 == 0), hop(2, i + 1, i + 3)),
+        F.when((i + 1 == n) & (n > 1) & (action % 2 == 0), hop(3, i + 1, F.lit(1))),
     ))
-    edges = s.select("process", "step", "node", F.explode(to).alias("t")).select((F.col("node") * 10 + F.col("t.kind")).alias("edge"), F.col("node").alias("src"), (F.col("process") * 100 + F.col("t.to")).alias("dst"))
-    return g.process_chain(s.where("step = 1").select("process", "node"), stored(edges), s.select("node", "step", "action"))
+    steps = F.transform("actions", lambda action, i: F.struct((i + 1).alias("step"), action.alias("action")))
+    return g.process_chain(s.select("process", F.lit(1).alias("first"), steps.alias("steps"), F.flatten(F.transform("actions", edges)).alias("edges")))
 
 
 _TOUCHED = "WITH o AS (SELECT o_orderkey AS d, o_custkey AS c FROM orders), m AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS p FROM lineitem), e AS (SELECT 'd' || d AS a, 'c' || c AS b FROM o UNION SELECT 'd' || d, 'p' || p FROM m), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), q AS (SELECT 'd' || d AS s FROM o WHERE d % 20 = 0)"
