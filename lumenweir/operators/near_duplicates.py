@@ -27,6 +27,8 @@ from .linking import JaccardOfSets, groups_of_keys, spanning_links
 HASHES, BANDS, PRIME, SEED = 128, 16, 4294967311, 42
 #: Values of a band by which candidates are found: 25 bands of five miss a pair at 0.8 once in 20,000; full sets sort out the rest.
 ROWS = 5
+#: Words whose hashes a task keeps, and the factor by which a shingle's words count by place.
+KEPT, ODD = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
 #: How far below the threshold an estimate may be for its pair to be compared by full sets.
 MARGIN = 0.14
 
@@ -38,17 +40,16 @@ def parameters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least of (a * x + b) modulo PRIME over x, for each pair of a and b. The quotient is taken in floating point, where
-    it is off by one at most; the remainder is exact modulo 2^64 and then put right."""
-    p, out = np.int64(PRIME), np.full(len(a), PRIME, np.int64)
-    a, b, part = a[:, None], b.astype(np.int64)[:, None], a.astype(np.float64)[:, None] / PRIME
+    """The least of (a * x + b) modulo PRIME over x, for each pair of a and b. With x under PRIME, no a * x + b of these
+    parameters exceeds 64 bits; the remainder by way of the quotient, for which numpy has a fast division by one number."""
+    p, out = np.uint64(PRIME), np.full(len(a), PRIME, np.uint64)
+    a, b = a[:, None], b[:, None]
     for i in range(0, len(x), 256):
-        y = x[i : i + 256]
-        r = (a * y - (part * y.astype(np.float64)).astype(np.uint64) * np.uint64(PRIME)).view(np.int64)
+        r = a * x[i : i + 256]
         r += b
-        r += p * (r < 0)
-        r -= p * (r >= p)
-        r -= p * (r >= p)
+        quotient = r // p
+        quotient *= p
+        r -= quotient
         np.minimum(out, r.min(1), out=out)
     return out
 
@@ -65,13 +66,37 @@ def signature(text: str | None, n: int, a: np.ndarray, b: np.ndarray) -> np.ndar
     return _least(x, a, b).astype(np.uint32)  # equal or not is all that is asked of them
 
 
+class _Words(dict):
+    """Hashes of words, kept for the next time; no more than KEPT."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        return self.setdefault(word, int.from_bytes(md5(word.encode(), usedforsecurity=False).digest()[:8]))
+
+
+def hashed_shingles(text: str | None, n: int, known: _Words) -> np.ndarray:
+    """A number under PRIME for each shingle of shingles_of, repeats included, made from its words' hashes."""
+    words = (text or "").lower().split()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    count = max(1, len(h) - n + 1) if words else 0
+    x = np.zeros(count, np.uint64)
+    for k in range(min(n, len(h))):
+        x = x * ODD + h[k : k + count]
+    x = (x ^ (x >> np.uint64(32))) * ODD
+    return (x ^ (x >> np.uint64(29))) % np.uint64(PRIME)
+
+
 def signatures(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sig): 128 values of 32 bits as binary; rows without shingles are left out."""
+    """(doc_id, sig): 128 values of 32 bits as binary; rows without shingles are left out. Shingles are hashed word by word, as
+    signatures only propose links here: others than those of `signature`."""
     a, b = parameters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for x in slices(batches):
-            sigs = [signature(t, n, a, b) for t in x.column(1).to_pylist()]
+            hashed = (hashed_shingles(t, n, known) for t in x.column(1).to_pylist())
+            sigs = [_least(h, a, b).astype(np.uint32) if len(h) else None for h in hashed]
             keep = pa.array([s is not None for s in sigs])
             yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), pa.array([s.astype("<u4").tobytes() for s in sigs if s is not None], pa.binary())], ["doc_id", "sig"])
 

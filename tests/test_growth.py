@@ -1,8 +1,9 @@
 """What queries write and hold doesn't grow faster than their input."""
 
+import numpy as np
 from conftest import DATA
 
-from lumenweir.operators import graph
+from lumenweir.operators import graph, near_duplicates
 from lumenweir.plans import catalog
 
 
@@ -18,3 +19,18 @@ def test_process_walks(spark, monkeypatch):
     plans = [x._jdf.queryExecution().executedPlan().toString() for x in (tables[0], df)]
     assert sum(p.count("Exchange hashpartitioning") for p in plans) == 1 and not any("Join" in p for p in plans)
     assert sorted(map(tuple, made(chain[0][0], most_walks=2).collect())) == rows and len(tables) > 2
+
+
+def test_signatures_of_words():
+    """A word is hashed once, not each shingle that it is in: equal shingles are equal numbers, others differ, and the least
+    remainders are the exact ones."""
+    words = [f"w{i % 40}" for i in range(400)] + ["x", "y"]
+    text, known = " ".join(words), near_duplicates._Words()
+    x = near_duplicates.hashed_shingles(text, 5, known)
+    shingles = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    assert len(known) == 42 and len(set(zip(shingles, x.tolist(), strict=True))) == len(set(shingles)) == len(set(x.tolist()))
+    assert not len(near_duplicates.hashed_shingles(" ", 5, known)) and len(near_duplicates.hashed_shingles("x y", 5, known)) == 1
+    a, b = near_duplicates.parameters()
+    largest = np.array([near_duplicates.PRIME - 1, 0, *x], np.uint64)
+    assert near_duplicates._least(largest, a, b).tolist() == [min((int(i) * int(v) + int(j)) % near_duplicates.PRIME for v in largest) for i, j in zip(a, b, strict=True)]
+    assert int(a.max()) * (near_duplicates.PRIME - 1) + int(b.max()) < 1 << 64
