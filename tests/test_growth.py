@@ -2,7 +2,9 @@
 
 import numpy as np
 from conftest import DATA
+from pyspark.sql import functions as F
 
+from lumenweir.functions import text
 from lumenweir.operators import graph, near_duplicates
 from lumenweir.plans import catalog
 
@@ -25,8 +27,8 @@ def test_signatures_of_words():
     """A word is hashed once, not each shingle that it is in: equal shingles are equal numbers, others differ, and the least
     remainders are the exact ones."""
     words = [f"w{i % 40}" for i in range(400)] + ["x", "y"]
-    text, known = " ".join(words), near_duplicates._Words()
-    x = near_duplicates.hashed_shingles(text, 5, known)
+    joined, known = " ".join(words), near_duplicates._Words()
+    x = near_duplicates.hashed_shingles(joined, 5, known)
     shingles = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     assert len(known) == 42 and len(set(zip(shingles, x.tolist(), strict=True))) == len(set(shingles)) == len(set(x.tolist()))
     assert not len(near_duplicates.hashed_shingles(" ", 5, known)) and len(near_duplicates.hashed_shingles("x y", 5, known)) == 1
@@ -34,3 +36,12 @@ def test_signatures_of_words():
     largest = np.array([near_duplicates.PRIME - 1, 0, *x], np.uint64)
     assert near_duplicates._least(largest, a, b).tolist() == [min((int(i) * int(v) + int(j)) % near_duplicates.PRIME for v in largest) for i, j in zip(a, b, strict=True)]
     assert int(a.max()) * (near_duplicates.PRIME - 1) + int(b.max()) < 1 << 64
+
+
+def test_char_ngrams(spark):
+    """Characters are parted once, not sought from the text's beginning for each n-gram; null, short and wide ones as ever."""
+    texts = [None, "", "ab", "abc", "abcabc", "a\nb\nc", "x\U0001f600y\U0001f600z", "üßü"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").repartition(2).select("i", text.char_ngrams(F.col("x")).alias("g"))
+    want = {i: [x] if x is None or len(x) < 3 else list(dict.fromkeys(x[k : k + 3] for k in range(len(x) - 2))) for i, x in enumerate(texts)}
+    assert {r["i"]: r["g"] for r in df.collect()} == want
+    assert "substring(" not in df._jdf.queryExecution().optimizedPlan().toString()
