@@ -26,9 +26,10 @@ def document_chunks(spark, sf_dir):
 @r.query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)
 SELECT doc_id, len(s) AS n, round(list_avg(list_transform(s, lambda x: length(x))), 4) AS avg_length, sha256(array_to_string(s, '|')) AS fingerprint FROM s""")
 def document_sentences(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select("doc_id", chunking.sentences(F.col("text")).alias("s"))
-    mean = F.aggregate("s", F.lit(0).cast("long"), lambda x, y: x + F.length(y)) / F.size("s")
-    return s.select("doc_id", F.size("s").alias("n"), F.round(mean, 4).alias("avg_length"), F.sha2(F.array_join("s", "|"), 256).alias("fingerprint"))
+    """A text without sentences has no average; a null one has none of the figures."""
+    s = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), chunking.sentences(F.col("text"))).alias("s"))
+    mean = F.try_divide(F.aggregate("s", F.lit(0).cast("long"), lambda x, y: x + F.length(y)), F.array_size("s"))
+    return s.select("doc_id", F.array_size("s").alias("n"), F.round(mean, 4).alias("avg_length"), F.sha2(F.array_join("s", "|"), 256).alias("fingerprint"))
 
 
 @r.query()

@@ -3,10 +3,12 @@
 import datetime as dt
 
 import pytest
+from conftest import same_rows
 from pyspark.sql import functions as F
 
 from lumenweir.functions import search as q
 from lumenweir.operators import merging, structure
+from lumenweir.plans import catalog
 
 
 @pytest.mark.parametrize(
@@ -59,3 +61,12 @@ def test_impact_of_documents_without_author(spark, tmp_path):
     spark.createDataFrame([(1, 10), (2, 10), (2, 11), (2, 11), (3, 12), (3, 13)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {tuple(r) for r in catalog.queries()["document_impact"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1, 2), (2, 1, 2), (3, 0, 2), (4, 0, 0), (5, 0, 0)}
+
+
+def test_document_sentences_of_odd_texts(spark, duck, tmp_path):
+    """Null and empty texts, white space only, ends without a sentence after them: as the statement has them, and no error."""
+    texts = [None, "", " \n ", "\n\n", "A. B!\n\nc", "  a  ", "ends. ", "\t", "a.\r\nb", "ü. \U0001f600x?y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    here = duck.cursor()
+    here.sql(f"CREATE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(catalog.queries()["document_sentences"](spark, str(tmp_path)), here.sql(catalog.oracle_sql()["document_sentences"]))
