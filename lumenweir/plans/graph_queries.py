@@ -43,10 +43,10 @@ def shortest_paths(spark, sf_dir):
     return g.shortest_paths(edges.where("src not like 'c%' and dst not like 'c%'"), nations, nations, 3).select("seed", "node", "distance", F.array_join("path", ">").alias("path"))
 
 
-@r.query(f"WITH e AS ({_SUPPLIES}) SELECT x.src AS a, y.src AS b, count(*) AS shared FROM e x JOIN e y ON x.dst = y.dst AND x.src <> y.src WHERE x.src % 20 = 0 GROUP BY 1, 2")
+@r.query(f"WITH e AS ({_SUPPLIES}) SELECT x.src AS a, y.src AS b, count(*) AS shared FROM e x JOIN e y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2")
 def similar_by_shared(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return g.shared_neighbours(edges, table(spark, sf_dir, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("node")))
+    return g.shared_by_all(edges)
 
 
 @r.query(f"SELECT p_type AS topic, s_suppkey, count(DISTINCT p_partkey) AS parts FROM ({_SUPPLIES}) e JOIN part ON p_partkey = e.dst JOIN supplier ON s_suppkey = e.src GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY count(DISTINCT p_partkey) DESC, s_suppkey) <= 5")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 from test_linking import components
 
@@ -11,6 +12,7 @@ from lumenweir.functions import scores as s
 from lumenweir.functions import text as t
 from lumenweir.operators import access, analytics, chunking, documents, graph, near_duplicates, retrieval
 from lumenweir.operators.components import connected_components
+from lumenweir.plans import catalog
 from lumenweir.sources import files
 from lumenweir.streaming import state
 
@@ -254,3 +256,14 @@ def test_shared_neighbours_follow_the_splits(spark):
         want = {(a, b): len(x) for a in (1, 5) for b in {s for s, _ in rows} - {a, None} if (x := {d for s, d in rows if s == a} & {d for s, d in rows if s == b} - {None})}
         assert {(r["a"], r["b"]): r["shared"] for r in got.collect()} == want
         assert f", {16 * splits}" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similar_by_shared_has_all_sources(spark):
+    """Every source is held against all others, not only stated ones; repeated edges count once, nulls are no ends."""
+    rows, edges = _links_of(spark)
+    given = edges.union(spark.createDataFrame([(None, 1), (1, None), (None, None)], edges.schema))
+    of = {a: {d for s, d in rows if s == a} - {None} for a in {s for s, _ in rows} - {None}}
+    want = {(a, b): len(of[a] & of[b]) for a in of for b in of if a != b and of[a] & of[b]}
+    got = graph.shared_by_all(given.repartition(5)).collect()
+    assert {(r["a"], r["b"]): r["shared"] for r in got} == want and len(got) == len(want) > 0
+    assert {r["a"] for r in catalog.queries()["similar_by_shared"](spark, DATA).collect()} == {r["l_suppkey"] for r in spark.read.parquet(f"{DATA}/lineitem.parquet").collect()}
