@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import documents as d
 from ..operators import merging as m
-from ..operators import near_duplicates, retrieval, structure
+from ..operators import near_duplicates, retrieval, structure, trigrams
 from .graph_queries import _SPARSE, _sparse
 from .registry import Registry, table
 from .storage import spread
@@ -109,13 +109,11 @@ def staged_dedup(spark, sf_dir):
 
 @r.query()
 def deduplicated_qa(spark, sf_dir):
-    """Questions with answers, one of each group whose character trigrams have a Jaccard measure of 0.85 or more: trigrams
-    are written as words, of which a shingle has one."""
+    """Questions with answers, one of each group whose character trigrams have a Jaccard measure of 0.85 or more."""
     turns = table(spark, sf_dir, "conversations")
     a = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    qa = turns.where("role = 'user'").join(a, ["conv_id", "turn"]).select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), F.lower(F.regexp_replace(F.concat_ws(" ", "text", "answer"), r"\s+", "")).alias("x"))
-    grams = F.array_join(t.char_ngrams(F.col("x")), " ")
-    groups = near_duplicates.near_duplicates(spread(qa.select("doc_id", grams.alias("text"))), n=1, least=0.85)
+    qa = turns.where("role = 'user'").join(a, ["conv_id", "turn"]).select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), F.lower(F.regexp_replace(F.concat_ws(" ", "text", "answer"), r"\s+", "")).alias("text"))
+    groups = trigrams.alike_texts(spread(qa), 0.85)
     return groups.where("doc_id = component_id").select("doc_id")
 
 
