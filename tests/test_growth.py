@@ -45,3 +45,21 @@ def test_char_ngrams(spark):
     want = {i: [x] if x is None or len(x) < 3 else list(dict.fromkeys(x[k : k + 3] for k in range(len(x) - 2))) for i, x in enumerate(texts)}
     assert {r["i"]: r["g"] for r in df.collect()} == want
     assert "substring(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lexical_scores(spark, duck, tmp_path):
+    """Rows are given out from arrays of keys, one run of others for term after term, above
+    the last join. Terms without a name are there, as the statement has them."""
+    one = spark.read.parquet(f"{DATA}/part.parquet")
+    more = one.crossJoin(spark.range(40)).withColumn("p_partkey", F.col("p_partkey") + 200 * F.col("id")).drop("id")
+    more.withColumn("p_name", F.when(F.col("p_partkey") % 17 != 0, F.col("p_name"))).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = catalog.queries()["lexical_scores"](spark, str(tmp_path))
+    df.write.parquet(f"{tmp_path}/out")
+    here = duck.cursor()
+    here.sql(f"CREATE TEMP VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    here.sql(f"CREATE TEMP VIEW ours AS SELECT a, b, distance, score FROM '{tmp_path}/out/*.parquet'")
+    here.sql(f"CREATE TEMP TABLE theirs AS SELECT a, b, distance, round(score, 6) AS score FROM ({catalog.oracle_sql()['lexical_scores']})")
+    assert here.sql("(FROM ours EXCEPT ALL FROM theirs) UNION ALL (FROM theirs EXCEPT ALL FROM ours)").fetchall() == []
+    assert here.sql("SELECT count(*) FROM ours WHERE score IS NULL").fetchall()[0][0] > 0
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(of_b") < plan.index("explode(of_a") < plan.index("Join")
